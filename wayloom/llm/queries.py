@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .chat import OP3_SQL, op3_chat
+from .licenses import OP7_SQL, op7_licenses
 from .mixing import OP5_SQL, op5_mixing
 
-QUERIES = {"op5_mixing": op5_mixing}
-SQL = {"op5_mixing": OP5_SQL}
+QUERIES = {"op3_chat": op3_chat, "op5_mixing": op5_mixing, "op7_licenses": op7_licenses}
+SQL = {"op3_chat": OP3_SQL, "op5_mixing": OP5_SQL, "op7_licenses": OP7_SQL}
