@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP3_SQL, op3_chat
 from .licenses import OP7_SQL, op7_licenses
 from .mixing import OP5_SQL, op5_mixing
+from .quality import op10_quality
 
-QUERIES = {"op3_chat": op3_chat, "op5_mixing": op5_mixing, "op7_licenses": op7_licenses}
+QUERIES = {"op3_chat": op3_chat, "op5_mixing": op5_mixing, "op7_licenses": op7_licenses, "op10_quality": op10_quality}
 SQL = {"op3_chat": OP3_SQL, "op5_mixing": OP5_SQL, "op7_licenses": OP7_SQL}
