@@ -9,6 +9,7 @@ from .licenses import OP7_SQL, op7_licenses
 from .mixing import OP5_SQL, op5_mixing
 from .quality import op10_quality
 from .sentencepieces import op1_sentencepiece
+from .suffixes import op8_suffixes
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_mixing": op5_mixing, "op7_licenses": op7_licenses, "op9_html": op9_html, "op10_quality": op10_quality}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_mixing": op5_mixing, "op7_licenses": op7_licenses, "op8_suffixes": op8_suffixes, "op9_html": op9_html, "op10_quality": op10_quality}
 SQL = {"op3_chat": OP3_SQL, "op5_mixing": OP5_SQL, "op7_licenses": OP7_SQL}
