@@ -3,7 +3,7 @@
 Filters are directions on the sphere with a product structure: after a random rotation a vector is halved, each half has
 a codebook, and every pair of codewords is a direction. List decoding finds all directions whose cap holds a vector (inner
 product at or above a level) from the inner products with the two codebooks alone. Vectors that share a filter meet and
-are verified; two vectors that are near share one with high probability (see ``Filters.calibrate``).
+are verified; two vectors that are near share one with high probability (see ``Filters``).
 """
 
 from __future__ import annotations
@@ -23,61 +23,63 @@ from .vectors import matrix, unit
 
 THRESHOLD = 0.95
 #: Chance to miss a pair at the threshold that the filters are calibrated to.
-MISS = 1e-4
+MISS = 1e-3
 #: Vectors a filter holds, about; members of a filter that meet in one task at most, about.
 PER_FILTER, TOGETHER = 64, 1500
+#: Caps of a code that a vector lies in, about.
+CAPS = 16
+#: Neighbouring filters that one task takes.
+STRETCH = 256
 
 
 class Filters:
-    """A rotation, two codebooks and the level of the caps; deterministic by seed."""
+    """Several product codes, each a rotation and two codebooks, and the level of the caps; deterministic by seed.
+
+    A vector lies in about CAPS caps of a code; more vectors get more, narrower caps, so that filters stay small. The
+    chance that two random vectors at the threshold share no cap of a code is estimated, and as many codes are made as
+    bring it to ``miss`` for all of them.
+    """
 
     def __init__(self, n: int, dim: int, threshold: float = THRESHOLD, miss: float = MISS, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
-        self.half = (dim + 1) // 2
-        wanted, self.words = 8.0, 0
-        # More vectors need narrower caps to keep filters small; narrower caps need more filters a vector.
-        while True:
-            wanted *= 1.5
-            words = int(np.clip(np.ceil(np.sqrt(n * wanted / PER_FILTER)), 48, 4096))
-            self.codes = [unit(rng.normal(size=(words, d))) for d in (self.half, max(1, dim - self.half))]
-            self.calibrate(rng, dim, wanted / words**2, threshold)
-            if self.missed <= miss or wanted > 400:
-                break
-
-    def calibrate(self, rng: np.random.Generator, dim: int, share: float, threshold: float) -> None:
-        """Sets the level so that a random vector lies in that share of the caps, and estimates the chance to miss: the
-        mean over random pairs at the threshold of exp(-number of filters shared)."""
-        x = unit(rng.normal(size=(200, dim)))
+        self.half, self.words = (dim + 1) // 2, int(np.clip(np.ceil(np.sqrt(n * CAPS / PER_FILTER)), 32, 4096))
+        self.codes = [self.code(rng, dim)]
+        x = unit(rng.normal(size=(400, dim)))
         y = rng.normal(size=x.shape)
         y = unit(y - (y * x).sum(axis=1, keepdims=True) * x)
         y = threshold * x + np.sqrt(1 - threshold**2) * y
-        a, b = self.products(x), self.products(y)
+        a, b = self.products(x, self.codes[0]), self.products(y, self.codes[0])
         every = np.concatenate([(p[:, None] + q[None]).ravel() for p, q in zip(a[0][:40], a[1][:40], strict=True)])
-        self.level = float(np.quantile(every, 1 - min(share, 0.5)))
-        both = [int(((a[0][i][:, None] + a[1][i] >= self.level) & (b[0][i][:, None] + b[1][i] >= self.level)).sum()) for i in range(len(x))]
-        self.missed = float(np.mean(np.exp(-np.array(both, float))))
+        self.level = float(np.quantile(every, 1 - CAPS / self.words**2))
+        apart = sum(not ((a[0][i][:, None] + a[1][i] >= self.level) & (b[0][i][:, None] + b[1][i] >= self.level)).any() for i in range(len(x)))
+        self.missed = (apart + 1) / (len(x) + 2)
+        self.codes += [self.code(rng, dim) for _ in range(min(15, int(np.ceil(np.log(miss) / np.log(self.missed))) - 1))]
+
+    def code(self, rng: np.random.Generator, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.linalg.qr(rng.normal(size=(dim, dim)))[0], *(unit(rng.normal(size=(self.words, d))) for d in (self.half, max(1, dim - self.half)))
 
-    def products(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = x @ self.rotation
+    def products(self, x: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        x = x @ code[0]
         second = x[:, self.half :] if x.shape[1] > self.half else np.zeros((len(x), 1))
-        return x[:, : self.half] @ self.codes[0].T, second @ self.codes[1].T
+        return x[:, : self.half] @ code[1].T, second @ code[2].T
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """Ascending filter numbers of unit vectors. A vector in no cap gets its nearest direction."""
-        a, b = self.products(x)
-        out, words = [], b.shape[1]
-        for p, q in zip(a, b, strict=True):
-            order = np.argsort(-q)
-            falling = -q[order]
-            first = np.flatnonzero(p >= self.level + falling[0])
-            n = np.searchsorted(falling, -(self.level - p[first]), "right")
-            ids = np.repeat(first, n) * words + order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            out.append(np.sort(ids) if len(ids) else np.array([int(p.argmax()) * words + int(order[0])]))
-        return out
-
-
-def _classes(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
+        """Ascending filter numbers of unit vectors. A vector in no cap of a code gets its nearest direction there."""
+        out: list[list[np.ndarray]] = [[] for _ in x]
+        for c, code in enumerate(self.codes):
+            a, b = self.products(x, code)
+            order = np.argsort(-b, axis=1)
+            for k in range(len(x)):
+                falling = -b[k, order[k]]
+                first = np.flatnonzero(a[k] >= self.level + falling[0])
+                n = np.searchsorted(falling, -(self.level - a[k, first]), "right")
+                ids = np.repeat(first, n) * self.words + order[k, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                ids = np.sort(ids) if len(ids) else np.array([int(a[k].argmax()) * self.words + int(order[k, 0])])
+                out[k].append(ids + c * self.words**2)
+        return [np.concatenate(z) for z in out]
+
+
+def _classes(vectors: DataFrame, id_column: str, column: str, kind: str) -> DataFrame:
     """(vec_id, class, v): class is a digest of the vector, null for vectors that link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,13 +89,29 @@ def _classes(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
                 at, x = matrix(part.column("v"))
                 raw: list[bytes | None] = [None] * part.num_rows
                 for i, r in zip(at, x, strict=True):
-                    raw[i] = r.astype("<f8").tobytes()
+                    raw[i] = r.astype(kind).tobytes()
                 names = [None if r is None else hashlib.blake2b(r, digest_size=16).hexdigest() for r in raw]
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(names, pa.string()), pa.array(raw, pa.binary())], ["vec_id", "class", "v"])
 
     return vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).alias("v")).mapInArrow(run, "vec_id long, class string, v binary")
 
 
+def _first_met(i: np.ndarray, j: np.ndarray, lists: list[np.ndarray], f: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows that share filter f those that share none before it."""
+    met = np.unique(np.concatenate([i, j]))
+    own = [lists[k][: np.searchsorted(lists[k], f)] for k in met]
+    who = np.repeat(np.arange(len(met)), [len(z) for z in own])
+    _, at, times = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_inverse=True, return_counts=True)
+    many = times > 1
+    if not many.any():
+        return i, j
+    ok = many[at]
+    holds = np.zeros((len(met), int(many.sum())), np.float32)
+    holds[who[ok], (np.cumsum(many) - 1)[at[ok]]] = 1
+    fresh = (holds @ holds.T)[np.searchsorted(met, i), np.searchsorted(met, j)] == 0
+    return i[fresh], j[fresh]
+
+
 def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of vectors.
 
@@ -102,62 +120,56 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = THRESH
     nothing. Equal vectors are one class that meets others once. Filters with many members are dealt over pairs of blocks.
     A pair that shares several filters counts in the first of them only. An empty table gives an empty result.
     """
-    every = scratch.save(_classes(vectors, id_column, column))
+    kind = "<f4" if vectors.schema[column].dataType.simpleString() == "array<float>" else "<f8"
+    every = scratch.save(_classes(vectors, id_column, column, kind))
     classes = every.where("class is not null and vec_id is not null").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = scratch.save(classes)
     sizes = classes.groupBy(F.octet_length("v").alias("bytes")).count().orderBy(F.desc("count"), "bytes").limit(1).collect()
     width, count = (sizes[0]["bytes"], sizes[0]["count"]) if sizes else (8, 0)
-    filters = Filters(count, width // 8, threshold)
+    filters = Filters(count, width // int(kind[2]), threshold)
     usual = classes.where(F.octet_length("v") == width)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                lists = filters.decode(unit(np.stack([np.frombuffer(v, "<f8") for v in part.column("v").to_pylist()])))
+                lists = filters.decode(unit(np.stack([np.frombuffer(v, kind) for v in part.column("v").to_pylist()]).astype(np.float64)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists, pa.list_(pa.int64()))], [*part.schema.names, "filters"])
 
     coded = usual.select("rep", "n", "v").mapInArrow(decode, "rep long, n long, v binary, filters array<long>")
     coded = scratch.save(coded)
+    # A task takes a stretch of filters; a filter of many members has tasks of its own, one per pair of its blocks.
     load = coded.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / TOGETHER).cast("int")
+    blocks = F.when(F.col("m") > TOGETHER, F.ceil(F.col("m") / TOGETHER).cast("int")).otherwise(0)
     members = coded.select("rep", F.explode("filters").alias("filter")).join(load.select("filter", blocks.alias("blocks")), "filter")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("rep", "filter", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    tasks = members.join(coded, "rep")
+    many = members.where("blocks > 0").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("rep", F.col("filter").alias("task"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.array("filter").alias("here"))
+    some = members.where("blocks = 0").groupBy("rep", F.floor(F.col("filter") / STRETCH).alias("task")).agg(F.collect_list("filter").alias("here"))
+    some = some.select("rep", "task", F.lit(-1).alias("x"), F.lit(-1).alias("y"), F.lit(-1).alias("own"), "here")
+    tasks = some.unionByName(many).join(coded, "rep")
 
     def verify(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        f, x, y = key
-        none = pd.DataFrame({"rep": [], "links": [], "low": []}).astype("int64")
-        v = unit(np.stack([np.frombuffer(b, "<f8") for b in pdf["v"]]))
-        side = pdf["own"].to_numpy()
-        left, right = np.flatnonzero(side == x), np.flatnonzero(side == y)
-        if not len(left) or not len(right):
-            return none
-        i, j = np.nonzero(v[left] @ v[right].T >= threshold)
-        i, j = left[i], right[j]
-        keep = i < j if x == y else np.ones(len(i), bool)
-        i, j = i[keep], j[keep]
-        if not len(i):
-            return none
-        # Only pairs whose first common filter this is.
-        met = np.unique(np.concatenate([i, j]))
-        lists = [np.asarray(pdf["filters"].iat[k], np.int64) for k in met]
-        lists = [z[z < f] for z in lists]
-        who = np.repeat(np.arange(len(met)), [len(z) for z in lists])
-        value, at, times = np.unique(np.concatenate([np.zeros(0, np.int64), *lists]), return_inverse=True, return_counts=True)
-        many = times > 1
-        if many.any():
-            column = np.cumsum(many) - 1
-            ok = many[at]
-            table_ = np.zeros((len(met), int(many.sum())), np.float32)
-            table_[who[ok], column[at[ok]]] = 1
-            a, b = np.searchsorted(met, i), np.searchsorted(met, j)
-            fresh = np.concatenate([(table_[a[s : s + 20000]] * table_[b[s : s + 20000]]).sum(axis=1) == 0 for s in range(0, len(a), 20000)])
-            i, j = i[fresh], j[fresh]
-        if not len(i):
-            return none
+        _, x, y = key
+        v = unit(np.stack([np.frombuffer(b, kind) for b in pdf["v"]]).astype(np.float64))
+        side, lists = pdf["own"].to_numpy(), [np.asarray(z, np.int64) for z in pdf["filters"]]
+        filter_ = np.concatenate([np.asarray(z, np.int64) for z in pdf["here"]])
+        row = np.repeat(np.arange(len(pdf)), [len(z) for z in pdf["here"]])
+        order = np.argsort(filter_, kind="stable")
+        filter_, row = filter_[order], row[order]
+        cuts = np.r_[0, np.flatnonzero(filter_[1:] != filter_[:-1]) + 1, len(filter_)]
+        found = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = row[a:b]
+            left, right = rows[side[rows] == x], rows[side[rows] == y]
+            if len(left) and len(right):
+                i, j = np.nonzero(v[left] @ v[right].T >= threshold)
+                i, j = left[i], right[j]
+                if x == y:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    found.append(_first_met(i, j, lists, filter_[a]))
+        i, j = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*found, strict=True) if found else ((), ())))
         n, reps = pdf["n"].to_numpy(), pdf["rep"].to_numpy()
         links = np.bincount(i, n[j], len(pdf)) + np.bincount(j, n[i], len(pdf))
         low = reps.copy()
@@ -170,7 +182,7 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = THRESH
         some = links > 0
         return pd.DataFrame({"rep": reps[some], "links": links[some].astype(np.int64), "low": low[some]})
 
-    found = scratch.save(tasks.groupBy("filter", "x", "y").applyInPandas(verify, "rep long, links long, low long"))
+    found = scratch.save(tasks.groupBy("task", "x", "y").applyInPandas(lambda k, p: verify(k, p), "rep long, links long, low long"))
     near = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")), scratch)
     whole = classes.select("class", "rep", "n").join(near, "rep", "left").join(groups, F.col("rep") == groups.node, "left")
