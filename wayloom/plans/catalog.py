@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import knowledge, ranking, relational, retrieval, scalar, streams  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
