@@ -121,5 +121,29 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, dtype=np.uint64)
 
 
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of 8 bytes each as one value, byte-transposed, so that high zero bytes compress."""
+    block = np.stack([c.astype(np.int64) for c in columns]).view(np.uint8)
+    return len(columns[0]).to_bytes(8, "little") + block.reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes()
+
+
+def unpack(blobs: list[bytes], width: int) -> list[np.ndarray]:
+    parts = []
+    for b in blobs:
+        n = int.from_bytes(b[:8], "little")
+        parts.append(np.ascontiguousarray(np.frombuffer(b, np.uint8, offset=8).reshape(width, 8, n).transpose(0, 2, 1)).view(np.int64)[:, :, 0])
+    whole = np.concatenate(parts, axis=1) if parts else np.zeros((width, 0), np.int64)
+    return list(whole)
+
+
+def deal_out(columns: list[np.ndarray], key: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(key, packed rows of that key), keys ascending."""
+    order = np.argsort(key, kind="stable")
+    key, columns = key[order], [c[order] for c in columns]
+    cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)] if len(key) else np.zeros(1, int)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(key[a]), pack([c[a:b] for c in columns])
+
+
 def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, pieces, release, table
+from .common import Scratch, deal_out, mix, pieces, release, table, unpack
 from .graph import components
 from .shingles import shingle_sets, signatures
 
@@ -72,7 +72,8 @@ def _hot(spark_docs: DataFrame, column: str) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, column: str, t: Fraction, hot: np.ndarray) -> DataFrame:
-    """(doc_id, cid, n, entries): entries are the set's index shingles as bytes, in the global order."""
+    """(doc_id, cid, n, entries, bits): entries are the set's index shingles as bytes, in the global order; bits is the
+    parity of the set's shingles per hash value below a power of two about its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, column, BATCH_BYTES):
@@ -80,40 +81,22 @@ def _entries(docs: DataFrame, column: str, t: Fraction, hot: np.ndarray) -> Data
             cid, n = signatures(h, offs)
             row = np.repeat(np.arange(len(n)), n)
             late = hot[np.searchsorted(hot, h).clip(max=len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
-            order = np.lexsort((h, late, row))  # h is ascending within a row already
-            h = h[order]
+            every = h
+            h = h[np.lexsort((h, late, row))]
             take = n - -(-n * t.numerator // t.denominator) + (n > 0)
             at = np.arange(len(h)) - offs[row]
             h = h[at < take[row]]
+            wide = np.left_shift(64, np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64))
+            base = np.cumsum(wide) - wide
+            low = (every & (wide[row] - 1).astype(np.uint64)).astype(np.int64) + base[row]
+            odd = np.packbits(np.bincount(low, minlength=int(wide.sum())) & 1).tobytes()
+            bits = pa.array([odd[a : a + w] for a, w in zip((base // 8).tolist(), (wide // 8).tolist(), strict=True)], pa.binary())
             ends = np.r_[0, np.cumsum(take)]
             raw = h.astype("<u8").tobytes()
             made = pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cid), pa.array(n, pa.int64()), made], ["doc_id", "cid", "n", "entries"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cid), pa.array(n, pa.int64()), made, bits], ["doc_id", "cid", "n", "entries", "bits"])
 
-    return docs.select("doc_id", column).mapInArrow(run, "doc_id long, cid long, n long, entries binary")
-
-
-#: Columns of packed entries, 8 bytes each but travelling byte-transposed, so that high zero bytes compress.
-def _pack(columns: list[np.ndarray]) -> bytes:
-    block = np.stack([c.astype(np.int64) for c in columns]).view(np.uint8)
-    return len(columns[0]).to_bytes(8, "little") + block.reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes()
-
-
-def _unpack(blobs: list[bytes], width: int) -> list[np.ndarray]:
-    parts = []
-    for b in blobs:
-        n = int.from_bytes(b[:8], "little")
-        parts.append(np.ascontiguousarray(np.frombuffer(b, np.uint8, offset=8).reshape(width, 8, n).transpose(0, 2, 1)).view(np.int64)[:, :, 0])
-    whole = np.concatenate(parts, axis=1) if parts else np.zeros((width, 0), np.int64)
-    return list(whole)
-
-
-def _deal(columns: list[np.ndarray], key: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(key, kind="stable")
-    key, columns = key[order], [c[order] for c in columns]
-    cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)] if len(key) else np.zeros(1, int)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(key[a]), _pack([c[a:b] for c in columns])
+    return docs.select("doc_id", column).mapInArrow(run, "doc_id long, cid long, n long, entries binary, bits binary")
 
 
 def _spread(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,17 +133,17 @@ def _leaders(index: DataFrame, hot: np.ndarray, n_buckets: int, t: Fraction) ->
             late = hot[np.searchsorted(hot, h).clip(max=len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
             salt = np.where(late, mix(cid.astype(np.uint64))[row] % np.uint64(SALTS), np.uint64(0))
             key = (mix(h + salt) % np.uint64(n_buckets)).astype(np.int64)
-            out = list(_deal([h.astype(np.int64), cid[row], n[row], late], key))
+            out = list(deal_out([h.astype(np.int64), cid[row], n[row]], key))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "blob"])
 
     def vote(_, pdf: pd.DataFrame) -> pd.DataFrame:
-        h, cid, n, late = _unpack(pdf["blob"].tolist(), 4)
+        h, cid, n = unpack(pdf["blob"].tolist(), 3)
         order = np.lexsort((cid, h))
-        h, cid, n, late = h[order], cid[order], n[order], late[order]
+        h, cid, n = h[order], cid[order], n[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])
-        h, cid, n, late = h[new], cid[new], n[new], late[new]
+        h, cid, n = h[new], cid[new], n[new]
         head = np.ones(len(h), bool)
         head[1:] = h[1:] != h[:-1]
         first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
@@ -168,8 +151,6 @@ def _leaders(index: DataFrame, hot: np.ndarray, n_buckets: int, t: Fraction) ->
         pairs = pd.DataFrame({"cid": cid[own], "leader": cid[first[own]], "fits": 0})
         small, large = np.minimum(n[own], n[first[own]]), np.maximum(n[own], n[first[own]])
         pairs["fits"] = (small * t.denominator >= large * t.numerator).astype(np.int64)
-        alone = np.unique(cid[(late > 0) & head])  # may have met others in another salt
-        pairs = pd.concat([pairs, pd.DataFrame({"cid": alone, "leader": alone, "fits": 0})])
         return pairs.groupby(["cid", "leader"], as_index=False, sort=False)["fits"].sum()
 
     dealt = index.select("cid", "n", "entries").mapInArrow(deal, "key long, blob binary")
@@ -241,11 +222,11 @@ def _rivals(index: DataFrame, placed: DataFrame, n_buckets: int, t: Fraction) ->
             if not len(at):
                 continue
             columns = [h[at], g[at], comp[row][at], np.minimum.reduceat(n[row], at), np.maximum.reduceat(n[row], at), np.minimum.reduceat(pos, at)]
-            out = list(_deal(columns, (mix(columns[0].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)))
+            out = list(deal_out(columns, (mix(columns[0].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "blob"])
 
     def meet(_, pdf: pd.DataFrame) -> pd.DataFrame:
-        h, g, comp, low, high, pos = _unpack(pdf["blob"].tolist(), 6)
+        h, g, comp, low, high, pos = unpack(pdf["blob"].tolist(), 6)
         order = np.lexsort((g, h))
         h, g, comp, low, high, pos = (x[order] for x in (h, g, comp, low, high, pos))
         new = np.ones(len(h), bool)
@@ -270,11 +251,45 @@ def _sets(docs: DataFrame, column: str) -> DataFrame:
     return docs.select("cid", column).mapInArrow(run, "cid long, members array<long>")
 
 
-def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with na, nb and the overlap of their sets. A hot b is split by the skew join."""
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds differ: at least so many shingles are in one set only. Wider bits fold onto narrower ones."""
+    for b in batches:
+        out = np.zeros(b.num_rows, np.int64)
+        for k, (x, y) in enumerate(zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            w = min(len(x), len(y))
+            x, y = (np.bitwise_xor.reduce(z.reshape(-1, w), axis=0) for z in (x, y))
+            out[k] = np.bitwise_count(x ^ y).sum()
+        keep = [c for c in b.schema.names if not c.startswith("bits_")]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out)], [*keep, "differ"])
+
+
+def _overlap(pairs: DataFrame, index: DataFrame, docs: DataFrame, column: str, scratch: Scratch, t: Fraction) -> DataFrame:
+    """pairs (a, b, slack, least) with na, nb and the overlap of their sets, without pairs that can't matter: those whose
+    overlap plus slack is short of t / (1 + t) x least (both null: 0 and na + nb).
+
+    The bits, a hundredth of the sets, rule out most pairs; only the texts of the rest travel. A hot b is split by the
+    skew join.
+    """
+    bits = index.groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    for x in ("a", "b"):
+        pairs = pairs.join(bits.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    kinds = pairs.drop("bits_a", "bits_b").withColumn("differ", F.lit(0).cast("long")).schema
+    pairs = pairs.select(*[c for c in kinds.names if c != "differ"], "bits_a", "bits_b").mapInArrow(_apart, kinds)
+    most = F.floor((F.col("na") + F.col("nb") - F.col("differ")) / 2) + F.coalesce("slack", F.lit(0))
+    reach = F.coalesce("least", F.col("na") + F.col("nb")) * t.numerator
+    pairs = scratch.save(pairs.where(most * (t.numerator + t.denominator) >= reach))
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    first = index.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    sets = scratch.save(_sets(docs.select("doc_id", column).join(first, "doc_id"), column).dropDuplicates(["cid"]))
+    release(docs.sparkSession)
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b")
-    return both.withColumns({"na": F.size("ma").cast("long"), "nb": F.size("mb").cast("long"), "overlap": F.size(F.array_intersect("ma", "mb")).cast("long")}).drop("ma", "mb")
+    met = scratch.save(both.withColumn("overlap", F.size(F.array_intersect("ma", "mb")).cast("long")).drop("ma", "mb", "differ"))
+    scratch.drop(sets)
+    scratch.drop(pairs)
+    release(docs.sparkSession)
+    return met
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch, column: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -294,46 +309,43 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, column: str = "text",
     index = every.where("doc_id is not null")
     total = index.agg(F.sum(F.length("entries"))).first()[0] or 0
     n_buckets = max(240, total // 8 // BUCKET_ENTRIES + 1)
-    votes = scratch.save(_leaders(index, hot, n_buckets, t))
-    # Classes that share a list with another one are all that can have links; a class's text is that of its first document.
-    wanted = votes.select("cid").union(votes.select("leader")).distinct()
-    first = index.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", column).join(first, "doc_id")
-    sets = scratch.save(_sets(texts, column).dropDuplicates(["cid"]))
-    release(spark)
-    best = votes.where("fits > 0 and cid <> leader").groupBy("cid").agg(F.max_by("leader", F.struct("fits", -F.col("leader"))).alias("leader"))
-    led = _overlap(best.select(F.col("cid").alias("a"), F.col("leader").alias("b")), sets).where(union("na", "nb"))
-    led = scratch.save(led.select(F.col("a").alias("cid"), F.col("b").alias("leader"), "na", (F.col("na") - F.col("overlap")).alias("apart")))
+    votes = _leaders(index, hot, n_buckets, t)
+    best = votes.where("fits > 0").groupBy("cid").agg(F.max_by("leader", F.struct("fits", -F.col("leader"))).alias("leader"))
+    none = F.lit(None).cast("long")
+    best = scratch.save(best.select(F.col("cid").alias("a"), F.col("leader").alias("b"), none.alias("slack"), none.alias("least")))
     release(spark)
+    led = _overlap(best, index, docs, column, scratch, t).where(union("na", "nb"))
+    led = scratch.save(led.select(F.col("a").alias("cid"), F.col("b").alias("leader"), F.col("na").alias("n"), (F.col("na") - F.col("overlap")).alias("apart")))
     inner = components(led.select(F.col("cid").alias("a"), F.col("leader").alias("b")), scratch)
-    placed = scratch.save(inner.join(led, inner.node == led.cid, "left").select(F.col("node").alias("cid"), F.coalesce("leader", "node").alias("leader"), "component", F.coalesce("apart", F.lit(0)).alias("apart")))
+    placed = scratch.save(inner.join(led, inner.node == led.cid, "left").select(F.col("node").alias("cid"), F.coalesce("leader", "node").alias("leader"), "component", F.coalesce("apart", F.lit(0)).alias("apart"), "n"))
     rivals = scratch.save(_rivals(index, placed.select("cid", "leader", "component"), n_buckets, t))
     release(spark)
-    met = scratch.save(_overlap(rivals, sets))
-    release(spark)
+    # How far a group's followers are from their leader, and how small they are, bounds what they may share.
+    reach = placed.where("n is not null").groupBy("leader").agg(F.max("apart").alias("d"), F.min("n").alias("s"))
+    sizes = index.select("cid", "n").distinct()
+    for x in ("a", "b"):
+        rivals = rivals.join(sizes.select(F.col("cid").alias(x), F.col("n").alias(f"own{x}")), x)
+        rivals = rivals.join(reach.select(F.col("leader").alias(x), F.col("d").alias(f"d{x}"), F.col("s").alias(f"s{x}")), x, "left")
+        rivals = rivals.withColumns({f"d{x}": F.coalesce(f"d{x}", F.lit(0)), f"s{x}": F.least(F.coalesce(f"s{x}", f"own{x}"), f"own{x}")})
+    asked = rivals.select("a", "b", (F.col("da") + F.col("db")).alias("slack"), (F.col("sa") + F.col("sb")).alias("least"))
+    met = _overlap(asked, index, docs, column, scratch, t)
     links = met.where(union("na", "nb")).select("a", "b")
     # Pairs of leaders that are no link themselves, but whose followers may be.
-    sizes = sets.select("cid", F.size("members").cast("long").alias("n"))
-    groups = placed.where("apart > 0 or leader <> cid").select("leader").distinct()
-    members = scratch.save(placed.join(groups, "leader", "left_semi").join(sizes, "cid").select("cid", "leader", "component", "apart", "n"))
-    open_ = met.where(~union("na", "nb"))
-    side = lambda x: members.select(F.col("leader").alias(x), F.col("cid").alias(f"c{x}"), F.col("component").alias(f"k{x}"), F.col("apart").alias(f"d{x}"), F.col("n").alias(f"s{x}"))
-    reach = members.groupBy("leader").agg(F.max("apart").alias("d"), F.min("n").alias("s"))
+    possible = (F.col("overlap") + F.col("slack")) * (t.numerator + t.denominator) >= F.col("least") * t.numerator
+    open_ = met.where(~union("na", "nb") & possible & (F.col("slack") > 0)).select("a", "b", "overlap", "na", "nb")
     for x in ("a", "b"):
-        open_ = open_.join(reach.select(F.col("leader").alias(x), F.col("d").alias(f"d{x}"), F.col("s").alias(f"s{x}")), x, "left")
-        open_ = open_.withColumns({f"d{x}": F.coalesce(f"d{x}", F.lit(0)), f"s{x}": F.coalesce(F.least(f"s{x}", f"n{x}"), f"n{x}")})
-    possible = (F.col("overlap") + F.col("da") + F.col("db")) * (t.numerator + t.denominator) >= (F.col("sa") + F.col("sb")) * t.numerator
-    open_ = open_.where(possible).select("a", "b", "overlap", "na", "nb")
-    for x in ("a", "b"):
-        open_ = open_.join(side(x), x, "left")
-        open_ = open_.withColumns({f"c{x}": F.coalesce(f"c{x}", x), f"k{x}": F.coalesce(f"k{x}", x), f"d{x}": F.coalesce(f"d{x}", F.lit(0)), f"s{x}": F.coalesce(f"s{x}", f"n{x}")})
+        side = placed.where("n is not null").select(F.col("leader").alias(x), F.col("cid").alias(f"c{x}"), F.col("component").alias(f"k{x}"), F.col("apart").alias(f"d{x}"), F.col("n").alias(f"s{x}"))
+        own = open_.select(x).distinct().join(sizes, F.col(x) == sizes.cid).join(placed.select("cid", "component"), "cid", "left")
+        own = own.select(x, F.col(x).alias(f"c{x}"), F.coalesce("component", x).alias(f"k{x}"), F.lit(0).cast("long").alias(f"d{x}"), F.col("n").alias(f"s{x}"))
+        open_ = open_.join(side.unionByName(own), x)
     sized = (F.least("sa", "sb") * t.denominator >= F.greatest("sa", "sb") * t.numerator) & (F.col("ka") != F.col("kb"))
-    last = scratch.save(open_.where(possible & sized).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    more = _overlap(last, sets).where(union("na", "nb")).select("a", "b")
-    joined = links.union(more).union(placed.select(F.col("cid").alias("a"), F.col("component").alias("b")))
-    final = components(joined, scratch)
+    bound = (F.col("overlap") + F.col("da") + F.col("db")) * (t.numerator + t.denominator) >= (F.col("sa") + F.col("sb")) * t.numerator
+    last = scratch.save(open_.where(bound & sized).select(F.col("ca").alias("a"), F.col("cb").alias("b"), none.alias("slack"), none.alias("least")).distinct())
+    if last.limit(1).count():
+        links = links.union(_overlap(last, index, docs, column, scratch, t).where(union("na", "nb")).select("a", "b"))
+    final = components(links.union(placed.select(F.col("cid").alias("a"), F.col("component").alias("b"))), scratch)
     # Components of class ids, then the smallest doc_id of all copies in each.
-    for used in (votes, sets, led, placed, rivals, met, members, last):
+    for used in (best, led, placed, met, last):
         scratch.drop(used)
     known = every.select("doc_id", "cid", F.col("n").alias("n_shingles"))
     lows = known.where("n_shingles > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
@@ -345,3 +357,16 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, column: str = "text",
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "jaccard"))
+
+
+_LABELS = """r(node, low) AS (SELECT a, a FROM l UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node WHERE r.low < l.b),
+c AS (SELECT node, min(low) AS low FROM r GROUP BY node)"""
+OP4_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+{_LABELS}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id
+"""
