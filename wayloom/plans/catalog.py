@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import knowledge, ranking, relational, retrieval, scalar, streams  # noqa: F401
+from . import knowledge, more, ranking, relational, retrieval, scalar, streams  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
