@@ -4,15 +4,15 @@ Every 200-byte window picks an anchor: the 64-byte gram of least hash in it. Equ
 places, so all occurrences of a repeated window meet in the index list of its gram. The windows of one anchor are
 consecutive; together with the byte before them they are its context, some 270 bytes.
 
-1. Grams are counted; those met once can't repeat.
-2. Contexts of the rest are dealt by gram. In a bucket, equal contexts are one class. Where classes of one gram differ, a
-   suffix array of their windows is built by prefix doubling, with the common prefixes of neighbours; a stack scan
-   yields the intervals of common prefixes of 200 bytes and more, and those whose occurrences have different bytes to
-   the left are the maximal repeats (the others are shifts of one). All windows of an interval are repeated.
+1. Grams are dealt with a hash of their context's windows. Grams met once can't repeat; contexts met twice are repeated
+   whole, which settles most of the work without their bytes.
+2. Where contexts of one gram differ, those met once are dealt by gram with their bytes. A suffix array of their windows
+   is built by prefix doubling, with the common prefixes of neighbours; a stack scan yields the intervals of common
+   prefixes of 200 bytes and more, and those whose occurrences have different bytes to the left are the maximal repeats
+   (the others are shifts of one). All windows of an interval are repeated.
 3. The spans of a document are joined back and cut out.
 
-Only grams, contexts of repeated grams and spans travel besides the text itself. Grams travel packed, a row per (map
-batch, bucket).
+Grams travel packed, a row per (map batch, bucket).
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BACK, BASE, Scratch, mix, pieces, powers, release, strings, table
+from .common import BACK, BASE, Scratch, deal_out, mix, pieces, powers, release, strings, table, unpack
 
 WIDTH, GRAM = 200, 64
 BATCH_BYTES, SPAN = 4 << 20, 1 << 20
@@ -35,8 +35,9 @@ BATCH_BYTES, SPAN = 4 << 20, 1 << 20
 BUCKET_GRAMS, BUCKET_BYTES = 200_000, 4 << 20
 
 
-def anchors(raw: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first window, last window) of each run of windows with one anchor; windows lie within a document."""
+def anchors(raw: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, first window, last window, hash of all their bytes) of each run of windows with one anchor; windows lie
+    within a document."""
     n, reach = len(raw), width - gram + 1
     valid = np.zeros(n + 1, np.int32)
     size = np.diff(offs)
@@ -45,7 +46,7 @@ def anchors(raw: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = G
     np.add.at(valid, (offs[1:] - width + 1)[has], -1)
     valid = np.cumsum(valid)[:n] > 0
     p, q = powers(BASE, SPAN + width), powers(BACK, SPAN + width)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     for s in range(0, n, SPAN):
         part = raw[s : s + SPAN + width - 1]
         ok = valid[s : s + SPAN]
@@ -67,9 +68,12 @@ def anchors(raw: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = G
         new[1:] &= (at[1:] != at[:-1]) | ~ok[:-1]
         last = ok.copy()
         last[:-1] &= (at[1:] != at[:-1]) | ~ok[1:]
-        first = np.flatnonzero(new)
-        found.append((g[at[first]], first + s, np.flatnonzero(last) + s))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        first, end = np.flatnonzero(new), np.flatnonzero(last)
+        whole = mix((h[end + width] - h[first]) * q[first] + (end - first).astype(np.uint64))
+        found.append((g[at[first]], first + s, end + s, whole))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,52 +175,80 @@ def repeats(contexts: list[bytes], groups: np.ndarray, width: int = WIDTH) -> tu
 
 
 def _grams(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Packed (gram, context hash, uid, first window, bytes, times). Of contexts met again in their batch one goes on for
+    two; the others are settled and travel by document, with times 0, so a very common passage makes no large group."""
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", BATCH_BYTES):
             raw, offs = strings(part.column("text"))
-            g, first, _ = anchors(raw, offs)
+            g, first, last, whole = anchors(raw, offs)
             if not len(g):
                 continue
-            uid = part.column("uid").to_numpy()[np.searchsorted(offs, first, "right") - 1]
-            key = g % np.uint64(n_buckets)
-            order = np.argsort(key, kind="stable")
-            g, uid, key = g[order], uid[order], key[order]
-            cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
-            blobs = [g[a:b].tobytes() + uid[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[cuts[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], ["key", "blob"])
+            row = np.searchsorted(offs, first, "right") - 1
+            uid = part.column("uid").to_numpy()[row]
+            order = np.lexsort((whole, g))
+            g, whole, uid, at, size = g[order], whole[order], uid[order], (first - offs[row])[order], (last - first + WIDTH)[order]
+            new = np.r_[True, (g[1:] != g[:-1]) | (whole[1:] != whole[:-1])]
+            more = np.r_[~new[1:], False]
+            times = np.where(new, np.where(more, 2, 1), 0)
+            key = np.where(new, g % np.uint64(n_buckets), mix(uid.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+            out = list(deal_out([g.view(np.int64), whole.view(np.int64), uid, at, size, times], key))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "blob"])
 
     return docs.mapInArrow(deal, "key long, blob binary")
 
 
-def _met(_, pdf: pd.DataFrame) -> pd.DataFrame:
-    """(uid, grams): the grams of a document that occur more than once anywhere, as bytes."""
-    both = [np.frombuffer(b, np.int64).reshape(2, -1) for b in pdf["blob"]]
-    g, uid = np.concatenate(both, axis=1)
-    _, at, n = np.unique(g, return_inverse=True, return_counts=True)
-    keep = n[at] > 1
-    g, uid = g[keep], uid[keep]
-    order = np.lexsort((g, uid))
-    g, uid = g[order], uid[order]
+def _by_uid(uid: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    order = np.argsort(uid, kind="stable")
+    uid, columns = uid[order], [c[order] for c in columns]
     cuts = np.r_[0, np.flatnonzero(uid[1:] != uid[:-1]) + 1, len(uid)] if len(uid) else np.zeros(1, int)
-    return pd.DataFrame({"uid": uid[cuts[:-1]], "grams": [np.unique(g[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(uid[a]), [c[a:b] for c in columns]
+
 
+def _met(pdf: pd.DataFrame, settle: bool = True) -> pd.DataFrame:
+    """(uid, grams, spans): a document's grams whose contexts are needed in full, and its spans known to be repeated.
 
-def _contexts(docs: DataFrame, n_buckets: int, settle: bool = True) -> DataFrame:
+    Without settle all contexts of repeated grams are needed.
+    """
+    g, whole, uid, at, size, times = unpack(pdf["blob"].tolist(), 6)
+    done = times == 0
+    spans = [(uid[done], at[done], at[done] + size[done])]
+    keep = ~done if settle else np.ones(len(g), bool)
+    g, whole, uid, at, size, times = (x[keep] for x in (g, whole, uid, at, size, np.maximum(times, 1)))
+    order = np.lexsort((whole, g))
+    g, whole, uid, at, size, times = (x[order] for x in (g, whole, uid, at, size, times))
+    new_g = np.r_[True, g[1:] != g[:-1]][: len(g)]
+    new_c = new_g | np.r_[True, whole[1:] != whole[:-1]][: len(g)]
+    of_g, of_c = np.cumsum(new_g) - 1, np.cumsum(new_c) - 1
+    n_g, n_c = np.bincount(of_g, times).astype(np.int64), np.bincount(of_c, times).astype(np.int64)
+    same = n_c[of_c] > 1
+    if settle:
+        spans.append((uid[same], at[same], at[same] + size[same]))
+        lone = np.bincount(of_g, ~same) > 0
+        kinds = np.bincount(of_g, new_c) > 1
+        need = lone[of_g] & kinds[of_g] & (~same | new_c)
+    else:
+        need = n_g[of_g] > 1
+    rows = [(u, np.unique(x).tobytes(), None) for u, (x,) in _by_uid(uid[need], g[need])]
+    rows += [(u, None, union(*x).tobytes()) for u, x in _by_uid(*(np.concatenate(c) for c in zip(*spans, strict=True)))] if settle else []
+    return pd.DataFrame(rows, columns=["uid", "grams", "spans"]).astype({"uid": "int64"})
+
+
+def _contexts(docs: DataFrame, n_buckets: int) -> DataFrame:
     """(key, gram, context, at): contexts of repeated grams, equal ones of a batch once.
 
-    at: bytes of (uid, first window, whether another occurrence is known) per occurrence. Of a context met again in its
-    batch one occurrence goes on and the others are settled: they travel without gram and context, as (uid, start, end),
-    dealt by document. So a passage that very many documents share makes no large group.
+    at: bytes of (uid, first window, 0) per occurrence.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", BATCH_BYTES):
             raw, offs = strings(part.column("text"))
-            g, first, last = anchors(raw, offs)
+            g, first, last, _ = anchors(raw, offs)
             row = np.searchsorted(offs, first, "right") - 1
             wanted = [np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in lists])) if lists else np.zeros(0, np.int64) for lists in part.column("grams").to_pylist()]
             cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-            uid, copied = part.column("uid").to_numpy(), part.column("copied").to_numpy(zero_copy_only=False)
+            uid = part.column("uid").to_numpy()
             data = raw.tobytes()
             found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = defaultdict(list)
             for r in range(part.num_rows):
@@ -227,22 +259,11 @@ def _contexts(docs: DataFrame, n_buckets: int, settle: bool = True) -> DataFrame
                 for i in np.flatnonzero(wanted[r][np.searchsorted(wanted[r], own).clip(max=len(wanted[r]) - 1)] == own) + a:
                     s, e = int(first[i]), int(last[i])
                     before = data[s - 1 : s] if s > offs[r] else b"\0"
-                    found[int(g[i]), before + data[s : e + WIDTH]].append((int(uid[r]), s - int(offs[r]), int(copied[r])))
+                    found[int(g[i]), before + data[s : e + WIDTH]].append((int(uid[r]), s - int(offs[r]), 0))
             if not found:
                 continue
-            done = np.array([(u, p, p + len(c) - 1) for (_, c), x in found.items() for u, p, _ in x[1:] if settle], np.int64).reshape(-1, 3)
-            kept = list(found.values()) if not settle else [[(*x[0][:2], 1 if len(x) > 1 else x[0][2])] for x in found.values()]
             gram = np.array([k for k, _ in found], np.uint64)
-            key = done[:, 0].astype(np.uint64) % np.uint64(n_buckets)
-            done = done[np.argsort(key, kind="stable")]
-            key, at = np.unique(key, return_index=True)
-            parts = [x.tobytes() for x in np.split(done, at[1:])] if len(key) else []
-            columns = [
-                pa.array(np.concatenate([gram % np.uint64(n_buckets), key]).astype(np.int64)),
-                pa.array(np.concatenate([gram.astype(np.int64), np.zeros(len(key), np.int64)])),
-                pa.array([*(c for _, c in found), *([None] * len(key))], pa.binary()),
-                pa.array([*(np.array(x, np.int64).tobytes() for x in kept), *parts], pa.binary()),
-            ]
+            columns = [pa.array((gram % np.uint64(n_buckets)).astype(np.int64)), pa.array(gram.astype(np.int64)), pa.array([c for _, c in found], pa.binary()), pa.array([np.array(x, np.int64).tobytes() for x in found.values()], pa.binary())]
             whole = pa.RecordBatch.from_arrays(columns, ["key", "gram", "context", "at"])
             for x in range(0, whole.num_rows, 20_000):
                 yield whole.slice(x, 20_000)
@@ -250,96 +271,62 @@ def _contexts(docs: DataFrame, n_buckets: int, settle: bool = True) -> DataFrame
     return docs.mapInArrow(deal, "key long, gram long, context binary, at binary")
 
 
-def _spans(_, pdf: pd.DataFrame) -> pd.DataFrame:
+def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
     """(uid, spans) of a bucket: spans are bytes of (start, end) pairs of repeated bytes."""
-    classes: dict[tuple[int, bytes], int] = {}
-    at: list[list[np.ndarray]] = []
-    context: list[bytes] = []
-    gram: list[int] = []
-    out: list[tuple[int, int, int]] = []
+    classes: dict[tuple[int, bytes], list[np.ndarray]] = defaultdict(list)
     for g, c, where in zip(pdf["gram"], pdf["context"], pdf["at"], strict=True):
-        if c is None:  # settled before the shuffle
-            out += np.frombuffer(where, np.int64).reshape(-1, 3).tolist()
-            continue
-        k = classes.setdefault((g, c), len(at))
-        if k == len(at):
-            at.append([])
-            context.append(c)
-            gram.append(g)
-        at[k].append(np.frombuffer(where, np.int64).reshape(-1, 3))
-    places = [np.concatenate(x) for x in at]
-    single = np.array([len(x) == 1 and not x[0, 2] for x in places], bool)
-    for k in np.flatnonzero(~single):
-        out += [(u, p, p + len(context[k]) - 1) for u, p, _ in places[k].tolist()]
-    grams = np.array(gram, np.int64)
-    open_ = np.flatnonzero(np.isin(grams, grams[single])) if single.any() else np.zeros(0, int)
-    if len(open_):
-        windows, _ = repeats([context[k] for k in open_], grams[open_])
-        for c, w in windows:
-            k = open_[c]
-            if single[k]:
-                u, p, _ = places[k][0].tolist()
-                out.append((u, p + w, p + w + WIDTH))
-    if not out:
-        return pd.DataFrame({"uid": np.zeros(0, np.int64), "spans": []})
-    uid, s, e = np.array(out, np.int64).T
-    order = np.lexsort((s, uid))
-    uid, s, e = uid[order], s[order], e[order]
-    cuts = np.r_[0, np.flatnonzero(uid[1:] != uid[:-1]) + 1, len(uid)]
-    return pd.DataFrame({"uid": uid[cuts[:-1]], "spans": [union(s[a:b], e[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+        classes[g, c].append(np.frombuffer(where, np.int64).reshape(-1, 3))
+    keys = list(classes)
+    places = [np.concatenate(classes[k]) for k in keys]
+    windows, _ = repeats([c for _, c in keys], np.array([g for g, _ in keys], np.int64))
+    out = [(u, p + w, p + w + WIDTH) for k, w in windows for u, p, _ in places[k].tolist()]
+    out += [(u, p, p + len(keys[k][1]) - 1) for k, x in enumerate(places) if len(x) > 1 for u, p, _ in x.tolist()]
+    uid, s, e = np.array(out, np.int64).reshape(-1, 3).T
+    rows = [(u, union(*x).tobytes()) for u, x in _by_uid(uid, s, e)]
+    return pd.DataFrame(rows, columns=["uid", "spans"]).astype({"uid": "int64"})
 
 
 def union(s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Maximal runs of bytes covered by [s, e), as rows (start, end); s ascends."""
+    """Maximal runs of bytes covered by [s, e), as rows (start, end)."""
     if not len(s):
         return np.zeros((0, 2), np.int64)
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], e[order]
     far = np.maximum.accumulate(e)
     new = np.r_[True, s[1:] > far[:-1]]
     return np.stack([s[new], far[np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]]], axis=1)
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """docs (all columns) with ``_parts`` and ``_whole``, which spans_of turns into the runs of bytes of the UTF-8 text
-    covered by a 200-byte string that also starts anywhere else in the table, same document included.
+    """docs (all columns) with ``_parts``, which spans_of turns into the maximal runs of bytes of the UTF-8 text covered by
+    a 200-byte string that also starts anywhere else in the table, same document included.
 
     Null texts are empty; texts under 200 bytes have none. Rows that repeat an id are documents of their own, and rows
-    that repeat a whole document cover each other. Exact copies ship their contexts once, whatever their number.
+    that repeat a whole document cover each other.
     """
     text = F.coalesce(F.col(column), F.lit(""))
-    uid, same = F.xxhash64(F.col(id_column), text), F.md5(text)
+    uid = F.xxhash64(F.col(id_column), text)
     few = docs.select(uid.alias("uid"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
     n_grams = total * 2 // (WIDTH - GRAM) + 1
-    met = _grams(few, max(240, n_grams // BUCKET_GRAMS)).groupBy("key").applyInPandas(lambda k, p: _met(k, p), "uid long, grams binary")
-    met = scratch.save(met)
-    copies = docs.where(F.octet_length(column) >= WIDTH).select(uid.alias("uid"), same.alias("same"))
-    copies = copies.groupBy("same").agg(F.count("*").alias("n"), F.min("uid").alias("rep")).where("n > 1")
-    copies = scratch.save(copies)
+    schema = "uid long, grams binary, spans binary"
+    met = scratch.save(_grams(few, max(240, n_grams // BUCKET_GRAMS)).groupBy("key").applyInPandas(lambda k, p: _met(p), schema))
     release(docs.sparkSession)
-    lists = met.groupBy("uid").agg(F.collect_list("grams").alias("grams"))
-    reps = copies.select(F.col("rep").alias("uid"), F.lit(True).alias("copied"))
-    whole = docs.where(F.octet_length(column) >= WIDTH).select(uid.alias("uid"), same.alias("same")).join(copies, "same").select("uid", "rep").distinct()
-    whole = scratch.save(whole)
-    wanted = lists.join(reps, "uid", "left").join(whole.where("uid <> rep"), "uid", "left_anti").withColumn("copied", F.coalesce("copied", F.lit(False)))
-    # Rows equal in id and text share a uid; one of them is enough, as they are copies of each other.
-    asked = few.join(wanted, "uid")
+    lists = met.where("grams is not null").groupBy("uid").agg(F.collect_list("grams").alias("grams"))
+    # Rows equal in id and text share a uid and cover each other; the bytes of one are enough.
     size = met.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
-    bucketed = _contexts(asked, max(240, size // 8 * 270 // BUCKET_BYTES)).groupBy("key").applyInPandas(lambda k, p: _spans(k, p), "uid long, spans binary")
+    bucketed = _contexts(few.join(lists, "uid"), max(240, size // 8 * 340 // BUCKET_BYTES)).groupBy("key").applyInPandas(lambda k, p: _spans(p), "uid long, spans binary")
     spans = scratch.save(bucketed)
-    scratch.drop(met)
     release(docs.sparkSession)
-    per_doc = spans.groupBy("uid").agg(F.collect_list("spans").alias("_parts"))
-    found = per_doc.join(whole.select("uid", F.lit(True).alias("_whole")), "uid", "full").withColumnRenamed("uid", "_uid")
-    return docs.withColumn("_uid", uid).join(found, "_uid", "left").drop("_uid")
+    known = met.where("spans is not null").select("uid", "spans").unionByName(spans)
+    per_doc = known.groupBy("uid").agg(F.collect_list("spans").alias("_parts")).withColumnRenamed("uid", "_uid")
+    return docs.withColumn("_uid", uid).join(per_doc, "_uid", "left").drop("_uid")
 
 
-def spans_of(parts: list[bytes] | None, whole: bool | None, size: int) -> np.ndarray:
-    if whole:
-        return np.array([[0, size]], np.int64)
+def spans_of(parts: list[bytes] | None) -> np.ndarray:
     if not parts:
         return np.zeros((0, 2), np.int64)
     every = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in parts])
-    every = every[np.argsort(every[:, 0], kind="stable")]
     return union(every[:, 0], every[:, 1])
 
 
@@ -356,9 +343,9 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", BATCH_BYTES):
             rows = []
-            for text, parts, whole in zip(*(part.column(c).to_pylist() for c in ("text", "_parts", "_whole")), strict=True):
+            for text, parts in zip(part.column("text").to_pylist(), part.column("_parts").to_pylist(), strict=True):
                 data = (text or "").encode()
-                spans = spans_of(parts, whole, len(data))
+                spans = spans_of(parts)
                 kept = cut(data, spans)
                 rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows, strict=True))
@@ -380,9 +367,9 @@ def dedup_repeats(docs: DataFrame, scratch: Scratch, column: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, column, BATCH_BYTES):
             texts = []
-            for text, parts, whole in zip(*(part.column(c).to_pylist() for c in (column, "_parts", "_whole")), strict=True):
+            for text, parts in zip(part.column(column).to_pylist(), part.column("_parts").to_pylist(), strict=True):
                 data = (text or "").encode()
-                texts.append(None if text is None else cut(data, spans_of(parts, whole, len(data))).decode("utf-8", "ignore"))
+                texts.append(None if text is None else cut(data, spans_of(parts)).decode("utf-8", "ignore"))
             made = {column: pa.array(texts, pa.string())}
             if "n_chars" in schema.names:
                 made["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
@@ -397,9 +384,9 @@ def maximal_repeats(docs: DataFrame, scratch: Scratch, column: str = "text", id_
     """
     text = F.coalesce(F.col(column), F.lit(""))
     few = docs.select(F.xxhash64(F.col(id_column), text).alias("uid"), text.alias("text"))
-    met = _grams(few, 240).groupBy("key").applyInPandas(lambda k, p: _met(k, p), "uid long, grams binary")
+    met = _grams(few, 240).groupBy("key").applyInPandas(lambda k, p: _met(p, settle=False), "uid long, grams binary, spans binary")
     lists = scratch.save(met).groupBy("uid").agg(F.collect_list("grams").alias("grams"))
-    placed = _contexts(few.join(lists, "uid").withColumn("copied", F.lit(False)), 240, settle=False)
+    placed = _contexts(few.join(lists, "uid"), 240)
 
     def groups(_, pdf: pd.DataFrame) -> pd.DataFrame:
         places: dict[tuple[int, bytes], list[np.ndarray]] = defaultdict(list)
