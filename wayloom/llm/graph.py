@@ -21,14 +21,11 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         met = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("next"))
         up = labels.select(F.col("node").alias("next"), F.col("component").alias("above"))
-        new = scratch.save(met.join(up, "next", "left").select("node", F.least("next", F.coalesce("above", "next")).alias("component"), F.least("next", F.coalesce("above", "next")).alias("c2"), F.col("component").alias("old")))
-        changed = new.where("component <> old").limit(1).count()
+        low = F.least("next", F.coalesce("above", "next"))
+        new = scratch.save(met.join(up, "next", "left").select("node", low.alias("component"), (low != F.col("component")).alias("changed")))
         scratch.drop(labels)
         labels = new
-        if not changed:
+        if not labels.where("changed").limit(1).count():
             scratch.drop(both)
             return labels.select("node", "component")
-        plain = scratch.save(labels.select("node", "component"))
-        scratch.drop(labels)
-        labels = plain
     raise RuntimeError("components did not settle")

@@ -72,7 +72,8 @@ def _hot(spark_docs: DataFrame, column: str) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, column: str, t: Fraction, hot: np.ndarray) -> DataFrame:
-    """(doc_id, cid, n, entries, bits): entries are the set's index shingles as bytes, in the global order; bits is the
+    """(doc_id, cid, n, common, entries, bits): common is the share of the set's shingles that are met often, in
+    thousandths; entries are the set's index shingles as bytes, in the global order; bits is the
     parity of the set's shingles per hash value below a power of two about its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +82,7 @@ def _entries(docs: DataFrame, column: str, t: Fraction, hot: np.ndarray) -> Data
             cid, n = signatures(h, offs)
             row = np.repeat(np.arange(len(n)), n)
             late = hot[np.searchsorted(hot, h).clip(max=len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+            common = np.bincount(row, late, minlength=len(n)).astype(np.int64) * 1000 // np.maximum(n, 1)
             every = h
             h = h[np.lexsort((h, late, row))]
             take = n - -(-n * t.numerator // t.denominator) + (n > 0)
@@ -94,9 +96,9 @@ def _entries(docs: DataFrame, column: str, t: Fraction, hot: np.ndarray) -> Data
             ends = np.r_[0, np.cumsum(take)]
             raw = h.astype("<u8").tobytes()
             made = pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cid), pa.array(n, pa.int64()), made, bits], ["doc_id", "cid", "n", "entries", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cid), pa.array(n, pa.int64()), pa.array(common), made, bits], ["doc_id", "cid", "n", "common", "entries", "bits"])
 
-    return docs.select("doc_id", column).mapInArrow(run, "doc_id long, cid long, n long, entries binary, bits binary")
+    return docs.select("doc_id", column).mapInArrow(run, "doc_id long, cid long, n long, common long, entries binary, bits binary")
 
 
 def _spread(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,31 +117,38 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa
 
 
 def _leaders(index: DataFrame, hot: np.ndarray, n_buckets: int, t: Fraction) -> DataFrame:
-    """(cid, leader, shared): for each class the smaller class it shares most index lists with, where there is one.
+    """(cid, leader, fits): classes and the heads of the index lists they are in, with the number of lists.
 
-    A hot shingle's list is dealt over salts here; what that leaves apart, the second pass brings together.
+    The head of a list is the class with the greatest share of common shingles, then the smallest: the text that a group
+    of near copies was made from has no shingles of its own, so it is near all of them, where two copies may be far
+    apart. A hot shingle's list is dealt over salts here; texts of nothing but common shingles go to all of them. What
+    that leaves apart, the second pass brings together.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in _small(batches):
-            cid, n = part.column("cid").to_numpy(), part.column("n").to_numpy()
+            cid, n, common = (part.column(c).to_numpy() for c in ("cid", "n", "common"))
             fresh = np.array([c not in seen and not seen.add(c) for c in cid.tolist()], bool)
             if len(seen) > 1_000_000:
                 seen.clear()
             part = part.filter(pa.array(fresh))
-            cid, n = cid[fresh], n[fresh]
+            cid, n, common = cid[fresh], n[fresh], common[fresh]
             row, h, _ = _spread(part)
             late = hot[np.searchsorted(hot, h).clip(max=len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
             salt = np.where(late, mix(cid.astype(np.uint64))[row] % np.uint64(SALTS), np.uint64(0))
+            far = np.flatnonzero(late & (common[row] == 1000))
+            row, h = np.concatenate([row, np.repeat(row[far], SALTS)]), np.concatenate([h, np.repeat(h[far], SALTS)])
+            salt = np.concatenate([salt, np.tile(np.arange(SALTS, dtype=np.uint64), len(far))])
             key = (mix(h + salt) % np.uint64(n_buckets)).astype(np.int64)
-            out = list(deal_out([h.astype(np.int64), cid[row], n[row]], key))
+            # Lists of one shingle in different salts may meet in a bucket; the salt keeps them apart.
+            out = list(deal_out([mix(h + salt * np.uint64(n_buckets)).astype(np.int64), cid[row], n[row], -common[row]], key))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "blob"])
 
     def vote(_, pdf: pd.DataFrame) -> pd.DataFrame:
-        h, cid, n = unpack(pdf["blob"].tolist(), 3)
-        order = np.lexsort((cid, h))
+        h, cid, n, rare = unpack(pdf["blob"].tolist(), 4)
+        order = np.lexsort((cid, rare, h))
         h, cid, n = h[order], cid[order], n[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])
@@ -153,7 +162,7 @@ def _leaders(index: DataFrame, hot: np.ndarray, n_buckets: int, t: Fraction) ->
         pairs["fits"] = (small * t.denominator >= large * t.numerator).astype(np.int64)
         return pairs.groupby(["cid", "leader"], as_index=False, sort=False)["fits"].sum()
 
-    dealt = index.select("cid", "n", "entries").mapInArrow(deal, "key long, blob binary")
+    dealt = index.select("cid", "n", "common", "entries").mapInArrow(deal, "key long, blob binary")
     votes = dealt.groupBy("key").applyInPandas(lambda k, p: vote(k, p), "cid long, leader long, fits long")
     return votes.groupBy("cid", "leader").agg(F.sum("fits").alias("fits"))
 
@@ -343,7 +352,12 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, column: str = "text",
     last = scratch.save(open_.where(bound & sized).select(F.col("ca").alias("a"), F.col("cb").alias("b"), none.alias("slack"), none.alias("least")).distinct())
     if last.limit(1).count():
         links = links.union(_overlap(last, index, docs, column, scratch, t).where(union("na", "nb")).select("a", "b"))
-    final = components(links.union(placed.select(F.col("cid").alias("a"), F.col("component").alias("b"))), scratch)
+    # Groups found before are one node each now.
+    for x in ("a", "b"):
+        links = links.join(placed.select(F.col("cid").alias(x), F.col("component").alias(f"k{x}")), x, "left").withColumn(x, F.coalesce(f"k{x}", x)).drop(f"k{x}")
+    outer = components(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), scratch)
+    final = placed.select("cid", "component").join(outer, placed.component == outer.node, "full")
+    final = scratch.save(final.select(F.coalesce("cid", outer.node).alias("node"), F.coalesce(outer.component, placed.component).alias("component")).unionByName(outer.select("node", "component")).groupBy("node").agg(F.min("component").alias("component")))
     # Components of class ids, then the smallest doc_id of all copies in each.
     for used in (best, led, placed, met, last):
         scratch.drop(used)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .caps import op2_caps
+from .caps import OP2_SQL, op2_caps
 from .chat import OP3_SQL, op3_chat
 from .curves import op6_nearest
 from .html import op9_html
-from .jaccard import op4_jaccard
+from .jaccard import OP4_SQL, op4_jaccard
 from .licenses import OP7_SQL, op7_licenses
 from .mixing import OP5_SQL, op5_mixing
 from .quality import op10_quality
@@ -14,4 +14,4 @@ from .sentencepieces import op1_sentencepiece
 from .suffixes import op8_suffixes
 
 QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_caps": op2_caps, "op3_chat": op3_chat, "op4_jaccard": op4_jaccard, "op5_mixing": op5_mixing, "op6_nearest": op6_nearest, "op7_licenses": op7_licenses, "op8_suffixes": op8_suffixes, "op9_html": op9_html, "op10_quality": op10_quality}
-SQL = {"op3_chat": OP3_SQL, "op5_mixing": OP5_SQL, "op7_licenses": OP7_SQL}
+SQL = {"op2_caps": OP2_SQL, "op4_jaccard": OP4_SQL, "op3_chat": OP3_SQL, "op5_mixing": OP5_SQL, "op7_licenses": OP7_SQL}
