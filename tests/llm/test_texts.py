@@ -36,8 +36,7 @@ def odd(spark):
     return spark.createDataFrame(rows, DOCS)
 
 
-def test_jaccard_equals_brute_force(spark, odd):
-    rows = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None]
+def brute_components(rows):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
     def shingles(t):
@@ -46,20 +45,41 @@ def test_jaccard_equals_brute_force(spark, odd):
 
     sets = [(i, shingles(t)) for i, t in rows]
     low = {i: i for i, _ in sets}
+    links = [(a, b) for a, x in sets for b, y in sets if x and y and 100 * len(x & y) >= 80 * len(x | y)]
     changed = True
     while changed:
         changed = False
-        for a, x in sets:
-            for b, y in sets:
-                if x and y and 100 * len(x & y) >= 80 * len(x | y) and low[a] > low[b]:
-                    low[a], changed = low[b], True
-    want = Counter((i, len(s), low[i]) for i, s in sets)
+        for a, b in links:
+            if low[a] > low[b]:
+                low[a], changed = low[b], True
+    return Counter((i, len(s), low[i]) for i, s in sets)
+
+
+def test_jaccard_equals_brute_force(spark, odd):
+    want = brute_components([(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None])
     got = jaccard_components(odd, Scratch(spark, "t")).collect()
     assert Counter(tuple(r) for r in got if r.doc_id is not None) == want
     assert [r.component_id for r in got if r.doc_id is None] == [None]
     assert jaccard_components(odd.limit(0), Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_settles_groups_of_near_copies(spark, seed):
+    """Copies of a few texts with up to a tenth of the words changed, to rare or to common words, some cut short."""
+    rng = np.random.default_rng(seed)
+    bases = [rng_text(rng, int(n), 3000).split() for n in (150, 90, 40)]
+    bases.append(bases[0][:75] + bases[1][:75])
+    texts = []
+    for k in range(240):
+        words = list(bases[rng.integers(len(bases))])
+        for at in rng.integers(len(words), size=rng.integers(max(2, len(words) // 10))):
+            words[at] = f"own{k}x{at}" if rng.random() < 0.6 else f"often{rng.integers(3)}"
+        texts.append(" ".join(words[: len(words) - rng.integers(12)]))
+    rows = list(enumerate([*texts, *texts[:20]]))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), Scratch(spark, "t")).collect()
+    assert Counter(tuple(r) for r in got) == brute_components(rows)
+
+
 def brute_spans(texts):
     data = [(t or "").encode() for t in texts]
     seen = Counter(b[p : p + WIDTH] for b in data for p in range(len(b) - WIDTH + 1))

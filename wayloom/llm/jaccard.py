@@ -7,7 +7,7 @@ order (shingles met often last, then by hash), so two sets with Jaccard >= t sha
   block whose sizes can't reach t, and jumps to the next block at the first position that can't (block skipping).
 * Every class first links to one highly similar class, the one it shares most entries with (its leader, verified). What
   the leader's answers say about another leader bounds the answers of all its followers: |x & y| differs from
-  |lx & ly| by at most |x - lx| + |y - ly|. Most pairs of groups are settled by one verified pair of leaders; only
+  |lx & ly| by at most |x - lx| + |y - ly|, where shingles of no other class needn't count. Most pairs of groups are settled by one verified pair of leaders; only
   followers that the bound leaves open are verified themselves (answer derivation).
 
 The result is exact: links that decide nothing new about components are the only ones not looked at. Index entries travel
@@ -117,7 +117,8 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa
 
 
 def _leaders(index: DataFrame, hot: np.ndarray, n_buckets: int, t: Fraction) -> DataFrame:
-    """(cid, leader, fits): classes and the heads of the index lists they are in, with the number of lists.
+    """(cid, leader, fits, lists): classes and the heads of the index lists they are in, with the number of lists of
+    other classes too, and of those whose head has a size that fits. Lists of hot shingles count in either case.
 
     The head of a list is the class with the greatest share of common shingles, then the smallest: the text that a group
     of near copies was made from has no shingles of its own, so it is near all of them, where two copies may be far
@@ -142,29 +143,30 @@ def _leaders(index: DataFrame, hot: np.ndarray, n_buckets: int, t: Fraction) ->
             salt = np.concatenate([salt, np.tile(np.arange(SALTS, dtype=np.uint64), len(far))])
             key = (mix(h + salt) % np.uint64(n_buckets)).astype(np.int64)
             # Lists of one shingle in different salts may meet in a bucket; the salt keeps them apart.
-            out = list(deal_out([mix(h + salt * np.uint64(n_buckets)).astype(np.int64), cid[row], n[row], -common[row]], key))
+            late = np.concatenate([late, np.ones(SALTS * len(far), bool)])
+            out = list(deal_out([mix(h + salt * np.uint64(n_buckets)).astype(np.int64), cid[row], n[row], -common[row], late], key))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "blob"])
 
     def vote(_, pdf: pd.DataFrame) -> pd.DataFrame:
-        h, cid, n, rare = unpack(pdf["blob"].tolist(), 4)
+        h, cid, n, rare, late = unpack(pdf["blob"].tolist(), 5)
         order = np.lexsort((cid, rare, h))
-        h, cid, n = h[order], cid[order], n[order]
+        h, cid, n, late = h[order], cid[order], n[order], late[order] > 0
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])
-        h, cid, n = h[new], cid[new], n[new]
+        h, cid, n, late = h[new], cid[new], n[new], late[new]
         head = np.ones(len(h), bool)
         head[1:] = h[1:] != h[:-1]
         first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
-        own = ~head
-        pairs = pd.DataFrame({"cid": cid[own], "leader": cid[first[own]], "fits": 0})
+        own = late | ~(head & np.r_[head[1:], True])  # a list of one class says nothing
         small, large = np.minimum(n[own], n[first[own]]), np.maximum(n[own], n[first[own]])
-        pairs["fits"] = (small * t.denominator >= large * t.numerator).astype(np.int64)
-        return pairs.groupby(["cid", "leader"], as_index=False, sort=False)["fits"].sum()
+        fits = ~head[own] & (small * t.denominator >= large * t.numerator)
+        pairs = pd.DataFrame({"cid": cid[own], "leader": cid[first[own]], "fits": fits.astype(np.int64), "lists": 1})
+        return pairs.groupby(["cid", "leader"], as_index=False, sort=False)[["fits", "lists"]].sum()
 
     dealt = index.select("cid", "n", "common", "entries").mapInArrow(deal, "key long, blob binary")
-    votes = dealt.groupBy("key").applyInPandas(lambda k, p: vote(k, p), "cid long, leader long, fits long")
-    return votes.groupBy("cid", "leader").agg(F.sum("fits").alias("fits"))
+    votes = dealt.groupBy("key").applyInPandas(lambda k, p: vote(k, p), "cid long, leader long, fits long, lists long")
+    return votes.groupBy("cid", "leader").agg(F.sum("fits").alias("fits"), F.sum("lists").alias("lists"))
 
 
 def _skip_pairs(h, group, comp, low, high, pos, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -313,40 +315,49 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, column: str = "text",
     """
     spark, t = docs.sparkSession, Fraction(*threshold)
     union = lambda c, d: F.col("overlap") * (t.numerator + t.denominator) >= (F.col(c) + F.col(d)) * t.numerator
+    shared = lambda c, d, p, q: F.least(c, d) * (t.numerator + t.denominator) >= (F.col(p) + F.col(q)) * t.numerator
     hot = _hot(docs, column)
     every = scratch.save(_entries(docs, column, t, hot))
     index = every.where("doc_id is not null")
     total = index.agg(F.sum(F.length("entries"))).first()[0] or 0
     n_buckets = max(240, total // 8 // BUCKET_ENTRIES + 1)
     votes = _leaders(index, hot, n_buckets, t)
-    best = votes.where("fits > 0").groupBy("cid").agg(F.max_by("leader", F.struct("fits", -F.col("leader"))).alias("leader"))
+    best = votes.groupBy("cid").agg(F.max_by("leader", F.when(F.col("fits") > 0, F.struct("fits", -F.col("leader")))).alias("leader"), F.sum("lists").alias("lists"))
+    best = scratch.save(best)
     none = F.lit(None).cast("long")
-    best = scratch.save(best.select(F.col("cid").alias("a"), F.col("leader").alias("b"), none.alias("slack"), none.alias("least")))
+    # What no other class has among its index shingles, a class shares with none: most bounds all of its overlaps.
+    sizes = index.select("cid", "n", (F.length("entries") / 8).cast("long").alias("take")).distinct().join(best.select("cid", "lists"), "cid", "left")
+    sizes = scratch.save(sizes.select("cid", "n", (F.col("n") - F.greatest(F.lit(0), F.col("take") - F.coalesce("lists", F.lit(0)))).alias("most")))
     release(spark)
-    led = _overlap(best, index, docs, column, scratch, t).where(union("na", "nb"))
-    led = scratch.save(led.select(F.col("a").alias("cid"), F.col("b").alias("leader"), F.col("na").alias("n"), (F.col("na") - F.col("overlap")).alias("apart")))
+    chosen = best.where("leader is not null").select(F.col("cid").alias("a"), F.col("leader").alias("b"), none.alias("slack"), none.alias("least"))
+    led = _overlap(chosen, index, docs, column, scratch, t).where(union("na", "nb"))
+    # apart: shingles that the leader lacks and other sets may have.
+    led = led.join(sizes.select(F.col("cid").alias("a"), "most"), "a").withColumn("apart", F.col("most") - F.col("overlap"))
+    led = scratch.save(led.select(F.col("a").alias("cid"), F.col("b").alias("leader"), F.col("na").alias("n"), "apart"))
     inner = components(led.select(F.col("cid").alias("a"), F.col("leader").alias("b")), scratch)
     placed = scratch.save(inner.join(led, inner.node == led.cid, "left").select(F.col("node").alias("cid"), F.coalesce("leader", "node").alias("leader"), "component", F.coalesce("apart", F.lit(0)).alias("apart"), "n"))
     rivals = scratch.save(_rivals(index, placed.select("cid", "leader", "component"), n_buckets, t))
     release(spark)
-    # How far a group's followers are from their leader, and how small they are, bounds what they may share.
-    reach = placed.where("n is not null").groupBy("leader").agg(F.max("apart").alias("d"), F.min("n").alias("s"))
-    sizes = index.select("cid", "n").distinct()
+    # How far a group's followers are from their leader, how small they are and what they share with any set at most.
+    reach = placed.where("n is not null").join(sizes.select("cid", "most"), "cid").groupBy("leader").agg(F.max("apart").alias("d"), F.min("n").alias("s"), F.max("most").alias("m"))
     for x in ("a", "b"):
-        rivals = rivals.join(sizes.select(F.col("cid").alias(x), F.col("n").alias(f"own{x}")), x)
-        rivals = rivals.join(reach.select(F.col("leader").alias(x), F.col("d").alias(f"d{x}"), F.col("s").alias(f"s{x}")), x, "left")
-        rivals = rivals.withColumns({f"d{x}": F.coalesce(f"d{x}", F.lit(0)), f"s{x}": F.least(F.coalesce(f"s{x}", f"own{x}"), f"own{x}")})
-    asked = rivals.select("a", "b", (F.col("da") + F.col("db")).alias("slack"), (F.col("sa") + F.col("sb")).alias("least"))
-    met = _overlap(asked, index, docs, column, scratch, t)
+        rivals = rivals.join(sizes.select(F.col("cid").alias(x), F.col("n").alias(f"own{x}"), F.col("most").alias(f"most{x}")), x)
+        rivals = rivals.join(reach.select(F.col("leader").alias(x), F.col("d").alias(f"d{x}"), F.col("s").alias(f"s{x}"), F.col("m").alias(f"m{x}")), x, "left")
+        rivals = rivals.withColumns({f"d{x}": F.coalesce(f"d{x}", F.lit(0)), f"s{x}": F.least(F.coalesce(f"s{x}", f"own{x}"), f"own{x}"), f"m{x}": F.greatest(F.coalesce(f"m{x}", f"most{x}"), f"most{x}")})
+    asked = scratch.save(rivals.where(shared("ma", "mb", "sa", "sb")).select("a", "b", (F.col("da") + F.col("db")).alias("slack"), (F.col("sa") + F.col("sb")).alias("least"), "ma", "mb", "sa", "sb"))
+    met = _overlap(asked.select("a", "b", "slack", "least"), index, docs, column, scratch, t)
     links = met.where(union("na", "nb")).select("a", "b")
     # Pairs of leaders that are no link themselves, but whose followers may be.
     possible = (F.col("overlap") + F.col("slack")) * (t.numerator + t.denominator) >= F.col("least") * t.numerator
-    open_ = met.where(~union("na", "nb") & possible & (F.col("slack") > 0)).select("a", "b", "overlap", "na", "nb")
+    open_ = met.where(~union("na", "nb") & possible & (F.col("slack") > 0)).select("a", "b", "overlap").join(asked.select("a", "b", "ma", "mb", "sa", "sb"), ["a", "b"])
     for x in ("a", "b"):
-        side = placed.where("n is not null").select(F.col("leader").alias(x), F.col("cid").alias(f"c{x}"), F.col("component").alias(f"k{x}"), F.col("apart").alias(f"d{x}"), F.col("n").alias(f"s{x}"))
-        own = open_.select(x).distinct().join(sizes, F.col(x) == sizes.cid).join(placed.select("cid", "component"), "cid", "left")
-        own = own.select(x, F.col(x).alias(f"c{x}"), F.coalesce("component", x).alias(f"k{x}"), F.lit(0).cast("long").alias(f"d{x}"), F.col("n").alias(f"s{x}"))
-        open_ = open_.join(side.unionByName(own), x)
+        side = placed.where("n is not null").select(F.col("leader").alias(x), "cid", F.col("component").alias(f"k{x}"), F.col("apart").alias(f"d{x}"))
+        own = open_.select(x).distinct().join(placed.select(F.col("cid").alias(x), "component"), x, "left")
+        own = own.select(x, F.col(x).alias("cid"), F.coalesce("component", x).alias(f"k{x}"), F.lit(0).cast("long").alias(f"d{x}"))
+        side = side.unionByName(own).join(sizes.select("cid", F.col("n").alias("own"), "most"), "cid").withColumnRenamed("cid", f"c{x}")
+        # The member's own size and bound take the place of its group's; members that can't link are never paired.
+        joined = open_.join(side, x).where(shared("most", "mb" if x == "a" else "ma", "own", "sb" if x == "a" else "sa"))
+        open_ = joined.drop(f"m{x}", f"s{x}").withColumnsRenamed({"most": f"m{x}", "own": f"s{x}"})
     sized = (F.least("sa", "sb") * t.denominator >= F.greatest("sa", "sb") * t.numerator) & (F.col("ka") != F.col("kb"))
     bound = (F.col("overlap") + F.col("da") + F.col("db")) * (t.numerator + t.denominator) >= (F.col("sa") + F.col("sb")) * t.numerator
     last = scratch.save(open_.where(bound & sized).select(F.col("ca").alias("a"), F.col("cb").alias("b"), none.alias("slack"), none.alias("least")).distinct())
@@ -359,7 +370,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, column: str = "text",
     final = placed.select("cid", "component").join(outer, placed.component == outer.node, "full")
     final = scratch.save(final.select(F.coalesce("cid", outer.node).alias("node"), F.coalesce(outer.component, placed.component).alias("component")).unionByName(outer.select("node", "component")).groupBy("node").agg(F.min("component").alias("component")))
     # Components of class ids, then the smallest doc_id of all copies in each.
-    for used in (best, led, placed, met, last):
+    for used in (best, sizes, led, placed, asked, met, last):
         scratch.drop(used)
     known = every.select("doc_id", "cid", F.col("n").alias("n_shingles"))
     lows = known.where("n_shingles > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
