@@ -159,12 +159,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 def score_quality(docs: DataFrame, model: RuleModel, score: str = "score") -> DataFrame:
     """docs and the score in (0, 1), higher: label 1 likelier. Null and empty texts get the score of an empty text.
 
-    Statistics live in columns with a prefix of their own and are dropped, so other columns pass unchanged.
+    Statistics live in columns with a prefix of their own and are dropped, so other columns pass unchanged. A filter on
+    the score would be pushed below the statistics, which every rule would then compute anew; it stays above a row number,
+    as that isn't deterministic. The score takes the number in without a change, else it would be pruned.
     """
     prefix = "_wl_stat_"
     stats = statistics(F.col("text"))
-    held = docs.select("*", *[c.alias(prefix + n) for n, c in stats.items()])
-    return held.select(*[F.col(f"`{c}`") for c in docs.columns], model.score(prefix).alias(score))
+    held = docs.select("*", *[c.alias(prefix + n) for n, c in stats.items()], F.monotonically_increasing_id().alias(prefix + "row"))
+    value = F.when(F.col(prefix + "row") >= 0, model.score(prefix))
+    return held.select(*[F.col(f"`{c}`") for c in docs.columns], value.alias(score))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
