@@ -80,6 +80,23 @@ def test_jaccard_settles_groups_of_near_copies(spark, seed):
     assert Counter(tuple(r) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_counts_shared_shingles_outside_the_index(spark, seed):
+    """Small texts with one of a few more or fewer words, around a head that is too far from some of them."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for g in range(60):
+        head = [f"g{g}w{i}" for i in range(rng.integers(12, 44))]
+        texts.append(" ".join(head))
+        for _ in range(4):
+            own = [f"own{rng.integers(1 << 40)}" for _ in range(rng.integers(1, 3))]
+            texts += [" ".join([*head, *own][: len(head) + k]) for k in range(1, len(own) + 1)]
+            texts += [" ".join([*head[cut:], *own]) for cut in rng.integers(1, 4, 2)]
+    rows = list(enumerate(texts))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), Scratch(spark, "t")).collect()
+    assert Counter(tuple(r) for r in got) == brute_components(rows)
+
+
 def brute_spans(texts):
     data = [(t or "").encode() for t in texts]
     seen = Counter(b[p : p + WIDTH] for b in data for p in range(len(b) - WIDTH + 1))

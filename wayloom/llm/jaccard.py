@@ -7,8 +7,9 @@ order (shingles met often last, then by hash), so two sets with Jaccard >= t sha
   block whose sizes can't reach t, and jumps to the next block at the first position that can't (block skipping).
 * Every class first links to one highly similar class, the one it shares most entries with (its leader, verified). What
   the leader's answers say about another leader bounds the answers of all its followers: |x & y| differs from
-  |lx & ly| by at most |x - lx| + |y - ly|, where shingles of no other class needn't count. Most pairs of groups are settled by one verified pair of leaders; only
-  followers that the bound leaves open are verified themselves (answer derivation).
+  |lx & ly| by at most |x - lx| + |y - ly|, where shingles of no other class needn't count; they are told over
+  whole sets. Most pairs of groups are settled by one verified pair of leaders; only followers that the
+  bound leaves open are verified themselves (answer derivation).
 
 The result is exact: links that decide nothing new about components are the only ones not looked at. Index entries travel
 packed, a row per (map batch, bucket), so JVM and shuffle see few rows.
@@ -117,8 +118,8 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa
 
 
 def _leaders(index: DataFrame, hot: np.ndarray, n_buckets: int, t: Fraction) -> DataFrame:
-    """(cid, leader, fits, lists): classes and the heads of the index lists they are in, with the number of lists of
-    other classes too, and of those whose head has a size that fits. Lists of hot shingles count in either case.
+    """(cid, leader, fits): classes and the heads of the index lists they are in, with the number of lists whose head is
+    another class of a size that fits.
 
     The head of a list is the class with the greatest share of common shingles, then the smallest: the text that a group
     of near copies was made from has no shingles of its own, so it is near all of them, where two copies may be far
@@ -143,30 +144,28 @@ def _leaders(index: DataFrame, hot: np.ndarray, n_buckets: int, t: Fraction) ->
             salt = np.concatenate([salt, np.tile(np.arange(SALTS, dtype=np.uint64), len(far))])
             key = (mix(h + salt) % np.uint64(n_buckets)).astype(np.int64)
             # Lists of one shingle in different salts may meet in a bucket; the salt keeps them apart.
-            late = np.concatenate([late, np.ones(SALTS * len(far), bool)])
-            out = list(deal_out([mix(h + salt * np.uint64(n_buckets)).astype(np.int64), cid[row], n[row], -common[row], late], key))
+            out = list(deal_out([mix(h + salt * np.uint64(n_buckets)).astype(np.int64), cid[row], n[row], -common[row]], key))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "blob"])
 
     def vote(_, pdf: pd.DataFrame) -> pd.DataFrame:
-        h, cid, n, rare, late = unpack(pdf["blob"].tolist(), 5)
+        h, cid, n, rare = unpack(pdf["blob"].tolist(), 4)
         order = np.lexsort((cid, rare, h))
-        h, cid, n, late = h[order], cid[order], n[order], late[order] > 0
+        h, cid, n = h[order], cid[order], n[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])
-        h, cid, n, late = h[new], cid[new], n[new], late[new]
+        h, cid, n = h[new], cid[new], n[new]
         head = np.ones(len(h), bool)
         head[1:] = h[1:] != h[:-1]
         first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
-        own = late | ~(head & np.r_[head[1:], True])  # a list of one class says nothing
-        small, large = np.minimum(n[own], n[first[own]]), np.maximum(n[own], n[first[own]])
-        fits = ~head[own] & (small * t.denominator >= large * t.numerator)
-        pairs = pd.DataFrame({"cid": cid[own], "leader": cid[first[own]], "fits": fits.astype(np.int64), "lists": 1})
-        return pairs.groupby(["cid", "leader"], as_index=False, sort=False)[["fits", "lists"]].sum()
+        small, large = np.minimum(n, n[first]), np.maximum(n, n[first])
+        fits = ~head & (small * t.denominator >= large * t.numerator)
+        pairs = pd.DataFrame({"cid": cid[fits], "leader": cid[first[fits]], "fits": 1})
+        return pairs.groupby(["cid", "leader"], as_index=False, sort=False)[["fits"]].sum()
 
     dealt = index.select("cid", "n", "common", "entries").mapInArrow(deal, "key long, blob binary")
-    votes = dealt.groupBy("key").applyInPandas(lambda k, p: vote(k, p), "cid long, leader long, fits long, lists long")
-    return votes.groupBy("cid", "leader").agg(F.sum("fits").alias("fits"), F.sum("lists").alias("lists"))
+    votes = dealt.groupBy("key").applyInPandas(lambda k, p: vote(k, p), "cid long, leader long, fits long")
+    return votes.groupBy("cid", "leader").agg(F.sum("fits").alias("fits"))
 
 
 def _skip_pairs(h, group, comp, low, high, pos, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -262,6 +261,62 @@ def _sets(docs: DataFrame, column: str) -> DataFrame:
     return docs.select("cid", column).mapInArrow(run, "cid long, members array<long>")
 
 
+def _most(index: DataFrame, docs: DataFrame, column: str, scratch: Scratch) -> DataFrame:
+    """(cid, n, most) of each class: most, n less the shingles that no other class has anywhere in its set, bounds all of
+    its overlaps. A shingle travels as 32 bits in its bucket, twice a batch at most; one that is taken for another counts
+    as shared, which only loosens the bound.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in pieces(batches, column, BATCH_BYTES):
+            h, offs = shingle_sets(part.column(column))
+            cid, n = signatures(h, offs)
+            fresh = np.repeat(np.array([c not in seen and not seen.add(c) for c in cid.tolist()], bool), n)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            h, cid = h[fresh], np.repeat(cid, n)[fresh]
+            order = np.argsort(h, kind="stable")
+            h, cid = h[order], cid[order]
+            again = h[1:] == h[:-1]
+            two = np.ones(len(h), bool)
+            two[2:] = ~(again[1:] & again[:-1])
+            h, cid = h[two], cid[two]
+            if not len(h):
+                continue
+            key = (mix(h) % np.uint64(n_buckets)).astype(np.int64)
+            order = np.lexsort((cid, key))
+            h, cid, key = h[order].astype("<u4"), cid[order], key[order]
+            cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+            blobs = []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                one, times = np.unique(cid[x:y], return_counts=True)
+                blobs.append(len(one).to_bytes(8, "little") + one.tobytes() + times.astype("<u4").tobytes() + h[x:y].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(key[cuts[:-1]]), pa.array(blobs, pa.binary())], ["key", "blob"])
+
+    def count(_, pdf: pd.DataFrame) -> pd.DataFrame:
+        owners, shingles = [], []
+        for x in pdf["blob"]:
+            m = int.from_bytes(x[:8], "little")
+            owners.append(np.repeat(np.frombuffer(x, np.int64, m, 8), np.frombuffer(x, "<u4", m, 8 + 8 * m)))
+            shingles.append(np.frombuffer(x, "<u4", offset=8 + 12 * m))
+        cid, h = np.concatenate(owners), np.concatenate(shingles)
+        order = np.argsort(h, kind="stable")
+        h, cid = h[order], cid[order]
+        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        low, high = np.minimum.reduceat(cid, at), np.maximum.reduceat(cid, at)
+        cid, own = np.unique(low[low == high], return_counts=True)
+        return pd.DataFrame({"cid": cid, "own": own.astype(np.int64)})
+
+    sets = index.groupBy("cid").agg(F.first("n").alias("n"))
+    n_buckets = max(240, (sets.agg(F.sum("n")).first()[0] or 0) // (4 * BUCKET_ENTRIES) + 1)
+    dealt = docs.where("doc_id is not null").select(column).mapInArrow(deal, "key long, blob binary")
+    own = dealt.groupBy("key").applyInPandas(lambda k, p: count(k, p), "cid long, own long").groupBy("cid").agg(F.sum("own").alias("own"))
+    sizes = scratch.save(sets.join(own, "cid", "left").select("cid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")))
+    release(docs.sparkSession)
+    return sizes
+
+
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds differ: at least so many shingles are in one set only. Wider bits fold onto narrower ones."""
     for b in batches:
@@ -322,24 +377,21 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, column: str = "text",
     total = index.agg(F.sum(F.length("entries"))).first()[0] or 0
     n_buckets = max(240, total // 8 // BUCKET_ENTRIES + 1)
     votes = _leaders(index, hot, n_buckets, t)
-    best = votes.groupBy("cid").agg(F.max_by("leader", F.when(F.col("fits") > 0, F.struct("fits", -F.col("leader")))).alias("leader"), F.sum("lists").alias("lists"))
-    best = scratch.save(best)
+    best = scratch.save(votes.groupBy("cid").agg(F.max_by("leader", F.struct("fits", -F.col("leader"))).alias("leader")))
     none = F.lit(None).cast("long")
-    # What no other class has among its index shingles, a class shares with none: most bounds all of its overlaps.
-    sizes = index.select("cid", "n", (F.length("entries") / 8).cast("long").alias("take")).distinct().join(best.select("cid", "lists"), "cid", "left")
-    sizes = scratch.save(sizes.select("cid", "n", (F.col("n") - F.greatest(F.lit(0), F.col("take") - F.coalesce("lists", F.lit(0)))).alias("most")))
     release(spark)
-    chosen = best.where("leader is not null").select(F.col("cid").alias("a"), F.col("leader").alias("b"), none.alias("slack"), none.alias("least"))
+    chosen = best.select(F.col("cid").alias("a"), F.col("leader").alias("b"), none.alias("slack"), none.alias("least"))
     led = _overlap(chosen, index, docs, column, scratch, t).where(union("na", "nb"))
-    # apart: shingles that the leader lacks and other sets may have.
-    led = led.join(sizes.select(F.col("cid").alias("a"), "most"), "a").withColumn("apart", F.col("most") - F.col("overlap"))
-    led = scratch.save(led.select(F.col("a").alias("cid"), F.col("b").alias("leader"), F.col("na").alias("n"), "apart"))
+    led = scratch.save(led.select(F.col("a").alias("cid"), F.col("b").alias("leader"), F.col("na").alias("n"), "overlap"))
     inner = components(led.select(F.col("cid").alias("a"), F.col("leader").alias("b")), scratch)
-    placed = scratch.save(inner.join(led, inner.node == led.cid, "left").select(F.col("node").alias("cid"), F.coalesce("leader", "node").alias("leader"), "component", F.coalesce("apart", F.lit(0)).alias("apart"), "n"))
+    placed = scratch.save(inner.join(led, inner.node == led.cid, "left").select(F.col("node").alias("cid"), F.coalesce("leader", "node").alias("leader"), "component", "overlap", "n"))
     rivals = scratch.save(_rivals(index, placed.select("cid", "leader", "component"), n_buckets, t))
     release(spark)
+    sizes = _most(index, docs, column, scratch)
+    # apart: shingles that the leader lacks and other sets may have.
+    near = scratch.save(placed.where("n is not null").join(sizes.select("cid", "most"), "cid").select("cid", "leader", "component", "n", "most", (F.col("most") - F.col("overlap")).alias("apart")))
     # How far a group's followers are from their leader, how small they are and what they share with any set at most.
-    reach = placed.where("n is not null").join(sizes.select("cid", "most"), "cid").groupBy("leader").agg(F.max("apart").alias("d"), F.min("n").alias("s"), F.max("most").alias("m"))
+    reach = near.groupBy("leader").agg(F.max("apart").alias("d"), F.min("n").alias("s"), F.max("most").alias("m"))
     for x in ("a", "b"):
         rivals = rivals.join(sizes.select(F.col("cid").alias(x), F.col("n").alias(f"own{x}"), F.col("most").alias(f"most{x}")), x)
         rivals = rivals.join(reach.select(F.col("leader").alias(x), F.col("d").alias(f"d{x}"), F.col("s").alias(f"s{x}"), F.col("m").alias(f"m{x}")), x, "left")
@@ -347,11 +399,11 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, column: str = "text",
     asked = scratch.save(rivals.where(shared("ma", "mb", "sa", "sb")).select("a", "b", (F.col("da") + F.col("db")).alias("slack"), (F.col("sa") + F.col("sb")).alias("least"), "ma", "mb", "sa", "sb"))
     met = _overlap(asked.select("a", "b", "slack", "least"), index, docs, column, scratch, t)
     links = met.where(union("na", "nb")).select("a", "b")
-    # Pairs of leaders that are no link themselves, but whose followers may be.
+    # Pairs of leaders that are no link themselves, but whose followers may be: they hold other shingles or are smaller.
     possible = (F.col("overlap") + F.col("slack")) * (t.numerator + t.denominator) >= F.col("least") * t.numerator
-    open_ = met.where(~union("na", "nb") & possible & (F.col("slack") > 0)).select("a", "b", "overlap").join(asked.select("a", "b", "ma", "mb", "sa", "sb"), ["a", "b"])
+    open_ = met.where(~union("na", "nb") & possible & ((F.col("slack") > 0) | (F.col("least") < F.col("na") + F.col("nb")))).select("a", "b", "overlap").join(asked.select("a", "b", "ma", "mb", "sa", "sb"), ["a", "b"])
     for x in ("a", "b"):
-        side = placed.where("n is not null").select(F.col("leader").alias(x), "cid", F.col("component").alias(f"k{x}"), F.col("apart").alias(f"d{x}"))
+        side = near.select(F.col("leader").alias(x), "cid", F.col("component").alias(f"k{x}"), F.col("apart").alias(f"d{x}"))
         own = open_.select(x).distinct().join(placed.select(F.col("cid").alias(x), "component"), x, "left")
         own = own.select(x, F.col(x).alias("cid"), F.coalesce("component", x).alias(f"k{x}"), F.lit(0).cast("long").alias(f"d{x}"))
         side = side.unionByName(own).join(sizes.select("cid", F.col("n").alias("own"), "most"), "cid").withColumnRenamed("cid", f"c{x}")
@@ -370,7 +422,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, column: str = "text",
     final = placed.select("cid", "component").join(outer, placed.component == outer.node, "full")
     final = scratch.save(final.select(F.coalesce("cid", outer.node).alias("node"), F.coalesce(outer.component, placed.component).alias("component")).unionByName(outer.select("node", "component")).groupBy("node").agg(F.min("component").alias("component")))
     # Components of class ids, then the smallest doc_id of all copies in each.
-    for used in (best, sizes, led, placed, asked, met, last):
+    for used in (best, sizes, led, placed, near, asked, met, last):
         scratch.drop(used)
     known = every.select("doc_id", "cid", F.col("n").alias("n_shingles"))
     lows = known.where("n_shingles > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
