@@ -1,8 +1,8 @@
-"""Entity resolution: verdict tables as expressions, components of small graphs by minimum labels."""
+"""Entity resolution: verdict tables as expressions, admission of compositions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -33,24 +33,3 @@ def admission(members: Column, resolved: Column, distinct: Column, blocking: Col
         F.when(members == 0, "NO_MEMBERS").when(resolved == 0, "NO_RESOLVED_MEMBER").when(resolved == members, "COMPLETE")
         .when(distinct < 2, "BELOW_DISTINCT_FLOOR").when(blocking > 0, "BLOCKING_DEFICIT").otherwise("PARTIAL")
     )
-
-
-def min_labels(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) of edges (a, b): smallest node reachable. Labels are checkpointed each round; a round takes the
-    smallest label of the neighbours and then that label's own label."""
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayloom-"))
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        met = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("next"))
-        up = labels.select(F.col("node").alias("next"), F.col("component").alias("above"))
-        new = met.join(up, "next", "left").select("node", F.col("component").alias("old"), F.least("next", F.coalesce("above", "next")).alias("component")).checkpoint()
-        labels = new.select("node", "component")
-        if not new.where("old <> component").limit(1).count():
-            return labels
-    raise RuntimeError("components did not settle")

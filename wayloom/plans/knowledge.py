@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import token_jaccard, tokens
-from ..operators.resolution import admission, min_labels, pair_verdict, structural_relation
+from ..operators.graph import components
+from ..operators.resolution import admission, pair_verdict, structural_relation
 from ..sources import catalog as c
 from ..sources.catalog import with_
+from ..sources.shared import Tables
 from .registry import query
 
 _PAIRS = """, m AS (SELECT experience_id AS id, list_sort(list(entity_id)) AS s FROM component WHERE state = 'RESOLVED' GROUP BY 1),
@@ -51,12 +53,19 @@ def equivalence_groups(spark, sf):
     return c.read(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n >= 2")
 
 
-@query("op_er_13_components", """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey - o_orderkey % 8 AS b FROM orders WHERE o_orderkey % 3 <> 0), b2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, low) AS (SELECT a, a FROM b2 UNION SELECT b2.b, r.low FROM r JOIN b2 ON b2.a = r.node)
-SELECT node, min(low) AS component FROM r WHERE node IN (SELECT a FROM b2 WHERE a <> b) GROUP BY 1""")
+@query("op_er_13_components", """WITH RECURSIVE seg AS (SELECT DISTINCT o_custkey AS name, o_orderkey AS id, l_suppkey AS point FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+e AS (SELECT DISTINCT id AS a, min(id) OVER (PARTITION BY name, point) AS b FROM seg), b2 AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+r(node, low) AS (SELECT a, a FROM b2 UNION SELECT b2.b, r.low FROM r JOIN b2 ON b2.a = r.node WHERE r.low < b2.b),
+c AS (SELECT node, min(low) AS low FROM r GROUP BY 1)
+SELECT cluster, count(*) AS segments, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM (SELECT id, least(id, coalesce(low, id)) AS cluster FROM (SELECT DISTINCT id FROM seg) LEFT JOIN c ON node = id) GROUP BY 1""")
 def route_components(spark, sf):
-    o = c.read(spark, sf, "orders").where("o_orderkey % 3 <> 0")
-    return min_labels(o.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") - F.col("o_orderkey") % 8).alias("b")))
+    """Segments (orders) of one name (customer) that share a point (supplier), transitively: clusters and their members."""
+    o = c.read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("name"))
+    seg = c.read(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("point")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("name", "point", F.col("o_orderkey").alias("id")).distinct()
+    owners = seg.groupBy("name", "point").agg(F.min("id").alias("b"))
+    found = components(seg.join(owners, ["name", "point"]).select(F.col("id").alias("a"), "b"), Tables(spark, "segments"))
+    ids = seg.select("id").distinct().join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    return ids.groupBy("cluster").agg(F.count("*").alias("segments"), F.sort_array(F.collect_list("id")).alias("ids")).select("cluster", "segments", F.array_join("ids", ",").alias("members"))
 
 
 @query("op_er_20_remember_hint", """WITH old AS (SELECT o_custkey AS entity, o_orderpriority AS hint, bool_or(o_orderstatus = 'F') AS revoked FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2),
