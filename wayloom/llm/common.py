@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Tables
+
 #: Separators of words in every operator that counts or shingles words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,51 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Scratch:
+class Scratch(Tables):
     """Written tables that cut lineage. ``drop`` removes one early; the rest go when the process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        super().__init__(spark, name)
         atexit.register(self.close)
 
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        schema = df.schema
-        df.write.parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
-        out._wayloom_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        delete(self.spark, df._wayloom_path)
 
-    def close(self) -> None:
-        try:
-            delete(self.spark, self.root)
-        except Exception:  # the session may be gone already
-            pass
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of queries that have ended."""
+    """Lets Spark's cleaner remove the shuffle files of queries that have ended. Costs a full collection on the driver, a few
+    tenths of a second; only called between stages that each shuffle a share of the input."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, deal_out, mix, pieces, release, table, unpack
-from .graph import components
+from ..operators.graph import components
+from .common import Scratch, deal_out, mix, pieces, release, table, unpack, unused
 from .shingles import shingle_sets, signatures
 
 BATCH_BYTES = 4 << 20
@@ -37,6 +37,11 @@ HOT_SHINGLES, HOT_LOCAL = 1 << 17, 8
 BUCKET_ENTRIES, SALTS = 300_000, 16
 
 
+def row_key(column: str = "text") -> F.Column:
+    """What tells rows apart: a 64-bit hash of doc_id and text, whether each is null or not."""
+    return F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col(column), F.col(column).isNull())
+
+
 def _hot(spark_docs: DataFrame, column: str) -> np.ndarray:
     """Shingles that some partition meets in many classes, the most frequent first, a bounded number; sorted."""
 
@@ -73,7 +78,7 @@ def _hot(spark_docs: DataFrame, column: str) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, column: str, t: Fraction, hot: np.ndarray) -> DataFrame:
-    """(doc_id, cid, n, common, entries, bits): common is the share of the set's shingles that are met often, in
+    """(doc_id, uid, cid, n, common, entries, bits): common is the share of the set's shingles that are met often, in
     thousandths; entries are the set's index shingles as bytes, in the global order; bits is the
     parity of the set's shingles per hash value below a power of two about its size."""
 
@@ -97,9 +102,9 @@ def _entries(docs: DataFrame, column: str, t: Fraction, hot: np.ndarray) -> Data
             ends = np.r_[0, np.cumsum(take)]
             raw = h.astype("<u8").tobytes()
             made = pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cid), pa.array(n, pa.int64()), pa.array(common), made, bits], ["doc_id", "cid", "n", "common", "entries", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("uid"), pa.array(cid), pa.array(n, pa.int64()), pa.array(common), made, bits], ["doc_id", "uid", "cid", "n", "common", "entries", "bits"])
 
-    return docs.select("doc_id", column).mapInArrow(run, "doc_id long, cid long, n long, common long, entries binary, bits binary")
+    return docs.select("doc_id", row_key(column).alias("uid"), column).mapInArrow(run, "doc_id long, uid long, cid long, n long, common long, entries binary, bits binary")
 
 
 def _spread(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,15 +363,15 @@ def _overlap(pairs: DataFrame, index: DataFrame, docs: DataFrame, column: str, s
     return met
 
 
-def jaccard_components(docs: DataFrame, scratch: Scratch, column: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of docs: components of the exact Jaccard join.
+def jaccard_rows(docs: DataFrame, scratch: Scratch, column: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """(doc_id, uid, n_shingles, component_id, group), one row per row of docs: components of the exact Jaccard join.
 
     Lower-cases A-Z, takes words between ASCII white space and sets of distinct 5-word shingles of whole texts. Null and
     empty texts have no shingles, link with nothing and are their own component; a text of fewer words has one shingle.
     Equal sets are linked. Two sets link when their Jaccard similarity is at least threshold, compared in integers.
-    component_id is the smallest doc_id reachable. Rows that repeat a doc_id are sets of their own; rows without one link
-    with nothing. Only doc_id and the
-    text column are read. An empty table gives an empty result.
+    component_id is the smallest doc_id reachable. Rows that repeat a doc_id are sets of their own, so two components may
+    share a component_id; group tells them apart (null for rows that link with nothing). Rows without a doc_id link with
+    nothing. uid is ``row_key``. Only doc_id and the text column are read. An empty table gives an empty result.
     """
     spark, t = docs.sparkSession, Fraction(*threshold)
     union = lambda c, d: F.col("overlap") * (t.numerator + t.denominator) >= (F.col(c) + F.col(d)) * t.numerator
@@ -424,12 +429,41 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, column: str = "text",
     # Components of class ids, then the smallest doc_id of all copies in each.
     for used in (best, sizes, led, placed, near, asked, met, last):
         scratch.drop(used)
-    known = every.select("doc_id", "cid", F.col("n").alias("n_shingles"))
+    known = every.select("doc_id", "uid", "cid", F.col("n").alias("n_shingles"))
     lows = known.where("n_shingles > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
     lows = lows.join(final, lows.cid == final.node, "left").select("cid", "low", F.coalesce("component", "cid").alias("component"))
     ids = lows.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_class = lows.join(ids, "component").select("cid", "component_id")
-    return known.join(by_class, "cid", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_class = lows.join(ids, "component").select("cid", "component_id", F.col("component").alias("group"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    placed = known.join(by_class, "cid", "left")
+    return placed.select("doc_id", "uid", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("group")).alias("group"))
+
+
+def jaccard_components(docs: DataFrame, scratch: Scratch, column: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of docs; see ``jaccard_rows``."""
+    return jaccard_rows(docs, scratch, column, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, scratch: Scratch, column: str = "text") -> DataFrame:
+    """The rows of docs without near copies: of each component one row of its smallest doc_id stays.
+
+    Rows are told apart by doc_id and text together, so a row that repeats another's doc_id with an unrelated text stays,
+    and of rows that repeat both one stays. Null and empty texts and rows without a doc_id link with nothing and stay. Of
+    rows with one doc_id in one component the smallest by a hash of the text stays. All columns pass, whatever their
+    names. An empty table gives an empty result.
+    """
+    mark = unused(docs, "_uid")
+    found = scratch.save(jaccard_rows(docs, scratch, column).where("group is not null").select("doc_id", "uid", "group"))
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "uid")).alias("x")).select("group", F.col("x.uid").alias("first"))
+    marked = found.join(first, "group").select("uid", (F.col("uid") == F.col("first")).alias("stays"))
+    dropped = marked.where("not stays").select(F.col("uid").alias(mark)).distinct()
+    again = scratch.save(marked.where("stays").groupBy(F.col("uid").alias(mark)).count().where("count > 1").select(mark))
+    rows = docs.select("*", row_key(column).alias(mark))
+    kept = rows.join(dropped, mark, "left_anti")
+    if again.limit(1).count():  # rows that repeat doc_id and text
+        once = kept.join(again, mark, "left_semi").dropDuplicates([mark])
+        kept = kept.join(again, mark, "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
