@@ -16,7 +16,7 @@ from wayloom.llm.licenses import scan_licenses
 from wayloom.llm.mixing import emit, mix_sources
 from wayloom.llm.quality import fit_quality, held_out, op10_quality, score_quality
 from wayloom.llm.sentencepieces import Codec, decode_column, default_model, encode_column
-from wayloom.llm.suffixes import WIDTH, dedup_repeats, intervals, maximal_repeats, repeated_spans, spans_of
+from wayloom.llm.suffixes import WIDTH, dedup_repeats, intervals, maximal_repeats, op8_suffixes, repeated_spans, spans_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, spans string"
 
@@ -121,14 +121,77 @@ def test_suffixes_equal_brute_force(spark, odd):
     assert repeated_spans(odd.limit(0), Scratch(spark, "t")).count() == 0
 
 
-def test_maximal_repeats_show_all_occurrences(spark, odd):
-    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
-    found = maximal_repeats(docs, Scratch(spark, "t")).collect()
-    text = {r.u: (r.text or "").encode() for r in docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("u"), "text").collect()}
-    groups = {}
-    for r in found:
-        groups.setdefault((r["repeat"], r.length), []).append(text[r.uid][r.start : r.start + r.length])
-    assert groups and all(len(g) > 1 and len(set(g)) == 1 and len(g[0]) >= WIDTH for g in groups.values())
+def brute_maximal(texts):
+    """{repeated bytes: occurrences (document, start)} of all maximal repeats of WIDTH bytes or more."""
+    places = {}
+    for d, b in enumerate(texts):
+        for p in range(len(b) - WIDTH + 1):
+            places.setdefault(b[p : p + WIDTH], []).append((d, p))
+    found = {}
+    for where in places.values():
+        left = {texts[d][p - 1] if p else -1 for d, p in where}
+        if len(where) < 2 or len(left) == 1 and -1 not in left:
+            continue
+        tails = sorted((texts[d][p:], d, p) for d, p in where)
+        for k in range(len(tails) - 1):
+            a, b = tails[k][0], tails[k + 1][0]
+            n = next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+            own = {(d, p) for t, d, p in tails if t[:n] == a[:n]}
+            left = {texts[d][p - 1] if p else -1 for d, p in own}
+            if len(left) > 1 or -1 in left:
+                found[a[:n]] = own
+    return found
+
+
+def passages(spark):
+    """Passages of 1,177 bytes and more in two or three documents, one inside another, twice in one, at both ends."""
+    rng = np.random.default_rng(9)
+    long, inner = rng_text(rng, 260, 90_000)[:1177], rng_text(rng, 160, 90_000)[:700]
+    own = [rng_text(rng, 70, 90_000) for _ in range(12)]
+    texts = [own[0] + long + own[1], long + own[2], own[3] + long[300:900] + own[4], own[5] + inner, own[6] + inner[:450] + own[7] + inner[:450], inner[:449] + "!", own[8], "z" * 420, own[9] + "z" * 260, None, "", own[8]]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+
+def test_maximal_repeats_equal_brute_force(spark, odd):
+    for docs in (passages(spark), odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").where("length(text) < 5000 or text is null")):
+        rows = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("u"), "text").collect()
+        data = [(r.text or "").encode() for r in rows]
+        number, want = {r.u: k for k, r in enumerate(rows)}, brute_maximal(data)
+        got = {}
+        for r in maximal_repeats(docs, Scratch(spark, "t")).collect():
+            got.setdefault(data[number[r.uid]][r.start : r.start + r.length], []).append((number[r.uid], r.start))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert max(map(len, brute_maximal([(r.text or "").encode() for r in passages(spark).collect()]))) >= 1177
+    assert maximal_repeats(odd.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_suffixes_of_a_common_line(spark, monkeypatch):
+    """A line of 150 bytes between ever other neighbours, some of which recur; its gram is dealt window by window."""
+    from wayloom.llm import suffixes
+
+    rng = np.random.default_rng(6)
+    line = rng_text(rng, 40, 90_000)[:150]
+    sides = [rng_text(rng, 12, 90_000) for _ in range(90)]
+    rows = [(k, f"{sides[k % 80]} {line} {sides[(k * 7 + 1) % 90]} {line}{'' if k % 5 else sides[3]}") for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffixes, "HOT_CONTEXTS", 20)
+    few = docs.select("doc_id", "text")
+    assert len(suffixes._hot_grams(few))
+    found = repeated_spans(docs, Scratch(spark, "t")).collect()
+    assert [spans_of(r._parts).tolist() for r in found] == brute_spans([r.text for r in found])
+
+
+def test_suffixes_query(spark, sf):
+    got = {r.doc_id: r for r in op8_suffixes(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    for r, spans in zip(rows, brute_spans([r.text for r in rows]), strict=True):
+        data, at, kept = (r.text or "").encode(), 0, b""
+        for s, e in spans:
+            kept, at = kept + data[at:s], e
+        kept += data[at:]
+        q = got[r.doc_id]
+        assert (q.n_bytes, q.n_removed, q.n_spans, q.kept_sha256) == (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+    assert len(got) == len(rows)
 
 
 def test_intervals_of_a_small_array():

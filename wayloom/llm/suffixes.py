@@ -4,14 +4,18 @@ Every 200-byte window picks an anchor: the 64-byte gram of least hash in it. Equ
 places, so all occurrences of a repeated window meet in the index list of its gram. The windows of one anchor are
 consecutive; together with the byte before them they are its context, some 270 bytes.
 
-1. Grams are dealt with a hash of their context's windows. Grams met once can't repeat; contexts met twice are repeated
-   whole, which settles most of the work without their bytes.
-2. Where contexts of one gram differ, those met once are dealt by gram with their bytes. A suffix array of their windows
-   is built by prefix doubling, with the common prefixes of neighbours; a stack scan yields the intervals of common
-   prefixes of 200 bytes and more, and those whose occurrences have different bytes to the left are the maximal repeats
-   (the others are shifts of one). All windows of an interval are repeated.
+1. Grams are dealt with a hash of their context's windows. Grams met once can't repeat; equal contexts are pre-aggregated
+   by that hash. If no other context shares their gram they are one interval of their own: repeated whole, with all their
+   places as occurrences, and their bytes needn't travel.
+2. Where contexts of one gram differ, one of each is dealt by gram with its bytes. A suffix array of their windows is
+   built by prefix doubling, with the common prefixes of neighbours; a stack scan yields the intervals of common prefixes
+   of 200 bytes and more, and those whose occurrences have different bytes to the left, or start a context, are the
+   repeats that can't be extended to the left. Every repeated window lies in one, so their occurrences are the spans.
 3. The spans of a document are joined back and cut out.
 
+A gram of very many contexts (a notice between ever other neighbours) is no group of its own: its windows are dealt by
+themselves, by a hash of their 200 bytes, so only those meet that are equal, and equal ones are pre-aggregated.
+
 Grams travel packed, a row per (map batch, bucket).
 """
 
@@ -27,17 +31,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BACK, BASE, Scratch, deal_out, mix, pieces, powers, release, strings, table, unpack
+from .common import BACK, BASE, Scratch, deal_out, mix, pieces, powers, release, strings, table, unpack, unused
 
 WIDTH, GRAM = 200, 64
 BATCH_BYTES, SPAN = 4 << 20, 1 << 20
 #: Grams a bucket holds, about; bytes of contexts that a bucket holds, about.
 BUCKET_GRAMS, BUCKET_BYTES = 200_000, 4 << 20
+#: Different contexts from which a gram's windows are dealt one by one, and how many such grams are told apart, the most
+#: frequent first; contexts that a task holds to count them. Any choice gives the same result.
+HOT_CONTEXTS, HOT_GRAMS, HELD = 5_000, 1 << 16, 2_000_000
+
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the ascending array known."""
+    return known[np.searchsorted(known, values).clip(max=len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
-def anchors(raw: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def anchors(raw: np.ndarray, offs: np.ndarray, hot: np.ndarray | None = None, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gram hash, first window, last window, hash of all their bytes) of each run of windows with one anchor; windows lie
-    within a document."""
+    within a document. The windows of hot grams stand alone, under the hash of their bytes in place of the gram's."""
     n, reach = len(raw), width - gram + 1
     valid = np.zeros(n + 1, np.int32)
     size = np.diff(offs)
@@ -69,8 +81,14 @@ def anchors(raw: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = G
         last = ok.copy()
         last[:-1] &= (at[1:] != at[:-1]) | ~ok[1:]
         first, end = np.flatnonzero(new), np.flatnonzero(last)
+        key = g[at[first]]
+        if hot is not None and (lone := among(key, hot)).any():
+            n_windows = (end - first + 1)[lone]
+            every = np.arange(n_windows.sum()) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + np.repeat(first[lone], n_windows)
+            first, end = np.concatenate([first[~lone], every]), np.concatenate([end[~lone], every])
+            key = np.concatenate([key[~lone], mix((h[every + width] - h[every]) * q[every] + np.uint64(WIDTH))])
         whole = mix((h[end + width] - h[first]) * q[first] + (end - first).astype(np.uint64))
-        found.append((g[at[first]], first + s, end + s, whole))
+        found.append((key, first + s, end + s, whole))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -106,7 +124,7 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.n
 def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it; both are known to share width bytes."""
     out = np.full(len(order), width, np.int64)
-    out[0] = 0
+    out[:1] = 0
     live = np.arange(1, len(order))
     while live.size:
         a, b = order[live] + out[live], order[live - 1] + out[live]
@@ -131,68 +149,120 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((now, left))
 
 
-def repeats(contexts: list[bytes], groups: np.ndarray, width: int = WIDTH) -> tuple[list[tuple[int, int]], list[tuple[int, list[tuple[int, int]]]]]:
-    """Of distinct contexts (a byte to the left, then windows):
+def ordered(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The order of the suffixes text[start:end]; a suffix comes before those it is a prefix of."""
+    size = ends - starts
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    keys = [size]
+    for a in range((int(size.max(initial=0)) + 7) // 8 * 8 - 8, -1, -8):
+        block = np.zeros(len(starts), np.uint64)
+        for k in range(a, a + 8):
+            block = block << np.uint64(8) | np.where(k < size, padded[np.minimum(starts + k, len(text))], np.uint8(0))
+        keys.append(block)
+    return np.lexsort(keys)
+
 
-    (context, window) of every window in it that another context or place has too, and the maximal repeats: (length,
-    [(context, window)] of all occurrences). groups is the gram of each; only contexts of one gram can share windows.
+def repeats(contexts: list[bytes], groups: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(context, window, intervals) of distinct contexts (a byte to the left, then windows), where groups is the gram of
+    each; only contexts of one gram can share windows.
+
+    context and window are those of the suffixes that start a repeat, in the order of the suffix array; an interval
+    (length, first, last) is a group of them that shares length bytes, no more, and has different bytes to the left. The
+    first window of a context counts as having another byte to its left than any other, as it may go on in another one.
     """
     order = np.argsort(groups, kind="stable")
     size = np.bincount(np.unique(groups, return_inverse=True)[1])
-    many = np.repeat(size > 1, size)
-    order = order[many]
+    order = order[np.repeat(size > 1, size)]
     if not len(order):
-        return [], []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
     text = np.frombuffer(b"".join(contexts[i] for i in order), np.uint8)
     length = np.array([len(contexts[i]) for i in order])
     at = np.cumsum(length) - length
     n = length - width
     owner = np.repeat(np.arange(len(order)), n)
     starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + at[owner] + 1
-    where = np.searchsorted(at, starts, "right") - 1
     sa, same = suffix_array(text, starts, width)
     hit = same.copy()
     hit[:-1] |= same[1:]
     sa, same = sa[hit], same[hit]
+    if not len(sa):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    # Runs that share width bytes; where all have one byte to the left, they are shifts of a run that is kept.
     where = np.searchsorted(at, sa, "right") - 1
-    windows = list(zip(order[where].tolist(), (sa - at[where] - 1).tolist(), strict=True))
-    # Runs of suffixes that share width bytes; only left-diverse ones start a maximal repeat.
-    maximal: list[tuple[int, list[tuple[int, int]]]] = []
-    if len(sa):
-        head = np.flatnonzero(~same)
-        left = text[sa - 1]
-        diverse = np.minimum.reduceat(left, head) != np.maximum.reduceat(left, head)
-        ends = at[where] + length[where]
-        for a, b in zip(head[diverse], np.r_[head[1:], len(sa)][diverse], strict=True):
-            # Within a run the longer common prefixes need the full order.
-            own = sorted(range(a, b), key=lambda i: text[sa[i] : ends[i]].tobytes())
-            sub, stop = sa[own], ends[own]
-            lcp = common_prefixes(text, stop, sub, width)
-            for long, i, j in intervals(lcp.tolist(), width):
-                if len({int(text[x - 1]) for x in sub[i : j + 1]}) > 1:
-                    maximal.append((long, [windows[own[x]] for x in range(i, j + 1)]))
-    return windows, maximal
-
-
-def _grams(docs: DataFrame, n_buckets: int) -> DataFrame:
+    first = sa == at[where] + 1
+    head, left = np.flatnonzero(~same), text[sa - 1]
+    diverse = (np.minimum.reduceat(left, head) != np.maximum.reduceat(left, head)) | np.logical_or.reduceat(first, head)
+    run = np.cumsum(~same) - 1
+    keep = diverse[run]
+    sa, where, run, first = sa[keep], where[keep], run[keep], first[keep]
+    ends = at[where] + length[where]
+    # Within a run the longer common prefixes need the full order.
+    own = ordered(text, sa + width, ends)
+    own = own[np.argsort(run[own], kind="stable")]
+    sa, where, run, first, ends = (x[own] for x in (sa, where, run, first, ends))
+    lcp = common_prefixes(text, ends, sa, width)
+    lcp[np.r_[True, run[1:] != run[:-1]]] = 0
+    left = text[sa - 1]
+    changes = np.r_[0, np.cumsum((left[1:] != left[:-1]) | first[1:] | first[:-1])]
+    found = [(m, i, j) for m, i, j in intervals(lcp.tolist(), width) if changes[j] > changes[i]]
+    return order[where], sa - at[where] - 1, found
+
+
+def _hot_grams(docs: DataFrame) -> np.ndarray:
+    """The grams of very many different contexts, a bounded number, ascending."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            both = np.concatenate(held, axis=1)
+            both = both[:, np.lexsort(both)]
+            new = np.r_[True, (both[:, 1:] != both[:, :-1]).any(axis=0)][: both.shape[1]]
+            g, n = np.unique(both[1, new], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(g[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["gram", "n"])
+
+        for part in pieces(batches, "text", BATCH_BYTES):
+            g, _, _, whole = anchors(*strings(part.column("text")))
+            held.append(np.stack([whole, g]))
+            if sum(x.shape[1] for x in held) > HELD:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    sums = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_CONTEXTS)
+    few = sums.orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).select("gram").toPandas()
+    return np.sort(few["gram"].to_numpy(np.int64).view(np.uint64))
+
+
+def _grams(docs: DataFrame, n_buckets: int, hot: np.ndarray, settle: bool = True) -> DataFrame:
     """Packed (gram, context hash, uid, first window, bytes, times). Of contexts met again in their batch one goes on for
-    two; the others are settled and travel by document, with times 0, so a very common passage makes no large group."""
+    two; the others are settled and travel by document, with times 0, so a very common passage makes no large group.
+    Without settle all go on."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", BATCH_BYTES):
             raw, offs = strings(part.column("text"))
-            g, first, last, whole = anchors(raw, offs)
+            g, first, last, whole = anchors(raw, offs, hot)
             if not len(g):
                 continue
-            row = np.searchsorted(offs, first, "right") - 1
-            uid = part.column("uid").to_numpy()[row]
             order = np.lexsort((whole, g))
-            g, whole, uid, at, size = g[order], whole[order], uid[order], (first - offs[row])[order], (last - first + WIDTH)[order]
-            new = np.r_[True, (g[1:] != g[:-1]) | (whole[1:] != whole[:-1])]
-            more = np.r_[~new[1:], False]
-            times = np.where(new, np.where(more, 2, 1), 0)
-            key = np.where(new, g % np.uint64(n_buckets), mix(uid.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-            out = list(deal_out([g.view(np.int64), whole.view(np.int64), uid, at, size, times], key))
+            g, whole, first, last = g[order], whole[order], first[order], last[order]
+            new = np.r_[True, (g[1:] != g[:-1]) | (whole[1:] != whole[:-1]) | (not settle)]
+            times = np.where(np.r_[~new[1:], False], 2, 1)[new]
+            # Settled windows are next to each other: one row per stretch. Rows are set apart, that none spans two.
+            row = np.searchsorted(offs, first, "right") - 1
+            done = union((first + row)[~new], (last + WIDTH + row)[~new])
+            of = np.searchsorted(offs + np.arange(len(offs)), done[:, 0], "right") - 1
+            uid = part.column("uid").to_numpy()
+            none = np.zeros(len(done), np.int64)
+            columns = [
+                np.concatenate([g[new].view(np.int64), none]), np.concatenate([whole[new].view(np.int64), none]),
+                np.concatenate([uid[row[new]], uid[of]]), np.concatenate([(first - offs[row])[new], done[:, 0] - of - offs[of]]),
+                np.concatenate([(last - first + WIDTH)[new], done[:, 1] - done[:, 0]]), np.concatenate([times, none]),
+            ]
+            key = np.concatenate([g[new] % np.uint64(n_buckets), mix(uid[of].astype(np.uint64)) % np.uint64(n_buckets)]).astype(np.int64)
+            out = list(deal_out(columns, key))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "blob"])
 
     return docs.mapInArrow(deal, "key long, blob binary")
@@ -207,7 +277,8 @@ def _by_uid(uid: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[n
 
 
 def _met(pdf: pd.DataFrame, settle: bool = True) -> pd.DataFrame:
-    """(uid, grams, spans): a document's grams whose contexts are needed in full, and its spans known to be repeated.
+    """(uid, grams, spans): a document's grams whose contexts are needed in full, and the places of contexts that are
+    repeated whole.
 
     Without settle all contexts of repeated grams are needed.
     """
@@ -271,18 +342,29 @@ def _contexts(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.mapInArrow(deal, "key long, gram long, context binary, at binary")
 
 
-def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(uid, spans) of a bucket: spans are bytes of (start, end) pairs of repeated bytes."""
+def _classes(pdf: pd.DataFrame) -> tuple[list[tuple[int, bytes]], list[np.ndarray]]:
+    """The distinct (gram, context) of a bucket and the (uid, first window) of all places of each."""
     classes: dict[tuple[int, bytes], list[np.ndarray]] = defaultdict(list)
     for g, c, where in zip(pdf["gram"], pdf["context"], pdf["at"], strict=True):
-        classes[g, c].append(np.frombuffer(where, np.int64).reshape(-1, 3))
-    keys = list(classes)
-    places = [np.concatenate(classes[k]) for k in keys]
-    windows, _ = repeats([c for _, c in keys], np.array([g for g, _ in keys], np.int64))
-    out = [(u, p + w, p + w + WIDTH) for k, w in windows for u, p, _ in places[k].tolist()]
-    out += [(u, p, p + len(keys[k][1]) - 1) for k, x in enumerate(places) if len(x) > 1 for u, p, _ in x.tolist()]
-    uid, s, e = np.array(out, np.int64).reshape(-1, 3).T
-    rows = [(u, union(*x).tobytes()) for u, x in _by_uid(uid, s, e)]
+        classes[g, c].append(np.frombuffer(where, np.int64).reshape(-1, 3)[:, :2])
+    return list(classes), [np.concatenate(x) for x in classes.values()]
+
+
+def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(uid, spans) of a bucket: spans are bytes of (start, end) pairs, the occurrences of its intervals."""
+    keys, places = _classes(pdf)
+    context, window, found = repeats([c for _, c in keys], np.array([g for g, _ in keys], np.int64))
+    most = np.zeros(len(context), np.int64)
+    for length, i, j in sorted(found):
+        most[i : j + 1] = length  # of nested intervals the longest covers what the others do
+    # A context of several places is an interval itself.
+    whole = np.flatnonzero([len(x) > 1 for x in places])
+    context, window = np.concatenate([context[most > 0], whole]), np.concatenate([window[most > 0], np.zeros(len(whole), np.int64)])
+    length = np.concatenate([most[most > 0], np.array([len(keys[k][1]) - 1 for k in whole], np.int64)])
+    n = np.array([len(places[k]) for k in context], np.int64)
+    uid, start = np.concatenate([np.zeros((0, 2), np.int64), *(places[k] for k in context)]).T
+    start = start + np.repeat(window, n)
+    rows = [(u, union(*x).tobytes()) for u, x in _by_uid(uid, start, start + np.repeat(length, n))]
     return pd.DataFrame(rows, columns=["uid", "spans"]).astype({"uid": "int64"})
 
 
@@ -297,12 +379,12 @@ def union(s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.stack([s[new], far[np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]]], axis=1)
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """docs (all columns) with ``_parts``, which spans_of turns into the maximal runs of bytes of the UTF-8 text covered by
-    a 200-byte string that also starts anywhere else in the table, same document included.
+def repeated_spans(docs: DataFrame, scratch: Scratch, column: str = "text", id_column: str = "doc_id", parts: str = "_parts") -> DataFrame:
+    """docs (all columns) with a column ``parts``, which spans_of turns into the maximal runs of bytes of the UTF-8 text
+    covered by a 200-byte string that also starts anywhere else in the table, same document included.
 
     Null texts are empty; texts under 200 bytes have none. Rows that repeat an id are documents of their own, and rows
-    that repeat a whole document cover each other.
+    that repeat a whole document cover each other. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(column), F.lit(""))
     uid = F.xxhash64(F.col(id_column), text)
@@ -310,7 +392,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, column: str = "text", id_c
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
     n_grams = total * 2 // (WIDTH - GRAM) + 1
     schema = "uid long, grams binary, spans binary"
-    met = scratch.save(_grams(few, max(240, n_grams // BUCKET_GRAMS)).groupBy("key").applyInPandas(lambda k, p: _met(p), schema))
+    dealt = _grams(few, max(240, n_grams // BUCKET_GRAMS), _hot_grams(few))
+    met = scratch.save(dealt.groupBy("key").applyInPandas(lambda k, p: _met(p), schema))
     release(docs.sparkSession)
     lists = met.where("grams is not null").groupBy("uid").agg(F.collect_list("grams").alias("grams"))
     # Rows equal in id and text share a uid and cover each other; the bytes of one are enough.
@@ -319,8 +402,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, column: str = "text", id_c
     spans = scratch.save(bucketed)
     release(docs.sparkSession)
     known = met.where("spans is not null").select("uid", "spans").unionByName(spans)
-    per_doc = known.groupBy("uid").agg(F.collect_list("spans").alias("_parts")).withColumnRenamed("uid", "_uid")
-    return docs.withColumn("_uid", uid).join(per_doc, "_uid", "left").drop("_uid")
+    mark = unused(docs, "_uid")
+    per_doc = known.groupBy(F.col("uid").alias(mark)).agg(F.collect_list("spans").alias(parts))
+    return docs.withColumn(mark, uid).join(per_doc, mark, "left").drop(mark)
 
 
 def spans_of(parts: list[bytes] | None) -> np.ndarray:
@@ -339,67 +423,122 @@ def cut(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text", BATCH_BYTES):
-            rows = []
-            for text, parts in zip(part.column("text").to_pylist(), part.column("_parts").to_pylist(), strict=True):
-                data = (text or "").encode()
-                spans = spans_of(parts)
-                kept = cut(data, spans)
-                rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = repeated_spans(docs, Scratch(spark, "suffixes"))
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
 def dedup_repeats(docs: DataFrame, scratch: Scratch, column: str = "text") -> DataFrame:
     """docs with repeated bytes cut out of the text and n_chars, where there is such a column, brought up to date.
 
-    Bytes of a character that is only partly covered go with it, so the text stays valid.
+    Bytes of a character that is only partly covered go with it, so the text stays valid. Null texts stay null. Other
+    columns pass, whatever their names.
     """
-    schema = docs.schema
+    schema, parts = docs.schema, unused(docs, "_parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, column, BATCH_BYTES):
             texts = []
-            for text, parts in zip(part.column(column).to_pylist(), part.column("_parts").to_pylist(), strict=True):
-                data = (text or "").encode()
-                texts.append(None if text is None else cut(data, spans_of(parts)).decode("utf-8", "ignore"))
+            for text, spans in zip(part.column(column).to_pylist(), part.column(parts).to_pylist(), strict=True):
+                texts.append(None if text is None else cut(text.encode(), spans_of(spans)).decode("utf-8", "ignore"))
             made = {column: pa.array(texts, pa.string())}
             if "n_chars" in schema.names:
                 made["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in schema.names], schema.names)
 
-    return repeated_spans(docs, scratch, column).mapInArrow(run, schema)
+    return repeated_spans(docs, scratch, column, parts=parts).mapInArrow(run, schema)
+
+
+def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(uid, starts) of a bucket: bytes of (start, window hash) pairs where a maximal repeat may start, as the occurrences
+    of these 200 bytes have different bytes, or none, to the left."""
+    keys, places = _classes(pdf)
+    context, window, found = repeats([c for _, c in keys], np.array([g for g, _ in keys], np.int64))
+    opens = np.array([(x[:, 1] == 0).any() for x in places], bool)  # whether a place is the start of a document
+    runs = [np.unique(np.arange(i, j + 1)) for length, i, j in found if length >= WIDTH]
+    wanted: dict[bytes, set[tuple[int, int]]] = defaultdict(set)
+    for run in runs:
+        for k, w in zip(context[run].tolist(), window[run].tolist(), strict=True):
+            wanted[keys[k][1][w + 1 : w + 1 + WIDTH]].add((k, w))
+    for k in np.flatnonzero([len(x) > 1 for x in places]).tolist():
+        wanted[keys[k][1][1 : 1 + WIDTH]].add((k, 0))
+    out = []
+    for said, members in wanted.items():
+        left = {keys[k][1][w] for k, w in members}
+        if len(left) > 1 or any(w == 0 and opens[k] for k, w in members):
+            name = int.from_bytes(hashlib.blake2b(said, digest_size=8).digest(), "little", signed=True)
+            out += [(u, p + w, name) for k, w in members for u, p in places[k].tolist()]
+    uid, start, name = np.array(out, np.int64).reshape(-1, 3).T
+    rows = [(u, np.stack(x, axis=1).tobytes()) for u, x in _by_uid(uid, start, name)]
+    return pd.DataFrame(rows, columns=["uid", "starts"]).astype({"uid": "int64"})
+
+
+def _grown(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(window, tail, repeat, length): the maximal repeats that start with one window and the tails that hold them."""
+    tails = [bytes(t) for t in pdf["bytes"]]
+    lefts, n = [set(x) for x in pdf["lefts"]], pdf["n"].to_numpy()
+    text, size = np.frombuffer(b"".join(tails), np.uint8), np.array([len(t) for t in tails], np.int64)
+    at = np.cumsum(size) - size
+    order = ordered(text, at, at + size)
+    lcp = common_prefixes(text, (at + size)[order], at[order], WIDTH).tolist()
+    groups = [(m, i, j) for m, i, j in intervals(lcp, WIDTH)]
+    inner = {i for m, i, j in groups if m == size[order[i]]}  # a tail that all of an interval share is no group of its own
+    groups += [(int(size[k]), i, i) for i, k in enumerate(order) if n[k] > 1 and i not in inner]
+    rows = []
+    for length, i, j in groups:
+        own = order[i : j + 1]
+        left = set().union(*(lefts[k] for k in own))
+        if len(left) > 1 or -1 in left:
+            name = int.from_bytes(hashlib.blake2b(tails[own[0]][:length], digest_size=8).digest(), "little", signed=True)
+            rows += [(pdf["window"].iat[0], pdf["tail"].iat[k], name, length) for k in own]
+    return pd.DataFrame(rows, columns=["window", "tail", "repeat", "length"]).astype("int64")
 
 
 def maximal_repeats(docs: DataFrame, scratch: Scratch, column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(repeat, length, uid, start): every maximal repeat of 200 bytes or more, as far as one anchor's context shows it
-    (some 340 bytes), with all its occurrences. uid: xxhash64 of id and text; repeat: a hash of the repeated bytes.
+    """(repeat, length, uid, start): every maximal repeat of 200 bytes or more, of any length, with all its occurrences.
+
+    uid: xxhash64 of id and text, so rows that repeat both are one document here; repeat: a hash of the repeated bytes.
+    A maximal repeat starts where the occurrences of 200 bytes have different bytes, or none, to the left. Those starts
+    come from the intervals of the anchors' contexts; the text from each to the end of its repeated run is a tail, and the
+    intervals of the common-prefix tree over the tails of one start are the maximal repeats. Equal tails are
+    pre-aggregated; a task holds the different ones of one start.
     """
     text = F.coalesce(F.col(column), F.lit(""))
+    docs = docs.select(F.col(id_column), F.col(column)).distinct()
     few = docs.select(F.xxhash64(F.col(id_column), text).alias("uid"), text.alias("text"))
-    met = _grams(few, 240).groupBy("key").applyInPandas(lambda k, p: _met(p, settle=False), "uid long, grams binary, spans binary")
+    met = _grams(few, 240, np.zeros(0, np.uint64), settle=False).groupBy("key").applyInPandas(lambda k, p: _met(p, settle=False), "uid long, grams binary, spans binary")
     lists = scratch.save(met).groupBy("uid").agg(F.collect_list("grams").alias("grams"))
-    placed = _contexts(few.join(lists, "uid"), 240)
-
-    def groups(_, pdf: pd.DataFrame) -> pd.DataFrame:
-        places: dict[tuple[int, bytes], list[np.ndarray]] = defaultdict(list)
-        for g, c, where in zip(pdf["gram"], pdf["context"], pdf["at"], strict=True):
-            places[g, c].append(np.frombuffer(where, np.int64).reshape(-1, 3))
-        keys = list(places)
-        _, found = repeats([c for _, c in keys], np.array([g for g, _ in keys], np.int64))
-        found += [(len(c) - 1, [(k, 0)]) for k, (g, c) in enumerate(keys) if sum(map(len, places[g, c])) > 1]
-        rows = []
-        for length, where in found:
-            first, w = where[0]
-            name = int.from_bytes(hashlib.blake2b(keys[first][1][1 + w : 1 + w + length], digest_size=8).digest(), "little", signed=True)
-            rows += [(name, length, u, p + w) for k, w in where for x in places[keys[k]] for u, p, _ in x.tolist()]
-        return pd.DataFrame(rows, columns=["repeat", "length", "uid", "start"]).astype("int64")
-
-    return placed.groupBy("key").applyInPandas(lambda k, p: groups(k, p), "repeat long, length long, uid long, start long").distinct()
+    starts = _contexts(few.join(lists, "uid"), 240).groupBy("key").applyInPandas(lambda k, p: _starts(p), "uid long, starts binary")
+    per_doc = scratch.save(starts).groupBy("uid").agg(F.collect_list("starts").alias("starts"))
+    spans = repeated_spans(few.withColumnRenamed("uid", "_id"), scratch, "text", "_id")
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text", BATCH_BYTES):
+            for u, said, parts, lists in zip(*(part.column(c).to_pylist() for c in ("_id", "text", "_parts", "starts")), strict=True):
+                data, runs = said.encode(), spans_of(parts)
+                rows = []
+                for start, window in np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in lists]), axis=0).tolist():
+                    tail = data[start : runs[np.searchsorted(runs[:, 0], start, "right") - 1, 1]]
+                    rows.append((window, int.from_bytes(hashlib.blake2b(tail, digest_size=8).digest(), "little", signed=True), tail, data[start - 1] if start else -1, u, start))
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=kinds)
+
+    names = ["window", "tail", "bytes", "left", "uid", "start"]
+    kinds = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()), strict=True)))
+    placed = spans.join(per_doc, F.col("_id") == F.col("uid")).select("_id", "text", "_parts", "starts")
+    placed = scratch.save(placed.mapInArrow(tails, "window long, tail long, bytes binary, left int, uid long, start long"))
+    classes = placed.groupBy("window", "tail").agg(F.first("bytes").alias("bytes"), F.collect_set("left").alias("lefts"), F.count("*").alias("n"))
+    grown = classes.groupBy("window").applyInPandas(lambda k, p: _grown(p), "window long, tail long, repeat long, length long")
+    return placed.select("window", "tail", "uid", "start").join(grown, ["window", "tail"]).select("repeat", "length", "uid", "start")
+
+
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text", BATCH_BYTES):
+            rows = []
+            for text, parts in zip(part.column("text").to_pylist(), part.column("_parts").to_pylist(), strict=True):
+                data = (text or "").encode()
+                spans = spans_of(parts)
+                kept = cut(data, spans)
+                rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+            columns = list(zip(*rows, strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeated_spans(docs, Scratch(spark, "suffixes"))
+    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
