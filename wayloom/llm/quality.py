@@ -161,13 +161,16 @@ def score_quality(docs: DataFrame, model: RuleModel, score: str = "score") -> Da
 
     Statistics live in columns with a prefix of their own and are dropped, so other columns pass unchanged. A filter on
     the score would be pushed below the statistics, which every rule would then compute anew; it stays above a row number,
-    as that isn't deterministic. The score takes the number in without a change, else it would be pruned.
+    as that isn't deterministic. The score takes the number in without a change, else it would be pruned. A column named
+    like the score is replaced.
     """
-    prefix = "_wl_stat_"
+    prefix = "_stat_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
     stats = statistics(F.col("text"))
     held = docs.select("*", *[c.alias(prefix + n) for n, c in stats.items()], F.monotonically_increasing_id().alias(prefix + "row"))
     value = F.when(F.col(prefix + "row") >= 0, model.score(prefix))
-    return held.select(*[F.col(f"`{c}`") for c in docs.columns], value.alias(score))
+    return held.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != score.lower()], value.alias(score))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
