@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayloom.llm.chat import format_chats, op3_chat, parse, segment
 from wayloom.llm.common import Scratch
-from wayloom.llm.html import blocks, extract, extract_pages
+from wayloom.llm.html import blocks, extract, extract_pages, region, winning_paths
 from wayloom.llm.jaccard import jaccard_components
 from wayloom.llm.licenses import scan_licenses
 from wayloom.llm.mixing import emit, mix_sources
@@ -257,6 +257,54 @@ def test_html_extraction(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+TEMPLATES = {
+    "article": '<body><nav><a href="/">n</a></nav><div class="ad">buy</div><article>{}</article><footer>f</footer>',
+    "aria": '<body><header class="site-header">top</header><article aria-hidden="false" data-id="ad">{}</article><div id="comments"><p>no</p></div>',
+    "post": '<body><div id="wrap"><div class="site-header"><p>Site</p></div><div class="post">{}</div><div class="right"><ul><li><a href="/a">one link of many</a></li></ul><p>short</p></div></div>',
+    "main": '<body><main class="page"><div role="navigation"><p>skip</p></div>{}<aside><p>see also</p></aside><form><p>mail?</p></form></main><p>end of site</p>',
+    "plain": "<body>{}",
+    "two": '<body><article class="lead">{}</article><article class="comment"><p>first!</p></article><div class="cookie-banner">We use cookies</div>',
+}
+
+
+def test_html_gold_pages(spark):
+    """Known articles in the templates of several hosts, each text compared whole."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for h, (name, template) in enumerate(TEMPLATES.items()):
+        for k in range(7):
+            title, lead, end = (rng_text(rng, n, 9000) for n in (5, 20, 9))
+            longer, quote, item = (rng_text(rng, n, 9000) for n in (150, 60, 7))
+            body = f'<header class="entry-header"><h1 class="section-header">{title}</h1></header>' if name in ("article", "two", "aria") else f'<div class="entry-header"><h1>{title}</h1></div>'
+            body += f'<p>{lead} &amp; co<br>next</p><section data-class="ad"><p class="share-price">{longer}</p></section><blockquote>{quote}</blockquote><ul><li>{item}</li></ul><div aria-hidden="false"><p>{end}</p></div>'
+            want[10 * h + k] = "\n".join([title, f"{lead} & co next", longer, quote, item, end])
+            rows.append((10 * h + k, f"https://{name}.org/{k}", template.format(body), "clash", "clash"))
+    rows += [(90, "https://post.org/x", TEMPLATES["post"].format("<p>tiny</p>"), "", ""), (91, None, "<body><div><p>a b</p></div>", "", ""), (91, None, "<body><div><p>a b</p></div>", "", "")]
+    want |= {90: "tiny", 91: "a b"}
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, host string, winners string").repartition(5)
+    got = extract_pages(docs).collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def plain_winners(pages):
+    """Votes per host by a loop over all pages."""
+    votes = {}
+    for url, html in pages:
+        at = region(blocks(html))
+        if at is not None:
+            votes.setdefault(url.split("/")[2], Counter())[at] += 1
+    return {h: [p for p, n in sorted(v.items(), key=lambda x: (-x[1], x[0])) if n >= 0.1 * v.total()] for h, v in votes.items()}
+
+
+def test_html_votes_equal_a_plain_count(spark):
+    pages = [(k, f"http://h{k % 3}.net/{k}", f'<body><div class="c{"abcd"[k % 4 if k % 3 else 0]}"><p>{"word " * (k % 5 + 2)}</p></div><div class="x"><p>w</p></div>') for k in range(60)]
+    pages += [(70, "http://tie.net/1", "<body><div class='b'>one</div>"), (71, "http://tie.net/2", "<body><div class='a'>one</div>")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = {r.host: list(r.winners) for r in winning_paths(frame).collect()}
+    assert got == plain_winners([(u, h) for _, u, h in pages]) and got["tie.net"] == [">body>div.a", ">body>div.b"]
+
+
 def brute_viterbi(codec, unit):
     s = unit.replace(" ", "▁")
     ids = codec.lattice(np.array([[ord(c) for c in s]], np.uint32))[0]

@@ -1,8 +1,9 @@
 """Main text of web pages by consensus of container paths per host.
 
-Each page's containers are scored by the text that stands in them outside links; the best one's generalised tag-class
-path is the page's vote. Spark counts the votes per host, paths with a fair share of them win, and every page is read
-again: its text is that of the best-voted winning path it has, else of its own best container.
+Each page's containers are scored by the text outside links of their whole subtrees. Its articles, or else the deepest
+container that holds nearly all of the text outside furniture, are its region; their generalised tag-class paths are the
+page's vote. Spark counts the votes per host, regions with a fair share of them win, and every page is read again: its
+text is that of the winning region that has most votes and most of its text, or of its own if it has none that won.
 """
 
 from __future__ import annotations
@@ -31,18 +32,50 @@ CONTAINERS = frozenset("body div section article main td blockquote details figu
 FURNITURE = frozenset("nav header footer aside form button menu dialog head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset("article main".split())
-#: Words of a class or id that mark an element as furniture.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal overlay newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond related recommended share sharing social widget toolbar pagination pager login signup search".split())
+#: Words of a class or id that mark an element as furniture: anywhere in the name, or as the whole name only.
+MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent popup modal overlay newsletter subscribe sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus replies respond related recommended sharing social widget toolbar pagination pager login signup".split())
+WHOLE = MARKS | frozenset("banner notice notices alert menu header reply share search".split())
+#: Words that make a name with one of the others furniture, outside articles: site-header, share-buttons, top-menu.
+SITE = frozenset("site page top main global web blog primary secondary mobile buttons bar box form links list icons cookie".split())
+#: Elements that the parts of a name don't make furniture.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 body html main pre blockquote figure".split())
 CLOSES = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar".split())
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 GAP = re.compile(r"\s+")
 
-#: A path wins on a host with at least this share of the votes there; so a host has at most 1 / share of them.
+#: A region wins on a host with at least this share of the votes there; so a host has at most 1 / share of them.
 WIN_SHARE = 0.1
+#: Share of a container's text that one inside it holds if it takes its place, share that then may stand in it directly,
+#: share of the page's text that its articles hold if they are its region.
+NEARLY_ALL, HARDLY_ANY, MOSTLY = 0.75, 0.03, 0.4
 #: Winning paths are broadcast up to this many hosts; beyond, pages are shuffled by host.
 BROADCAST_HOSTS = 20_000
 
 
+def furniture(tag: str, attrs: str, within: bool) -> tuple[bool, str]:
+    """Whether an element is no part of the text, and the letters of its first class. within: it stands in an article."""
+    off, first, names = False, "", []
+    for name, a, b, c in ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), (a or b or c).lower()
+        if name in ("class", "id"):
+            names += value.split()
+            if name == "class" and names:
+                first = first or re.sub(r"[^a-z]+", "", value.split()[0] if value.split() else "")
+        elif name == "hidden" or name == "role" and value in ROLES or name == "style" and UNSEEN.search(value):
+            off = True
+    for name in names:
+        parts = [w for w in re.split(r"[^a-z]+", name) if w]
+        if tag in ("body", "html", "main"):
+            break
+        if "".join(parts) in WHOLE:
+            off = True
+        elif tag not in PLAIN and not (tag == "header" and within):
+            off = off or any(w in MARKS for w in parts) or not within and any(w in WHOLE for w in parts) and any(w in SITE for w in parts)
+    return off or tag in FURNITURE and not (tag == "header" and within), first
+
+
 def blocks(page: str) -> list[tuple[str, int, str]]:
     """(container path, characters in links, text) of each block outside furniture, in page order; texts are clean."""
     out: list[tuple[str, int, str]] = []
@@ -94,16 +127,7 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             continue
         _, path, off = stack[-1] if stack else ("", "", False)
         if not off:
-            marks, first, hidden = set(), "", False
-            for name, a, b, c in ATTRIBUTE.findall(attrs):
-                value = (a or b or c).lower()
-                if name.lower() in ("class", "id"):
-                    marks.update(re.split(r"[^a-z]+", value))
-                    first = first or (re.sub(r"[^a-z]+", "", value.split()[0]) if name.lower() == "class" and value.split() else "")
-                elif name.lower() == "hidden" or value in ("navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert"):
-                    hidden = True
-            within = any(t in MAIN for t, _, _ in stack)
-            off = hidden or tag in FURNITURE and not (tag == "header" and within) or bool(marks & MARKS) and tag not in ("body", "html") and tag not in MAIN
+            off, first = furniture(tag, attrs, any(t in MAIN for t, _, _ in stack))
             if tag in CONTAINERS:
                 path = f"{path}>{tag}.{first}" if first else f"{path}>{tag}"
         stack.append((tag, path, off))
@@ -113,29 +137,59 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
     return out
 
 
-def home(path: str) -> str:
-    """The outermost article or main element on a path, else the path."""
-    steps = path.split(">")
-    for k, step in enumerate(steps):
-        if step.partition(".")[0] in MAIN:
-            return ">".join(steps[: k + 1])
-    return path
-
-
-def best(found: list[tuple[str, int, str]]) -> str | None:
-    """The container path with most text outside links; text in article or main counts half as much again."""
-    scores: dict[str, float] = {}
+def region(found: list[tuple[str, int, str]]) -> str | None:
+    """The paths, one per line, of the page's outermost articles if they hold a fair share of its text, else of its main
+    element likewise, else of the deepest container that holds nearly all of it; null if there is no text."""
+    own: dict[str, float] = {}
     for path, links, text in found:
-        at = home(path)
-        scores[at] = scores.get(at, 0.0) + (len(text) - 2 * links) * (1.5 if at != path or at.rpartition(">")[2].partition(".")[0] in MAIN else 1.0)
-    return min(scores, key=lambda p: (-scores[p], p)) if scores else None
-
-
-def extract(found: list[tuple[str, int, str]], winners: list[str]) -> str:
-    paths = {p for p, _, _ in found}
-    at = next((w for w in winners if any(p == w or p.startswith(w + ">") for p in paths)), None)
-    at = best(found) if at is None else at
-    return "" if at is None else "\n".join(t for p, _, t in found if p == at or p.startswith(at + ">"))
+        own[path] = own.get(path, 0.0) + max(0, len(text) - 2 * links)
+    if not own:
+        return None
+    total = sum(own.values())
+    for tag in ("article", "main"):
+        tops: dict[str, float] = {}
+        for path, weight in own.items():
+            steps = path.split(">")
+            at = next((k for k, step in enumerate(steps) if step.partition(".")[0] == tag), None)
+            if at is not None:
+                top = ">".join(steps[: at + 1])
+                tops[top] = tops.get(top, 0.0) + weight
+        if tops and sum(tops.values()) >= MOSTLY * total:
+            return "\n".join(sorted(tops))
+    whole: dict[str, float] = {}
+    for path, weight in own.items():
+        steps = path.split(">")
+        for k in range(len(steps)):
+            at = ">".join(steps[: k + 1])
+            whole[at] = whole.get(at, 0.0) + weight
+    at = ""
+    while own.get(at, 0.0) <= HARDLY_ANY * whole[at]:
+        inner = [p for p in whole if p.startswith(at + ">") and ">" not in p[len(at) + 1 :]]
+        best = min(inner, key=lambda p: (-whole[p], p), default=None)
+        if best is None or whole[best] < NEARLY_ALL * whole[at]:
+            break
+        at = best
+    return at
+
+
+def inside(path: str, paths: list[str]) -> bool:
+    return any(path == p or path.startswith(p + ">") for p in paths)
+
+
+def extract(found: list[tuple[str, int, str]], winners: list[tuple[str, float]]) -> str:
+    """The text of the winning region of greatest share of votes x share of the page's text, the first of equal ones; of
+    the page's own region if it has none of the winning ones."""
+    at, most = region(found), 0.0
+    if at is None:
+        return ""
+    total = sum(max(1, len(t) - 2 * n) for _, n, t in found)
+    for name, share in winners:
+        paths = name.split("\n")
+        held = share * sum(max(1, len(t) - 2 * n) for p, n, t in found if inside(p, paths)) / total
+        if held > most:
+            at, most = name, held
+    paths = at.split("\n")
+    return "\n".join(t for p, _, t in found if inside(p, paths))
 
 
 def host(url: F.Column) -> F.Column:
@@ -145,23 +199,24 @@ def host(url: F.Column) -> F.Column:
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in pieces(batches, "html", 8 << 20):
-        paths = [best(blocks(x or "")) for x in part.column("html").to_pylist()]
+        paths = [region(blocks(x or "")) for x in part.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(paths, pa.string())], ["host", "path"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in pieces(batches, "html", 8 << 20):
-        texts = [extract(blocks(x or ""), w or []) for x, w in zip(part.column("html").to_pylist(), part.column("winners").to_pylist(), strict=True)]
+        columns = (part.column(c).to_pylist() for c in ("html", "winners", "shares"))
+        texts = [extract(blocks(x or ""), list(zip(w or [], n or [], strict=True))) for x, w, n in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def winning_paths(pages: DataFrame, share: float = WIN_SHARE) -> DataFrame:
-    """(host, winners): paths with the share of the host's votes, most voted first, ties by path."""
+    """(host, winners, shares): regions with the share of the host's votes, most voted first, ties by path. A host of one page has one vote, which wins."""
     votes = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_votes, "host string, path string").where("path is not null").groupBy("host", "path").count()
     of_host = Window.partitionBy("host")
     fair = votes.withColumn("all", F.sum("count").over(of_host)).where(F.col("count") >= share * F.col("all"))
-    ranked = fair.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "path"))).alias("x"))
-    return ranked.select("host", F.col("x.path").alias("winners"))
+    ranked = fair.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("count") / F.col("all")).alias("n"), "path"))).alias("x"))
+    return ranked.select("host", F.col("x.path").alias("winners"), F.transform("x.n", lambda n: -n).alias("shares"))
 
 
 def extract_pages(pages: DataFrame, share: float = WIN_SHARE) -> DataFrame:
@@ -174,7 +229,7 @@ def extract_pages(pages: DataFrame, share: float = WIN_SHARE) -> DataFrame:
     winners = winning_paths(pages, share)
     few = pages.select(host(F.col("url")).alias("host")).distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(F.broadcast(winners) if few else winners, "host", "left")
-    return rows.select("page_id", "url", "html", "winners").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "winners", "shares").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
