@@ -50,6 +50,43 @@ def test_near_vectors_equal_brute_force(spark, vectors):
     assert near_vectors(vectors.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_near_vectors_of_a_large_table(spark):
+    """12,000 vectors with groups of near copies from two to 2,000 and exact copies: no link is missed or made up."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(12_000, 64))
+    x[1000:3000] = x[0] + 0.12 * rng.normal(size=(2000, 64))  # a group of very many, some links of it missing
+    for k, n in enumerate((2, 3, 5, 17, 60, 200) * 4):
+        at = 3000 + 300 * k
+        x[at : at + n] = x[k + 1] + rng.uniform(0.1, 0.26) * rng.normal(size=(n, 64))
+    x[11_000:11_400] = x[900]
+    ids = rng.permutation(12_000) * 3
+    x = x.astype(np.float32)
+    docs = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").repartition(6)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    i, j = np.nonzero(near)
+    low = ids.copy()
+    while True:
+        was = low.copy()
+        np.minimum.at(low, i, low[j])
+        if (was == low).all():
+            break
+    want = {(int(a), int(n), int(c)) for a, n, c in zip(ids, near.sum(axis=1), low, strict=True)}
+    got = {(r.vec_id, r.n_links, r.component_id) for r in near_vectors(docs, Scratch(spark, "t")).collect()}
+    assert len(got & want) >= 0.999 * len(want)
+    assert sum(n for _, n, _ in got) >= 0.999 * near.sum()
+
+
+def test_lengths_are_those_of_the_table(spark):
+    """Whatever batch a row is in, vectors of the table's usual length count and others don't."""
+    rows = [(i, [1.0, 0.01 * (i % 2), 0.0]) for i in range(40)] + [(100 + i, [1.0, 0.0]) for i in range(20)]
+    for parts in (1, 13):
+        docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(docs, Scratch(spark, "t")).collect()}
+        assert all(got[i] == (39, 0) for i in range(40)) and all(got[i] == (0, i) for i in range(100, 120))
+
+
 def test_nearest_recall(spark, vectors):
     ids, x = usable(vectors)
     got = {}
