@@ -87,25 +87,69 @@ def test_lengths_are_those_of_the_table(spark):
         assert all(got[i] == (39, 0) for i in range(40)) and all(got[i] == (0, i) for i in range(100, 120))
 
 
-def test_nearest_recall(spark, vectors):
-    ids, x = usable(vectors)
-    got = {}
-    for r in nearest(vectors, Scratch(spark, "t"), every=10).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    asked = sorted({i for i in ids.tolist() if i % 10 == 0})
-    assert sorted(got) == asked
-    hits = 0
-    for q in asked:
-        s = x[np.flatnonzero(ids == q)[0]] @ x.T
-        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:5]
-        rows = sorted(got[q])
-        assert [r[0] for r in rows] == [1, 2, 3, 4, 5]
-        hits += len({int(ids[i]) for i in order} & {r[1] for r in rows})
-    assert hits / (5 * len(asked)) >= 0.9
+def brute_nearest(ids, x, every, k=5):
+    """{query row: [(id, score)]} of all rows but the query's own, by the plain formula."""
+    x = np.asarray(x, float)
+    norm = np.sqrt((x * x).sum(axis=1))
+    out = {}
+    for q in np.flatnonzero(np.asarray(ids) % every == 0):
+        s = (x * x[q]).sum(axis=1) / (norm * norm[q])
+        order = np.lexsort((ids, -s))
+        out[q] = [(int(ids[i]), float(s[i])) for i in order[order != q][:k]]
+    return out
+
+
+def test_nearest_of_a_small_table_is_exact(spark, vectors):
+    """With nulls, other lengths, copies, a repeated id and scaled copies; ties go to the smaller id."""
+    rows = [r for r in vectors.collect() if r.vec_id is not None and r.embedding and len(r.embedding) == 64 and None not in r.embedding]
+    rows = [r for r in rows if np.isfinite(r.embedding).all() and np.abs(r.embedding).max() > 0]
+    ids = np.array([r.vec_id for r in rows])
+    want = sorted((int(ids[q]), tuple(i for i, _ in near)) for q, near in brute_nearest(ids, [r.embedding for r in rows], 10).items())
+    found = {}
+    for r in nearest(vectors, Scratch(spark, "t"), every=10, least=10_000).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert [(q, tuple(i for _, i, _ in sorted(v))) for q, v in sorted(found.items())] == want
     assert nearest(vectors.limit(3), Scratch(spark, "t")).count() == 2
     assert nearest(vectors.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_nearest_ties_and_own_row(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(200, -1, -1)] + [(0, [1.0, 2.0, 3.0]), (50, [3.0, 1.0, 0.5])] + [(900 + i, [float(i), 1.0, 0.0]) for i in range(9)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in nearest(docs, Scratch(spark, "t")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    tens = {q: sorted(v) for q, v in got.items()}
+    assert tens[100] == [(1, 0), (2, 0), (3, 1), (4, 2), (5, 3)]
+    assert tens[0] == sorted([(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)] * 2)  # two rows of that id, each sees the other
+    assert len(tens[50]) == 10 and (1, 0) in tens[50]
+
+
+def test_nearest_recall_where_windows_prune(spark):
+    """10,500 vectors, a third of them one group of copies and close copies."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(10_500, 64))
+    x[:1500] = x[0]
+    x[1500:3500] = x[0] + 0.05 * rng.normal(size=(2000, 64))
+    ids = rng.permutation(len(x))
+    x = x.astype(np.float32)
+    docs = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in nearest(docs, Scratch(spark, "t")).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = {int(ids[q]): near for q, near in brute_nearest(ids, x, 50).items()}
+    assert sorted(got) == sorted(want) and all(len(v) == 5 for v in got.values())
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in near}) for q, near in want.items())
+    apart = [q for q in want if want[q][0][1] < 0.9]
+    alone = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in apart)
+    print("recall", hits / (5 * len(want)), "of vectors alone", alone / (5 * len(apart)))
+    assert hits / (5 * len(want)) >= 0.9 and alone / (5 * len(apart)) >= 0.9
+    copies = {int(i) for i in ids[:1500]}
+    low = sorted(copies)[:6]
+    for q in copies & set(want):
+        assert [i for i, _ in sorted(got[q], key=lambda z: (-z[1], z[0]))] == [i for i in low if i != q][:5]
+
+
 def test_hilbert_visits_neighbours():
     side = 16
     cells = np.array([(a, b) for a in range(side) for b in range(side)])
