@@ -61,18 +61,19 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([("node", pa.string()), ("segment", pa.string()), ("n", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+    kind = pa.struct([("node", pa.string()), ("parent", pa.string()), ("segment", pa.string()), ("n", pa.int64()), ("position", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
             paths, nodes = [], []
             for turns in part.column("turns").to_pylist():
-                at, path, own = "", [], []
+                at, path, own, length = "", [], [], 0
                 for t in turns:
                     s, a, b = segment(t["role"] or "", t["text"] or "")
-                    at = hashlib.blake2b(at.encode() + s.encode(), digest_size=16).hexdigest()
+                    parent, at = at or None, hashlib.blake2b(at.encode() + s.encode(), digest_size=16).hexdigest()
                     path.append(at)
-                    own.append({"node": at, "segment": s, "n": len(s), "loss_start": a, "loss_end": b})
+                    own.append({"node": at, "parent": parent, "segment": s, "n": len(s), "position": length, "loss_start": a, "loss_end": b})
+                    length += len(s)
                 paths.append(path)
                 nodes.append(own)
             yield pa.RecordBatch.from_arrays([part.column("conv_id"), pa.array(paths, pa.list_(pa.string())), pa.array(nodes, pa.list_(kind))], ["conv_id", "path", "nodes"])
@@ -90,7 +91,7 @@ def format_chats(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    node = "struct<node:string,segment:string,n:bigint,loss_start:bigint,loss_end:bigint>"
+    node = "struct<node:string,parent:string,segment:string,n:bigint,position:bigint,loss_start:bigint,loss_end:bigint>"
     paths = convs.mapInArrow(_paths, f"conv_id long, path array<string>, nodes array<{node}>")
     # Ties are dealt by conv_id, so even a path that a third of all conversations share is spread out.
     ordered = scratch.save(paths.repartitionByRange("path", "conv_id").withColumn("pid", F.spark_partition_id()))
@@ -100,26 +101,26 @@ def format_chats(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     lagged = ordered.withColumn("before", F.lag("path").over(line)).join(last, "pid").withColumn("before", F.coalesce("before", "carried")).drop("carried")
     shared = F.size(F.array_intersect("path", F.coalesce("before", F.array().cast("array<string>"))))
     fresh = lagged.withColumn("shared", shared).withColumn("own", F.expr("slice(nodes, shared + 1, greatest(size(nodes) - shared, 0))"))
-    fresh = fresh.withColumn("depth", F.expr("aggregate(slice(nodes, 1, shared), 0L, (a, x) -> a + x.n)"))
-    fresh = fresh.withColumn("length", F.expr("aggregate(own, 0L, (a, x) -> a + x.n)")).drop("nodes")
-    fresh = scratch.save(fresh.select("pid", "conv_id", "path", "shared", "own", "depth", "length"))
+    fresh = fresh.where(F.size("own") > 0).withColumns({"head": F.col("own")[0]["node"], "first": F.col("own")[0]["position"]})
+    fresh = fresh.withColumn("length", F.element_at("own", -1)["position"] + F.element_at("own", -1)["n"] - F.col("first")).drop("nodes")
+    fresh = scratch.save(fresh.select("pid", "conv_id", "path", "shared", "own", "head", "first", "length"))
     sums = fresh.groupBy("pid").agg(F.sum("length").alias("n")).select("pid", F.coalesce(F.sum("n").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     run = F.coalesce(F.sum("length").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = fresh.withColumn("run", run).join(sums, "pid").select("path", "shared", "own", "depth", (F.col("run") + F.col("base")).alias("start"))
-    emitted = placed.where(F.size("own") > 0).select("path", "shared", "start", "depth", "own", F.posexplode("own").alias("k", "x"))
-    level, ahead = F.col("shared") + F.col("k"), F.expr("aggregate(slice(own, 1, k), 0L, (a, y) -> a + y.n)")
-    above = F.when(F.col("k") == 0, F.expr("slice(path, 1, shared)"))
-    emitted = emitted.select("path", "x.*", level.alias("level"), F.col("own")[0]["node"].alias("head"), F.col("start").alias("run_start"), (F.col("start") + ahead).alias("stream_start"), (F.col("depth") + ahead).alias("position_start"), above.alias("above"))
-    emitted = scratch.save(emitted.select(F.col("path")[0].alias("tree"), "node", F.when(F.col("level") > 0, F.expr("path[level - 1]")).alias("parent"), "segment", "stream_start", (F.col("stream_start") + F.col("n")).alias("stream_end"), "position_start", "loss_start", "loss_end", "head", "run_start", "above"))
+    runs = fresh.select("pid", "conv_id", "path", "head", "first", "length").withColumn("run", run).join(sums, "pid")
+    runs = runs.select("head", F.col("path")[0].alias("tree"), (F.col("run") + F.col("base")).alias("run_start"), "first")
+    # Only scalars stand beside a turn once its conversation is exploded, so bytes grow with the turns, not their square.
+    turns = fresh.select("head", F.explode("own").alias("x")).select("head", "x.*").join(runs, "head")
+    at = F.col("run_start") + F.col("position") - F.col("first")
+    emitted = scratch.save(turns.select("tree", "node", "parent", "segment", at.alias("stream_start"), (at + F.col("n")).alias("stream_end"), F.col("position").alias("position_start"), "loss_start", "loss_end", "head", "run_start"))
     # Ancestors: those above a run's first segment are looked up, those inside the run lie before it in the stream.
-    above = emitted.where(F.size("above") > 0).select("head", F.posexplode("above").alias("level", "node"))
+    above = fresh.where("shared > 0").select("head", F.posexplode(F.expr("slice(path, 1, shared)")).alias("level", "node"))
     spans = above.join(emitted.select("node", F.col("stream_start").alias("a"), F.col("stream_end").alias("b")), "node").groupBy("head").agg(F.sort_array(F.collect_list(F.struct("level", "a", "b"))).alias("spans"))
     own = F.expr("if(stream_start > run_start, array(struct(2147483647 as level, run_start as a, stream_start as b)), array())")
     merge = """aggregate(spans, cast(array() as array<struct<a:bigint,b:bigint>>), (acc, s) ->
         if(size(acc) > 0 and try_element_at(acc, -1).b = s.a,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', try_element_at(acc, -1).a, 'b', s.b))),
            concat(acc, array(named_struct('a', s.a, 'b', s.b)))))"""
-    segments = emitted.drop("above").join(spans, "head", "left").withColumn("spans", F.concat(F.coalesce("spans", F.array().cast("array<struct<level:int,a:bigint,b:bigint>>")), own.cast("array<struct<level:int,a:bigint,b:bigint>>")))
+    segments = emitted.join(spans, "head", "left").withColumn("spans", F.concat(F.coalesce("spans", F.array().cast("array<struct<level:int,a:bigint,b:bigint>>")), own.cast("array<struct<level:int,a:bigint,b:bigint>>")))
     segments = segments.withColumn("attends", F.expr(merge)).drop("spans", "head", "run_start")
     index = ordered.select("conv_id", F.posexplode("path").alias("k", "node"))
     return segments, index
