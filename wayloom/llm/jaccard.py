@@ -35,6 +35,8 @@ BATCH_BYTES = 4 << 20
 HOT_SHINGLES, HOT_LOCAL = 1 << 17, 8
 #: Entries that a bucket of index lists holds, about; salts that a list of a hot shingle is dealt over at first.
 BUCKET_ENTRIES, SALTS = 300_000, 16
+#: Pairs that a bucket gathers before it drops repeated ones.
+MOST_PAIRS = 4_000_000
 
 
 def row_key(column: str = "text") -> F.Column:
@@ -209,18 +211,22 @@ def _skip_pairs(h, group, comp, low, high, pos, t: Fraction) -> tuple[np.ndarray
         can_i, can_j = high[live] - pos[live] >= need, high[j] - pos[j] >= need
         live, j, need, can_j = live[can_i], j[can_i], need[can_i], can_j[can_i]  # larger sets need more still
         fits = can_j & (comp[live] != comp[j])
-        a.append(group[live[fits]])
-        b.append(group[j[fits]])
+        a.append(np.minimum(group[live[fits]], group[j[fits]]))
+        b.append(np.maximum(group[live[fits]], group[j[fits]]))
+        if sum(map(len, a)) > MOST_PAIRS:  # many lists hold one pair
+            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            a, b = [both[0]], [both[1]]
         # Positions ascend within a block of one size, so what follows there can't reach either.
         j = np.where(~can_j & plain[j], after[j], j + 1)
     return np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
 
 
-def _rivals(index: DataFrame, placed: DataFrame, n_buckets: int, t: Fraction) -> DataFrame:
+def _rivals(index: DataFrame, placed: DataFrame, hot: np.ndarray, n_buckets: int, t: Fraction) -> DataFrame:
     """(a, b): pairs of leaders whose groups share an index list and may hold a link between different components.
 
     placed: (cid, leader, component) of classes in groups; others lead themselves. Entries of one group are
-    pre-aggregated to one per list before the shuffle.
+    pre-aggregated to one per list before the shuffle. The list of a hot shingle is dealt over pairs of salts, so that any
+    two of its entries meet, and no task has it whole.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,6 +243,12 @@ def _rivals(index: DataFrame, placed: DataFrame, n_buckets: int, t: Fraction) ->
             if not len(at):
                 continue
             columns = [h[at], g[at], comp[row][at], np.minimum.reduceat(n[row], at), np.maximum.reduceat(n[row], at), np.minimum.reduceat(pos, at)]
+            late = np.flatnonzero(hot[np.searchsorted(hot, columns[0].view(np.uint64)).clip(max=len(hot) - 1)] == columns[0].view(np.uint64)) if len(hot) else np.zeros(0, np.int64)
+            if len(late):
+                own = (mix(columns[1][late].astype(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
+                own, other = np.repeat(own, SALTS), np.tile(np.arange(SALTS), len(late))
+                lists = mix(np.repeat(columns[0][late], SALTS).view(np.uint64) + (np.minimum(own, other) * SALTS + np.maximum(own, other) + 1).astype(np.uint64)).view(np.int64)
+                columns = [np.concatenate([np.delete(x, late), lists if k == 0 else np.repeat(x[late], SALTS)]) for k, x in enumerate(columns)]
             out = list(deal_out(columns, (mix(columns[0].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "blob"])
 
@@ -390,7 +402,7 @@ def jaccard_rows(docs: DataFrame, scratch: Scratch, column: str = "text", thresh
     led = scratch.save(led.select(F.col("a").alias("cid"), F.col("b").alias("leader"), F.col("na").alias("n"), "overlap"))
     inner = components(led.select(F.col("cid").alias("a"), F.col("leader").alias("b")), scratch)
     placed = scratch.save(inner.join(led, inner.node == led.cid, "left").select(F.col("node").alias("cid"), F.coalesce("leader", "node").alias("leader"), "component", "overlap", "n"))
-    rivals = scratch.save(_rivals(index, placed.select("cid", "leader", "component"), n_buckets, t))
+    rivals = scratch.save(_rivals(index, placed.select("cid", "leader", "component"), hot, n_buckets, t))
     release(spark)
     sizes = _most(index, docs, column, scratch)
     # apart: shingles that the leader lacks and other sets may have.
