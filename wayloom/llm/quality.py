@@ -122,14 +122,14 @@ class RuleModel:
 
 
 def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.002, seed: int = 11) -> RuleModel:
-    """Trees -> rules -> lasso. Without labelled rows the score is 0.5; with one class only, its smoothed share."""
-    if len(y) == 0:
-        return RuleModel(tuple(names), (), 0.0)
-    if y.min() == y.max():
+    """Trees -> rules -> lasso. Without labelled rows the score is 0.5; with one class only, or too few rows for a rule, the
+    smoothed share of label 1."""
+    rng = np.random.default_rng(seed)
+    mixed = len(y) and y.min() < y.max()
+    rules = list(dict.fromkeys(r for _ in range(trees) for r in grow(x, y, rng, depth))) if mixed else []
+    if not rules:
         p = (y.sum() + 1) / (len(y) + 2)
         return RuleModel(tuple(names), (), float(np.log(p / (1 - p))))
-    rng = np.random.default_rng(seed)
-    rules = list(dict.fromkeys(r for _ in range(trees) for r in grow(x, y, rng, depth)))
     z = np.stack([r.holds(x) for r in rules], axis=1).astype(float)
     _, first = np.unique(z, axis=1, return_index=True)  # rules that hold for the same rows
     rules, z = [rules[i] for i in sorted(first)], z[:, sorted(first)]
