@@ -61,3 +61,38 @@ def test_stages(spark, sf):
     library = sentencepiece.SentencePieceProcessor(model_file=default_model())
     coded = corpus_pipeline.tokens(spark, mixed, sf)
     assert {r.doc_id: list(r.token_ids) for r in coded.collect()} == {r.doc_id: library.encode(r.text) for r in mixed.collect()}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _uid string, _parts string, _quality string, doc string, copies string"
+
+
+def words(seed, n):
+    return " ".join(f"{seed}w{i * 7919 % 1000}" for i in range(n))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ids that repeat with equal and other texts, clashing columns, an empty table."""
+    x, y, z = words("x", 90), words("y", 80), words("z", 70)
+    rows = [(2, x), (5, x), (5, y), (5, z), (7, y), (9, None), (9, ""), (None, x), (None, None), (11, words("l", 60_000)), (12, z), (12, z), (13, "one two"), (14, "ONE  two")]
+    rows = [(i, t, "en", [None, "s"][k % 2], len(t or ""), "a", "b", "c", "d", "e") for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame([(2, 1), (5, 1), (13, 0), (9, 0)], "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    sf = str(tmp_path)
+    kept = corpus_pipeline.quality(spark, docs, sf)
+    assert kept.columns == docs.columns and kept.count() <= docs.count()
+    near = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert near.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in near.collect())
+    # x: 2; y: of (5, y), (7, y) the first; z: of (5, z), (12, z), (12, z) the first; 13 and 14 are one.
+    assert got == Counter([(2, x), (5, y), (5, z), (9, None), (9, ""), (None, x), (None, None), (11, words("l", 60_000)), (13, "one two")])
+    again = spark.createDataFrame([(12, z, "en", "s", 1, "a", "b", "c", "d", "e")] * 3, SCHEMA)
+    assert corpus_pipeline.near_duplicates(spark, again, sf).count() == 1
+    cut = corpus_pipeline.repeats(spark, near, sf)
+    assert cut.columns == docs.columns and (2, x) not in {(r.doc_id, r.text) for r in cut.collect()}  # (null, x) holds it too
+    mixed = corpus_pipeline.mixture(spark, docs, sf)
+    assert mixed.columns == docs.columns
+    coded = corpus_pipeline.tokens(spark, docs, sf)
+    assert coded.columns == ["doc_id", "source", "token_ids", "n_tokens"] and coded.count() == len(rows)
+    assert coded.where("n_tokens = 0").count() == 3
+    for stage in (f for _, f in corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), sf).count() == 0

@@ -2,19 +2,20 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayloom.llm.chat import format_chats, op3_chat, parse, segment
+from wayloom.llm.chat import format_chats, op3_chat, parse, read_back, segment
 from wayloom.llm.common import Scratch
 from wayloom.llm.html import blocks, extract, extract_pages, region, winning_paths
 from wayloom.llm.jaccard import jaccard_components
-from wayloom.llm.licenses import scan_licenses
+from wayloom.llm.licenses import known_files, scan_licenses
 from wayloom.llm.mixing import emit, mix_sources
-from wayloom.llm.quality import fit_quality, held_out, op10_quality, score_quality
+from wayloom.llm.quality import fit_quality, held_out, lasso, op10_quality, score_quality, statistics
 from wayloom.llm.sentencepieces import Codec, decode_column, default_model, encode_column
 from wayloom.llm.suffixes import WIDTH, dedup_repeats, intervals, maximal_repeats, op8_suffixes, repeated_spans, spans_of
 
@@ -247,6 +248,75 @@ def test_chat_round_trip_and_sharing(spark):
     assert format_chats(data.limit(0), Scratch(spark, "t"))[0].count() == 0
 
 
+def test_long_chats_and_clashing_columns(spark):
+    """A conversation of 3,000 turns and one very long text, in a table with columns named like the operator's own."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k}", "clash", 1) for k in range(3000)] + [(2, k, "assistant", "x" * (1_500_000 if k else 3), "clash", 1) for k in range(2)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node string, path int")
+    segments, index = format_chats(docs, Scratch(spark, "t"))
+    back = {r.conv_id: r for r in read_back(segments, index).collect()}
+    assert parse(back[1].formatted) == [(r, t) for _, _, r, t, _, _ in rows[:3000]]
+    assert [len(x) for x in back[2].loss] == [3, 1_500_000]
+    ends = segments.orderBy("stream_start").collect()
+    assert all(a.stream_end == b.stream_start for a, b in zip(ends, ends[1:], strict=False))
+    assert all(sum(b - a for a, b in r.attends) == r.position_start for r in ends)
+
+
+def test_license_files(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Own Licence\n\nCopyright (c) 1999 Someone\nDo as you like, non-infringement aside.")
+    (tmp_path / "empty.txt").write_text("")
+    docs = spark.createDataFrame([(1, "OWN LICENSE: do as you like; noninfringement aside"), (2, "Own Licence"), (3, "Licensed under the MIT License.")], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in scan_licenses(docs, known_files(spark, str(tmp_path))).collect()}
+    assert got == {1: "Own-1.0", 2: None, 3: None}
+
+
+def test_rules_as_expressions_equal_numpy(spark):
+    """The Spark expression, the rules in numpy and the statistics by plain Python agree, also on odd and very long texts."""
+    rng = np.random.default_rng(5)
+    texts = [rng_text(rng, int(n), 300) + "!?.," * int(n % 3) for n in rng.integers(0, 90, 300)] + ["", None, " \n\t", "É" * 9, "A b\nc", "x" * 300_000, "one " * 60_000]
+    rows = [(i, t, "clash", 0.5) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _stat_row string, score double")
+    labels = spark.createDataFrame([(i, int(len(t or "") % 2)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    model = fit_quality(docs, labels)
+    assert model.rules
+    names = list(model.names)
+    x = docs.select("doc_id", *[c.alias(f"s_{n}") for n, c in statistics(F.col("text")).items()]).orderBy("doc_id").toPandas()[[f"s_{n}" for n in names]].to_numpy(float)
+    want = 1 / (1 + np.exp(-(model.intercept + sum(w * r.holds(x) for w, r in model.rules))))
+    scored = score_quality(docs, model)
+    assert scored.columns == ["doc_id", "text", "_stat_row", "score"]
+    got = np.array([r.score for r in scored.orderBy("doc_id").collect()])
+    assert np.allclose(got, want, atol=1e-12)
+    for k, t in enumerate(texts[:306:7]):
+        t, k = t or "", 7 * k
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+        plain = {"digits": sum(c in "0123456789" for c in t) / max(len(t), 1), "log_words": np.log1p(len(words)), "distinct": len(set(words)) / max(len(words), 1), "stops": sum(c in ".,;:" for c in t) / max(len(t), 1)}
+        assert all(abs(x[k, names.index(n)] - v) < 1e-12 for n, v in plain.items())
+
+
+def test_lasso_settles_where_its_conditions_hold():
+    """At the optimum the gradient is within the penalty, and opposite to the weight where there is one."""
+    rng = np.random.default_rng(1)
+    z = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * z[:, 0] - 1.5 * z[:, 3])))).astype(float)
+    w, b = lasso(z, y, 0.01, steps=4000)
+    g = z.T @ (1 / (1 + np.exp(-(z @ w + b))) - y) / 400
+    assert abs((1 / (1 + np.exp(-(z @ w + b))) - y).mean()) < 1e-6
+    assert (np.abs(g) <= 0.01 + 1e-6).all() and np.allclose(g[w != 0], -0.01 * np.sign(w[w != 0]), atol=1e-6)
+    assert w[0] > 0.3 and w[3] < -0.3
+
+
+def test_held_out_is_the_plain_checksum(spark):
+    ids = [*range(-30, 200), 10**12, None]
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", held_out(F.col("doc_id")).alias("h")).collect()
+    assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_tokens_replace_columns_and_tell_lossy_texts(spark):
+    docs = spark.createDataFrame([(1, "a b", "old", "old"), (2, None, "old", "old"), (3, "a▁b", "old", "old")], "doc_id long, text string, token_ids string, decoded string")
+    back = decode_column(encode_column(docs, default_model()), default_model())
+    assert sorted(back.columns) == sorted(docs.columns)
+    assert {r.doc_id: r.decoded for r in back.collect()} == {1: "a b", 2: "", 3: "a b"}
+
+
 def test_html_extraction(spark):
     page = "<html><head><title>T</title></head><body><nav><a href=x>n</a></nav><div class='sidebar'>s</div><article><h1>A &amp; B</h1><p>one<br>two   three<p>four <b>five</b></article><div id=comments><p>no</div><footer>f</footer>"
     assert extract(blocks(page), []) == "A & B\none two three\nfour five"
