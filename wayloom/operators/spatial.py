@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import METRES_PER_DEGREE, bbox, haversine_m
+from ..functions.geo import EARTH_M, haversine_m
 
-#: Most degrees of a request's box in cells, to each side.
+#: Degrees of latitude of a row of cells in radius searches. Cells of a row are about as wide as high, whatever the latitude.
 CELL = 0.02
+#: Latitude beyond which a row of cells has one column.
+POLAR = 89.9
 
 
 def located(rows: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -17,43 +19,77 @@ def located(rows: DataFrame, lat: str = "latitude", lon: str = "longitude") -> D
     return rows.where(a.between(-90, 90) & b.between(-180, 180) & ~F.isnan(a) & ~F.isnan(b))
 
 
-def radius_join(requests: DataFrame, points: DataFrame, cell: float = CELL) -> DataFrame:
+def _columns(row: Column, height: float) -> Column:
+    """Cells of a row of that height: as many as keep them at least as wide, in metres, as high anywhere in the row and its
+    neighbours. A function of the row alone, so both sides of a join agree on it."""
+    far = F.greatest(F.abs((row - 1) * height), F.abs((row + 2) * height))
+    return F.when(far >= POLAR, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.cos(F.radians(far)) / height))).cast("long")
+
+
+def _column(lon: Column, n: Column) -> Column:
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * n), n)
+
+
+def in_cells(points: DataFrame, height: float = CELL, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """Located points with their cell (_y, _x)."""
+    row = F.floor(F.col(lat) / height)
+    return located(points, lat, lon).withColumn("_y", row).withColumn("_x", _column(F.col(lon), _columns(F.col("_y"), height)))
+
+
+def over_cells(boxes: DataFrame, dy: Column, dx: Column, height: float = CELL, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """Boxes of half height dy and half width dx degrees around a point, one row per cell (_y, _x) that they touch; they wrap
+    at 180 degrees of longitude and end at the poles."""
+    low, high = F.greatest(F.col(lat) - dy, F.lit(-90.0)), F.least(F.col(lat) + dy, F.lit(90.0))
+    rows = boxes.withColumn("_dx", F.least(dx, F.lit(180.0))).withColumn("_y", F.explode(F.sequence(F.floor(low / height), F.floor(high / height))))
+    rows = rows.withColumn("_n", _columns(F.col("_y"), height))
+    first = F.floor((F.col(lon) - F.col("_dx") + 180.0) / 360.0 * F.col("_n"))
+    last = F.floor((F.col(lon) + F.col("_dx") + 180.0) / 360.0 * F.col("_n"))
+    columns = F.sequence(first, F.least(last, first + F.col("_n") - 1))
+    return rows.withColumn("_x", F.explode(F.transform(columns, lambda c: F.pmod(c, F.col("_n"))))).drop("_n", "_dx")
+
+
+def reach(lat: Column, metres: Column) -> tuple[Column, Column]:
+    """Half height and half width in degrees of a box that holds the circle, a hair wide; all longitudes over a pole."""
+    turn = metres / EARTH_M * 1.000001
+    dy = F.degrees(turn)
+    ratio = F.sin(F.least(turn, F.lit(1.57))) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-9))
+    return dy, F.when((F.abs(lat) + dy >= 90.0) | (ratio >= 1.0), 180.0).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))))
+
+
+def radius_join(requests: DataFrame, points: DataFrame, height: float = CELL) -> DataFrame:
     """Pairs of requests (latitude, longitude, radius_m) and points within the radius, with ``distance_m``.
 
     A request is dealt to the cells its box covers, a point to its own: one equi-join, whose skew Spark's adaptive join
     handles; requests are few or many alike.
     """
-    dy, dx = bbox(F.col("latitude"), F.col("longitude"), F.col("radius_m"))
-    side = lambda c, d, sign: F.floor((F.col(c) + sign * d) / cell)
-    asked = requests.withColumn("_y", F.explode(F.sequence(side("latitude", dy, -1), side("latitude", dy, 1))))
-    asked = asked.withColumn("_x", F.explode(F.sequence(side("longitude", dx, -1), side("longitude", dx, 1))))
-    asked = asked.withColumnsRenamed({"latitude": "_lat", "longitude": "_lon"})
-    held = located(points).withColumns({"_y": F.floor(F.col("latitude") / cell), "_x": F.floor(F.col("longitude") / cell)})
-    met = asked.join(held, ["_y", "_x"]).withColumn("distance_m", haversine_m(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude")))
+    dy, dx = reach(F.col("latitude"), F.col("radius_m"))
+    asked = over_cells(requests, dy, dx, height).withColumnsRenamed({"latitude": "_lat", "longitude": "_lon"})
+    met = asked.join(in_cells(points, height), ["_y", "_x"]).withColumn("distance_m", haversine_m(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude")))
     return met.where("distance_m <= radius_m").drop("_y", "_x", "_lat", "_lon")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, metres: float, id_left: str, id_right: str) -> DataFrame:
-    """Pairs (id_left, id_right, distance_m) of points at most that far apart; ``right`` is dealt to the 3 x 3 cells around."""
-    cell = metres / METRES_PER_DEGREE * 1.6  # wide enough up to about 51 degrees of latitude
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = located(left).select(F.col(id_left).alias("_a"), F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), F.floor(F.col("latitude") / cell).alias("_y"), F.floor(F.col("longitude") / cell).alias("_x"))
-    b = located(right).withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
-    b = b.select(F.col(id_right).alias("_b"), F.col("latitude").alias("_lb"), F.col("longitude").alias("_ob"), (F.floor(F.col("latitude") / cell) + F.col("_dy")).alias("_y"), (F.floor(F.col("longitude") / cell) + F.col("_dx")).alias("_x"))
+def near_pairs(left: DataFrame, right: DataFrame, metres: float, id_left: str, id_right: str, same: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (_a, _b, distance_m) of points at most that far apart, at any latitude and across 180 degrees; the columns
+    ``same`` agree. ``right`` is dealt to the cells around it."""
+    height = float(metres) / EARTH_M * 57.3
+    a = in_cells(left, height).select(F.col(id_left).alias("_a"), F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), "_y", "_x", *same)
+    dy, dx = reach(F.col("latitude"), F.lit(float(metres)))
+    b = over_cells(located(right), dy, dx, height).select(F.col(id_right).alias("_b"), F.col("latitude").alias("_lb"), F.col("longitude").alias("_ob"), "_y", "_x", *same)
     d = haversine_m(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_ob"))
-    return a.join(b, ["_y", "_x"]).withColumn("distance_m", d).where(F.col("distance_m") <= metres).select("_a", "_b", "distance_m")
+    return a.join(b, ["_y", "_x", *same]).withColumn("distance_m", d).where(F.col("distance_m") <= metres).select("_a", "_b", "distance_m")
 
 
-def nearest_match(left: DataFrame, right: DataFrame, metres: float, id_left: str, id_right: str) -> DataFrame:
+def nearest_match(left: DataFrame, right: DataFrame, metres: float, id_left: str, id_right: str, same: tuple[str, ...] = ()) -> DataFrame:
     """The closest partner of each left point, ties to the smaller id."""
     order = Window.partitionBy("_a").orderBy("distance_m", "_b")
-    return near_pairs(left, right, metres, id_left, id_right).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return near_pairs(left, right, metres, id_left, id_right, same).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def scoped_experiences(requests: DataFrame, experiences: DataFrame, components: DataFrame, entities: DataFrame) -> DataFrame:
+def scoped_experiences(requests: DataFrame, experiences: DataFrame, members: DataFrame, entities: DataFrame) -> DataFrame:
     """(request_id, experience_id, distance_m): verified experiences of which any resolved member lies within the radius,
-    with the least distance. Ids join after the spatial filter has thinned the entities."""
+    with the least distance. members (experience_id, entity_id) are resolved and may repeat: they join after the spatial
+    filter has thinned the entities, and the minimum is taken before any shuffle of them."""
     near = radius_join(requests.select("request_id", "latitude", "longitude", "radius_m"), entities.select("entity_id", "latitude", "longitude"))
-    members = components.where("state = 'RESOLVED'").select("experience_id", "entity_id")
-    scoped = near.select("request_id", "entity_id", "distance_m").join(members, "entity_id").groupBy("request_id", "experience_id").agg(F.min("distance_m").alias("distance_m"))
+    near = near.select("request_id", "entity_id", "distance_m")
+    scoped = members.join(near, "entity_id").groupBy("request_id", "experience_id").agg(F.min("distance_m").alias("distance_m"))
     return scoped.join(experiences.where("status = 'VERIFIED'").select("experience_id"), "experience_id", "left_semi")

@@ -48,7 +48,7 @@ def order_score(spark, sf):
 
 def _pool(spark, sf):
     """Candidates of each request: scope, quality, duration, the nearest 200."""
-    scoped = scoped_experiences(c.request(spark), c.experience(spark, sf), c.component(spark, sf), c.geo_entity(spark, sf))
+    scoped = scoped_experiences(c.request(spark), c.experience(spark, sf), c.resolved_member(spark, sf), c.geo_entity(spark, sf))
     order = Window.partitionBy("request_id").orderBy("distance_m", "experience_id")
     near = scoped.withColumn("n", F.row_number().over(order)).where("n <= 200")
     facets = c.facet(spark, sf).groupBy("experience_id").agg(F.sort_array(F.collect_set("facet")).alias("facets"))

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bbox, haversine_m, haversine_sql, in_polygon
-from ..operators.spatial import located, near_pairs, nearest_match, radius_join, scoped_experiences
-from ..operators.vectors import cosine, cosine_to
+from ..operators.spatial import in_cells, near_pairs, nearest_match, over_cells, radius_join, scoped_experiences
+from ..operators.vectors import cosine_to
 from ..sources import catalog as c
 from ..sources.catalog import with_
 from .registry import query
@@ -18,7 +18,7 @@ _SCOPED = f"""scoped AS (SELECT r.request_id, m.experience_id, min({haversine_sq
 
 
 def _scoped(spark, sf):
-    return scoped_experiences(c.request(spark), c.experience(spark, sf), c.component(spark, sf), c.geo_entity(spark, sf))
+    return scoped_experiences(c.request(spark), c.experience(spark, sf), c.resolved_member(spark, sf), c.geo_entity(spark, sf))
 
 
 @query("op_join_01_radius_min_distance", with_("geo_entity experience component request", f", {_SCOPED} SELECT request_id, experience_id, round(distance_m, 4) AS distance_m FROM scoped"))
@@ -55,11 +55,8 @@ def geo_radius_catalog(spark, sf):
     FROM geo_entity a JOIN geo_entity b ON a.kind = b.kind AND a.entity_id < 1000003 AND b.entity_id >= 1000003
     AND b.latitude BETWEEN a.latitude - 0.01 AND a.latitude + 0.01 AND b.longitude BETWEEN a.longitude - 0.02 AND a.longitude + 0.02) WHERE d <= 150) WHERE n = 1"""))
 def nearest(spark, sf):
-    g = c.geo_entity(spark, sf)
-    out = None
-    for kind in ("PLACE", "AREA", "ROUTE"):
-        own = nearest_match(g.where(F.col("kind") == kind).where("entity_id < 1000003"), g.where(F.col("kind") == kind).where("entity_id >= 1000003"), 150.0, "entity_id", "entity_id")
-        out = own if out is None else out.unionByName(own)
+    g = c.geo_entity(spark, sf).select("entity_id", "latitude", "longitude", "kind")
+    out = nearest_match(g.where("entity_id < 1000003"), g.where("entity_id >= 1000003"), 150.0, "entity_id", "entity_id", ("kind",))
     return out.select(F.col("_a").alias("left_id"), F.col("_b").alias("right_id"), F.round("distance_m", 4).alias("distance_m"))
 
 
@@ -74,12 +71,11 @@ def overlap_pairs(spark, sf):
 @query("op_flt_02_bbox", with_("geo_entity request", """SELECT request_id, entity_id FROM request r JOIN geo_entity g
   ON abs(g.latitude - r.latitude) <= r.radius_m / 111320e0 AND abs(g.longitude - r.longitude) <= r.radius_m / (111320e0 * greatest(cos(radians(r.latitude)), 1e-2))"""))
 def box_filter(spark, sf):
-    r = c.request(spark)
+    r = c.request(spark).select("request_id", "latitude", "longitude", "radius_m")
     dy, dx = bbox(F.col("latitude"), F.col("longitude"), F.col("radius_m"))
-    boxes = r.select("request_id", F.col("latitude").alias("la"), F.col("longitude").alias("lo"), dy.alias("dy"), dx.alias("dx"))
-    points = located(c.geo_entity(spark, sf))
-    inside = (F.abs(F.col("latitude") - F.col("la")) <= F.col("dy")) & (F.abs(F.col("longitude") - F.col("lo")) <= F.col("dx"))
-    return points.join(F.broadcast(boxes), inside).select("request_id", "entity_id")  # a constant table of six requests
+    boxes = over_cells(r, dy, dx).select("request_id", "_y", "_x", F.col("latitude").alias("la"), F.col("longitude").alias("lo"), dy.alias("dy"), dx.alias("dx"))
+    met = in_cells(c.geo_entity(spark, sf)).join(boxes, ["_y", "_x"])
+    return met.where((F.abs(F.col("latitude") - F.col("la")) <= F.col("dy")) & (F.abs(F.col("longitude") - F.col("lo")) <= F.col("dx"))).select("request_id", "entity_id")
 
 
 #: A polygon with a hole, as rings of (latitude, longitude).
@@ -163,7 +159,3 @@ def stale_embeddings(spark, sf):
     e = c.read(spark, sf, "embeddings")
     same = F.struct("label", F.size("embedding")).eqNullSafe(F.struct((F.col("vec_id") % 10).cast("int").alias("label"), F.lit(64)))
     return e.where(~same).select("vec_id")
-
-
-def pairwise(a, b):
-    return cosine(a, b)

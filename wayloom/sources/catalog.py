@@ -59,6 +59,13 @@ def component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("experience_id", "entity_id", F.row_number().over(order).alias("position"), F.when((F.col("experience_id") + F.col("entity_id")) % 13 == 0, "UNRESOLVED").otherwise("RESOLVED").alias("state"))
 
 
+def resolved_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(experience_id, entity_id) of resolved members, repeated as often as the source says so: for semi joins and minima,
+    which need no distinct pairs and no order."""
+    pairs = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("experience_id"), F.col("l_suppkey").alias("entity_id"))
+    return pairs.where((F.col("experience_id") + F.col("entity_id")) % 13 != 0)
+
+
 def facet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long table (experience_id, dimension, facet): themes from the words of the name, a trait from the brand."""
     p = read(spark, sf_dir, "part")
