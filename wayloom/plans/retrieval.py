@@ -94,19 +94,6 @@ def point_in_polygon(spark, sf):
     return c.geo_entity(spark, sf).select("entity_id", in_polygon(F.col("latitude"), F.col("longitude"), AREA).alias("inside"))
 
 
-@query("op_geo_12_destination_relation", with_("geo_entity component", f""", f AS (SELECT entity_id, kind, {_ring_sql(AREA[0])} AND NOT {_ring_sql(AREA[1])} AS inside FROM geo_entity),
-m AS (SELECT experience_id, CASE WHEN state <> 'RESOLVED' OR kind <> 'PLACE' THEN 'UNDETERMINED' WHEN inside THEN 'INSIDE' ELSE 'OUTSIDE' END AS rel FROM component JOIN f USING (entity_id)),
-n AS (SELECT experience_id, count(*) FILTER (rel = 'INSIDE') AS i, count(*) FILTER (rel = 'OUTSIDE') AS o, count(*) FILTER (rel = 'UNDETERMINED') AS u FROM m GROUP BY 1)
-SELECT experience_id, CASE WHEN o = 0 AND u = 0 THEN 'WITHIN' WHEN o = 0 THEN 'UNKNOWN' WHEN i > 0 THEN 'EXTENDS_BEYOND' WHEN u = 0 THEN 'OUTSIDE' ELSE 'UNKNOWN' END AS relation FROM n"""))
-def destination_relation(spark, sf):
-    inside = in_polygon(F.col("latitude"), F.col("longitude"), AREA)
-    m = c.component(spark, sf).join(c.geo_entity(spark, sf).select("entity_id", "kind", inside.alias("inside")), "entity_id")
-    rel = F.when((F.col("state") != "RESOLVED") | (F.col("kind") != "PLACE"), "UNDETERMINED").when(F.col("inside"), "INSIDE").otherwise("OUTSIDE")
-    n = m.withColumn("rel", rel).groupBy("experience_id").agg(*[F.count_if(F.col("rel") == v).alias(k) for k, v in (("i", "INSIDE"), ("o", "OUTSIDE"), ("u", "UNDETERMINED"))])
-    relation = F.when(F.expr("o = 0 and u = 0"), "WITHIN").when(F.expr("o = 0"), "UNKNOWN").when(F.expr("i > 0"), "EXTENDS_BEYOND").when(F.expr("u = 0"), "OUTSIDE").otherwise("UNKNOWN")
-    return n.select("experience_id", relation.alias("relation"))
-
-
 @query("op_join_11_area_containment", with_("geo_entity", f""", b(area_id, lo_lat, hi_lat, lo_lon, hi_lon) AS (VALUES (1, -34.66::DOUBLE, -34.58::DOUBLE, -58.46::DOUBLE, -58.38::DOUBLE), (2, -34.62::DOUBLE, -34.54::DOUBLE, -58.42::DOUBLE, -58.34::DOUBLE))
 SELECT entity_id, CASE count(area_id) WHEN 0 THEN 'OUTSIDE' WHEN 1 THEN 'INSIDE' ELSE 'AMBIGUOUS' END AS membership FROM geo_entity LEFT JOIN b ON latitude BETWEEN lo_lat AND hi_lat AND longitude BETWEEN lo_lon AND hi_lon GROUP BY entity_id"""))
 def area_containment(spark, sf):
