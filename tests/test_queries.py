@@ -5,7 +5,7 @@ import math
 import pandas as pd
 import pytest
 
-from wayloom.plans import catalog
+from wayloom.plans import catalog, ranking
 
 
 def same(v):
@@ -27,19 +27,76 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert rows(got) == rows(want)
 
 
-def test_composition_reserves_and_fills(spark, sf):
-    got = catalog.QUERIES["op_rank_06_composition"](spark, sf).toPandas()
-    for _, g in got.groupby("request_id"):
-        assert g["experience_id"].is_unique and (g["reason"] == "RESERVED").sum() <= 1
-        assert sorted(g["position"]) == list(range(1, len(g) + 1))
+def pools(spark, sf):
+    rows = ranking.pool(spark, sf).toPandas()
+    musts = {r.request_id: r.experience_id for r in ranking.must(spark, sf).collect()}
+    return {k: (g.to_dict("records"), musts[k]) for k, g in rows.groupby("request_id")}
 
 
-def test_placement_keeps_the_day(spark, sf):
-    got = catalog.QUERIES["op_plan_05_day_placement"](spark, sf).toPandas()
-    assert got["end_minute"].max() <= 1200 and got["start_minute"].min() >= 540
-    for _, g in got.sort_values("start_minute").groupby(["request_id", "day"]):
-        assert (g["start_minute"].iloc[1:].to_numpy() >= g["end_minute"].iloc[:-1].to_numpy()).all()
-    assert not got.duplicated(["request_id", "experience_id"]).any()
+def number(v):
+    return -math.inf if v is None or pd.isna(v) else v
+
+
+def plain_composition(rows, must, facets):
+    """The rules over the whole pool, by sorting it anew for every choice."""
+    weight = dict(facets)
+    by = lambda keys: lambda r: (*(-number(r[k]) if k != "cover" else -sum(w for f, w in facets if f in r["facets"]) for k in keys), str(r["experience_id"]))
+    chosen = [(must, "MUST")]
+    taken = {must}
+    has = {r["experience_id"]: set(r["facets"]) for r in rows}
+    for f in weight:
+        if any(f in has[i] for i, _ in chosen):
+            continue
+        fits = sorted((r for r in rows if r["experience_id"] not in taken and f in has[r["experience_id"]]), key=by(("grounding", "semantic", "quality", "tilt", "boost")))
+        if fits:
+            chosen.append((fits[0]["experience_id"], "RESERVED"))
+            taken.add(fits[0]["experience_id"])
+    target = max(max(1, min(rows[0]["days"], 14)) * {"relaxed": 3, "moderate": 4, "fast": 5}[rows[0]["pace"]], len(chosen))
+    rest = sorted((r for r in rows if r["experience_id"] not in taken), key=by(("cover", "semantic", "quality", "tilt", "boost")))
+    return chosen + [(r["experience_id"], "FILL") for r in rest[: target - len(chosen)]]
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_composition_equals_the_rules_on_whole_pools(spark, sf_dir):
+    got = catalog.QUERIES["op_rank_06_composition"](spark, sf_dir).toPandas().sort_values(["request_id", "position"])
+    found = {k: list(zip(g["experience_id"], g["reason"], strict=True)) for k, g in got.groupby("request_id")}
+    want = {k: plain_composition(rows, must, [(f, w) for i, _, f, w in ranking.WANTED if i == k]) for k, (rows, must) in pools(spark, sf_dir).items()}
+    assert found == want and any(len(rows) > 200 for rows, _ in pools(spark, sf_dir).values()) == (sf_dir[-4:] == "0.01")
+
+
+def test_diversity_equals_the_rules_on_whole_pools(spark, sf):
+    rows = ranking.scored(spark, sf).toPandas()
+    got = catalog.QUERIES["op_rank_03_diversity"](spark, sf).toPandas().sort_values(["request_id", "rank"])
+    for k, g in rows.groupby("request_id"):
+        rest, kinds, subtypes, want = g.to_dict("records"), set(), [], []
+        while rest:
+            def key(r):
+                n = subtypes.count(r["subtype"])
+                score = r["base"] + (0.0 if r["kind"] in kinds else 0.04) + (0.03 if n == 0 else 0.0) - min(0.1, n * 0.02)
+                return (-r["preference"], -score, -r["bonus"], r["km"], r["experience_id"])
+
+            best = min(rest, key=key)
+            rest.remove(best)
+            kinds.add(best["kind"])
+            subtypes.append(best["subtype"])
+            want.append(best["experience_id"])
+        assert got[got["request_id"] == k]["experience_id"].tolist() == want
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_placement_equals_the_rules_on_whole_pools(spark, sf_dir):
+    got = catalog.QUERIES["op_plan_05_day_placement"](spark, sf_dir).toPandas()
+    for k, g in ranking.relevant(spark, sf_dir).toPandas().groupby("request_id"):
+        days, most = max(1, min(g["days"].iat[0], 14)), {"relaxed": 3, "moderate": 4, "fast": 5}[g["pace"].iat[0]]
+        used, plan = [[] for _ in range(days)], []
+        for r in sorted(g.to_dict("records"), key=lambda r: (-r["relevance"], r["experience_id"])):
+            fits = [d for d in range(days) if len(used[d]) < most and sum(used[d]) + r["duration_minutes"] <= 660]
+            if fits:
+                d = min(fits, key=lambda d: (len(used[d]), d))
+                plan.append((d + 1, len(used[d]) + 1, r["experience_id"], 540 + sum(used[d]), 540 + sum(used[d]) + r["duration_minutes"]))
+                used[d].append(r["duration_minutes"])
+        own = got[got["request_id"] == k]
+        assert sorted(plan) == sorted(zip(own["day"], own["position"], own["experience_id"], own["start_minute"], own["end_minute"], strict=True))
 
 
 def test_pushdown_reaches_the_scan(spark, sf):

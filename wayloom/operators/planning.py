@@ -1,37 +1,147 @@
-"""Order-dependent selection and placement, one request per group. Pools are cut to a page before they get here."""
+"""Order-dependent selection, ranking and placement, one request per group.
+
+A request's pool may be large. What a step can choose at all is told by window ranks on Spark, without loss, and only
+that meets in a group; see ``composable`` and ``placeable``. The diversity ranking orders the whole pool, so its group
+holds narrow rows, a few numbers per candidate.
+"""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 # Fixed values.
 PACE = {"relaxed": 3, "moderate": 4, "fast": 5}
 WINDOW_START, WINDOW_END, BALANCE = 540, 1200, 0.25
+NEW_KIND, NEW_SUBTYPE, REPEATED, MOST_REPEATED = 0.04, 0.03, 0.02, 0.1
+PREFERENCE_WEIGHT, QUALITY_WEIGHT, CURATED, PROXIMITY_WEIGHT = 0.25, 0.2, 0.15, 0.1
 PLAN_SCHEMA = "request_id int, day int, position int, experience_id long, start_minute long, end_minute long"
+COMPOSED_SCHEMA = "request_id int, position int, experience_id long, reason string, facet string"
+
+
+def base_target(days: int, pace: str) -> int:
+    return max(1, min(int(days), 14)) * PACE[pace]
+
 
+def _low(c: Column) -> Column:
+    """Descending order where null and what isn't finite come last."""
+    return F.desc(F.when(c.isNotNull() & ~F.isnan(c), c).otherwise(F.lit(float("-inf"))))
 
-def _ranked(pool: pd.DataFrame) -> pd.DataFrame:
-    q = pool["quality"].where(pool["quality"].between(0, 5), -np.inf)
-    return pool.assign(q=q).sort_values(["q", "experience_id"], ascending=[False, True], ignore_index=True)
+
+def composable(pool: DataFrame, musts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The candidates that ``compose`` can choose, with must and the weights of the facets they satisfy.
+
+    pool: (request_id, experience_id, facets, grounding, semantic, quality, tilt, boost, days, pace), eligible rows;
+    musts: (request_id, experience_id); wanted: (request_id, ordinal, facet, weight), a bounded list per request. Of a
+    facet the best are needed, one more than can have been taken before; of the rest the best by covered weight, as many as
+    the target and those taken before. Everything else stays on Spark.
+    """
+    lists = wanted.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "facet", "weight"))).alias("wanted"))
+    must = musts.join(pool.select("request_id", "experience_id"), ["request_id", "experience_id"], "left_semi").distinct().withColumn("must", F.lit(True))
+    n_musts = must.groupBy("request_id").agg(F.count("*").alias("n_musts"))
+    rows = pool.join(lists, "request_id").join(must, ["request_id", "experience_id"], "left").join(n_musts, "request_id", "left")
+    rows = rows.withColumns({"must": F.coalesce("must", F.lit(False)), "n_musts": F.coalesce("n_musts", F.lit(0))})
+    met = F.filter("wanted", lambda w: F.array_contains("facets", w["facet"]))
+    rows = rows.withColumn("met", met).withColumn("cover", F.aggregate("met", F.lit(0.0), lambda s, w: s + w["weight"]))
+    taken = F.col("n_musts") + F.size("wanted")
+    strong = [_low(F.col(x)) for x in ("grounding", "semantic", "quality", "tilt", "boost")] + [F.col("experience_id").cast("string")]
+    rest = [_low(F.col(x)) for x in ("cover", "semantic", "quality", "tilt", "boost")] + [F.col("experience_id").cast("string")]
+    by_facet = rows.withColumn("of", F.explode("met.facet")).withColumn("n", F.row_number().over(Window.partitionBy("request_id", "of").orderBy(*strong)))
+    pace = F.when(F.col("pace") == "relaxed", 3).when(F.col("pace") == "moderate", 4).otherwise(5)
+    target = F.greatest(F.lit(1), F.least(F.col("days"), F.lit(14))) * pace
+    best = rows.withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy(*rest)))
+    kept = by_facet.where(F.col("n") <= taken + 1).drop("n", "of").unionByName(best.where((F.col("n") <= target + taken + taken) | F.col("must")).drop("n"))
+    return kept.dropDuplicates(["request_id", "experience_id"])
 
 
 def compose(pool: pd.DataFrame) -> pd.DataFrame:
-    """One reservation for the asked facet if it can be met, then the best by quality up to the target of the pace."""
-    pool = _ranked(pool)
-    target = max(1, min(int(pool["days"].iat[0]), 14)) * PACE[pool["pace"].iat[0]]
-    theme = pool["theme"].iat[0]
-    has = pool["facets"].map(lambda f: f is not None and theme in list(f))
-    first = pool[has].head(1).assign(reason="RESERVED")
-    rest = pool.drop(first.index).head(target - len(first)).assign(reason="FILL")
-    out = pd.concat([first, rest], ignore_index=True)
-    return pd.DataFrame({"request_id": out["request_id"], "position": np.arange(1, len(out) + 1, dtype=np.int32), "experience_id": out["experience_id"], "reason": out["reason"]})
+    """Musts by id, then one reservation per asked facet that nothing chosen satisfies yet, then the best of the rest up to
+    the target, which reservations and musts may raise."""
+    if not len(pool):
+        return pd.DataFrame(columns=["request_id", "position", "experience_id", "reason", "facet"])
+    rows = pool.to_dict("records")
+    number = lambda v: float("-inf") if v is None or v != v else v
+    name = lambda r: str(r["experience_id"])
+    order = lambda keys: lambda r: (*(-number(r[k]) for k in keys), name(r))
+    wanted = list(rows[0]["wanted"])
+    has = {r["experience_id"]: {w["facet"] for w in r["met"]} for r in rows}
+    chosen = [(r, "MUST", None) for r in sorted((r for r in rows if r["must"]), key=name)]
+    ids = {r["experience_id"] for r, _, _ in chosen}
+    reserved = 0
+    for w in wanted:
+        if any(w["facet"] in has[r["experience_id"]] for r, _, _ in chosen):
+            continue
+        fits = [r for r in rows if r["experience_id"] not in ids and w["facet"] in has[r["experience_id"]]]
+        if fits:
+            best = min(fits, key=order(("grounding", "semantic", "quality", "tilt", "boost")))
+            chosen.append((best, "RESERVED", w["facet"]))
+            ids.add(best["experience_id"])
+            reserved += 1
+    target = max(base_target(rows[0]["days"], rows[0]["pace"]), len(chosen))
+    for r in sorted((r for r in rows if r["experience_id"] not in ids), key=order(("cover", "semantic", "quality", "tilt", "boost"))):
+        if len(chosen) >= target:
+            break
+        chosen.append((r, "FILL", None))
+    out = [(r["request_id"], k, r["experience_id"], why, facet) for k, (r, why, facet) in enumerate(chosen, 1)]
+    return pd.DataFrame(out, columns=["request_id", "position", "experience_id", "reason", "facet"])
+
+
+def base_score(similarity: Column, preference: Column, quality: Column, curated: Column, km: Column, most_km: Column) -> Column:
+    """Similarity and the bonuses for preference, quality and nearness."""
+    near = F.when(km.isNotNull() & (most_km > 0), F.greatest(F.lit(0.0), 1 - km / most_km) * PROXIMITY_WEIGHT).otherwise(0.0)
+    return similarity + F.coalesce(preference, F.lit(0.0)) * PREFERENCE_WEIGHT + quality_bonus(quality, curated) + near
+
+
+def quality_bonus(quality: Column, curated: Column) -> Column:
+    """Of a place its quality in fifths, of a composite a flat bonus if it is curated."""
+    return F.when(curated.isNull(), F.coalesce(quality, F.lit(0.0)) / 5 * QUALITY_WEIGHT).otherwise(F.when(curated, CURATED).otherwise(0.0))
+
+
+def diversify(pool: pd.DataFrame) -> pd.DataFrame:
+    """(request_id, rank, experience_id, score): a tier per preference, best first; in a tier ever the best by base score and
+    diversity, where kinds and subtypes chosen so far count.
+
+    Candidates of one tier, kind and subtype have one bonus, so only the first of each such list can be next.
+    """
+    rows = pool.assign(preference=pool["preference"].fillna(0.0)).sort_values(["preference", "base", "bonus", "km", "experience_id"], ascending=[False, False, False, True, True])
+    kinds, counts, out = set(), {}, []
+    for _, tier in rows.groupby("preference", sort=False):
+        lists: dict[tuple, list] = {}
+        for r in tier.itertuples(index=False):
+            lists.setdefault((r.kind, r.subtype), []).append(r)
+        at = dict.fromkeys(lists, 0)
+        while at:
+            best = None
+            for (kind, subtype), k in at.items():
+                r = lists[kind, subtype][k]
+                n = counts.get(subtype, 0)
+                score = r.base + (0.0 if kind in kinds else NEW_KIND) + (NEW_SUBTYPE if n == 0 else 0.0) - min(MOST_REPEATED, n * REPEATED)
+                key = (-score, -r.bonus, r.km, r.experience_id)
+                if best is None or key < best[0]:
+                    best = (key, kind, subtype, r, score)
+            _, kind, subtype, r, score = best
+            out.append((r.request_id, len(out) + 1, r.experience_id, round(score, 6)))
+            kinds.add(kind)
+            counts[subtype] = counts.get(subtype, 0) + 1
+            at[kind, subtype] += 1
+            if at[kind, subtype] == len(lists[kind, subtype]):
+                del at[kind, subtype]
+    return pd.DataFrame(out, columns=["request_id", "rank", "experience_id", "score"])
+
+
+def placeable(pool: DataFrame) -> DataFrame:
+    """The candidates that ``place_days`` can place. What no day can hold is rejected with all longer ones after it, so of
+    each duration the best by relevance are needed, as many as there are stops."""
+    pace = F.when(F.col("pace") == "relaxed", 3).when(F.col("pace") == "moderate", 4).otherwise(5)
+    order = Window.partitionBy("request_id", "duration_minutes").orderBy(F.desc("relevance"), "experience_id")
+    return pool.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.greatest(F.lit(1), F.least(F.col("days"), F.lit(14))) * pace).drop("n")
 
 
 def place_days(pool: pd.DataFrame) -> pd.DataFrame:
     """Each candidate in order of relevance goes to the feasible day of greatest relevance + 0.25 / (n + 1); of equal days
     the first. Days run from 9:00 to 20:00 and a pace limits their stops."""
-    pool = _ranked(pool)
+    pool = pool.sort_values(["relevance", "experience_id"], ascending=[False, True])
     days, most = max(1, min(int(pool["days"].iat[0]), 14)), PACE[pool["pace"].iat[0]]
     used, stops, rows = [WINDOW_START] * days, [0] * days, []
     for r in pool.itertuples(index=False):

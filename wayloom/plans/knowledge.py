@@ -13,31 +13,32 @@ from ..sources.shared import Tables
 from .registry import query
 
 _PAIRS = """, m AS (SELECT experience_id AS id, list_sort(list(entity_id)) AS s FROM component WHERE state = 'RESOLVED' GROUP BY 1),
-x AS (SELECT a.id, a.s AS a, b.s AS b, len(list_intersect(a.s, b.s)) AS i FROM m a JOIN m b ON b.id = a.id + 1),
+n AS (SELECT p_partkey AS id, p_brand, p_size, p_type, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part),
+x AS (SELECT x.id AS left_id, y.id AS right_id, a.s AS a, b.s AS b, len(list_intersect(a.s, b.s)) AS i, CAST(len(list_intersect(x.t, y.t)) AS DOUBLE) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) AS jac FROM n x JOIN n y USING (p_brand, p_size, p_type) JOIN m a ON a.id = x.id JOIN m b ON b.id = y.id WHERE x.id < y.id),
 r AS (SELECT *, CASE WHEN i = 0 THEN 'DISJOINT' WHEN i = len(a) AND i = len(b) THEN 'EXACT_COMPOSITION' WHEN i = len(a) OR i = len(b) THEN 'SUBCOMPOSITION' ELSE 'PARTIAL_OVERLAP' END AS relation FROM x)"""
 
 
 def _pairs(spark, sf):
+    """Pairs of experiences of one brand, size and type: members of both, their relation, the Jaccard of the names."""
+    keys = ["p_brand", "p_size", "p_type"]
     m = c.component(spark, sf).where("state = 'RESOLVED'").groupBy(F.col("experience_id").alias("id")).agg(F.sort_array(F.collect_set("entity_id")).alias("a"))
-    x = m.join(m.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
-    return x.withColumn("relation", structural_relation(F.col("a"), F.col("b")))
+    n = c.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), *keys, tokens(F.col("p_name")).alias("t")).join(m, "id").withColumnRenamed("id", "left_id")
+    x = n.join(n.withColumnsRenamed({"left_id": "right_id", "a": "b", "t": "u"}), keys).where("left_id < right_id")
+    return x.select("left_id", "right_id", "a", "b", structural_relation(F.col("a"), F.col("b")).alias("relation"), token_jaccard(F.col("t"), F.col("u")).alias("jac"))
 
 
-@query("op_er_05_structural_relation", with_("component", _PAIRS + " SELECT id, relation FROM r"))
+@query("op_er_05_structural_relation", with_("component", _PAIRS + " SELECT left_id, right_id, relation FROM r"))
 def relation(spark, sf):
-    return _pairs(spark, sf).select("id", "relation")
+    return _pairs(spark, sf).select("left_id", "right_id", "relation")
 
 
-@query("op_er_02_pair_verdict", with_("component", _PAIRS + """, n AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part),
-j AS (SELECT x.id, CAST(len(list_intersect(x.t, y.t)) AS DOUBLE) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) AS jac FROM n x JOIN n y ON y.id = x.id + 1)
-SELECT id, CASE relation WHEN 'EXACT_COMPOSITION' THEN CASE WHEN jac = 1 THEN 'SAME' ELSE 'AMBIGUOUS' END
+@query("op_er_02_pair_verdict", with_("component", _PAIRS + """
+SELECT left_id, right_id, CASE relation WHEN 'EXACT_COMPOSITION' THEN CASE WHEN jac = 1 THEN 'SAME' ELSE 'AMBIGUOUS' END
  WHEN 'PARTIAL_OVERLAP' THEN CASE WHEN jac >= 0.72 OR i / greatest(len(a), len(b)) >= 0.5 THEN 'AMBIGUOUS' ELSE 'DISTINCT' END
- ELSE CASE WHEN jac >= 0.72 THEN 'AMBIGUOUS' ELSE 'DISTINCT' END END AS verdict FROM r JOIN j USING (id)"""))
+ ELSE CASE WHEN jac >= 0.72 THEN 'AMBIGUOUS' ELSE 'DISTINCT' END END AS verdict FROM r"""))
 def verdict(spark, sf):
-    n = c.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), tokens(F.col("p_name")).alias("t"))
-    j = n.join(n.select((F.col("id") - 1).alias("id"), F.col("t").alias("u")), "id").select("id", token_jaccard(F.col("t"), F.col("u")).alias("jac"))
     overlap = F.size(F.array_intersect("a", "b")) / F.greatest(F.size("a"), F.size("b")) >= 0.5
-    return _pairs(spark, sf).join(j, "id").select("id", pair_verdict(F.col("relation"), F.col("jac") >= 0.72, overlap, F.col("jac") == 1).alias("verdict"))
+    return _pairs(spark, sf).select("left_id", "right_id", pair_verdict(F.col("relation"), F.col("jac") >= 0.72, overlap, F.col("jac") == 1).alias("verdict"))
 
 
 @query("op_er_18_admission", with_("component", """, g AS (SELECT experience_id, count(*) AS n, count(*) FILTER (state = 'RESOLVED') AS r, count(DISTINCT entity_id) FILTER (state = 'RESOLVED') AS d, count(*) FILTER (state = 'UNRESOLVED' AND entity_id % 5 = 0) AS b FROM component GROUP BY 1)

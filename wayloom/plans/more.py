@@ -20,9 +20,9 @@ def row_projection(spark, sf):
     return c.experience(spark, sf).select("experience_id", "name").join(sums, "experience_id", "left").select("experience_id", "name", F.coalesce("members", F.lit(0)).alias("members"), "latitude")
 
 
-@query("op_src_05_detail", with_("experience component", "SELECT e.experience_id, e.price, string_agg(CAST(m.entity_id AS VARCHAR), ',' ORDER BY m.position) AS unresolved FROM experience e JOIN component m USING (experience_id) WHERE e.experience_id BETWEEN 10 AND 60 AND m.state = 'UNRESOLVED' GROUP BY 1, 2"))
+@query("op_src_05_detail", with_("experience component", "SELECT e.experience_id, e.price, string_agg(CAST(m.entity_id AS VARCHAR), ',' ORDER BY m.position) AS unresolved FROM experience e JOIN component m USING (experience_id) WHERE m.state = 'UNRESOLVED' GROUP BY 1, 2"))
 def detail(spark, sf):
-    e = c.experience(spark, sf).where("experience_id between 10 and 60").select("experience_id", "price")
+    e = c.experience(spark, sf).select("experience_id", "price")
     m = e.join(c.component(spark, sf).where("state = 'UNRESOLVED'"), "experience_id").groupBy("experience_id", "price").agg(F.sort_array(F.collect_list(F.struct("position", "entity_id"))).alias("x"))
     return m.select("experience_id", "price", F.array_join(F.transform("x", lambda r: r["entity_id"].cast("string")), ",").alias("unresolved"))
 
@@ -76,9 +76,12 @@ def pairwise_proposals(spark, sf):
     return p.withColumnRenamed("p_partkey", "left_id").join(p.withColumnRenamed("p_partkey", "right_id"), keys).where("left_id < right_id").select("p_brand", "left_id", "right_id")
 
 
-@query("op_join_12_distinct_fan_out", "SELECT DISTINCT l_orderkey AS tour FROM lineitem WHERE l_partkey % 50 = 0")
+@query("op_join_12_distinct_fan_out", with_("experience", "SELECT l_orderkey AS tour, any_value(o_custkey) AS owner FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN experience ON experience_id = l_partkey WHERE status = 'DRAFT' GROUP BY 1"))
 def distinct_fan_out(spark, sf):
-    return c.read(spark, sf, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_orderkey").alias("tour")).distinct()
+    """Tours that touch an experience whose status changed, each once, with their owner."""
+    changed = c.experience(spark, sf).where("status = 'DRAFT'").select(F.col("experience_id").alias("l_partkey"))
+    tours = c.read(spark, sf, "lineitem").select("l_partkey", "l_orderkey").join(changed, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("tour")).distinct()
+    return tours.join(c.read(spark, sf, "orders"), F.col("tour") == F.col("o_orderkey")).select("tour", F.col("o_custkey").alias("owner"))
 
 
 @query("op_agg_13_multiplicity", "SELECT c_custkey, CASE count(o_orderkey) WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'SINGLE' ELSE 'MULTIPLE' END AS multiplicity FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -133,13 +136,15 @@ def circle_polygon(spark, sf):
     return r.select("request_id", "corner", F.round(la, 6).alias("la"), F.round(lo, 6).alias("lo"))
 
 
-@query("op_er_06_order_conflict", """WITH s AS (SELECT l_orderkey AS k, l_suppkey AS m, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2), j AS (SELECT a.k, a.m, a.pos AS x, b.pos AS y FROM s a JOIN s b ON b.k = a.k + 1 AND a.m = b.m)
-SELECT k, count(*) FILTER (y < before) > 0 AS conflict FROM (SELECT *, lag(y) OVER (PARTITION BY k ORDER BY x, m) AS before FROM j) GROUP BY 1""")
+@query("op_er_06_order_conflict", """WITH s AS (SELECT o_custkey AS owner, l_orderkey AS k, l_suppkey AS m, min(l_linenumber) AS pos FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL), j AS (SELECT a.k, b.k AS other, a.m, a.pos AS x, b.pos AS y FROM s a JOIN s b ON a.owner = b.owner AND a.m = b.m AND a.k < b.k)
+SELECT k AS left_id, other AS right_id, count(*) FILTER (y < before) > 0 AS conflict FROM (SELECT *, lag(y) OVER (PARTITION BY k, other ORDER BY x, m) AS before FROM j) GROUP BY 1, 2""")
 def order_conflict(spark, sf):
-    s = c.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("m")).agg(F.min("l_linenumber").alias("x"))
-    j = s.join(s.select((F.col("k") - 1).alias("k"), "m", F.col("x").alias("y")), ["k", "m"])
-    before = F.lag("y").over(Window.partitionBy("k").orderBy("x", "m"))
-    return j.withColumn("before", before).groupBy("k").agg((F.count_if(F.col("y") < F.col("before")) > 0).alias("conflict"))
+    """Tours of one owner that share members: whether these stand in another order."""
+    owned = c.read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("owner"))
+    s = c.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("m")).agg(F.min("l_linenumber").alias("x")).join(owned, "k")
+    j = s.join(s.select(F.col("k").alias("other"), "owner", "m", F.col("x").alias("y")), ["owner", "m"]).where("k < other")
+    before = F.lag("y").over(Window.partitionBy("k", "other").orderBy("x", "m"))
+    return j.withColumn("before", before).groupBy(F.col("k").alias("left_id"), F.col("other").alias("right_id")).agg((F.count_if(F.col("y") < F.col("before")) > 0).alias("conflict"))
 
 
 @query("op_er_08_standalone_vs_composite", with_("component", "SELECT experience_id, CASE WHEN count(DISTINCT entity_id) = 1 THEN 'STANDALONE' ELSE 'COMPOSITE' END AS form FROM component WHERE state = 'RESOLVED' GROUP BY 1"))

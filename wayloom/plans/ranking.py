@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.planning import PLAN_SCHEMA, compose, place_days
+from ..functions.quality import FLOOR, valid_quality
+from ..operators.planning import COMPOSED_SCHEMA, PLAN_SCHEMA, base_score, composable, compose, diversify, place_days, placeable, quality_bonus
+from ..operators.order import total_rank
 from ..operators.spatial import scoped_experiences
 from ..sources import catalog as c
 from ..sources.catalog import with_
 from .registry import query
+from .retrieval import _SCOPED
 
 
-@query("op_win_04_relevance_order", with_("experience", "SELECT experience_id, rank FROM (SELECT experience_id, CAST(row_number() OVER (ORDER BY round(coalesce(quality, 0e0) / 5e0 * 5e-1 + price / 1e4, 6) DESC, experience_id) AS INTEGER) AS rank FROM experience) WHERE rank <= 200"))
+@query("op_win_04_relevance_order", with_("experience", "SELECT experience_id, rank FROM (SELECT experience_id, CAST(row_number() OVER (ORDER BY round(coalesce(quality, 0e0) / 5e0 * 5e-1 + price / 1e4, 6) DESC, experience_id) AS INTEGER) AS rank FROM experience)"))
 def relevance_order(spark, sf):
     s = c.experience(spark, sf).select("experience_id", F.round(F.coalesce("quality", F.lit(0.0)) / 5.0 * 0.5 + F.col("price") / 1e4, 6).alias("s"))
-    order = (F.desc("s"), F.col("experience_id"))
-    return s.orderBy(*order).limit(200).select("experience_id", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    return total_rank(s, F.desc("s"), F.col("experience_id")).select("experience_id", "rank")
 
 
-@query("op_rank_04_facet_retrieval", with_("experience facet request", "SELECT request_id, experience_id, rank FROM (SELECT request_id, experience_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(quality, 6) DESC NULLS LAST, experience_id) AS INTEGER) AS rank FROM request JOIN facet ON facet = theme AND dimension = 'theme' JOIN experience USING (experience_id)) WHERE rank <= 30"))
+@query("op_rank_04_facet_retrieval", with_("experience facet request", "SELECT request_id, experience_id, rank FROM (SELECT request_id, experience_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(quality, 6) DESC NULLS LAST, experience_id) AS INTEGER) AS rank FROM request JOIN facet ON facet = theme AND dimension = 'theme' JOIN experience USING (experience_id))"))
 def facet_retrieval(spark, sf):
     f = c.facet(spark, sf).where("dimension = 'theme'")
     r = c.request(spark).select("request_id", "theme").join(f, F.col("theme") == F.col("facet")).join(c.experience(spark, sf).select("experience_id", "quality"), "experience_id")
     order = Window.partitionBy("request_id").orderBy(F.desc_nulls_last(F.round("quality", 6)), "experience_id")
-    return r.withColumn("rank", F.row_number().over(order)).where("rank <= 30").select("request_id", "experience_id", "rank")
+    return r.withColumn("rank", F.row_number().over(order)).select("request_id", "experience_id", "rank")
 
 
 @query("op_rank_05_preference_weight", with_("facet", ", w(facet, weight) AS (VALUES ('ring', 1.0::DOUBLE), ('red', 0.5::DOUBLE), ('small', 0.25::DOUBLE)) SELECT experience_id, sum(weight) AS weight FROM (SELECT DISTINCT experience_id, facet FROM facet) JOIN w USING (facet) GROUP BY 1"))
@@ -46,20 +48,111 @@ def order_score(spark, sf):
     return c.read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", score.alias("score"))
 
 
-def _pool(spark, sf):
-    """Candidates of each request: scope, quality, duration, the nearest 200."""
+#: Facets that requests ask for, in order, with weights (constants).
+WANTED = [(i, k + 1, f, w) for i, *_, theme in c.REQUESTS for k, (f, w) in enumerate(((theme, 1.0), ("red" if theme != "red" else "bolt", 0.6), ("brand#7", 0.3)))]
+
+
+def wanted(spark):
+    return spark.createDataFrame(WANTED, "request_id int, ordinal int, facet string, weight double")
+
+
+def pool(spark, sf):
+    """Candidates of each request: all in scope, with facets and the signals that order them."""
     scoped = scoped_experiences(c.request(spark), c.experience(spark, sf), c.resolved_member(spark, sf), c.geo_entity(spark, sf))
-    order = Window.partitionBy("request_id").orderBy("distance_m", "experience_id")
-    near = scoped.withColumn("n", F.row_number().over(order)).where("n <= 200")
     facets = c.facet(spark, sf).groupBy("experience_id").agg(F.sort_array(F.collect_set("facet")).alias("facets"))
-    return near.join(c.experience(spark, sf).select("experience_id", "quality", "duration_minutes"), "experience_id").join(facets, "experience_id", "left").join(c.request(spark).select("request_id", "days", "pace", "theme"), "request_id")
+    k = F.col("experience_id")
+    signals = c.experience(spark, sf).select(
+        "experience_id", valid_quality(F.col("quality")).alias("quality"), "duration_minutes", "kind", "brand", ((k * 37) % 5).cast("double").alias("grounding"),
+        F.when(k % 5 != 0, ((k * 7919) % 1000) / F.lit(1e3)).alias("semantic"), ((k * 31) % 7 / F.lit(1e1)).alias("tilt"), F.when(k % 3 == 0, 0.2).otherwise(0.0).alias("boost"),
+    )
+    asked = c.request(spark).select("request_id", "days", "pace", "theme")
+    return scoped.join(signals, "experience_id").join(facets, "experience_id", "left").join(asked, "request_id").withColumn("facets", F.coalesce("facets", F.array().cast("array<string>")))
+
+
+def must(spark, sf):
+    """What requests must hold: the nearest candidate of each."""
+    near = pool(spark, sf).groupBy("request_id").agg(F.min(F.struct("distance_m", "experience_id")).alias("x"))
+    return near.select("request_id", F.col("x.experience_id").alias("experience_id"))
 
 
 @query("op_rank_06_composition")
 def composition(spark, sf):
-    return _pool(spark, sf).groupBy("request_id").applyInPandas(compose, "request_id int, position int, experience_id long, reason string")
+    return composable(pool(spark, sf), must(spark, sf), wanted(spark)).groupBy("request_id").applyInPandas(compose, COMPOSED_SCHEMA)
+
+
+_MATCH = """, w(request_id, facet, weight) AS (VALUES """ + ", ".join(f"({i}, '{f}', {w}::DOUBLE)" for i, _, f, w in WANTED) + """),
+hits AS (SELECT request_id, s.experience_id, facet, weight, max(CASE WHEN f.experience_id IS NULL THEN 0 ELSE 1 END) AS hit FROM scoped s JOIN w USING (request_id) LEFT JOIN facet f USING (experience_id, facet) GROUP BY ALL),
+pref AS (SELECT request_id, experience_id, sum(weight * hit) / sum(weight) AS preference FROM hits GROUP BY ALL)"""
+
+
+def _preferences(spark, sf):
+    """(request_id, experience_id, preference): weight of the asked facets that a candidate satisfies, of all asked."""
+    rows = pool(spark, sf).select("request_id", "experience_id", "facets").join(F.broadcast(wanted(spark)), "request_id")  # 18 constant rows
+    hit = F.when(F.array_contains("facets", F.col("facet")), F.col("weight")).otherwise(0.0)
+    return rows.groupBy("request_id", "experience_id").agg((F.sum(hit) / F.sum("weight")).alias("preference"))
+
+
+@query("op_math_06_preference", with_("geo_entity experience component facet request", f", {_SCOPED}{_MATCH} SELECT request_id, experience_id, round(preference, 6) AS preference FROM pref"))
+def preference(spark, sf):
+    return _preferences(spark, sf).withColumn("preference", F.round("preference", 6))
+
+
+@query("op_agg_09_facet_coverage", with_("geo_entity experience component facet request", f""", {_SCOPED}{_MATCH}, n AS (SELECT request_id, facet, weight, sum(hit) AS matches, sum(hit * CASE WHEN quality >= 3 THEN 1 ELSE 0 END) AS strong FROM hits JOIN experience USING (experience_id) GROUP BY ALL)
+SELECT request_id, facet, CAST(matches AS BIGINT) AS matches, CAST(strong AS BIGINT) AS strong, strong >= 1 AS satisfied FROM n"""))
+def facet_coverage(spark, sf):
+    rows = pool(spark, sf).select("request_id", "facets", "quality").join(F.broadcast(wanted(spark)), "request_id")  # 18 constant rows
+    hit = F.array_contains("facets", F.col("facet"))
+    n = rows.groupBy("request_id", "facet").agg(F.count_if(hit).alias("matches"), F.count_if(hit & (F.col("quality") >= FLOOR)).alias("strong"))
+    return n.withColumn("satisfied", F.col("strong") >= 1)
+
+
+@query("op_agg_08_eligible_count", with_("geo_entity experience component request", f", {_SCOPED} SELECT r.request_id, count(s.experience_id) AS eligible FROM request r LEFT JOIN scoped s USING (request_id) GROUP BY 1"))
+def eligible_count(spark, sf):
+    n = pool(spark, sf).groupBy("request_id").agg(F.count("*").alias("n"))
+    return c.request(spark).select("request_id").join(n, "request_id", "left").select("request_id", F.coalesce("n", F.lit(0)).alias("eligible"))
+
+
+@query("op_top_04_best_per_facet", with_("geo_entity experience component facet request", f""", {_SCOPED}{_MATCH}, x AS (SELECT request_id, facet, h.experience_id, row_number() OVER (PARTITION BY request_id, facet ORDER BY (h.experience_id * 37) % 5 DESC, CASE WHEN h.experience_id % 5 <> 0 THEN (h.experience_id * 7919) % 1000 / 1e3 END DESC NULLS LAST,
+  CASE WHEN quality BETWEEN 0 AND 5 THEN quality END DESC NULLS LAST, (h.experience_id * 31) % 7 / 1e1 DESC, CASE WHEN h.experience_id % 3 = 0 THEN 2e-1 ELSE 0e0 END DESC, CAST(h.experience_id AS VARCHAR)) AS n
+  FROM hits h JOIN experience e ON e.experience_id = h.experience_id WHERE hit = 1 AND NOT EXISTS (SELECT 1 FROM (SELECT request_id, arg_min(experience_id, (distance_m, experience_id)) AS m FROM scoped GROUP BY 1) t WHERE t.request_id = h.request_id AND t.m = h.experience_id))
+SELECT request_id, facet, experience_id FROM x WHERE n = 1"""))
+def best_per_facet(spark, sf):
+    """The strongest candidate of each asked facet that isn't chosen already (the musts)."""
+    rows = pool(spark, sf).join(must(spark, sf), ["request_id", "experience_id"], "left_anti").join(F.broadcast(wanted(spark)), "request_id").where(F.array_contains("facets", F.col("facet")))  # 18 constant rows
+    order = Window.partitionBy("request_id", "facet").orderBy(*[F.desc_nulls_last(x) for x in ("grounding", "semantic", "quality", "tilt", "boost")], F.col("experience_id").cast("string"))
+    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("request_id", "facet", "experience_id")
+
+
+def scored(spark, sf):
+    """Candidates with a similarity, their preference, bonuses and base score."""
+    rows = pool(spark, sf).where("semantic is not null").join(_preferences(spark, sf), ["request_id", "experience_id"])
+    far = Window.partitionBy("request_id")
+    curated = F.when(F.col("experience_id") % 4 == 0, F.col("experience_id") % 8 == 0)
+    km = F.col("distance_m") / 1000
+    rows = rows.withColumn("most", F.max(km).over(far))
+    base = base_score(F.col("semantic"), F.col("preference"), F.col("quality"), curated, km, F.col("most"))
+    return rows.select("request_id", "experience_id", "preference", F.round(base, 6).alias("base"), F.round(quality_bonus(F.col("quality"), curated), 6).alias("bonus"), km.alias("km"), "kind", F.col("brand").alias("subtype"))
+
+
+@query("op_math_07_base_score", with_("geo_entity experience component facet request", f""", {_SCOPED}{_MATCH}, x AS (SELECT s.request_id, s.experience_id, (s.experience_id * 7919) % 1000 / 1e3 AS sim, preference, CASE WHEN quality BETWEEN 0 AND 5 THEN quality END AS q, distance_m / 1000 AS km FROM scoped s JOIN pref USING (request_id, experience_id) JOIN experience e ON e.experience_id = s.experience_id WHERE s.experience_id % 5 <> 0),
+y AS (SELECT *, max(km) OVER (PARTITION BY request_id) AS most, CASE WHEN experience_id % 4 <> 0 THEN coalesce(q, 0e0) / 5 * 2e-1 WHEN experience_id % 8 = 0 THEN 15e-2 ELSE 0e0 END AS bonus FROM x)
+SELECT request_id, experience_id, round(sim + preference * 25e-2 + bonus + CASE WHEN most > 0 THEN greatest(0e0, 1 - km / most) * 1e-1 ELSE 0e0 END, 6) AS base FROM y"""))
+def base_scores(spark, sf):
+    return scored(spark, sf).select("request_id", "experience_id", "base")
+
+
+@query("op_rank_03_diversity")
+def diversity(spark, sf):
+    return scored(spark, sf).groupBy("request_id").applyInPandas(diversify, "request_id int, rank int, experience_id long, score double")
+
+
+def relevant(spark, sf):
+    """Candidates by planner relevance: similarity, preference and half the quality."""
+    rows = pool(spark, sf).join(_preferences(spark, sf), ["request_id", "experience_id"])
+    relevance = F.coalesce("semantic", F.lit(0.0)) + F.col("preference") + F.coalesce("quality", F.lit(0.0)) / 5 * 0.5
+    return rows.select("request_id", "experience_id", "duration_minutes", "days", "pace", F.round(relevance, 6).alias("relevance"))
 
 
 @query("op_plan_05_day_placement")
 def day_placement(spark, sf):
-    return _pool(spark, sf).groupBy("request_id").applyInPandas(place_days, PLAN_SCHEMA)
+    return placeable(relevant(spark, sf)).groupBy("request_id").applyInPandas(place_days, PLAN_SCHEMA)

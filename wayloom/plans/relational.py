@@ -145,17 +145,25 @@ def inner_ids(spark, sf):
     return l.join(p, l.l_partkey == p.p_partkey).join(s, l.l_suppkey == s.s_suppkey).select("l_orderkey", "l_linenumber", "p_name", "s_name")
 
 
-@query("op_join_05_two_paths", """SELECT s_suppkey AS id, 'canonical' AS path FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL
-SELECT s_suppkey, 'hint' FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 3 <> 0""")
+@query("op_join_05_two_paths", """WITH k AS (SELECT s_suppkey AS id, lower(s_name) AS name FROM supplier), a AS (SELECT DISTINCT o_custkey AS id, lower(p_name) AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49),
+asked AS (SELECT DISTINCT lower(p_name) AS name FROM part WHERE p_size = 50 UNION SELECT lower(s_name) FROM supplier WHERE s_acctbal > 5000)
+SELECT id, min(path) AS path FROM (SELECT id, 'canonical' AS path FROM k JOIN asked USING (name) UNION ALL SELECT id, 'hint' FROM a JOIN asked USING (name)) GROUP BY 1""")
 def two_paths(spark, sf):
-    s = c.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
-    first = s.where("id % 3 = 0").withColumn("path", F.lit("canonical"))
-    return first.unionByName(s.where("id % 5 = 0").withColumn("path", F.lit("hint")).join(first, "id", "left_anti"))
+    """Entities found by their canonical name or by a remembered hint; the canonical path wins."""
+    part, supplier = c.read(spark, sf, "part"), c.read(spark, sf, "supplier")
+    k = supplier.select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("name"))
+    lines = c.read(spark, sf, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey")
+    hints = lines.join(c.read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("o_custkey").alias("id"), F.lower("p_name").alias("name"))
+    asked = part.where("p_size = 50").select(F.lower("p_name").alias("name")).union(supplier.where("s_acctbal > 5000").select(F.lower("s_name"))).distinct()
+    found = k.withColumn("path", F.lit("canonical")).unionByName(hints.withColumn("path", F.lit("hint"))).join(asked, "name", "left_semi")
+    return found.groupBy("id").agg(F.min("path").alias("path"))
 
 
-@query("op_join_08_owners_of_any_id", "SELECT DISTINCT l_suppkey AS entity_id FROM lineitem WHERE l_orderkey % 97 = 0")
+@query("op_join_08_owners_of_any_id", "SELECT DISTINCT l_suppkey AS entity_id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AND o_totalprice > 400000)")
 def owners_of_any_id(spark, sf):
-    return c.read(spark, sf, "lineitem").where("l_orderkey % 97 = 0").select(F.col("l_suppkey").alias("entity_id")).distinct()
+    """Entities that own any of the asked ids; these are a table joined to all rows."""
+    asked = c.read(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'O' and o_totalprice > 400000").select(F.col("o_orderkey").alias("l_orderkey"))
+    return c.read(spark, sf, "lineitem").join(asked, "l_orderkey", "left_semi").select(F.col("l_suppkey").alias("entity_id")).distinct()
 
 
 @query("op_join_09_missing_evidence", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '5-LOW' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
@@ -164,16 +172,21 @@ def missing_evidence(spark, sf):
     return o.where("o_orderpriority = '5-LOW'").select("o_custkey").distinct().join(o.where("o_orderpriority = '1-URGENT'").select("o_custkey"), "o_custkey", "left_anti")
 
 
-@query("op_join_10_candidate_pool", """WITH p AS (SELECT DISTINCT a, b FROM (SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON lower(x.p_name) = lower(y.p_name) WHERE x.p_partkey < y.p_partkey
-  UNION ALL SELECT x.l_partkey, y.l_partkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 10 = 0) x JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 10 = 0) y USING (l_suppkey) WHERE x.l_partkey < y.l_partkey))
+@query("op_join_10_candidate_pool", """WITH p AS (SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON lower(x.p_name) = lower(y.p_name) AND x.p_partkey <> y.p_partkey
+  UNION SELECT x.l_partkey, y.l_partkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) x JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) y ON x.l_suppkey = y.l_suppkey AND x.l_partkey <> y.l_partkey)
 SELECT a, b, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY b) AS INTEGER) AS rank FROM p) WHERE rank <= 50""")
 def candidate_pool(spark, sf):
-    p = c.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("k"))
-    names = p.withColumnRenamed("id", "a").join(p.withColumnRenamed("id", "b"), "k").where("a < b").select("a", "b")
-    m = c.read(spark, sf, "lineitem").where("l_partkey % 10 = 0").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("k")).distinct()
-    shared = m.withColumnRenamed("id", "a").join(m.withColumnRenamed("id", "b"), "k").where("a < b").select("a", "b")
-    pool = names.unionByName(shared).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("b")))
-    return pool.where("rank <= 50")
+    """The first 50 others, by id, that share the name or a member with each part.
+
+    Of a name's or member's parts only the 51 of smallest id can be among anybody's first 50, so the pairs of a key grow
+    with its parts, not with their square; those are cut by a partial rank before any shuffle of pairs.
+    """
+    names = c.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("n"), F.lower("p_name")).alias("k"))
+    members = c.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("k"))
+    every = names.unionByName(members).distinct()
+    first = every.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id"))).where("n <= 51").select(F.col("id").alias("b"), "k")
+    pairs = every.withColumnRenamed("id", "a").join(first, "k").where("a <> b").select("a", "b").distinct()
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where("rank <= 50")
 
 
 @query("op_agg_02_count_where", "SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.05")
@@ -243,11 +256,11 @@ def heaviest_facet(spark, sf):
     return best.select("o_custkey", (-F.col("x.k")).alias("o_orderkey"), F.col("x.o_totalprice").alias("o_totalprice"))
 
 
-@query("op_win_01_strength_order", with_("experience facet", "SELECT facet, experience_id, rank FROM (SELECT facet, experience_id, CAST(row_number() OVER (PARTITION BY facet ORDER BY round(quality, 6) DESC NULLS LAST, experience_id) AS INTEGER) AS rank FROM facet JOIN experience USING (experience_id) WHERE dimension = 'theme') WHERE rank <= 25"))
+@query("op_win_01_strength_order", with_("experience facet", "SELECT facet, experience_id, rank FROM (SELECT facet, experience_id, CAST(row_number() OVER (PARTITION BY facet ORDER BY round(quality, 6) DESC NULLS LAST, experience_id) AS INTEGER) AS rank FROM facet JOIN experience USING (experience_id) WHERE dimension = 'theme')"))
 def strength_order(spark, sf):
     f = c.facet(spark, sf).where("dimension = 'theme'").join(c.experience(spark, sf).select("experience_id", "quality"), "experience_id")
     order = Window.partitionBy("facet").orderBy(F.desc_nulls_last(F.round("quality", 6)), "experience_id")
-    return f.withColumn("rank", F.row_number().over(order)).where("rank <= 25").select("facet", "experience_id", "rank")
+    return f.withColumn("rank", F.row_number().over(order)).select("facet", "experience_id", "rank")
 
 
 @query("op_win_02_strong_weak_split", with_("experience facet", "SELECT facet, count(*) FILTER (quality >= 3) AS strong, count(*) FILTER (quality < 3 OR quality IS NULL) AS weak FROM facet JOIN experience USING (experience_id) WHERE dimension = 'theme' GROUP BY 1"))
@@ -301,22 +314,33 @@ def union_last_wins(spark, sf):
     return a.unionByName(b).groupBy("id").agg(F.max("side").alias("side"))
 
 
-_SETS = """WITH s AS (SELECT l_orderkey AS k, list_distinct(list(l_suppkey)) AS a FROM lineitem GROUP BY 1), p AS (SELECT x.k, x.a, y.a AS b, len(list_intersect(x.a, y.a)) AS i FROM s x JOIN s y ON y.k = x.k + 1)"""
+_SETS = """WITH s AS (SELECT o_custkey AS owner, l_orderkey AS k, list_distinct(list(l_suppkey)) AS a FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL), e AS (SELECT owner, k, a FROM s UNION ALL SELECT o_custkey, o_orderkey, [] FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)),
+p AS (SELECT x.k AS left_id, y.k AS right_id, x.a, y.a AS b, len(list_intersect(x.a, y.a)) AS i FROM e x JOIN e y USING (owner) WHERE x.k < y.k)"""
 
 
 def _sets(spark, sf):
-    s = c.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_suppkey").alias("a"))
-    return s.join(s.select((F.col("k") - 1).alias("k"), F.col("a").alias("b")), "k").withColumn("i", F.size(F.array_intersect("a", "b")))
+    """Member sets of an owner's tours, each pair once; tours without members have the empty set."""
+    s = c.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("left_id")).agg(F.collect_set("l_suppkey").alias("a"))
+    e = c.read(spark, sf, "orders").select(F.col("o_orderkey").alias("left_id"), F.col("o_custkey").alias("owner")).join(s, "left_id", "left").withColumn("a", F.coalesce("a", F.array().cast("array<bigint>")))
+    return e.join(e.withColumnsRenamed({"left_id": "right_id", "a": "b"}), "owner").where("left_id < right_id").withColumn("i", F.size(F.array_intersect("a", "b")))
 
 
-@query("op_set_03_overlap", _SETS + " SELECT k, round(i / greatest(len(a), len(b)), 6) AS overlap FROM p")
+@query("op_set_03_overlap", _SETS + " SELECT left_id, right_id, round(CASE WHEN greatest(len(a), len(b)) = 0 THEN 1e0 ELSE i / greatest(len(a), len(b)) END, 6) AS overlap FROM p")
 def set_overlap(spark, sf):
-    return _sets(spark, sf).select("k", F.round(F.col("i") / F.greatest(F.size("a"), F.size("b")), 6).alias("overlap"))
+    most = F.greatest(F.size("a"), F.size("b"))
+    return _sets(spark, sf).select("left_id", "right_id", F.round(F.when(most == 0, 1.0).otherwise(F.col("i") / most), 6).alias("overlap"))
 
 
-@query("op_set_04_jaccard", _SETS + " SELECT k, round(i / (len(a) + len(b) - i), 6) AS jaccard FROM p")
+@query("op_set_04_jaccard", _SETS + " SELECT left_id, right_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1e0 ELSE i / (len(a) + len(b) - i) END, 6) AS jaccard FROM p")
 def set_jaccard(spark, sf):
-    return _sets(spark, sf).select("k", F.round(F.col("i") / (F.size("a") + F.size("b") - F.col("i")), 6).alias("jaccard"))
+    any_ = F.size("a") + F.size("b") - F.col("i")
+    return _sets(spark, sf).select("left_id", "right_id", F.round(F.when(any_ == 0, 1.0).otherwise(F.col("i") / any_), 6).alias("jaccard"))
+
+
+@query("op_set_05_concept_overlap", _SETS + " SELECT left_id, right_id, round(CASE WHEN len(a) + len(b) = 0 THEN 0e0 ELSE i / (len(a) + len(b) - i) END, 6) AS overlap FROM p")
+def concept_overlap(spark, sf):
+    any_ = F.size("a") + F.size("b") - F.col("i")
+    return _sets(spark, sf).select("left_id", "right_id", F.round(F.when(any_ == 0, 0.0).otherwise(F.col("i") / any_), 6).alias("overlap"))
 
 
 @query("op_set_07_shared_by_all", "SELECT l_orderkey, l_suppkey FROM (SELECT l_orderkey, l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1, 2) JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS m FROM lineitem GROUP BY 1) USING (l_orderkey) WHERE n = m")

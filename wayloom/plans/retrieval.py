@@ -130,12 +130,12 @@ def cosine_topk(spark, sf):
     return top.select("vec_id", F.row_number().over(order).alias("rank"), F.round("s", 6).alias("similarity"))
 
 
-@query("op_rank_01_similarity_by_identity", """WITH ids(vec_id) AS (SELECT unnest(range(0, 400, 3)))
+@query("op_rank_01_similarity_by_identity", """WITH ids AS (SELECT p_partkey AS vec_id FROM part)
 SELECT ids.vec_id, CASE WHEN e.label = 1 THEN 'applied' ELSE 'unavailable' END AS status, CASE WHEN e.label = 1 THEN round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) END AS similarity
 FROM ids LEFT JOIN embeddings e USING (vec_id) CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) q""")
 def similarity_by_identity(spark, sf):
     e = c.read(spark, sf, "embeddings")
-    ids = spark.range(0, 400, 3).withColumnRenamed("id", "vec_id")
+    ids = c.read(spark, sf, "part").select(F.col("p_partkey").alias("vec_id"))
     q = e.where("vec_id = 0").select("embedding").limit(1).collect()
     joined = ids.join(e, "vec_id", "left")
     return joined.select("vec_id", F.when(F.col("label") == 1, "applied").otherwise("unavailable").alias("status"), F.when(F.col("label") == 1, F.round(cosine_to(F.col("embedding"), q[0][0] if q else []), 6)).alias("similarity"))

@@ -10,31 +10,38 @@ from ..sources import catalog as c
 from ..sources.catalog import with_
 from .registry import query
 
-_NORM = "trim(regexp_replace(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(strip_accents(lower({})), '[^a-z0-9]+', ' ', 'g'))"
 _TOK = "list_distinct(list_filter(string_split({}, ' '), lambda x: x <> ''))"
 
 
-@query("op_str_01_norm_name", f"SELECT doc_id, {_NORM.format('left(text, 120)')} AS name_key FROM documents")
+@query("op_str_01_norm_name", f"SELECT doc_id, {_NORM.format('text')} AS name_key FROM documents")
 def norm(spark, sf):
-    return c.read(spark, sf, "documents").select("doc_id", norm_name(F.left("text", F.lit(120))).alias("name_key"))
+    return c.read(spark, sf, "documents").select("doc_id", norm_name(F.col("text")).alias("name_key"))
 
 
-@query("op_str_09_name_correspondence", f"""WITH t AS (SELECT doc_id, {_TOK.format(_NORM.format("split_part(text, '.', 1)"))} AS a FROM documents), p AS (SELECT x.doc_id, x.a, y.a AS b FROM t x JOIN t y ON y.doc_id = x.doc_id + 1)
-SELECT doc_id, CASE WHEN len(list_intersect(a, b)) = 0 THEN 'NONE' WHEN len(list_intersect(a, b)) = len(a) AND len(a) = len(b) THEN 'EQUIVALENT' ELSE 'OVERLAP' END AS relation FROM p""")
+_NAME_PAIRS = f"""WITH t AS (SELECT p_partkey, p_brand, p_size, p_type, {_TOK.format(_NORM.format('p_name'))} AS a FROM part), p AS (SELECT x.p_partkey AS left_id, y.p_partkey AS right_id, x.a, y.a AS b, list_intersect(x.a, y.a) AS i FROM t x JOIN t y USING (p_brand, p_size, p_type) WHERE x.p_partkey < y.p_partkey)"""
+
+
+def _name_pairs(spark, sf):
+    """Names of the parts that agree in brand, size and type, each pair once, as tokens."""
+    t = c.read(spark, sf, "part").select(F.col("p_partkey").alias("left_id"), "p_brand", "p_size", "p_type", tokens(F.col("p_name")).alias("a"))
+    p = t.join(t.withColumnsRenamed({"left_id": "right_id", "a": "b"}), ["p_brand", "p_size", "p_type"]).where("left_id < right_id")
+    return p.withColumn("i", F.array_intersect("a", "b"))
+
+
+@query("op_str_09_name_correspondence", f"""{_NAME_PAIRS}
+SELECT left_id, right_id, CASE WHEN len(i) = 0 THEN 'NONE' WHEN len(i) = len(a) AND len(a) = len(b) THEN 'EQUIVALENT' ELSE 'OVERLAP' END AS relation FROM p""")
 def name_correspondence(spark, sf):
-    t = c.read(spark, sf, "documents").select("doc_id", tokens(F.split_part("text", F.lit("."), F.lit(1))).alias("a"))
-    p = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
-    both = F.size(F.array_intersect("a", "b"))
-    return p.select("doc_id", F.when(both == 0, "NONE").when((both == F.size("a")) & (F.size("a") == F.size("b")), "EQUIVALENT").otherwise("OVERLAP").alias("relation"))
+    n = F.size("i")
+    return _name_pairs(spark, sf).select("left_id", "right_id", F.when(n == 0, "NONE").when((n == F.size("a")) & (F.size("a") == F.size("b")), "EQUIVALENT").otherwise("OVERLAP").alias("relation"))
 
 
-@query("op_str_07_token_overlap", f"""WITH t AS (SELECT doc_id, list_filter({_TOK.format(_NORM.format("split_part(text, chr(10), 1)"))}, lambda x: length(x) >= 4) AS a FROM documents), p AS (SELECT x.doc_id, x.a, list_intersect(x.a, y.a) AS i FROM t x JOIN t y ON y.doc_id = x.doc_id + 1)
-SELECT doc_id, len(i) * 2 >= len(a) AND len(list_filter(i, lambda x: length(x) >= 5)) > 0 AS overlaps FROM p""")
+@query("op_str_07_token_overlap", f"""{_NAME_PAIRS}, l AS (SELECT left_id, right_id, list_filter(a, lambda x: length(x) >= 4) AS a, list_filter(i, lambda x: length(x) >= 4) AS i FROM p)
+SELECT left_id, right_id, len(i) * 2 >= len(a) AND len(list_filter(i, lambda x: length(x) >= 5)) > 0 AS overlaps FROM l""")
 def token_overlap(spark, sf):
-    long = F.filter(tokens(F.split_part("text", F.lit("\n"), F.lit(1))), lambda x: F.length(x) >= 4)
-    t = c.read(spark, sf, "documents").select("doc_id", long.alias("a"))
-    p = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id").withColumn("i", F.array_intersect("a", "b"))
-    return p.select("doc_id", ((F.size("i") * 2 >= F.size("a")) & F.exists("i", lambda x: F.length(x) >= 5)).alias("overlaps"))
+    long = lambda k: F.filter(k, lambda x: F.length(x) >= 4)
+    p = _name_pairs(spark, sf).select("left_id", "right_id", long("a").alias("a"), long("i").alias("i"))
+    return p.select("left_id", "right_id", ((F.size("i") * 2 >= F.size("a")) & F.exists("i", lambda x: F.length(x) >= 5)).alias("overlaps"))
 
 
 @query("op_str_10_name_match", f"""WITH n AS (SELECT p_partkey, {_NORM.format('p_name')} AS a, {_NORM.format("split_part(p_name, ' ', 2)")} AS b FROM part) SELECT p_partkey, a <> '' AND b <> '' AND (a = b OR contains(a, b) OR contains(b, a)) AS matches FROM n""")
@@ -111,14 +118,16 @@ def travel_estimate(spark, sf):
     return c.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", mode.alias("mode"), F.greatest(F.lit(1), F.ceil(m * 1.3 / 1000 / speed * 60)).cast("long").alias("minutes"))
 
 
-@query("op_math_10_evidence_score", f"""WITH t AS (SELECT p_partkey, {_TOK.format(_NORM.format('p_name'))} AS a, p_size FROM part), p AS (SELECT x.p_partkey, x.a, y.a AS b, abs(x.p_size - y.p_size) AS d, len(list_intersect(x.a, y.a)) AS i FROM t x JOIN t y ON y.p_partkey = x.p_partkey + 1)
-SELECT p_partkey, round(0.22::DOUBLE * i / (len(a) + len(b) - i) + 0.15::DOUBLE * i / greatest(len(a), len(b)) + CASE WHEN d <= 5 THEN 8e-2 WHEN d <= 15 THEN 4e-2 ELSE 0e0 END, 6) AS score FROM p""")
+@query("op_math_10_evidence_score", f"""WITH t AS (SELECT p_partkey, p_brand, p_type, {_TOK.format(_NORM.format('p_name'))} AS a, p_size FROM part), p AS (SELECT x.p_partkey AS left_id, y.p_partkey AS right_id, x.a, y.a AS b, abs(x.p_size - y.p_size) AS d, len(list_intersect(x.a, y.a)) AS i FROM t x JOIN t y USING (p_brand, p_type) WHERE x.p_partkey < y.p_partkey AND abs(x.p_size - y.p_size) <= 1)
+SELECT left_id, right_id, round(0.22::DOUBLE * i / (len(a) + len(b) - i) + 0.15::DOUBLE * i / greatest(len(a), len(b)) + CASE WHEN d <= 5 THEN 8e-2 WHEN d <= 15 THEN 4e-2 ELSE 0e0 END, 6) AS score FROM p""")
 def evidence_score(spark, sf):
-    t = c.read(spark, sf, "part").select("p_partkey", tokens(F.col("p_name")).alias("a"), "p_size")
-    p = t.join(t.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"), F.col("p_size").alias("q")), "p_partkey")
+    """Pairs of one brand and type whose sizes differ by one at most: an equi-join, as a size is dealt to its neighbours."""
+    t = c.read(spark, sf, "part").select(F.col("p_partkey").alias("left_id"), "p_brand", "p_type", tokens(F.col("p_name")).alias("a"), "p_size")
+    u = t.withColumnsRenamed({"left_id": "right_id", "a": "b"}).withColumn("q", F.col("p_size")).withColumn("p_size", F.explode(F.sequence(F.col("p_size") - 1, F.col("p_size") + 1)))
+    p = t.join(u, ["p_brand", "p_type", "p_size"]).where("left_id < right_id")
     d = F.abs(F.col("p_size") - F.col("q"))
     score = 0.22 * token_jaccard(F.col("a"), F.col("b")) + 0.15 * overlap_ratio(F.col("a"), F.col("b")) + F.when(d <= 5, 0.08).when(d <= 15, 0.04).otherwise(0.0)
-    return p.select("p_partkey", F.round(score, 6).alias("score"))
+    return p.select("left_id", "right_id", F.round(score, 6).alias("score"))
 
 
 @query("op_math_12_lexical_relevance", """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), q(term) AS (VALUES ('the'), ('of'), ('die'), ('que')),

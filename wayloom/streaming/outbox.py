@@ -6,8 +6,13 @@ out is retried with exponential backoff, and one that has used up its attempts f
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..sources.shared import shared_dir
 
 # Fixed values.
 LEASE_S, BASE_S, CAP_S, MAX_ATTEMPTS = 30, 2.0, 300.0, 5
@@ -35,8 +40,20 @@ def status_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drains what a stream has now into an in-memory table and returns that."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Drains what a stream has now and returns the last row of each key.
+
+    Updates go to Parquet in the shared folder, a folder per batch, written anew if the batch is repeated; so does the
+    checkpoint, and a query that is started again goes on there. Nothing is kept on the driver.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
+
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    found = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{root}/out/*")
+    rest = [x for x in stream.columns if x not in keys]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("x")).select(*keys, "x.*")
