@@ -5,7 +5,7 @@ import math
 import pandas as pd
 import pytest
 
-from wayloom.plans import catalog, ranking
+from wayloom.plans import catalog, identity, ranking
 
 
 def same(v):
@@ -99,6 +99,19 @@ def test_placement_equals_the_rules_on_whole_pools(spark, sf_dir):
         assert sorted(plan) == sorted(zip(own["day"], own["position"], own["experience_id"], own["start_minute"], own["end_minute"], strict=True))
 
 
+def test_complete_link_equals_the_rule_over_all_pairs(spark, sf):
+    same = {(r.left_id, r.right_id) for r in identity.decisions(spark, sf).where("decision = 'SAME'").collect()}
+    clusters = []
+    for i in sorted(r.id for r in identity.proposals(spark, sf).select("id").collect()):
+        fits = [m for m in clusters if all((j, i) in same for j in m)]
+        if len(fits) == 1:
+            fits[0].append(i)
+        else:
+            clusters.append([i])
+    got = {r.id: r.cluster for r in catalog.QUERIES["op_er_11_complete_link"](spark, sf).collect()}
+    assert got == {i: m[0] for m in clusters for i in m}
+
+
 def test_pushdown_reaches_the_scan(spark, sf):
     plan = catalog.QUERIES["op_agg_02_count_where"](spark, sf)._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "l_returnflag" in plan.split("ReadSchema")[-1] and "l_comment" not in plan

@@ -30,16 +30,6 @@ def latest_page_wins(spark, sf):
     return best.select(F.col("l_orderkey").alias("feature"), F.col("x.page").alias("page"), (-F.col("x.p")).alias("part"))
 
 
-@query("op_src_09_publish_snapshot", """WITH s AS (SELECT o_custkey % 50 AS country, o_orderkey AS session, o_orderdate AS taken, o_orderstatus <> 'F' AS complete FROM orders),
-p AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY taken DESC, session DESC) AS n FROM s WHERE complete)
-SELECT session, CASE WHEN NOT s.complete THEN 'FAILED' WHEN p.n = 1 THEN 'PUBLISHED' ELSE 'SUPERSEDED' END AS status FROM s LEFT JOIN p USING (session)""")
-def publish_snapshot(spark, sf):
-    s = c.read(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("country"), F.col("o_orderkey").alias("session"), F.col("o_orderdate").alias("at"), (F.col("o_orderstatus") != "F").alias("complete"))
-    last = s.where("complete").groupBy("country").agg(F.max(F.struct("at", "session")).alias("x")).select("country", F.col("x.session").alias("last"))
-    status = F.when(~F.col("complete"), "FAILED").when(F.col("session") == F.col("last"), "PUBLISHED").otherwise("SUPERSEDED")
-    return s.join(last, "country", "left").select("session", status.alias("status"))
-
-
 @query("op_src_10_name_multiplicity", """SELECT s_name AS name, 'SINGLE' AS multiplicity, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) = 1 UNION ALL SELECT s_name, 'MULTIPLE', count(*) FROM supplier GROUP BY 1 HAVING count(*) > 1""")
 def name_multiplicity(spark, sf):
     n = c.read(spark, sf, "supplier").groupBy(F.col("s_name").alias("name")).agg(F.count("*").alias("n"))
@@ -295,12 +285,6 @@ def fifo_claim(spark, sf):
     return c.outbox(spark, sf).where("status = 'PENDING'").orderBy("created_at", "event_id").limit(50).select("event_id")
 
 
-@query("op_top_06_anchors", "SELECT DISTINCT ON (la, lo) s_suppkey, la, lo FROM (SELECT s_suppkey, round(-3.46e1 + ((s_suppkey * 7919) % 2000 - 1000) / 1e4, 2) AS la, round(-5.84e1 + ((s_suppkey * 104729) % 2000 - 1000) / 1e4, 2) AS lo FROM supplier) ORDER BY la, lo, s_suppkey")
-def anchors(spark, sf):
-    g = c.geo_entity(spark, sf).where("entity_id < 1000003")
-    return g.groupBy(F.round("latitude", 2).alias("la"), F.round("longitude", 2).alias("lo")).agg(F.min("entity_id").alias("s_suppkey"))
-
-
 @query("op_top_07_retention", with_("outbox", "SELECT count(*) AS kept FROM outbox WHERE NOT (status = 'PROCESSED' AND created_at < TIMESTAMP '2024-01-20') AND NOT (status = 'FAILED' AND created_at < TIMESTAMP '2024-01-10')"))
 def retention(spark, sf):
     old = lambda s, d: (F.col("status") == s) & (F.col("created_at") < F.lit(d).cast("timestamp"))
