@@ -88,11 +88,26 @@ BASE = np.uint64(0x9E3779B97F4A7C55)
 BACK = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.empty(n + 1, np.uint64)
-    out[0] = 1
-    out[1:] = base
-    return np.multiply.accumulate(out, dtype=np.uint64)
+    """base ** 0 .. base ** n; the longest asked for so far is kept, 8 bytes each."""
+    held = _POWERS.get(int(base))
+    if held is None or len(held) <= n:
+        held = np.empty(max(n, 1 << 20) + 1, np.uint64)
+        held[0] = 1
+        held[1:] = base
+        held = _POWERS[int(base)] = np.multiply.accumulate(held, dtype=np.uint64)
+        held.flags.writeable = False
+    return held[: n + 1]
+
+
+def by_row(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """The order by row, then by h; rows are 0 .. n - 1. Two sorts, the second one of small numbers."""
+    order = np.argsort(h)
+    small = np.uint16 if n <= 1 << 16 else np.uint32
+    return order[np.argsort(row[order].astype(small), kind="stable")]
 
 
 def pack(columns: list[np.ndarray]) -> bytes:

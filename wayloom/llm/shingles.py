@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import BACK, BASE, mix, powers, strings
+from .common import BACK, BASE, by_row, mix, powers, strings
 
 # A-Z lower-cased byte by byte; bytes that separate words.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -68,7 +68,7 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     if not out:
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     h, r = np.concatenate(out), np.concatenate(at)
-    order = np.lexsort((h, r))
+    order = by_row(h, r, n)
     h, r = h[order], r[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
