@@ -35,12 +35,6 @@ def preference_weight(spark, sf):
     return c.facet(spark, sf).select("experience_id", "facet").distinct().join(F.broadcast(w), "facet").groupBy("experience_id").agg(F.sum("weight").alias("weight"))  # a constant table
 
 
-@query("op_rank_11_facet_deficits", with_("facet request", "SELECT request_id, theme FROM request WHERE theme NOT IN (SELECT facet FROM facet JOIN part ON p_partkey = experience_id WHERE p_size > 49)"))
-def facet_deficits(spark, sf):
-    met = c.facet(spark, sf).join(c.read(spark, sf, "part").where("p_size > 49"), F.col("experience_id") == F.col("p_partkey"))
-    return c.request(spark).join(met, F.col("theme") == F.col("facet"), "left_anti").select("request_id", "theme")
-
-
 @query("op_rank_19_order_score", "SELECT l_orderkey, l_partkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) + 1 AS score FROM lineitem")
 def order_score(spark, sf):
     own = Window.partitionBy("l_orderkey")
@@ -106,6 +100,14 @@ def facet_coverage(spark, sf):
     return n.withColumn("satisfied", F.col("strong") >= 1)
 
 
+@query("op_rank_11_facet_deficits", with_("geo_entity experience component facet request", f""", {_SCOPED}{_MATCH}, n AS (SELECT request_id, facet, sum(hit * CASE WHEN quality >= 3 THEN 1 ELSE 0 END) AS strong FROM hits JOIN experience USING (experience_id) GROUP BY ALL)
+SELECT w.request_id, w.facet, CAST(coalesce(strong, 0) AS BIGINT) AS strong FROM w LEFT JOIN n USING (request_id, facet) WHERE coalesce(strong, 0) < 3"""))
+def facet_deficits(spark, sf):
+    """Asked facets with fewer than three strong candidates in scope, whether any candidate is there or none."""
+    n = facet_coverage(spark, sf).select("request_id", "facet", "strong")
+    return wanted(spark).select("request_id", "facet").join(n, ["request_id", "facet"], "left").withColumn("strong", F.coalesce("strong", F.lit(0))).where("strong < 3")
+
+
 @query("op_agg_08_eligible_count", with_("geo_entity experience component request", f", {_SCOPED} SELECT r.request_id, count(s.experience_id) AS eligible FROM request r LEFT JOIN scoped s USING (request_id) GROUP BY 1"))
 def eligible_count(spark, sf):
     n = pool(spark, sf).groupBy("request_id").agg(F.count("*").alias("n"))
