@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import geometry, identity, knowledge, more, ranking, relational, retrieval, scalar, streams  # noqa: F401
+from . import geometry, identity, knowledge, more, policy, ranking, relational, retrieval, scalar, streams  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
