@@ -146,3 +146,35 @@ def span_support(span: Column, cited: Column, seen: Column, matches: Column) ->
         F.when(span == "", "NO_SUPPORT_SPAN").when(cited.isNotNull(), "DECLARED_KEY_VERIFIED").when(matches == 1, "REATTRIBUTED_UNIQUE_EXACT_SPAN")
         .when(matches > 1, "AMBIGUOUS_SUPPORTING_EVIDENCE").when(seen, "SPAN_NOT_FOUND_IN_CITED_EVIDENCE").otherwise("MISSING_EVIDENCE_TEXT")
     )
+
+
+def relation_in_order(relation: Column, conflict: Column) -> Column:
+    """A composition within another one overlaps it only in part where the order of shared members disagrees."""
+    return F.when((relation == "SUBCOMPOSITION") & conflict, "PARTIAL_OVERLAP").otherwise(relation)
+
+
+def decisive_evidence(e: dict[str, Column]) -> Column:
+    """SAME, AMBIGUOUS or DISTINCT and what decided it, as struct(verdict, evidence), from a pair's evidence by name."""
+    similar, alone = e["name"] >= 0.72, e["standalone"]
+    confirmed = (e["roles"] == 1) & ((e["name"] == 1) | (e["concept"] == 1)) & ~e["conflict"]
+    strong = ~alone & ((e["members"] >= 0.5) | (e["roles"] >= 0.4))
+    said = lambda v, why: F.struct(F.lit(v).alias("verdict"), (F.lit(why) if isinstance(why, str) else why).alias("evidence"))
+    contained = F.when(alone, "STANDALONE_COMPOSITE_MEMBERSHIP").when(e["source"] == "SAME_SOURCE", "SUBCOMPOSITION_SAME_SOURCE_CONTAINMENT").when(e["source"] == "DIFFERENT_SOURCE", "SUBCOMPOSITION_DIFFERENT_SOURCE").otherwise("SUBCOMPOSITION_SOURCE_UNKNOWN")
+    r = e["relation"]
+    return (
+        F.when((r == "EXACT_COMPOSITION") & confirmed, said("SAME", "EXACT_COMPOSITION_IDENTITY_CONFIRMED")).when(r == "EXACT_COMPOSITION", said("AMBIGUOUS", "EXACT_COMPOSITION_IDENTITY_UNCONFIRMED"))
+        .when((r == "DISJOINT") & similar, said("AMBIGUOUS", "SIMILAR_NAME_WITHOUT_SHARED_STRUCTURE")).when(r == "DISJOINT", said("DISTINCT", "STRUCTURALLY_DISJOINT"))
+        .when(similar, said("AMBIGUOUS", "STRUCTURAL_OVERLAP_WITH_SIMILAR_NAME")).when(r == "SUBCOMPOSITION", said("DISTINCT", contained))
+        .when(strong, said("AMBIGUOUS", "PARTIAL_OVERLAP_IDENTITY_UNRESOLVED")).otherwise(said("DISTINCT", F.when(alone, "STANDALONE_COMPOSITE_MEMBERSHIP").otherwise("PARTIAL_OVERLAP_INSUFFICIENT")))
+    )
+
+
+def evidence_total(e: dict[str, Column]) -> Column:
+    """Orders candidates; it never decides identity."""
+    near = F.when(e["km"] <= 0.5, 0.08).when(e["km"] <= 1.5, 0.04).otherwise(0.0)
+    return e["name"] * 0.22 + e["semantic"] * 0.2 + e["members"] * 0.15 + e["roles"] * 0.3 + e["provenance"] * 0.05 + near
+
+
+def reconciliation(same: Column, positioned: Column, covered: Column, conflicts: Column, learned: Column) -> Column:
+    """What one more observation of a composition does to the stored one; a conflict anywhere rejects all of it."""
+    return F.when(~same | ~positioned | ~covered, "NOT_ELIGIBLE").when(conflicts > 0, "CONFLICT_REJECTED").when(learned > 0, "ENRICHED").otherwise("NO_NEW_KNOWLEDGE")
