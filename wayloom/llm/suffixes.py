@@ -237,7 +237,8 @@ def _hot_grams(docs: DataFrame) -> np.ndarray:
 
 def _grams(docs: DataFrame, n_buckets: int, hot: np.ndarray, settle: bool = True) -> DataFrame:
     """Packed (gram, context hash, uid, first window, bytes, times). Of contexts met again in their batch one goes on for
-    two; the others are settled and travel by document, with times 0, so a very common passage makes no large group.
+    two; the others are known to recur and travel by document, so a very common passage makes no large group: with times
+    -1, that their bytes are needed, or with times 0 where one window is all there is, which is settled by its hash.
     Without settle all go on."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,16 +253,19 @@ def _grams(docs: DataFrame, n_buckets: int, hot: np.ndarray, settle: bool = True
             times = np.where(np.r_[~new[1:], False], 2, 1)[new]
             # Settled windows are next to each other: one row per stretch. Rows are set apart, that none spans two.
             row = np.searchsorted(offs, first, "right") - 1
-            done = union((first + row)[~new], (last + WIDTH + row)[~new])
+            single = last == first
+            done = union((first + row)[~new & single], (last + WIDTH + row)[~new & single])
+            again = ~new & ~single
             of = np.searchsorted(offs + np.arange(len(offs)), done[:, 0], "right") - 1
             uid = part.column("uid").to_numpy()
-            none = np.zeros(len(done), np.int64)
+            none, more = np.zeros(len(done), np.int64), np.zeros(again.sum(), np.int64)
             columns = [
-                np.concatenate([g[new].view(np.int64), none]), np.concatenate([whole[new].view(np.int64), none]),
-                np.concatenate([uid[row[new]], uid[of]]), np.concatenate([(first - offs[row])[new], done[:, 0] - of - offs[of]]),
-                np.concatenate([(last - first + WIDTH)[new], done[:, 1] - done[:, 0]]), np.concatenate([times, none]),
+                np.concatenate([g[new].view(np.int64), none, g[again].view(np.int64)]), np.concatenate([whole[new].view(np.int64), none, more]),
+                np.concatenate([uid[row[new]], uid[of], uid[row[again]]]), np.concatenate([(first - offs[row])[new], done[:, 0] - of - offs[of], more]),
+                np.concatenate([(last - first + WIDTH)[new], done[:, 1] - done[:, 0], more]), np.concatenate([times, none, more - 1]),
             ]
-            key = np.concatenate([g[new] % np.uint64(n_buckets), mix(uid[of].astype(np.uint64)) % np.uint64(n_buckets)]).astype(np.int64)
+            by_doc = mix(np.concatenate([uid[of], uid[row[again]]]).astype(np.uint64))
+            key = (np.concatenate([g[new], by_doc]) % np.uint64(n_buckets)).astype(np.int64)
             out = list(deal_out(columns, key))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "blob"])
 
@@ -277,16 +281,16 @@ def _by_uid(uid: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[n
 
 
 def _met(pdf: pd.DataFrame, settle: bool = True) -> pd.DataFrame:
-    """(uid, grams, spans): a document's grams whose contexts are needed in full, and the places of contexts that are
-    repeated whole.
+    """(uid, grams, spans): a document's grams whose contexts are needed in full, as the gram recurs, and the places of
+    contexts of one window, which the hash tells to be repeated.
 
-    Without settle all contexts of repeated grams are needed.
+    Without settle all contexts of repeated grams are needed and no spans are told.
     """
     g, whole, uid, at, size, times = unpack(pdf["blob"].tolist(), 6)
-    done = times == 0
-    spans = [(uid[done], at[done], at[done] + size[done])]
-    keep = ~done if settle else np.ones(len(g), bool)
-    g, whole, uid, at, size, times = (x[keep] for x in (g, whole, uid, at, size, np.maximum(times, 1)))
+    done, again = times == 0, times < 0
+    spans, asked = [(uid[done], at[done], at[done] + size[done])], (uid[again], g[again])
+    keep = times > 0
+    g, whole, uid, at, size, times = (x[keep] for x in (g, whole, uid, at, size, times))
     order = np.lexsort((whole, g))
     g, whole, uid, at, size, times = (x[order] for x in (g, whole, uid, at, size, times))
     new_g = np.r_[True, g[1:] != g[:-1]][: len(g)]
@@ -295,13 +299,13 @@ def _met(pdf: pd.DataFrame, settle: bool = True) -> pd.DataFrame:
     n_g, n_c = np.bincount(of_g, times).astype(np.int64), np.bincount(of_c, times).astype(np.int64)
     same = n_c[of_c] > 1
     if settle:
-        spans.append((uid[same], at[same], at[same] + size[same]))
-        lone = np.bincount(of_g, ~same) > 0
+        told = same & (size == WIDTH)
+        spans.append((uid[told], at[told], at[told] + size[told]))
         kinds = np.bincount(of_g, new_c) > 1
-        need = lone[of_g] & kinds[of_g] & (~same | new_c)
+        need = np.where(told, new_c & kinds[of_g], n_g[of_g] > 1)
     else:
         need = n_g[of_g] > 1
-    rows = [(u, np.unique(x).tobytes(), None) for u, (x,) in _by_uid(uid[need], g[need])]
+    rows = [(u, np.unique(x).tobytes(), None) for u, (x,) in _by_uid(np.concatenate([uid[need], asked[0]]), np.concatenate([g[need], asked[1]]))]
     rows += [(u, None, union(*x).tobytes()) for u, x in _by_uid(*(np.concatenate(c) for c in zip(*spans, strict=True)))] if settle else []
     return pd.DataFrame(rows, columns=["uid", "grams", "spans"]).astype({"uid": "int64"})
 
