@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import feeds, geometry, identity, knowledge, members, more, policy, ranking, relational, retrieval, scalar, streams  # noqa: F401
+from . import feeds, geometry, identity, knowledge, members, more, planner, policy, ranking, relational, retrieval, scalar, streams  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
