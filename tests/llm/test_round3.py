@@ -16,6 +16,7 @@ import tiktoken
 from wayloom.llm import bytebpe, resampling, spelling
 from wayloom.llm.bytebpe import PerfectHash, codec, decode_column, encode_column, op12_bytebpe
 from wayloom.llm.common import Scratch
+from wayloom.llm.html import extract_pages
 from wayloom.llm.resampling import op11_resampling, resample
 from wayloom.llm.spelling import op13_spelling, variants, word_counts
 
@@ -232,3 +233,59 @@ def test_spelling_query_equals_brute_force(spark, sf):
     want = brute_variants(brute_words([(r.doc_id, r.text) for r in rows]))
     got = op13_spelling(spark, sf).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def html_rows(spark, pages):
+    return {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+
+def test_html_keeps_text_beside_the_region(spark):
+    """Leads, sections, titles, stories and second articles in containers of their own; several hosts, also of one page."""
+    rng = random.Random(7)
+    box = '<div class="right"><p>Our town in short, every day the same words.</p></div><div class="latest"><a href="/a">one</a> <a href="/b">two</a></div>'
+    forms = {
+        "lead": "<div class=lead><p>{a}</p></div><div class=post><p>{b}</p><p>{c}</p></div>",
+        "sections": "<section class=one><p>{a}</p></section><section class=two><p>{b}</p><p>{c}</p></section>",
+        "title": "<div class=title><h1>{a}</h1></div><div class=post><p>{b}</p><p>{c}</p></div>",
+        "teaser": "<article class=teaser><p>{a}</p></article><div class=story><p>{b}</p><p>{c}</p></div>",
+        "marked": "<article><div class='note comment-free'><p>{a}</p></div><div class=related-work><p>{b}</p></div><p id=share>{c}</p><div class=related-posts><p>no</p></div><div id=comment-list><p>no</p></div><div class='ad slot'><p>no</p></div></article>",
+        "quote": "<article><p>{a}</p><aside class=pullquote><p>{b}</p></aside><p>{c}</p><aside><p>see also</p></aside></article>",
+    }
+    sizes = {"lead": (20, 40, 40), "sections": (10, 20, 20), "title": (3, 60, 30), "teaser": (45, 30, 25), "marked": (30, 30, 30), "quote": (30, 9, 30)}
+    pages, want = [], {}
+    for h, (name, form) in enumerate(forms.items()):
+        for k in range(8):
+            said = dict(zip("abc", (prose(rng, n) for n in sizes[name]), strict=True))
+            pages.append((100 * h + k, f"https://{name}.org/{k}", f"<body><div id=wrap>{form.format(**said)}{box}</div></body>"))
+            want[100 * h + k] = "\n".join(said.values())
+        said = dict(zip("abc", (prose(rng, n) for n in sizes[name]), strict=True))
+        for k in (90, 91):  # one page alone on its host, stored twice
+            pages.append((100 * h + k, f"https://only-{name}.org/{k}", f"<body>{form.format(**said)}</body>"))
+            want[100 * h + k] = "\n".join(said.values())
+    assert html_rows(spark, pages) == want
+
+
+def test_html_a_hosts_usual_path_takes_no_other_text(spark):
+    rng = random.Random(8)
+    pages = [(k, f"http://n.org/{k}", f"<body><div class=news><p>{prose(rng, 40)}</p></div></body>") for k in range(20)]
+    teaser, story = prose(rng, 20), prose(rng, 40)
+    pages += [(99, "http://n.org/99", f"<body><div class=news><p>{teaser}</p></div><div class=story><p>{story}</p></div></body>")]
+    got = html_rows(spark, pages)
+    assert got[99] == f"{teaser}\n{story}" and all(f"<p>{got[k]}</p>" in pages[k][2] for k in range(20))
+
+
+def test_html_side_boxes_go_by_consensus_of_the_host(spark):
+    """The same box beside different texts goes, within the region of a short page as well; ties between winners of equal
+    votes change nothing; a title that recurs goes, one that doesn't stays."""
+    rng = random.Random(9)
+    texts = [prose(rng, 30) for _ in range(6)]
+    side = "<div class=side><p>Said by the house on every page of this host.</p></div>"
+    pages = [(k, f"http://s.org/{k}", f"<body><div class={'ab'[k % 2]}><p>{t}</p></div>{side}</body>") for k, t in enumerate(texts)]
+    pages += [(50, "http://s.org/x", f"<body><div class=a><p>tiny</p></div>{side}</body>")]
+    pages += [(60 + k, f"http://t.org/{k}", f"<body><h2>Town news</h2><div class=c><p>{t}</p></div><div class=d>own {k}</div></body>") for k, t in enumerate(texts)]
+    want = {k: t for k, t in enumerate(texts)} | {50: "tiny"} | {60 + k: f"{t}\nown {k}" for k, t in enumerate(texts)}
+    assert html_rows(spark, pages) == want

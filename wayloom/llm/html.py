@@ -1,22 +1,26 @@
 """Main text of web pages by consensus of container paths per host.
 
 Each page's containers are scored by the text outside links of their whole subtrees. Its articles, or else the deepest
-container that holds nearly all of the text outside furniture, are its region; their generalised tag-class paths are the
-page's vote. Spark counts the votes per host, regions with a fair share of them win, and every page is read again: its
-text is that of the winning region that has most votes and most of its text, or of its own if it has none that won.
+container that holds nearly all of the text outside furniture, are its region. Regions and all containers that hold text
+of their own vote, by generalised tag-class paths: Spark counts per host which paths are regions, and on how many pages a
+container says what it says beside other text, too. Then every page is read again. Winning regions and its own stay; so
+does whatever stands in or beside them, unless the host's pages agree that it is a side box, whose text recurs, or it is a
+list of links outside them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import Scratch, pieces, table
 
 # Names of HTML and of page furniture.
 TOKEN = re.compile(
@@ -32,11 +36,15 @@ CONTAINERS = frozenset("body div section article main td blockquote details figu
 FURNITURE = frozenset("nav header footer aside form button menu dialog head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset("article main".split())
-#: Words of a class or id that mark an element as furniture: anywhere in the name, or as the whole name only.
+#: Words of a class or id that mark an element as furniture: as the whole name, with words that say nothing else, or, but
+#: for those that article text is named by as well, in any name outside articles.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent popup modal overlay newsletter subscribe sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus replies respond related recommended sharing social widget toolbar pagination pager login signup".split())
+TEXTUAL = frozenset("sponsor promotion consent comment comments replies respond related recommended sharing social login subscribe".split())
 WHOLE = MARKS | frozenset("banner notice notices alert menu header reply share search".split())
 #: Words that make a name with one of the others furniture, outside articles: site-header, share-buttons, top-menu.
 SITE = frozenset("site page top main global web blog primary secondary mobile buttons bar box form links list icons cookie".split())
+#: Words that say nothing beside a mark: comment-list, related-posts, ad-slot.
+NEUTRAL = SITE | WHOLE | frozenset("area article articles block bottom container content group holder inline inner item items left module outer panel post posts reader right row section slot stories thread unit user wrap wrapper".split())
 #: Elements that the parts of a name don't make furniture.
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 body html main pre blockquote figure".split())
 CLOSES = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
@@ -50,21 +58,26 @@ WIN_SHARE = 0.1
 #: Share of a container's text that one inside it holds if it takes its place, share that then may stand in it directly,
 #: share of the page's text that its articles hold if they are its region.
 NEARLY_ALL, HARDLY_ANY, MOSTLY = 0.75, 0.03, 0.4
-#: Winning paths are broadcast up to this many hosts; beyond, pages are shuffled by host.
-BROADCAST_HOSTS = 20_000
+#: Different texts beside which a container must say the same.
+WITNESSES = 3
+#: The hosts' paths are broadcast up to this many hosts and characters; beyond, pages are shuffled by host.
+BROADCAST_HOSTS, BROADCAST_CHARS = 20_000, 8 << 20
 
 
 def furniture(tag: str, attrs: str, within: bool) -> tuple[bool, str]:
     """Whether an element is no part of the text, and the letters of its first class. within: it stands in an article."""
-    off, first, names = False, "", []
+    off, first, names, classes = False, "", [], []
     for name, a, b, c in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             names += value.split()
-            if name == "class" and names:
-                first = first or re.sub(r"[^a-z]+", "", value.split()[0] if value.split() else "")
+            if name == "class" and value.split():
+                classes += value.split()
+                first = first or re.sub(r"[^a-z]+", "", classes[0])
         elif name == "hidden" or name == "role" and value in ROLES or name == "style" and UNSEEN.search(value):
             off = True
+    if tag in PLAIN and within:
+        names = classes
     for name in names:
         parts = [w for w in re.split(r"[^a-z]+", name) if w]
         if tag in ("body", "html", "main"):
@@ -72,8 +85,11 @@ def furniture(tag: str, attrs: str, within: bool) -> tuple[bool, str]:
         if "".join(parts) in WHOLE:
             off = True
         elif tag not in PLAIN and not (tag == "header" and within):
-            off = off or any(w in MARKS for w in parts) or not within and any(w in WHOLE for w in parts) and any(w in SITE for w in parts)
-    return off or tag in FURNITURE and not (tag == "header" and within), first
+            marks = [w for w in parts if w in MARKS]
+            off = off or bool(marks) and all(len(w) == 1 or w in NEUTRAL for w in parts)
+            off = off or not within and (any(w not in TEXTUAL for w in marks) or any(w in WHOLE for w in parts) and any(w in SITE for w in parts))
+    quoted = tag == "aside" and within and any("quote" in name for name in classes)
+    return off or tag in FURNITURE and not (tag == "header" and within) and not quoted, first
 
 
 def blocks(page: str) -> list[tuple[str, int, str]]:
@@ -176,20 +192,42 @@ def inside(path: str, paths: list[str]) -> bool:
     return any(path == p or path.startswith(p + ">") for p in paths)
 
 
-def extract(found: list[tuple[str, int, str]], winners: list[tuple[str, float]]) -> str:
-    """The text of the winning region of greatest share of votes x share of the page's text, the first of equal ones; of
-    the page's own region if it has none of the winning ones."""
-    at, most = region(found), 0.0
+def branch(path: str, paths: list[str]) -> str:
+    """Where a block outside the paths leaves them: the container that parts from all of them, or, of one that holds some of
+    them, its own blocks (``*``)."""
+    steps, common = path.split(">"), 0
+    for other in paths:
+        held = other.split(">")
+        same = next((k for k, (a, b) in enumerate(zip(steps, held)) if a != b), min(len(steps), len(held)))  # noqa: B905
+        common = max(common, same)
+    return ">".join(steps[: common + 1]) if common < len(steps) else path + ">*"
+
+
+def beside(found: list[tuple[str, int, str]], paths: list[str]) -> dict[str, list[tuple[int, str]]]:
+    """(characters in links, text) of the blocks of each branch outside the paths."""
+    out: dict[str, list[tuple[int, str]]] = defaultdict(list)
+    for path, links, text in found:
+        if not inside(path, paths):
+            out[branch(path, paths)].append((links, text))
+    return out
+
+
+def linked(said: list[tuple[int, str]]) -> bool:
+    return 2 * sum(n for n, _ in said) >= sum(len(t) for _, t in said)
+
+
+def extract(found: list[tuple[str, int, str]], winners: list[str] = (), off: list[str] = ()) -> str:
+    """The text of a page whose host has those winning regions and side boxes (paths whose own blocks go); of a region that
+    holds nothing else, all."""
+    at = region(found)
     if at is None:
         return ""
-    total = sum(max(1, len(t) - 2 * n) for _, n, t in found)
-    for name, share in winners:
-        paths = name.split("\n")
-        held = share * sum(max(1, len(t) - 2 * n) for p, n, t in found if inside(p, paths)) / total
-        if held > most:
-            at, most = name, held
-    paths = at.split("\n")
-    return "\n".join(t for p, _, t in found if inside(p, paths))
+    own = at.split("\n")
+    safe = own + [p for name in winners for p in name.split("\n")]
+    lists = {b for b, said in beside(found, own).items() if linked(said)}
+    boxes = set(off)
+    kept = [t for p, _, t in found if p not in boxes and (inside(p, safe) or branch(p, own) not in lists)]
+    return "\n".join(kept or [t for p, _, t in found if inside(p, own)])
 
 
 def host(url: F.Column) -> F.Column:
@@ -197,39 +235,78 @@ def host(url: F.Column) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+VOTE = "host string, path string, said long, beside long, most boolean"
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per page of its region (said is null), and one per path with blocks of its own: digests (sums modulo 2 ** 63 of
+    those of the blocks) of what they say and of what the rest of the page does, and whether they are half of the page's text."""
     for part in pieces(batches, "html", 8 << 20):
-        paths = [region(blocks(x or "")) for x in part.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(paths, pa.string())], ["host", "path"])
+        rows: list[tuple[str, str, int | None, int, bool]] = []
+        for where, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+            found = blocks(page or "")
+            at = region(found)
+            if at is None:
+                continue
+            own, chars = defaultdict(int), defaultdict(int)
+            for path, _, text in found:
+                own[path] += _digest(text)
+                chars[path] += len(text)
+            total, length = sum(own.values()), sum(chars.values())
+            rows.append((where, at, None, 0, True))
+            rows += [(where, path, said % (1 << 63), (total - said) % (1 << 63), 2 * chars[path] >= length) for path, said in own.items()]
+        columns = zip(*rows, strict=True) if rows else ((),) * 5
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "said", "beside", "most"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in pieces(batches, "html", 8 << 20):
-        columns = (part.column(c).to_pylist() for c in ("html", "winners", "shares"))
-        texts = [extract(blocks(x or ""), list(zip(w or [], n or [], strict=True))) for x, w, n in zip(*columns, strict=True)]
+        columns = (part.column(c).to_pylist() for c in ("html", "winners", "off"))
+        texts = [extract(blocks(x or ""), w or [], b or []) for x, w, b in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def winning_paths(pages: DataFrame, share: float = WIN_SHARE) -> DataFrame:
-    """(host, winners, shares): regions with the share of the host's votes, most voted first, ties by path. A host of one page has one vote, which wins."""
-    votes = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_votes, "host string, path string").where("path is not null").groupBy("host", "path").count()
-    of_host = Window.partitionBy("host")
-    fair = votes.withColumn("all", F.sum("count").over(of_host)).where(F.col("count") >= share * F.col("all"))
-    ranked = fair.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("count") / F.col("all")).alias("n"), "path"))).alias("x"))
-    return ranked.select("host", F.col("x.path").alias("winners"), F.transform("x.n", lambda n: -n).alias("shares"))
+    """(host, winners, off): regions with the share of the host's votes, most voted first, ties by path; and the paths
+    that are side boxes.
+
+    A path is one if on half of its pages or more its own blocks are the smaller part of the text and say what they say
+    beside WITNESSES different texts at least, so pages stored twice are no witnesses. A host of one page has one vote,
+    which wins, and no side boxes.
+    """
+    votes = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_votes, VOTE)
+    counts = votes.groupBy("host", "path", "said", "beside").agg(F.count("*").alias("n"), F.count_if(~F.col("most")).alias("less"))
+    counts = counts.groupBy("host", "path", "said").agg(F.sum("n").alias("n"), F.when(F.count("*") >= WITNESSES, F.sum("less")).otherwise(0).alias("again"))
+    paths = counts.groupBy("host", "path", F.col("said").isNull().alias("is_region")).agg(F.sum("n").alias("n"), F.sum("again").alias("again"))
+    of_host = Window.partitionBy("host", "is_region")
+    fair = paths.withColumn("all", F.sum("n").over(of_host)).withColumn("box", ~F.col("is_region") & (2 * F.col("again") >= F.col("n")))
+    fair = fair.where(F.col("box") | F.col("is_region") & (F.col("n") >= share * F.col("all")))
+    lists = fair.groupBy("host").agg(
+        F.sort_array(F.collect_list(F.when(F.col("is_region"), F.struct((-F.col("n")).alias("n"), "path")))).alias("x"),
+        F.sort_array(F.collect_list(F.when(F.col("box"), F.col("path")))).alias("off"),
+    )
+    return lists.select("host", F.col("x.path").alias("winners"), "off")
 
 
 def extract_pages(pages: DataFrame, share: float = WIN_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of pages.
 
     Null and empty html, and pages of furniture only, give an empty text. Rows that repeat a page_id each give one. Only
-    page_id, url and html are read, so other columns can't clash. A host's votes are pre-aggregated before the shuffle,
-    so a hot host costs no more than another; pages aren't shuffled while the hosts are few enough to broadcast.
+    page_id, url and html are read, so other columns can't clash. Regions of equal votes all win. A host's votes are
+    pre-aggregated before the shuffle, so a hot host costs no more than another; pages aren't shuffled while the hosts
+    and their paths are few enough to broadcast.
     """
-    winners = winning_paths(pages, share)
-    few = pages.select(host(F.col("url")).alias("host")).distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(F.broadcast(winners) if few else winners, "host", "left")
-    return rows.select("page_id", "url", "html", "winners", "shares").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    paths = Scratch(pages.sparkSession, "html").save(winning_paths(pages, share))
+    size = F.length(F.array_join(F.concat("winners", "off"), " "))
+    held = paths.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(size), F.lit(0)).alias("chars")).first()
+    few = held.hosts <= BROADCAST_HOSTS and held.chars <= BROADCAST_CHARS
+    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(F.broadcast(paths) if few else paths, "host", "left")
+    return rows.select("page_id", "url", "html", "winners", "off").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
