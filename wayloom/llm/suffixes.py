@@ -4,13 +4,12 @@ Every 200-byte window picks an anchor: the 64-byte gram of least hash in it. Equ
 places, so all occurrences of a repeated window meet in the index list of its gram. The windows of one anchor are
 consecutive; together with the byte before them they are its context, some 270 bytes.
 
-1. Grams are dealt with a hash of their context's windows. Grams met once can't repeat; equal contexts are pre-aggregated
-   by that hash. If no other context shares their gram they are one interval of their own: repeated whole, with all their
-   places as occurrences, and their bytes needn't travel.
-2. Where contexts of one gram differ, one of each is dealt by gram with its bytes. A suffix array of their windows is
-   built by prefix doubling, with the common prefixes of neighbours; a stack scan yields the intervals of common prefixes
-   of 200 bytes and more, and those whose occurrences have different bytes to the left, or start a context, are the
-   repeats that can't be extended to the left. Every repeated window lies in one, so their occurrences are the spans.
+1. Grams are dealt with a hash of their context's windows, equal contexts of a batch once. Grams met once can't repeat.
+2. The contexts of a gram that is met again are dealt with their bytes, equal ones of a batch once, with all their places. A
+   suffix array of the windows of each gram's contexts is built by prefix doubling, with the common prefixes of
+   neighbours; a context of several places is a leaf that stands there twice. A stack scan yields the intervals of common
+   prefixes of 200 bytes and more, and those whose occurrences have different bytes to the left, or start a context, are
+   the repeats that can't be extended to the left. Every repeated window lies in one, so their occurrences are the spans.
 3. The spans of a document are joined back and cut out.
 
 A gram of very many contexts (a notice between ever other neighbours) is no group of its own: its windows are dealt by
@@ -38,8 +37,9 @@ BATCH_BYTES, SPAN = 4 << 20, 1 << 20
 #: Grams a bucket holds, about; bytes of contexts that a bucket holds, about.
 BUCKET_GRAMS, BUCKET_BYTES = 200_000, 4 << 20
 #: Different contexts from which a gram's windows are dealt one by one, and how many such grams are told apart, the most
-#: frequent first; contexts that a task holds to count them. Any choice gives the same result.
-HOT_CONTEXTS, HOT_GRAMS, HELD = 5_000, 1 << 16, 2_000_000
+#: frequent first; one of so many contexts is counted for that, by its hash, so counts of all tasks add up. Any choice gives
+#: the same result.
+HOT_CONTEXTS, HOT_GRAMS, COUNTED = 5_000, 1 << 19, 32
 
 
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -162,19 +162,43 @@ def ordered(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.lexsort(keys)
 
 
-def repeats(contexts: list[bytes], groups: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+def repeats(contexts: list[bytes], groups: np.ndarray, times: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """(context, window, intervals) of distinct contexts (a byte to the left, then windows), where groups is the gram of
-    each; only contexts of one gram can share windows.
+    each and times the number of its places; only contexts of one gram can share windows.
 
     context and window are those of the suffixes that start a repeat, in the order of the suffix array; an interval
     (length, first, last) is a group of them that shares length bytes, no more, and has different bytes to the left. The
-    first window of a context counts as having another byte to its left than any other, as it may go on in another one.
+    first window of a context counts as having another byte to its left than any other, as it may go on in another one. Of
+    a context of several places the suffix from its first window, the only one whose places may differ to the left, stands
+    there twice, next to itself, with all of its bytes in common.
     """
     order = np.argsort(groups, kind="stable")
-    size = np.bincount(np.unique(groups, return_inverse=True)[1])
-    order = order[np.repeat(size > 1, size)]
+    size = np.bincount(np.unique(groups, return_inverse=True)[1], minlength=1)
+    size = np.repeat(size, size)
+    # Windows of one context are never equal, so where a gram has no other one its first window is all there is to sort.
+    alone = order[(size == 1) & (times[order] > 1)]
+    context, window, lcp, left, first = _shared(contexts, order[size > 1], times, width)
+    n = len(alone)
+    context, window = np.concatenate([context, alone]), np.concatenate([window, np.zeros(n, np.int64)])
+    lcp, left, first = np.concatenate([lcp, np.zeros(n, np.int64)]), np.concatenate([left, np.zeros(n, np.uint8)]), np.concatenate([first, np.ones(n, bool)])
+    twice = first & (times[context] > 1)
+    at = np.repeat(np.arange(len(context)), 1 + twice)
+    copy = np.r_[False, at[1:] == at[:-1]][: len(at)]
+    whole = np.array([len(c) - 1 for c in contexts], np.int64)
+    context, window, left, first = context[at], window[at], left[at], first[at]
+    lcp = np.where(copy, whole[context], lcp[at])
+    changes = np.r_[0, np.cumsum((left[1:] != left[:-1]) | first[1:] | first[:-1])]
+    found = [(m, i, j) for m, i, j in intervals(lcp.tolist(), width) if changes[j] > changes[i]] if len(lcp) else []
+    return context, window, found
+
+
+def _shared(contexts: list[bytes], order: np.ndarray, times: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(context, window, common prefix with the one before, byte to the left, whether it is the context's first) of the
+    suffixes of the contexts in order, gram by gram, whose windows recur and aren't mere shifts of others."""
+    none = np.zeros(0, np.int64)
+    empty = none, none, none, np.zeros(0, np.uint8), np.zeros(0, bool)
     if not len(order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        return empty
     text = np.frombuffer(b"".join(contexts[i] for i in order), np.uint8)
     length = np.array([len(contexts[i]) for i in order])
     at = np.cumsum(length) - length
@@ -182,14 +206,14 @@ def repeats(contexts: list[bytes], groups: np.ndarray, width: int = WIDTH) -> tu
     owner = np.repeat(np.arange(len(order)), n)
     starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + at[owner] + 1
     sa, same = suffix_array(text, starts, width)
-    hit = same.copy()
+    where = np.searchsorted(at, sa, "right") - 1
+    first = sa == at[where] + 1
+    hit = same | first & (times[order[where]] > 1)
     hit[:-1] |= same[1:]
-    sa, same = sa[hit], same[hit]
+    sa, same, where, first = sa[hit], same[hit], where[hit], first[hit]
     if not len(sa):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        return empty
     # Runs that share width bytes; where all have one byte to the left, they are shifts of a run that is kept.
-    where = np.searchsorted(at, sa, "right") - 1
-    first = sa == at[where] + 1
     head, left = np.flatnonzero(~same), text[sa - 1]
     diverse = (np.minimum.reduceat(left, head) != np.maximum.reduceat(left, head)) | np.logical_or.reduceat(first, head)
     run = np.cumsum(~same) - 1
@@ -202,36 +226,21 @@ def repeats(contexts: list[bytes], groups: np.ndarray, width: int = WIDTH) -> tu
     sa, where, run, first, ends = (x[own] for x in (sa, where, run, first, ends))
     lcp = common_prefixes(text, ends, sa, width)
     lcp[np.r_[True, run[1:] != run[:-1]]] = 0
-    left = text[sa - 1]
-    changes = np.r_[0, np.cumsum((left[1:] != left[:-1]) | first[1:] | first[:-1])]
-    found = [(m, i, j) for m, i, j in intervals(lcp.tolist(), width) if changes[j] > changes[i]]
-    return order[where], sa - at[where] - 1, found
+    return order[where], sa - at[where] - 1, lcp, text[sa - 1], first
 
 
 def _hot_grams(docs: DataFrame) -> np.ndarray:
     """The grams of very many different contexts, a bounded number, ascending."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            both = np.concatenate(held, axis=1)
-            both = both[:, np.lexsort(both)]
-            new = np.r_[True, (both[:, 1:] != both[:, :-1]).any(axis=0)][: both.shape[1]]
-            g, n = np.unique(both[1, new], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(g[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["gram", "n"])
-
         for part in pieces(batches, "text", BATCH_BYTES):
             g, _, _, whole = anchors(*strings(part.column("text")))
-            held.append(np.stack([whole, g]))
-            if sum(x.shape[1] for x in held) > HELD:
-                yield flush()
-                held.clear()
-        if held:
-            yield flush()
-
-    sums = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_CONTEXTS)
-    few = sums.orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).select("gram").toPandas()
+            counted = mix(whole) % np.uint64(COUNTED) == 0
+            both = np.unique(np.stack([g[counted], whole[counted]]), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["gram", "whole"])
+
+    sums = docs.select("text").mapInArrow(count, "gram long, whole long").distinct().groupBy("gram").count().where(F.col("count") >= HOT_CONTEXTS // COUNTED)
+    few = sums.orderBy(F.desc("count"), "gram").limit(HOT_GRAMS).select("gram").toPandas()
     return np.sort(few["gram"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -357,14 +366,12 @@ def _classes(pdf: pd.DataFrame) -> tuple[list[tuple[int, bytes]], list[np.ndarra
 def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
     """(uid, spans) of a bucket: spans are bytes of (start, end) pairs, the occurrences of its intervals."""
     keys, places = _classes(pdf)
-    context, window, found = repeats([c for _, c in keys], np.array([g for g, _ in keys], np.int64))
+    context, window, found = repeats(*_leaves(keys, places))
     most = np.zeros(len(context), np.int64)
     for length, i, j in sorted(found):
         most[i : j + 1] = length  # of nested intervals the longest covers what the others do
-    # A context of several places is an interval itself.
-    whole = np.flatnonzero([len(x) > 1 for x in places])
-    context, window = np.concatenate([context[most > 0], whole]), np.concatenate([window[most > 0], np.zeros(len(whole), np.int64)])
-    length = np.concatenate([most[most > 0], np.array([len(keys[k][1]) - 1 for k in whole], np.int64)])
+    most[1:][(context[1:] == context[:-1]) & (window[1:] == window[:-1])] = 0  # a leaf that stands there twice
+    context, window, length = context[most > 0], window[most > 0], most[most > 0]
     n = np.array([len(places[k]) for k in context], np.int64)
     uid, start = np.concatenate([np.zeros((0, 2), np.int64), *(places[k] for k in context)]).T
     start = start + np.repeat(window, n)
@@ -372,6 +379,10 @@ def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["uid", "spans"]).astype({"uid": "int64"})
 
 
+def _leaves(keys: list[tuple[int, bytes]], places: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    return [c for _, c in keys], np.array([g for g, _ in keys], np.int64), np.array([len(x) for x in places], np.int64)
+
+
 def union(s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Maximal runs of bytes covered by [s, e), as rows (start, end)."""
     if not len(s):
@@ -452,15 +463,13 @@ def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
     """(uid, starts) of a bucket: bytes of (start, window hash) pairs where a maximal repeat may start, as the occurrences
     of these 200 bytes have different bytes, or none, to the left."""
     keys, places = _classes(pdf)
-    context, window, found = repeats([c for _, c in keys], np.array([g for g, _ in keys], np.int64))
+    context, window, found = repeats(*_leaves(keys, places))
     opens = np.array([(x[:, 1] == 0).any() for x in places], bool)  # whether a place is the start of a document
     runs = [np.unique(np.arange(i, j + 1)) for length, i, j in found if length >= WIDTH]
     wanted: dict[bytes, set[tuple[int, int]]] = defaultdict(set)
     for run in runs:
         for k, w in zip(context[run].tolist(), window[run].tolist(), strict=True):
             wanted[keys[k][1][w + 1 : w + 1 + WIDTH]].add((k, w))
-    for k in np.flatnonzero([len(x) > 1 for x in places]).tolist():
-        wanted[keys[k][1][1 : 1 + WIDTH]].add((k, 0))
     out = []
     for said, members in wanted.items():
         left = {keys[k][1][w] for k, w in members}
