@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ellipsoid import geodesic_m
 from ..functions.geo import EARTH_M, haversine_m
 
 #: Degrees of latitude of a row of cells in radius searches. Cells of a row are about as wide as high, whatever the latitude.
@@ -68,6 +69,20 @@ def radius_join(requests: DataFrame, points: DataFrame, height: float = CELL) ->
     return met.where("distance_m <= radius_m").drop("_y", "_x", "_lat", "_lon")
 
 
+#: A distance on the sphere is at most this times that on the ellipsoid, and the other way round.
+ELLIPSOID = 1.006
+
+
+def geodesic_join(requests: DataFrame, points: DataFrame, height: float = CELL) -> DataFrame:
+    """``radius_join`` on the ellipsoid: cells and sphere let a little more pass, the geodesic distance decides. Only pairs
+    that near go through Arrow."""
+    wide = requests.withColumn("_exact", F.col("radius_m")).withColumn("radius_m", F.col("radius_m") * ELLIPSOID)
+    wide = wide.withColumns({"_lat0": F.col("latitude"), "_lon0": F.col("longitude")})
+    near = radius_join(wide, points, height)
+    told = near.withColumn("distance_m", geodesic_m("_lat0", "_lon0", "latitude", "longitude"))
+    return told.where("distance_m <= _exact").withColumn("radius_m", F.col("_exact")).drop("_exact", "_lat0", "_lon0")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, metres: float, id_left: str, id_right: str, same: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (_a, _b, distance_m) of points at most that far apart, at any latitude and across 180 degrees; the columns
     ``same`` agree. ``right`` is dealt to the cells around it."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bbox, haversine_m, haversine_sql, in_polygon
-from ..operators.spatial import in_cells, near_pairs, nearest_match, over_cells, radius_join, scoped_experiences
+from ..operators.spatial import geodesic_join, in_cells, near_pairs, nearest_match, over_cells, radius_join, scoped_experiences
 from ..operators.vectors import cosine_to
 from ..sources import catalog as c
 from ..sources.catalog import with_
@@ -49,6 +49,18 @@ def geo_radius_catalog(spark, sf):
     return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 20").select("request_id", "rank", "experience_id", "score", F.round("distance_m", 4).alias("distance_m"))
 
 
+@query("op_geo_03_geodesic_radius")
+def geodesic_radius(spark, sf):
+    """The live radius search: verified experiences of which a resolved member lies within the radius on the ellipsoid, with
+    the least distance, nearest first."""
+    asked = c.request(spark).select("request_id", "latitude", "longitude", "radius_m")
+    near = geodesic_join(asked, c.geo_entity(spark, sf).select("entity_id", "latitude", "longitude")).select("request_id", "entity_id", "distance_m")
+    scoped = c.resolved_member(spark, sf).join(near, "entity_id").groupBy("request_id", "experience_id").agg(F.min("distance_m").alias("distance_m"))
+    scoped = scoped.join(c.experience(spark, sf).where("status = 'VERIFIED'").select("experience_id"), "experience_id", "left_semi")
+    order = Window.partitionBy("request_id").orderBy("distance_m", "experience_id")
+    return scoped.select("request_id", F.row_number().over(order).alias("rank"), "experience_id", F.round("distance_m", 4).alias("distance_m"))
+
+
 @query("op_join_04_nearest_match", with_("geo_entity", f"""SELECT left_id, right_id, round(d, 4) AS distance_m FROM (
   SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY d, right_id) AS n FROM (
     SELECT a.entity_id AS left_id, b.entity_id AS right_id, {haversine_sql('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS d
