@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayloom.functions.policy import decisive_evidence, qid, quotable, source_document, span_support, statements, visible_heading
+from wayloom.functions.rules import IDENTITY_RULES, identity_verdict, opening_week, repair_json, route_variant
 from wayloom.operators.rings import close_rings, stitch
 from wayloom.plans import catalog
 
@@ -94,3 +95,80 @@ def test_segments_equal_a_walk_over_the_atoms(spark, sf, duck):
             run = role == "ALTERNATIVE"
     got = catalog.QUERIES["op_txt_07_segments"](spark, sf).collect()
     assert sorted(map(tuple, got)) == sorted((*s[:5], len(s[5]), *s[6:]) for s in want)
+
+
+EVIDENCE = {
+    "contradiction": ("", "FOUND"), "route": ("", "MULTIPLE_CLUSTERS", "COMPATIBLE", "INCOMPATIBLE"), "variant": ("", "SINGLE", "MULTIPLE", "UNKNOWN"), "hint": ("", "SINGLE", "MULTIPLE", "UNKNOWN"), "contextual": ("", "DISTINGUISHED", "AMBIGUOUS"),
+    "declared": ("", "FOUND"), "address": ("", "FOUND"), "competitors": ("", "MATERIAL_COMPETITOR_KNOWN", "NO_MATERIAL_COMPETITOR", "NO_COMPETITOR_OBSERVED"), "wikidata_source": ("", "LINK", "NEARBY"), "wikidata_role": ("CORROBORATING", "CONTRADICTORY", "NEUTRAL"),
+    "correspondence": ("", "ADMISSION_SCOPE_ONLY", "POINT_IN_AREA"), "convergence": ("", "CORROBORATING", "NEUTRAL"), "name": ("", "SINGLE", "MULTIPLE", "UNKNOWN"), "alias": ("", "SINGLE", "MULTIPLE", "UNKNOWN"), "alias_role": ("CORROBORATING", "NEUTRAL"), "wikidata_unavailable": ("", "FOUND"),
+}
+
+
+def plain_identity(e):
+    """The decision as nested questions, from what is strongest to what is missing."""
+    if e["contradiction"]:
+        return "REJECTED", "IDENTITY_CONTRADICTION"
+    if e["route"] in ("MULTIPLE_CLUSTERS", "COMPATIBLE"):
+        return ("AMBIGUOUS" if e["route"] == "MULTIPLE_CLUSTERS" else "VERIFIED"), "STRUCTURED_ROUTE"
+    for field, rule, good, bad in (("variant", "CATALOG_ROUTE_VARIANT", "SINGLE", "MULTIPLE"), ("hint", "CATALOG_VERIFIED_HINT", "SINGLE", "MULTIPLE"), ("contextual", "CONTEXTUAL_CORRESPONDENCE", "DISTINGUISHED", "AMBIGUOUS")):
+        if e[field] in (good, bad):
+            return ("VERIFIED" if e[field] == good else "AMBIGUOUS"), rule
+    for field, rule in (("declared", "SOURCE_DECLARED_IDENTITY"), ("address", "ADDRESS_MATCH")):
+        if e[field]:
+            return "VERIFIED", rule
+    if e["competitors"] == "MATERIAL_COMPETITOR_KNOWN":
+        return "AMBIGUOUS", "MATERIAL_COMPETITOR_KNOWN"
+    linked, agrees = e["wikidata_source"], e["wikidata_role"] == "CORROBORATING"
+    if linked == "LINK" and agrees:
+        return "VERIFIED", "QID_LINK"
+    collides = "MULTIPLE" in (e["name"], e["alias"])
+    if e["correspondence"] == "POINT_IN_AREA":
+        if e["convergence"] == "CORROBORATING" and e["competitors"] == "NO_MATERIAL_COMPETITOR":
+            return "VERIFIED", "GROUNDED_CONVERGENCE"
+        if e["name"] == "SINGLE":
+            return "VERIFIED", "GROUNDED_UNIQUE_EXACT_NAME"
+        if e["alias"] == "SINGLE" and e["alias_role"] == "CORROBORATING":
+            return "VERIFIED", "GROUNDED_UNIQUE_ALIAS"
+        if linked and agrees and not (collides and linked == "NEARBY"):
+            return "VERIFIED", "WIKIDATA_CORROBORATION"
+    if linked and collides:
+        return "AMBIGUOUS", "NAME_COLLISION"
+    if linked and e["wikidata_role"] == "CONTRADICTORY":
+        return "REJECTED", "QID_LINK_MISMATCH"
+    if e["wikidata_unavailable"]:
+        return "INSUFFICIENT_EVIDENCE", "WIKIDATA_UNAVAILABLE"
+    if collides:
+        return "AMBIGUOUS", "NAME_COLLISION"
+    return "INSUFFICIENT_EVIDENCE", "NAME_UNIQUENESS_UNKNOWN" if "UNKNOWN" in (e["name"], e["alias"]) else "NO_DECISIVE_EVIDENCE"
+
+
+def test_identity_rules_reach_every_branch(spark):
+    r = random.Random(6)
+    cases = [{n: (r.choice(v) if r.random() < p else v[0] if n not in ("wikidata_role", "alias_role") else r.choice(v)) for n, v in EVIDENCE.items()} for p in (0.15, 0.4, 0.8) for _ in range(2500)]
+    rows = spark.createDataFrame([(i, *e.values()) for i, e in enumerate(cases)], "i int, " + ", ".join(f"{n} string" for n in EVIDENCE))
+    got = {x.i: (x.v.status, x.v.rule) for x in rows.select("i", identity_verdict().alias("v")).collect()}
+    assert got == {i: plain_identity(e) for i, e in enumerate(cases)}
+    assert {rule for _, rule in got.values()} == {rule for rule, _, _ in IDENTITY_RULES} | {"NO_DECISIVE_EVIDENCE"}
+
+
+def test_identity_query_reaches_most_rules(spark):
+    rules = {r.rule for r in catalog.QUERIES["op_er_16_identity_verdict"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(rules) >= 16, rules
+
+
+def test_designators_whatever_their_accents(spark):
+    assert column(spark, ["Callejón del Agua", "CALLEJÓN X", "Callejón Y", "Callejón", "Av. Mayo St.", "North Park"], route_variant) == ["del Agua", "X", "Y", "Callejón", "Mayo", "North Park"]
+
+
+def test_repair_knows_strings(spark):
+    broken = ['{"u": "https://x.org/a", "c": "a, ]", // off\n "n": [1, 2, /* b */ ],}', '{"a": "x /* y */ z", "b": "tab\there\\" , }"}', '{"a": 1, /* open', '{"open', "", None, '{"a": [1,],"b": {"c": 2 , }}']
+    want = ['{"u": "https://x.org/a", "c": "a, ]",  "n": [1, 2  ]}', '{"a": "x /* y */ z", "b": "tab\\there\\" , }"}', '{"a": 1, ', '{"open', "", None, '{"a": [1],"b": {"c": 2  }}']
+    got = column(spark, broken, repair_json)
+    assert [None if g is None else " ".join(g.split()) for g in got] == [None if w is None else " ".join(w.split()) for w in want]
+
+
+def test_weeks_known_and_unknown(spark):
+    weeks = [["Monday: Closed"], ["Sunday 9-5", "x"], [], None, ["Friday: 11:00 PM – 2:00 AM", "Saturday: closed"]]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(weeks)], "i int, w array<string>").select("i", opening_week(F.col("w")).alias("v")).orderBy("i").collect()
+    told = [None if r.v is None else [(d.weekday, [tuple(x) for x in d.ranges]) for d in r.v] for r in rows]
+    assert told == [[(1, [])], None, None, None, [(5, [(1380, 1440)]), (6, [(0, 120)])]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,47 +32,83 @@ def pair_decision(evidence: Column, activity: Column, left_type: Column, right_t
     )
 
 
-def identity_verdict(e: dict[str, Column]) -> Column:
-    """VERIFIED, AMBIGUOUS, REJECTED or INSUFFICIENT from typed evidence (columns by name; booleans but where a text is named)."""
-    grounded, corroborated = e["grounded"], e["corroborating"]
-    return (
-        F.when(e["contradiction"], "REJECTED")
-        .when(e["route_clusters"] > 1, "AMBIGUOUS").when((e["route_clusters"] == 1) & e["route_compatible"], "VERIFIED")
-        .when(e["hint"] == "SINGLE", "VERIFIED").when(e["hint"] == "MULTIPLE", "AMBIGUOUS")
-        .when(e["contextual"] == "DISTINGUISHED", "VERIFIED").when(e["contextual"] == "AMBIGUOUS", "AMBIGUOUS")
-        .when(e["declared"] | e["address"], "VERIFIED").when(e["competitor"], "AMBIGUOUS")
-        .when(e["qid"] & ~e["nearby"] & corroborated, "VERIFIED")
-        .when(e["convergence"] & corroborated & grounded & e["pool_complete"], "VERIFIED")
-        .when((e["name"] == "SINGLE") & grounded, "VERIFIED").when((e["alias"] == "SINGLE") & grounded & corroborated, "VERIFIED")
-        .when(e["wikidata"] == "MATCH", F.when(corroborated & grounded, "VERIFIED").otherwise("AMBIGUOUS")).when(e["wikidata"] == "COLLISION", "AMBIGUOUS").when(e["wikidata"] == "CONTRADICTORY", "REJECTED")
-        .when(e["wikidata"] == "UNAVAILABLE", "INSUFFICIENT").when((e["name"] == "MULTIPLE") | (e["alias"] == "MULTIPLE"), "AMBIGUOUS").otherwise("INSUFFICIENT")
-    )
+#: Rules of identity in order: name, condition over the evidence's columns, status (fixed values; conditions in SQL, which
+#: both engines read). Absent evidence is the empty text; grounded: the place corresponds by more than the search's scope.
+GROUNDED = "correspondence NOT IN ('', 'ADMISSION_SCOPE_ONLY')"
+COLLIDES = "(name = 'MULTIPLE' OR alias = 'MULTIPLE')"
+IDENTITY_RULES = (
+    ("IDENTITY_CONTRADICTION", "contradiction <> ''", "REJECTED"),
+    ("STRUCTURED_ROUTE", "route = 'MULTIPLE_CLUSTERS'", "AMBIGUOUS"),
+    ("STRUCTURED_ROUTE", "route = 'COMPATIBLE'", "VERIFIED"),
+    ("CATALOG_ROUTE_VARIANT", "variant = 'SINGLE'", "VERIFIED"),
+    ("CATALOG_ROUTE_VARIANT", "variant = 'MULTIPLE'", "AMBIGUOUS"),
+    ("CATALOG_VERIFIED_HINT", "hint = 'SINGLE'", "VERIFIED"),
+    ("CATALOG_VERIFIED_HINT", "hint = 'MULTIPLE'", "AMBIGUOUS"),
+    ("CONTEXTUAL_CORRESPONDENCE", "contextual = 'DISTINGUISHED'", "VERIFIED"),
+    ("CONTEXTUAL_CORRESPONDENCE", "contextual = 'AMBIGUOUS'", "AMBIGUOUS"),
+    ("SOURCE_DECLARED_IDENTITY", "declared <> ''", "VERIFIED"),
+    ("ADDRESS_MATCH", "address <> ''", "VERIFIED"),
+    ("MATERIAL_COMPETITOR_KNOWN", "competitors = 'MATERIAL_COMPETITOR_KNOWN'", "AMBIGUOUS"),
+    ("QID_LINK", "wikidata_source = 'LINK' AND wikidata_role = 'CORROBORATING'", "VERIFIED"),
+    ("GROUNDED_CONVERGENCE", f"{GROUNDED} AND convergence = 'CORROBORATING' AND competitors = 'NO_MATERIAL_COMPETITOR'", "VERIFIED"),
+    ("GROUNDED_UNIQUE_EXACT_NAME", f"{GROUNDED} AND name = 'SINGLE'", "VERIFIED"),
+    ("GROUNDED_UNIQUE_ALIAS", f"{GROUNDED} AND alias = 'SINGLE' AND alias_role = 'CORROBORATING'", "VERIFIED"),
+    ("WIKIDATA_CORROBORATION", f"wikidata_source <> '' AND wikidata_role = 'CORROBORATING' AND (NOT {COLLIDES} OR wikidata_source <> 'NEARBY') AND {GROUNDED}", "VERIFIED"),
+    ("NAME_COLLISION", f"wikidata_source <> '' AND {COLLIDES}", "AMBIGUOUS"),
+    ("QID_LINK_MISMATCH", "wikidata_source <> '' AND wikidata_role = 'CONTRADICTORY'", "REJECTED"),
+    ("WIKIDATA_UNAVAILABLE", "wikidata_unavailable <> ''", "INSUFFICIENT_EVIDENCE"),
+    ("NAME_COLLISION", COLLIDES, "AMBIGUOUS"),
+    ("NAME_UNIQUENESS_UNKNOWN", "name = 'UNKNOWN' OR alias = 'UNKNOWN'", "INSUFFICIENT_EVIDENCE"),
+)
+
+
+def identity_verdict() -> Column:
+    """struct(status, rule) of rows with the columns of IDENTITY_RULES; the first rule that fires decides."""
+    told = lambda status, rule: F.struct(F.lit(status).alias("status"), F.lit(rule).alias("rule"))
+    out = F.when(F.lit(False), told("", ""))
+    for rule, condition, status in IDENTITY_RULES:
+        out = out.when(F.expr(condition), told(status, rule))
+    return out.otherwise(told("INSUFFICIENT_EVIDENCE", "NO_DECISIVE_EVIDENCE"))
 
 
 def route_variant(name: Column) -> Column:
-    """The name without one leading and one trailing designator, where something is left; white space as one space."""
+    """The name without one leading and one trailing designator, whatever their case and accents, where something is left;
+    white space as one space."""
     words = F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " ")
-    key = lambda w: F.regexp_replace(F.lower(w), r"\.$", "")
+    key = lambda w: F.translate(F.lower(F.regexp_replace(w, r"[.\u0300-\u036f]", "")), "áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc")
     lead = (F.size(words) > 1) & key(words[0]).isin(*LEADING)
     rest = F.when(lead, F.slice(words, 2, F.size(words) - 1)).otherwise(words)
     trail = (F.size(rest) > 1) & key(F.element_at(rest, -1)).isin(*TRAILING)
     return F.array_join(F.when(trail, F.slice(rest, 1, F.size(rest) - 1)).otherwise(rest), " ")
 
 
+CLOCK = r"(\d{1,2}):(\d{2})\s*([AaPp][Mm])?\s*[–-]\s*(\d{1,2}):(\d{2})\s*([AaPp][Mm])?"
+
+
+def _weekday(line: Column) -> Column:
+    weekdays = F.create_map(*[F.lit(x) for k, d in enumerate(WEEKDAYS) for x in (d, k)])
+    return F.when(F.instr(line, ":") > 0, weekdays[F.lower(F.trim(F.substring_index(line, ":", 1)))])
+
+
+def _said(line: Column) -> Column:
+    return F.trim(F.substring(line, F.instr(line, ":") + 1, F.length(line)))
+
+
+def _closed(line: Column) -> Column:
+    return F.contains(F.lower(_said(line)), F.lit("closed"))
+
+
 def opening_ranges(lines: Column) -> Column:
     """array<struct<weekday, start, end>> in minutes of weekday texts; 0 is Sunday. A range past midnight is split over two
     days, one that ends at midnight ends at 24:00, closed days and lines that can't be read have none."""
-    clock = r"(\d{1,2}):(\d{2})\s*([AaPp][Mm])?\s*[–-]\s*(\d{1,2}):(\d{2})\s*([AaPp][Mm])?"
-    weekdays = F.create_map(*[F.lit(x) for k, d in enumerate(WEEKDAYS) for x in (d, k)])
 
     def parts(line: Column) -> Column:
-        day = weekdays[F.lower(F.trim(F.substring_index(line, ":", 1)))]
-        rest = F.trim(F.substring(line, F.instr(line, ":") + 1, F.length(line)))
-        texts = F.when(day.isNotNull() & (F.instr(line, ":") > 0) & ~F.contains(F.lower(rest), F.lit("closed")), F.split(rest, ",")).otherwise(F.array().cast("array<string>"))
-        return F.transform(F.filter(texts, lambda t: F.regexp_like(t, F.lit(clock))), lambda t: F.struct(day.alias("day"), t.alias("text")))
+        day = _weekday(line)
+        texts = F.when(day.isNotNull() & ~_closed(line), F.split(_said(line), ",")).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.filter(texts, lambda t: F.regexp_like(t, F.lit(CLOCK))), lambda t: F.struct(day.alias("day"), t.alias("text")))
 
     def group(t: Column, k: int) -> Column:
-        return F.regexp_extract(t, clock, k)
+        return F.regexp_extract(t, CLOCK, k)
 
     def minutes(hour: Column, minute: Column, half: Column) -> Column:
         h = F.when(half == "", hour.cast("int")).otherwise(hour.cast("int") % 12 + F.when(F.lower(half) == "pm", 12).otherwise(0))
@@ -91,6 +128,22 @@ def opening_ranges(lines: Column) -> Column:
     return F.flatten(F.transform(F.flatten(F.transform(lines, parts)), ranges))
 
 
+def opening_week(lines: Column) -> Column:
+    """array<struct<weekday, ranges>> of the days that are known, closed ones with no range; null where no line can be read,
+    which is unknown and never taken for closed. A day is known by its own line or by a range that reaches into it."""
+    ranges = opening_ranges(lines)
+    closed = F.transform(F.filter(lines, lambda t: _weekday(t).isNotNull() & _closed(t)), lambda t: _weekday(t).cast("int"))
+    days = F.array_sort(F.array_union(closed, F.transform(ranges, lambda r: r["weekday"])))
+    own = lambda d: F.transform(F.filter(ranges, lambda r: r["weekday"] == d), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    return F.when(F.size(days) > 0, F.transform(days, lambda d: F.struct(d.alias("weekday"), own(d).alias("ranges"))))
+
+
+def open_during(week: Column, weekday: Column, start: Column, end: Column) -> Column:
+    """Within one range of the day; unknown weeks and days count as open."""
+    day = F.get(F.filter(week, lambda d: d["weekday"] == weekday), F.lit(0))
+    return F.coalesce(F.exists(day["ranges"], lambda r: (start >= r["start"]) & (end <= r["end"])), F.lit(True))
+
+
 def _balanced(text: str) -> str:
     """The first object of a text with balanced braces, strings aside; else from the first to the last brace."""
     start, depth, quoted, escaped = text.find("{"), 0, False, False
@@ -110,18 +163,20 @@ def _balanced(text: str) -> str:
     return text[start : stop + 1] if 0 <= start < stop else text
 
 
-def _quoted_controls(text: str) -> str:
-    """Line ends and tabs inside strings become escapes."""
-    out, quoted, escaped = [], False, False
-    for c in text:
-        if escaped or c == "\\":
-            escaped = not escaped
-        elif c == '"':
-            quoted = not quoted
-        elif quoted:
-            c = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(c, c)
-        out.append(c)
-    return "".join(out)
+#: What repairing looks at: strings, which may not be closed; comments; commas.
+LEXEME = re.compile(r'"(?:[^"\\]|\\.)*"?|/\*.*?(?:\*/|\Z)|//[^\n]*|,', re.S)
+AFTER_COMMA = re.compile(r"(?:\s|/\*.*?\*/|//[^\n]*)*[}\]]", re.S)
+CONTROLS = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
+def _repaired(text: str) -> str:
+    def mend(m: re.Match) -> str:
+        said = m[0]
+        if said[0] == '"':
+            return re.sub(r"[\n\r\t]", lambda c: CONTROLS[c[0]], said)
+        return "," if said == "," and not AFTER_COMMA.match(text, m.end()) else ""
+
+    return LEXEME.sub(mend, text)
 
 
 @F.pandas_udf(StringType())
@@ -131,9 +186,9 @@ def balanced_object(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 @F.pandas_udf(StringType())
-def quoted_controls(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def repaired_object(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
-        yield s.map(lambda x: None if x is None else _quoted_controls(x))
+        yield s.map(lambda x: None if x is None else _repaired(x))
 
 
 def extract_json(text: Column) -> Column:
@@ -144,7 +199,5 @@ def extract_json(text: Column) -> Column:
 
 
 def repair_json(text: Column) -> Column:
-    """Trailing commas and comments off, line ends and tabs inside strings escaped."""
-    out = F.regexp_replace(text, r",(\s*[}\]])", "$1")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?s)/\*.*?\*/", ""), r"(?m)//.*$", "")
-    return quoted_controls(out)
+    """Trailing commas and comments off, line ends and tabs inside strings escaped; what strings hold otherwise stays."""
+    return repaired_object(text)

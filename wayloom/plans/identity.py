@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, haversine_sql
 from ..functions.quality import notability_score
-from ..functions.rules import extract_json, identity_verdict, opening_ranges, pair_decision, price_level, repair_json, route_variant
+from ..functions.rules import IDENTITY_RULES, extract_json, identity_verdict, open_during, opening_ranges, opening_week, pair_decision, price_level, repair_json, route_variant
 from ..functions.text import name_match, norm_name
 from ..operators.graph import components
 from ..operators.spatial import in_cells, over_cells, radius_join
@@ -77,7 +77,7 @@ def refill_anchors(spark, sf):
     return radius_join(asked, density(spark, sf).where("n > 0")).withColumn("rank", F.row_number().over(order)).where("rank <= 8").select("request_id", "rank", "entity_id", "n")
 
 
-_LEAD, _TRAIL = ["Calle", "Av.", "North", "AVENIDA", "Pasaje"], ["St", "Road", "Park", "Blvd."]
+_LEAD, _TRAIL = ["Callejón", "Av.", "North", "AVENIDA", "Pasaje"], ["St", "Road", "Park", "Blvd."]
 
 
 @query("op_str_15_route_variants", "WITH x AS (SELECT p_partkey, " + "[" + ", ".join(f"'{x}'" for x in _LEAD) + "][p_partkey % 5 + 1] || '  ' || p_name || ' ' || [" + ", ".join(f"'{x}'" for x in _TRAIL) + "][p_partkey % 4 + 1] AS raw FROM part) SELECT p_partkey, regexp_replace(raw, '\\s+', ' ', 'g') AS raw, (CASE WHEN p_partkey % 5 = 2 THEN 'North ' ELSE '' END) || p_name || (CASE WHEN p_partkey % 4 = 2 THEN ' Park' ELSE '' END) AS variant FROM x JOIN part USING (p_partkey)")
@@ -92,14 +92,32 @@ SELECT s_suppkey, CAST(weekday AS INTEGER) AS weekday, CAST(s AS INTEGER) AS sta
  SELECT s_suppkey, 1 AS weekday, (7 + h) * 60 AS s, 18 * 60 AS e FROM k UNION ALL SELECT s_suppkey, 3, 12 * 60, 15 * 60 FROM k UNION ALL SELECT s_suppkey, 3, (19 + h) * 60, 23 * 60 + 30 FROM k
  UNION ALL SELECT s_suppkey, 4, 10 * 60 + h, 18 * 60 + 30 FROM k UNION ALL SELECT s_suppkey, 5, 23 * 60, 1440 FROM k UNION ALL SELECT s_suppkey, 6, 0, (1 + h) * 60 FROM k UNION ALL SELECT s_suppkey, 6, (20 + h) * 60, 1440 FROM k)""")
 def opening_hours(spark, sf):
+    rows = c.read(spark, sf, "supplier")
+    return rows.select("s_suppkey", F.explode(opening_ranges(_hours())).alias("r")).select("s_suppkey", "r.weekday", "r.start", "r.end")
+
+
+def _hours():
     h = F.col("s_suppkey") % 4
     n = lambda first: (h + first).cast("string")
-    lines = F.array(
+    return F.array(
         F.concat(F.lit("Monday: "), n(7), F.lit(":00 AM – 6:00 PM")), F.lit("Tuesday: Closed"), F.concat(F.lit("Wednesday: 12:00 – 3:00 PM, "), n(7), F.lit(":00 – 11:30 PM")),
         F.concat(F.lit("thursday: 10:0"), h.cast("string"), F.lit(" - 18:30")), F.concat(F.lit("Friday: 11:00 PM – "), n(1), F.lit(":00 AM")), F.concat(F.lit("Saturday: "), n(8), F.lit(":00 PM – 12:00 AM")),
         F.lit("Holiday: 9:00 - 10:00"), F.lit("Sunday 9-5"),
     )
-    return c.read(spark, sf, "supplier").select("s_suppkey", F.explode(opening_ranges(lines)).alias("r")).select("s_suppkey", "r.weekday", "r.start", "r.end")
+
+
+@query("op_date_03_known_days", """WITH r AS (SELECT s_suppkey, s_suppkey % 4 AS h, s_suppkey % 5 AS v, unnest(range(0, 7)) AS weekday FROM supplier),
+s AS (SELECT *, CASE WHEN v = 3 OR v = 4 THEN 'UNKNOWN' WHEN v = 2 THEN CASE WHEN weekday = 1 THEN 'CLOSED' ELSE 'UNKNOWN' END WHEN weekday = 0 THEN 'UNKNOWN' WHEN weekday = 2 THEN 'CLOSED' ELSE 'OPEN' END AS state FROM r)
+SELECT s_suppkey, CAST(weekday AS INTEGER) AS weekday, state, state = 'UNKNOWN' OR CASE weekday WHEN 1 THEN state = 'OPEN' AND (7 + h) * 60 <= 600 WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN h = 0 WHEN 5 THEN false WHEN 6 THEN false END AS open FROM s""")
+def known_days(spark, sf):
+    """What each day of a week is known to be, and whether a visit from 10:00 to 11:00 fits: unknown days let it. Weeks are
+    read, closed on one day, unreadable or absent."""
+    v = F.col("s_suppkey") % 5
+    lines = F.when(v < 2, _hours()).when(v == 2, F.array(F.lit("Monday: CLOSED"), F.lit("Dimanche: 9:00 - 10:00"))).when(v == 3, F.array(F.lit("Sunday 9-5"), F.lit("Monday: by appointment"), F.lit("")))
+    rows = c.read(spark, sf, "supplier").select("s_suppkey", opening_week(lines).alias("week")).select("*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
+    day = F.get(F.filter("week", lambda d: d["weekday"] == F.col("weekday")), F.lit(0))
+    state = F.when(day.isNull(), "UNKNOWN").when(F.size(day["ranges"]) == 0, "CLOSED").otherwise("OPEN")
+    return rows.select("s_suppkey", "weekday", state.alias("state"), open_during(F.col("week"), F.col("weekday"), F.lit(600), F.lit(660)).alias("open"))
 
 
 @query("op_json_01_extract", """SELECT event_id, '{"a": "x } \\" y", "p": ' || props || '}' AS object FROM events""")
@@ -173,34 +191,29 @@ def clusters(spark, sf):
     return proposals(spark, sf).select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
-_FACTS = ("contradiction", "route_compatible", "declared", "address", "competitor", "qid", "nearby", "corroborating", "convergence", "grounded", "pool_complete")
-_PRIMES = (29, 3, 23, 19, 17, 5, 4, 2, 6, 3, 5)
-_NAMES = {"hint": (31, "SINGLE", "MULTIPLE"), "contextual": (37, "DISTINGUISHED", "AMBIGUOUS"), "name": (4, "SINGLE", "MULTIPLE"), "alias": (7, "SINGLE", "MULTIPLE")}
-_WIKI = ("MATCH", "COLLISION", "CONTRADICTORY", "UNAVAILABLE")
+#: Kinds of evidence and their values by key: name, factor, values (constants); the empty text is none.
+_EVIDENCE = (
+    ("contradiction", 31, ("",) * 29 + ("FOUND",)), ("route", 37, ("",) * 11 + ("MULTIPLE_CLUSTERS", "COMPATIBLE", "INCOMPATIBLE")), ("variant", 41, ("",) * 12 + ("SINGLE", "MULTIPLE", "UNKNOWN")), ("hint", 43, ("",) * 13 + ("SINGLE", "MULTIPLE", "UNKNOWN")),
+    ("contextual", 47, ("",) * 11 + ("DISTINGUISHED", "AMBIGUOUS")), ("declared", 53, ("",) * 19 + ("FOUND",)), ("address", 59, ("",) * 17 + ("FOUND",)), ("competitors", 61, ("", "NO_MATERIAL_COMPETITOR", "NO_MATERIAL_COMPETITOR", "NO_COMPETITOR_OBSERVED", "NO_MATERIAL_COMPETITOR", "", "", "MATERIAL_COMPETITOR_KNOWN")),
+    ("wikidata_source", 67, ("", "", "", "LINK", "NEARBY", "NEARBY")), ("wikidata_role", 71, ("CORROBORATING", "CONTRADICTORY", "NEUTRAL", "NEUTRAL")), ("correspondence", 73, ("", "ADMISSION_SCOPE_ONLY", "POINT_IN_AREA")),
+    ("convergence", 79, ("", "", "CORROBORATING", "NEUTRAL")), ("name", 83, ("", "", "SINGLE", "MULTIPLE", "UNKNOWN")), ("alias", 89, ("", "", "", "SINGLE", "MULTIPLE", "UNKNOWN")), ("alias_role", 97, ("CORROBORATING", "NEUTRAL")), ("wikidata_unavailable", 101, ("",) * 5 + ("FOUND",)),
+)
 
 
 def _evidence_sql():
-    flags = [f"p_partkey % {n} = {1 if n > 2 else 0} AS {f}" for f, n in zip(_FACTS, _PRIMES, strict=True)]
-    texts = [f"CASE p_partkey % {n} WHEN 2 THEN '{a}' WHEN 3 THEN '{b}' END AS {f}" for f, (n, a, b) in _NAMES.items()]
-    wiki = "CASE p_partkey % 11 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_WIKI)) + " END AS wikidata"
-    return ", ".join([*flags, *texts, wiki, "CASE WHEN p_partkey % 13 < 3 THEN p_partkey % 13 ELSE 0 END AS route_clusters"])
-
-
-@query("op_er_16_identity_verdict", f"""WITH e AS (SELECT p_partkey, {_evidence_sql()} FROM part)
-SELECT p_partkey, CASE WHEN contradiction THEN 'REJECTED' WHEN route_clusters > 1 THEN 'AMBIGUOUS' WHEN route_clusters = 1 AND route_compatible THEN 'VERIFIED' WHEN hint = 'SINGLE' THEN 'VERIFIED' WHEN hint = 'MULTIPLE' THEN 'AMBIGUOUS'
- WHEN contextual = 'DISTINGUISHED' THEN 'VERIFIED' WHEN contextual = 'AMBIGUOUS' THEN 'AMBIGUOUS' WHEN declared OR address THEN 'VERIFIED' WHEN competitor THEN 'AMBIGUOUS' WHEN qid AND NOT nearby AND corroborating THEN 'VERIFIED'
- WHEN convergence AND corroborating AND grounded AND pool_complete THEN 'VERIFIED' WHEN name = 'SINGLE' AND grounded THEN 'VERIFIED' WHEN alias = 'SINGLE' AND grounded AND corroborating THEN 'VERIFIED'
- WHEN wikidata = 'MATCH' THEN CASE WHEN corroborating AND grounded THEN 'VERIFIED' ELSE 'AMBIGUOUS' END WHEN wikidata = 'COLLISION' THEN 'AMBIGUOUS' WHEN wikidata = 'CONTRADICTORY' THEN 'REJECTED'
- WHEN wikidata = 'UNAVAILABLE' THEN 'INSUFFICIENT' WHEN name = 'MULTIPLE' OR alias = 'MULTIPLE' THEN 'AMBIGUOUS' ELSE 'INSUFFICIENT' END AS verdict FROM e""")
+    return ", ".join("[" + ", ".join(f"'{v}'" for v in values) + f"][p_partkey * {factor} % 9973 % {len(values)} + 1] AS {name}" for name, factor, values in _EVIDENCE)
+
+
+def _rules_sql(which):
+    return "CASE " + " ".join(f"WHEN {condition} THEN '{(rule, status)[which]}'" for rule, condition, status in IDENTITY_RULES) + f" ELSE '{('NO_DECISIVE_EVIDENCE', 'INSUFFICIENT_EVIDENCE')[which]}' END"
+
+
+@query("op_er_16_identity_verdict", f"WITH e AS (SELECT p_partkey, {_evidence_sql()} FROM part) SELECT p_partkey, {_rules_sql(1)} AS status, {_rules_sql(0)} AS rule FROM e")
 def verdicts(spark, sf):
     k = F.col("p_partkey")
-    e = {f: k % n == (1 if n > 2 else 0) for f, n in zip(_FACTS, _PRIMES, strict=True)}
-    e |= {f: F.coalesce(F.when(k % n == 2, a).when(k % n == 3, b), F.lit("")) for f, (n, a, b) in _NAMES.items()}
-    wiki = F.lit("")
-    for v in reversed(list(enumerate(_WIKI))):
-        wiki = F.when(k % 11 == v[0], v[1]).otherwise(wiki)
-    e |= {"wikidata": wiki, "route_clusters": F.when(k % 13 < 3, k % 13).otherwise(0)}
-    return c.read(spark, sf, "part").select("p_partkey", identity_verdict(e).alias("verdict"))
+    value = lambda factor, values: F.element_at(F.array(*map(F.lit, values)), (k * factor % 9973 % len(values) + 1).cast("int"))
+    rows = c.read(spark, sf, "part").select("p_partkey", *[value(factor, values).alias(name) for name, factor, values in _EVIDENCE])
+    return rows.select("p_partkey", identity_verdict().alias("v")).select("p_partkey", "v.status", "v.rule")
 
 
 @query("op_src_09_publish_snapshot", """WITH i AS (SELECT l_orderkey AS session, list(DISTINCT l_linenumber) AS pages FROM lineitem GROUP BY 1),

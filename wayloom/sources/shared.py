@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -30,10 +31,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Tables:
-    """Written tables that cut lineage; ``drop`` removes one early, ``close`` all."""
+    """Written tables that cut lineage; ``drop`` removes one early, ``close`` all, the end of the process what is left."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        atexit.register(self.close)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
