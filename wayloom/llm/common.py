@@ -61,7 +61,8 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about ``most`` bytes of a string column, or a single longer row."""
+    """Cuts batches so that each holds about ``most`` bytes of a string column, or a single longer row. At the end of a task
+    what Python and Arrow hold unused goes back, as workers stay for the tasks of other stages."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -71,6 +72,9 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        del batch
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ from ..operators.graph import components
 from .common import Scratch, deal_out, mix, pieces, release, table, unpack, unused
 from .shingles import shingle_sets, signatures
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Shingles met often that are put last in the order, at most. Any choice gives the same result.
 HOT_SHINGLES, HOT_LOCAL = 1 << 17, 8
 #: Entries that a bucket of index lists holds, about; salts that a list of a hot shingle is dealt over at first.
