@@ -73,6 +73,11 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             yield batch.slice(at, to - at)
             at = to
         del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that Python and Arrow hold unused."""
     gc.collect()
     pa.default_memory_pool().release_unused()
 

@@ -36,7 +36,7 @@ HOT_SHINGLES, HOT_LOCAL = 1 << 17, 8
 #: Entries that a bucket of index lists holds, about; salts that a list of a hot shingle is dealt over at first.
 BUCKET_ENTRIES, SALTS = 300_000, 16
 #: Pairs that a bucket gathers before it drops repeated ones.
-MOST_PAIRS = 4_000_000
+MOST_PAIRS = 1_000_000
 
 
 def row_key(column: str = "text") -> F.Column:

@@ -273,6 +273,8 @@ def encode_column(docs: DataFrame, model: str, column: str = "text", out: str =
             ids, offs = c.encode(part.column(column).to_pylist(), (how,))[0]
             made = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out])
+        c.forget(c.how)
+        give_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
@@ -312,6 +314,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 same = [s and x == (t or "") for s, x, t in zip(same, c.decode(ids, offs), texts, strict=True)]
             columns.append(pa.array(same))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "n_viterbi", "viterbi_sha256", "round_trip"])
+        c.forget(c.how)
+        give_back()
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, n_viterbi long, viterbi_sha256 string, round_trip boolean")
