@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, mix, pieces, powers, table
+from .common import BASE, give_back, mix, pieces, powers, table
 
 SPACE = "▁"
 UNITS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
