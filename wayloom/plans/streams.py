@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import catalog as c
 from ..sources.catalog import with_
+from ..streaming.leases import lease_stream, lease_table
 from ..streaming.outbox import latest, next_action, run_available, status_counts
 from .registry import query
 
@@ -26,16 +27,53 @@ def idempotent(spark, sf):
     return latest(e.unionByName(e.where("event_id % 2 = 0"))).select("event_id")
 
 
+def deliveries(events):
+    """What happens to each queued event: appended at its time, then claimed up to six times, each time kept alive or not,
+    and done, failed or left; by formula of the key, for tables and streams alike. One in three comes twice."""
+    k = F.col("event_id")
+    second = lambda s: F.col("ts") + F.make_dt_interval(secs=s.cast("decimal(18,6)"))
+    one = lambda seq, kind, at: F.struct(seq.cast("int").alias("seq"), F.lit(kind).alias("kind"), at.alias("at"))
+
+    def attempt(a):
+        claim = 1 + a * (40 + k % 50)
+        end = claim + (k * 7 + a * 13) % 60
+        last = F.when((k + a) % 4 == 0, F.array(one(3 * a + 3, "ERROR", second(end)))).when((k + a) % 4 >= 2, F.array(one(3 * a + 3, "DONE", second(end)))).otherwise(F.array().cast("array<struct<seq:int,kind:string,at:timestamp>>"))
+        return F.concat(F.array(one(3 * a + 1, "CLAIM", second(claim)), one(3 * a + 2, "HEARTBEAT", second(claim + 10 + k % 25))), last)
+
+    every = F.concat(F.array(one(F.lit(0), "APPEND", F.col("ts"))), F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), k % 6), attempt)))
+    return events.select("event_id", F.explode(F.when(k % 3 == 0, F.concat(every, F.slice(every, 1, 2))).otherwise(every)).alias("d")).select("event_id", "d.*")
+
+
+#: When the batch form looks at the queue, in milliseconds (2024-02-01).
+LOOK_MS = 1_706_745_600_000
+
+
+@query("op_stm_05_lease_table")
+def lease_standings(spark, sf):
+    """Where every queued event stands once all has happened: attempts, compensations, what is due."""
+    return lease_table(deliveries(c.read(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))), LOOK_MS)
+
+
+@query("op_stm_01_lease_stream")
+def lease_updates(spark, sf):
+    """The same queue as a stream with keyed state and timers, drained: the last standing that it told of each event."""
+    rows = events_stream(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return run_available(lease_stream(deliveries(rows), "40 days"), ["event_id"])
+
+
 @query("op_stm_09_status_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def status_stream(spark, sf):
+    stream = events_stream(spark, sf).select(F.col("event_type").alias("status"))
+    return run_available(status_counts(stream), ["status"]).select(F.col("status").alias("event_type"), "n")
+
+
+def events_stream(spark, sf):
     schema = c.read(spark, sf, "events").schema
     # A table is a file or a folder; a stream reads folders, so a file is told by its name there.
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
     folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
     source = spark.readStream.schema(schema)
-    source = source.parquet(f"{sf}/events.parquet") if folder else source.option("pathGlobFilter", "events.parquet").parquet(sf)
-    stream = source.select(F.col("event_type").alias("status"))
-    return run_available(status_counts(stream), ["status"]).select(F.col("status").alias("event_type"), "n")
+    return source.parquet(f"{sf}/events.parquet") if folder else source.option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
 @query("op_stm_12_push_routing", with_("outbox", "SELECT event_id FROM outbox WHERE status IN ('PROCESSED', 'FAILED') AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)"))

@@ -6,13 +6,14 @@ out is retried with exponential backoff, and one that has used up its attempts f
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..sources.shared import shared_dir
+from ..sources.shared import delete, shared_dir
 
 # Fixed values.
 LEASE_S, BASE_S, CAP_S, MAX_ATTEMPTS = 30, 2.0, 300.0, 5
@@ -40,14 +41,17 @@ def status_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def run_available(stream: DataFrame, keys: list[str]) -> DataFrame:
+def run_available(stream: DataFrame, keys: list[str], root: str | None = None) -> DataFrame:
     """Drains what a stream has now and returns the last row of each key.
 
-    Updates go to Parquet in the shared folder, a folder per batch, written anew if the batch is repeated; so does the
-    checkpoint, and a query that is started again goes on there. Nothing is kept on the driver.
+    Updates go to Parquet, a folder per batch, written anew if the batch is repeated; so does the checkpoint. Both are in
+    ``root``, a folder that the caller names: a query that is started again with it goes on where it stood. Without one,
+    the drain is one of its own in the shared folder, which goes with the process. Nothing is kept on the driver.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    if root is None:
+        root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+        atexit.register(_removed, spark, root)
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
@@ -57,3 +61,10 @@ def run_available(stream: DataFrame, keys: list[str]) -> DataFrame:
     found = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{root}/out/*")
     rest = [x for x in stream.columns if x not in keys]
     return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("x")).select(*keys, "x.*")
+
+
+def _removed(spark, root: str) -> None:
+    try:
+        delete(spark, root)
+    except Exception:  # the session may be gone already
+        pass
