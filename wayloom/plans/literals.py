@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.names import fold_column, names_in_texts
+from ..operators.windowing import windowed
 from ..sources import catalog as c
 from .registry import query
 
@@ -37,3 +38,16 @@ def located_spans(spark, sf):
     found = whole_words(spark, sf).select("doc_id", "name", "start", "end")
     said = F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))")
     return found.join(docs, "doc_id").select("doc_id", "name", "start", "end", said.alias("quoted"))
+
+
+def headed(spark, sf):
+    """Documents with every third line under a heading of one of three levels; asked for by their first words."""
+    head = lambda line, i: F.concat(F.repeat(F.lit("#"), (F.floor(i / 3) % 3 + 1).cast("int")), F.lit(" "), F.substring(line, 1, 40), F.lit("\n\n"), line)
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.when((i % 3 == 0) & (F.trim(line) != ""), head(line, i)).otherwise(line))
+    return c.read(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"), F.substring("text", 1, 60).alias("asked"))
+
+
+@query("op_txt_08_windows")
+def text_windows(spark, sf):
+    """Windows of whole documents, 2,000 characters each, up to 4,000 for a unit that stays whole."""
+    return windowed(headed(spark, sf), 2000, 4000)
