@@ -67,3 +67,16 @@ def coverage(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     solid = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
     whole = docs.select("doc_id", solid.alias("solid")).join(sums, "doc_id", "left")
     return whole.select("doc_id", (F.coalesce("n", F.lit(0)) == F.col("solid")).alias("covered"), F.coalesce("overlaps", F.lit(0)).alias("overlaps"))
+
+
+def partition_faults(docs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(doc_id, gaps, overlaps, duplicates) of pieces (doc_id, ordinal, start, end) that should cut texts of n characters
+    (docs: doc_id, n) without rest: places that no piece covers, pieces that begin before another one ends, ordinals that
+    come more than once. A text without pieces is one gap, an empty one none. One row per doc_id, which docs must not
+    repeat."""
+    order = Window.partitionBy("doc_id").orderBy("start", "end", "ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    marked = pieces.withColumn("before", F.coalesce(F.max("end").over(order), F.lit(0))).withColumn("same", F.count("*").over(Window.partitionBy("doc_id", "ordinal")))
+    found = marked.groupBy("doc_id").agg(F.count_if(F.col("start") > F.col("before")).alias("gaps"), F.count_if(F.col("start") < F.col("before")).alias("overlaps"), F.count_if(F.col("same") > 1).alias("duplicates"), F.max("end").alias("last"))
+    none = lambda x: F.coalesce(x, F.lit(0))
+    rest = F.when(F.col("n") > none(F.col("last")), 1).otherwise(0)
+    return docs.join(found, "doc_id", "left").select("doc_id", (none(F.col("gaps")) + rest).alias("gaps"), none(F.col("overlaps")).alias("overlaps"), none(F.col("duplicates")).alias("duplicates"))
