@@ -25,19 +25,23 @@ FINEST, COARSEST, MANY_EDGES = 256, 4, 12
 COVER = "area_id long, _level int, _x long, _y long, edges array<array<struct<ax:double,ay:double,bx:double,by:double>>>"
 
 
-def _enters(e: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
-    """Which edges (ax, ay, bx, by) have a point in a closed box."""
-    lo, hi = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
-    near = (lo[:, 0] <= x1) & (hi[:, 0] >= x0) & (lo[:, 1] <= y1) & (hi[:, 1] >= y0)
-    dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
-    sides = np.stack([dx * (y - e[:, 1]) - dy * (x - e[:, 0]) for x in (x0, x1) for y in (y0, y1)])
-    return near & (sides.min(axis=0) <= 0) & (sides.max(axis=0) >= 0)
+def _enters(e: np.ndarray, x0: np.ndarray, y0: np.ndarray, size: float) -> np.ndarray:
+    """(cells, edges): which edges (ax, ay, bx, by) have a point in which closed box."""
+    x0, y0 = x0[:, None], y0[:, None]
+    x1, y1 = x0 + size, y0 + size
+    (ax, ay, bx, by) = e.T
+    near = (np.minimum(ax, bx) <= x1) & (np.maximum(ax, bx) >= x0) & (np.minimum(ay, by) <= y1) & (np.maximum(ay, by) >= y0)
+    dx, dy = bx - ax, by - ay
+    sides = [dx * (y - ay) - dy * (x - ax) for x in (x0, x1) for y in (y0, y1)]
+    return near & (np.minimum.reduce(sides) <= 0) & (np.maximum.reduce(sides) >= 0)
 
 
-def _odd(e: np.ndarray, x: float, y: float) -> bool:
-    up = (e[:, 3] > y) != (e[:, 1] > y)
-    a, b = e[up], e[up]
-    return bool(np.sum(x < (a[:, 0] - a[:, 2]) * (y - b[:, 3]) / (b[:, 1] - b[:, 3]) + a[:, 2]) % 2)
+def _odd(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points have an odd number of edges to their east."""
+    (ax, ay, bx, by), x, y = e.T, x[:, None], y[:, None]
+    up = (by > y) != (ay > y)
+    at = (ax - bx) * (y - by) / np.where(ay == by, 1.0, ay - by) + bx
+    return (up & (x < at)).sum(axis=1) % 2 == 1
 
 
 def _cells(rings: list[np.ndarray]) -> Iterator[tuple[int, int, int, list | None]]:
@@ -48,27 +52,29 @@ def _cells(rings: list[np.ndarray]) -> Iterator[tuple[int, int, int, list | None
     size = lambda level: 360.0 / 2**level
     first = max((level for level in LEVELS if size(level) >= extent), default=LEVELS[0])
     span = lambda v, off: int(np.floor((v + off) / size(first)))
-    stack = [(first, x, y, rings) for x in range(span(lo[0], 180.0), span(hi[0], 180.0) + 1) for y in range(span(lo[1], 90.0), span(hi[1], 90.0) + 1)]
+    grid = lambda xs, ys: tuple(g.ravel() for g in np.meshgrid(xs, ys))
+    stack = [(first, *grid(np.arange(span(lo[0], 180.0), span(hi[0], 180.0) + 1), np.arange(span(lo[1], 90.0), span(hi[1], 90.0) + 1)), rings)]
+    step = LEVELS[1] - LEVELS[0]
+    inner = np.arange(1 << step)
     while stack:
-        level, x, y, held = stack.pop()
+        level, xs, ys, held = stack.pop()
         s = size(level)
-        x0, y0 = x * s - 180.0, y * s - 90.0
+        x0, y0 = xs * s - 180.0, ys * s - 90.0
         # A hair more on all sides: rounding may put a point that is on the line into either cell.
         hair = s * 1e-9
-        inside = [_enters(e, x0 - hair, y0 - hair, x0 + s + hair, y0 + s + hair) for e in held]
-        n = sum(int(i.sum()) for i in inside)
-        if not n:
-            odd = [_odd(e, x0 + s / 2, y0 + s / 2) for e in held]
-            if odd[0] and not any(odd[1:]):
-                yield level, x, y, None
-            continue
-        # What a ray to the east can meet from within: edges that reach into these rows and not only to the west.
-        band = [e[(np.minimum(e[:, 1], e[:, 3]) <= y0 + s + hair) & (np.maximum(e[:, 1], e[:, 3]) >= y0 - hair) & (np.maximum(e[:, 0], e[:, 2]) >= x0 - hair)] for e in held]
-        if level < LEVELS[-1] and (s * COARSEST > extent or n > MANY_EDGES and s * FINEST > extent):
-            k = 1 << (LEVELS[1] - LEVELS[0])
-            stack += [(level + LEVELS[1] - LEVELS[0], x * k + i, y * k + j, band) for i in range(k) for j in range(k)]
-        else:
-            yield level, x, y, [e.tolist() for e in band]
+        n = sum(_enters(e, x0 - hair, y0 - hair, s + 2 * hair).sum(axis=1) for e in held)
+        odd = [_odd(e, x0 + s / 2, y0 + s / 2) for e in held]
+        for c in np.flatnonzero((n == 0) & odd[0] & ~np.logical_or.reduce([np.zeros(len(xs), bool), *odd[1:]])):
+            yield level, int(xs[c]), int(ys[c]), None
+        for c in np.flatnonzero(n):
+            # What a ray to the east can meet from within: edges that reach into these rows and not only to the west.
+            x, y = x0[c], y0[c]
+            band = [e[(np.minimum(e[:, 1], e[:, 3]) <= y + s + hair) & (np.maximum(e[:, 1], e[:, 3]) >= y - hair) & (np.maximum(e[:, 0], e[:, 2]) >= x - hair)] for e in held]
+            if level < LEVELS[-1] and (s * COARSEST > extent or n[c] > MANY_EDGES and s * FINEST > extent):
+                k = 1 << step
+                stack.append((level + step, *grid(xs[c] * k + inner, ys[c] * k + inner), band))
+            else:
+                yield level, int(xs[c]), int(ys[c]), [e.tolist() for e in band]
 
 
 def covers(areas: DataFrame) -> DataFrame:
@@ -93,7 +99,8 @@ def covers(areas: DataFrame) -> DataFrame:
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return areas.select("area_id", "rings").mapInArrow(run, COVER)
+    dealt = areas.select("area_id", "rings").repartition(int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(run, COVER)
 
 
 def containing(points: DataFrame, areas: DataFrame, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
