@@ -112,3 +112,16 @@ def test_merge_equals_pairs_in_any_order_and_partitioning(spark, sf):
 def test_merge_query_covers_all_experiences(spark, sf):
     rows = catalog.QUERIES["op_agg_16_metadata_merge"](spark, sf).collect()
     assert len(rows) == metadata(spark, sf).select("id").distinct().count() and all(r.classification is None or '"state":"current"' in r.classification or "degraded" in r.classification for r in rows)
+
+
+def test_day_totals_are_exact_in_any_order(spark, tmp_path):
+    """A half rounds up, whose sum of doubles is below it in some orders and not in others."""
+    from itertools import permutations
+    from math import floor
+
+    prices = (81574.79, 12635.26, 11402.45)
+    lines = [(n, 1, 1.0, p) for n, order in enumerate(permutations(prices)) for p in order]
+    assert {floor((a + b) + c + 0.5) for a, b, c in permutations(prices)} == {105612, 105613}
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["op_agg_04_day_totals"](spark, str(tmp_path)).collect()
+    assert {(r.stops, r.seconds, r.metres) for r in got} == {(3, 180, 105613)}

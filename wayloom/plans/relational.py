@@ -196,8 +196,10 @@ def status_histogram(spark, sf):
 @query("op_agg_04_day_totals", """SELECT l_orderkey AS tour, l_linenumber AS day, count(*) AS stops, CAST(floor(sum(l_quantity) * 60 + 0.5) AS BIGINT) AS seconds, CAST(floor(sum(l_extendedprice) + 0.5) AS BIGINT) AS metres FROM lineitem WHERE l_linenumber IS NOT NULL GROUP BY 1, 2""")
 def day_totals(spark, sf):
     g = c.read(spark, sf, "lineitem").where("l_linenumber is not null").groupBy(F.col("l_orderkey").alias("tour"), F.col("l_linenumber").alias("day"))
-    half_up = lambda x: F.floor(x + 0.5)
-    return g.agg(F.count("*").alias("stops"), half_up(F.sum("l_quantity") * 60).alias("seconds"), half_up(F.sum("l_extendedprice")).alias("metres"))
+    # Exact sums: those of doubles hang on the order of the rows, and a half then falls to either side.
+    total = lambda x: F.sum(F.col(x).cast("decimal(24,6)"))
+    half_up = lambda x: F.floor(x + F.lit(0.5).cast("decimal(2,1)")).cast("long")
+    return g.agg(F.count("*").alias("stops"), half_up(total("l_quantity") * 60).alias("seconds"), half_up(total("l_extendedprice")).alias("metres"))
 
 
 @query("op_agg_05_residual_capacity", "SELECT l_orderkey AS tour, 660 - sum(l_quantity) AS residual, 660 - sum(l_quantity) >= 60 AS meaningful FROM lineitem GROUP BY 1")
