@@ -125,3 +125,18 @@ def test_day_totals_are_exact_in_any_order(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = catalog.QUERIES["op_agg_04_day_totals"](spark, str(tmp_path)).collect()
     assert {(r.stops, r.seconds, r.metres) for r in got} == {(3, 180, 105613)}
+
+
+def test_candidate_pool_of_few_and_of_many_sharers(spark, tmp_path):
+    """Parts with fewer others than 50, with a key of just 50, 51 and 52 parts, and with many keys of a few."""
+    import duckdb
+
+    part = [(i, "Same" if i < 52 else "same two" if i < 103 else "three" if i < 153 else f"own {i}") for i in range(400)]
+    lines = [(i, i % 7) for i in range(0, 400, 3)] + [(i, 100 + i // 4) for i in range(400)] + [(399, s) for s in range(100, 200, 2)] + [(500, 900)]
+    spark.createDataFrame(part, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    frame = catalog.QUERIES["op_join_10_candidate_pool"](spark, str(tmp_path))
+    assert sorted(map(tuple, frame.select("a", "b", "rank").collect())) == sorted(con.execute(catalog.SQL["op_join_10_candidate_pool"]).fetchall())

@@ -168,14 +168,22 @@ SELECT a, b, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER B
 def candidate_pool(spark, sf):
     """The first 50 others, by id, that share the name or a member with each part.
 
-    Of a name's or member's parts only the 51 of smallest id can be among anybody's first 50, so the pairs of a key grow
-    with its parts, not with their square; those are cut by a partial rank before any shuffle of pairs.
+    Of a name's or member's parts only the 51 of smallest id can be among anybody's first 50, so a key keeps those in one
+    row. The first four of each key of a part, or all 51 of one key, are others enough to bound its 50th; only pairs up to
+    that bound are built, a few more than the result holds.
     """
     names = c.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("n"), F.lower("p_name")).alias("k"))
     members = c.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("k"))
-    every = names.unionByName(members).distinct()
-    first = every.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id"))).where("n <= 51").select(F.col("id").alias("b"), "k")
-    pairs = every.withColumnRenamed("id", "a").join(first, "k").where("a <> b").select("a", "b").distinct()
+    every = names.unionByName(members).where("k is not null and id is not null").distinct()
+    ranked = every.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id"))).where("n <= 51")
+    first = ranked.groupBy("k").agg(F.sort_array(F.collect_list("id")).alias("first"))
+    heads = first.select("k", F.slice("first", 1, 4).alias("head"), F.get("first", F.lit(50)).alias("full"))
+    seen = every.withColumnRenamed("id", "a").join(heads, "k").groupBy("a").agg(F.collect_list("k").alias("keys"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("head")))).alias("seen"), F.min("full").alias("full"))
+    # Of 51 different ids, 50 at least are others. Null: there is no bound, and all are taken.
+    bound = F.least(F.get("seen", F.lit(50)), F.col("full"))
+    asked = seen.select("a", bound.alias("bound"), F.explode("keys").alias("k"))
+    near = F.filter("first", lambda b: (b != F.col("a")) & (F.col("bound").isNull() | (b <= F.col("bound"))))
+    pairs = asked.join(first, "k").select("a", F.explode(near).alias("b")).distinct()
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where("rank <= 50")
 
 
