@@ -12,10 +12,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M
 from ..functions.policy import DETOUR, FALLBACK_MINUTES, SPEEDS
+from .runs import by_key, numbers
 
 # Reasons of refusal, the weight of an empty day, steps of the local search.
 INVALID, NO_MODE, FULL = "INVALID_SPATIAL_FOOTPRINT", "NO_ALLOWED_TRAVEL_MODE", "DAILY_TIME_CAPACITY_EXCEEDED"
@@ -49,30 +52,33 @@ class Day:
 
 
 class Planner:
-    """The stops of one request in order of relevance, ties by id as text, and its limits."""
-
-    def __init__(self, pool: pd.DataFrame):
-        rows = sorted(pool.to_dict("records"), key=lambda r: (-r["relevance"], str(r["experience_id"])))
-        ask = rows[0]
-        self.rows, self.begin, self.end = rows, float(ask["window_start"]), float(ask["window_end"])
-        self.modes = [] if ask["modes"] is None else list(ask["modes"])
-        self.per_day, self.at_once = float(ask["walk_per_day"]), float(ask["walk_at_once"])
+    """The stops of one request in order of relevance, ties by id as text, and its limits. Columns of the pool are lists; hours
+    are ranges by weekday, None where unknown."""
+
+    def __init__(self, pool: dict[str, list]):
         known = lambda v: v is not None and v == v
-        self.n_days, first = max(0, int(ask["days"])), ask["weekday"]
+        ids, relevance = pool["experience_id"], pool["relevance"]
+        order = sorted(range(len(ids)), key=lambda i: (-relevance[i], str(ids[i])))
+        column = lambda c: [pool[c][i] for i in order]
+        number = lambda c: np.array([v if known(v) else math.nan for v in column(c)], np.float64)
+        ask = lambda c: pool[c][order[0]]
+        self.ids, self.relevance = column("experience_id"), column("relevance")
+        self.begin, self.end = float(ask("window_start")), float(ask("window_end"))
+        self.modes = [] if ask("modes") is None else list(ask("modes"))
+        self.per_day, self.at_once = float(ask("walk_per_day")), float(ask("walk_at_once"))
+        self.n_days, first = max(0, int(ask("days"))), ask("weekday")
         self.weekday = int(first) if known(first) else None
-        column = lambda c: np.array([float(r[c]) if known(r[c]) else math.nan for r in rows])
-        self.lat, self.lon = column("latitude"), column("longitude")
-        finite = np.isfinite(self.lat) & np.isfinite(self.lon)
-        self.placeless = ~finite
-        self.must = [bool(r["must"]) for r in rows]
-        self.relevance = [r["relevance"] for r in rows]
-        self.occupied = [float(r["duration_minutes"]) + (float(r["inner_minutes"]) if known(r["inner_minutes"]) else 0.0) for r in rows]
+        self.lat, self.lon = number("latitude"), number("longitude")
+        self.placeless = (~(np.isfinite(self.lat) & np.isfinite(self.lon))).tolist()
+        self.must = [bool(v) for v in column("must")]
+        walk, minutes, longest = column("inner_walk_m"), column("inner_walk_minutes"), column("inner_longest_m")
+        self.occupied = [float(d) + (float(m) if known(m) else 0.0) for d, m in zip(column("duration_minutes"), column("inner_minutes"), strict=True)]
         unknown = FALLBACK_MINUTES * SPEEDS["WALKING"] * 1000 / 60
-        self.walk = [float(r["inner_walk_m"]) if known(r["inner_walk_m"]) else 0.0 if known(r["inner_walk_minutes"]) or r["point"] else unknown for r in rows]
-        self.longest = [float(r["inner_longest_m"]) if known(r["inner_longest_m"]) else w for r, w in zip(rows, self.walk, strict=True)]
-        self.hours = [None if r["hours"] is None else {int(h["weekday"]): [(x["start"], x["end"]) for x in h["ranges"]] for h in r["hours"]} for r in rows]
+        self.walk = [float(w) if known(w) else 0.0 if known(m) or point else unknown for w, m, point in zip(walk, minutes, column("point"), strict=True)]
+        self.longest = [float(v) if known(v) else w for v, w in zip(longest, self.walk, strict=True)]
+        self.hours = column("hours")
         # Straight metres from where a stop ends to where another one begins.
-        ends = [column(c) for c in ("end_latitude", "end_longitude", "start_latitude", "start_longitude")]
+        ends = [number(c) for c in ("end_latitude", "end_longitude", "start_latitude", "start_longitude")]
         self.gap = metres(ends[0][:, None], ends[1][:, None], ends[2][None, :], ends[3][None, :])
         self.mode = None if not self.modes else "WALKING" if "WALKING" in self.modes else self.modes[0]
 
@@ -109,8 +115,8 @@ class Planner:
         days = [Day(d + 1, None if self.weekday is None else (self.weekday + d) % 7) for d in range(self.n_days)]
         refused: dict[int, list[str]] = {}
         seen = set()
-        for k in sorted(range(len(self.rows)), key=lambda k: not self.must[k]):
-            if self.rows[k]["experience_id"] in seen:
+        for k in sorted(range(len(self.ids)), key=lambda k: not self.must[k]):
+            if self.ids[k] in seen:
                 refused[k] = [DUPLICATE]
                 continue
             why: list[str] = []
@@ -128,7 +134,7 @@ class Planner:
             best.stops.append(k)
             best.minutes += self.occupied[k] + travel
             best.walked += self.walk[k] + on_foot
-            seen.add(self.rows[k]["experience_id"])
+            seen.add(self.ids[k])
         return days, refused
 
     def pass_on(self, k: int, source: Day, target: Day) -> None:
@@ -153,7 +159,7 @@ class Planner:
     def to_centre(self, day: Day) -> np.ndarray:
         """Metres of every stop of the request to the mean of the day's, 0 for a day without stops."""
         if not day.stops:
-            return np.zeros(len(self.rows))
+            return np.zeros(len(self.ids))
         n = len(day.stops)
         return metres(self.lat, self.lon, sum(self.lat[k] for k in day.stops) / n, sum(self.lon[k] for k in day.stops) / n)
 
@@ -206,7 +212,7 @@ class Planner:
             elif no := self.walking(k, on_foot, walked):
                 why.update(no)
             else:
-                fits.append((0.0 if last is None else float(self.gap[last, k]), start, str(self.rows[k]["experience_id"]), k, end, travel, m, on_foot))
+                fits.append((0.0 if last is None else float(self.gap[last, k]), start, str(self.ids[k]), k, end, travel, m, on_foot))
         if not fits:
             return next((r for r in TOLD if r in why), FULL)
         return fits[0] if last is None else min(fits, key=lambda f: f[:3])
@@ -236,11 +242,13 @@ class Planner:
         return [], dropped
 
 
-def plan(pool: pd.DataFrame) -> pd.DataFrame:
+NAMES = [c.split()[0] for c in PLAN_SCHEMA.split(", ")]
+
+
+def planned(pool: dict[str, list]) -> list[tuple]:
     """One row per stop of a request's pool, with what became of it at each step; see PLAN_SCHEMA."""
-    if not len(pool):
-        return pd.DataFrame(columns=[c.split()[0] for c in PLAN_SCHEMA.split(", ")])
     p = Planner(pool)
+    request = pool["request_id"][0]
     days, refused = p.place()
     placed = {k: d.number for d in days for k in d.stops}
     steps = p.improve(days)
@@ -252,12 +260,50 @@ def plan(pool: pd.DataFrame) -> pd.DataFrame:
         found, gone = p.order(day)
         dropped |= gone
         timed |= {f[0]: (day.number, n, *f[1:]) for n, f in enumerate(found, 1)}
-    for k, r in enumerate(p.rows):
+    for k, i in enumerate(p.ids):
         at = timed.get(k, (None,) * 7)
-        out.append((r["request_id"], r["experience_id"], placed.get(k), refused.get(k), improved.get(k), *at, dropped.get(k), steps))
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in PLAN_SCHEMA.split(", ")])
+        out.append((request, i, placed.get(k), refused.get(k), improved.get(k), *at, dropped.get(k), steps))
+    return out
+
+
+def plan(pool: pd.DataFrame) -> pd.DataFrame:
+    """``planned`` of a frame, whose hours are lists of weekday and ranges."""
+    columns = {c: pool[c].tolist() for c in pool.columns}
+    columns["hours"] = [None if hours is None else {int(h["weekday"]): [(x["start"], x["end"]) for x in h["ranges"]] for h in hours} for hours in pool["hours"]]
+    frame = pd.DataFrame(planned(columns) if len(pool) else [], columns=NAMES)
     whole = ["placed_day", "improved_day", "day", "position"]
-    return frame.astype({c: "Int32" for c in whole})
+    return frame.astype({c: "Int32" for c in whole}) if len(pool) else frame
+
+
+_NUMBERS = (
+    "relevance latitude longitude start_latitude start_longitude end_latitude end_longitude duration_minutes inner_minutes inner_walk_m inner_walk_minutes "
+    "inner_longest_m days window_start window_end walk_per_day walk_at_once weekday"
+).split()
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+_PLAN = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in PLAN_SCHEMA.split(", ")])
+
+
+def _ranges(flat: list[float] | None) -> dict[int, list[tuple]] | None:
+    """Hours from their flat form: weekday, number of ranges, start and end of each; and so on."""
+    if flat is None:
+        return None
+    out, i = {}, 0
+    while i < len(flat):
+        n = int(flat[i + 1])
+        out[int(flat[i])] = [(flat[j], flat[j + 1]) for j in range(i + 2, i + 2 + 2 * n, 2)]
+        i += 2 + 2 * n
+    return out
+
+
+def _plans(table: pa.Table, at: list[int]) -> pa.RecordBatch:
+    columns = {c: numbers(table.column(c)).tolist() if c in _NUMBERS else table.column(c).to_pylist() for c in table.column_names if c != "hours"}
+    hours = table.column("hours").combine_chunks()
+    flat, ends, known = hours.values.to_numpy(zero_copy_only=False).tolist(), hours.offsets.to_pylist(), hours.is_valid().to_pylist()
+    columns["hours"] = [_ranges(flat[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], known, strict=False)]
+    rows: list[tuple] = []
+    for a, b in zip(at, at[1:], strict=False):
+        rows += planned({c: v[a:b] for c, v in columns.items()})
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), _PLAN, strict=True)], schema=_PLAN)
 
 
 def plan_days(pool: DataFrame) -> DataFrame:
@@ -265,5 +311,9 @@ def plan_days(pool: DataFrame) -> DataFrame:
     walk_per_day, walk_at_once, weekday of the first day (null: no date), experience_id, relevance, must, duration_minutes,
     latitude, longitude, start_ and end_ of both, point, hours (weekday, ranges; null: unknown) and, null where unknown,
     inner_minutes, inner_walk_m, inner_walk_minutes, inner_longest_m. A stop that repeats is refused as a duplicate, one
-    without a finite place as invalid; the request's columns are those of its most relevant stop."""
-    return pool.groupBy("request_id").applyInPandas(plan, PLAN_SCHEMA)
+    without a finite place as invalid; the request's columns are those of its most relevant stop.
+
+    Requests are many and short, so a task plans those of an Arrow batch one after the other on plain lists."""
+    span = lambda x: F.array(x["start"].cast("double"), x["end"].cast("double"))
+    flat = F.flatten(F.transform("hours", lambda h: F.concat(F.array(h["weekday"].cast("double"), F.size(h["ranges"]).cast("double")), F.flatten(F.transform(h["ranges"], span)))))
+    return by_key(pool.withColumn("hours", flat), "request_id", _plans, PLAN_SCHEMA)
