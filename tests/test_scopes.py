@@ -284,3 +284,13 @@ def test_validation_equals_the_twin(spark, cases):
     assert got == {c.k: c.validate() for c in cases} and all(r.accepted == (r.reason is None) for r in rows)
     reached = Counter(v for v in got.values())
     assert len(reached) >= 14, reached
+
+
+def test_points_in_areas_are_not_broadcast(spark, sf):
+    import contextlib
+    import io
+
+    told = io.StringIO()
+    with contextlib.redirect_stdout(told):
+        catalog.QUERIES["geo_enclosing_areas"](spark, sf).explain()
+    assert "SortMergeJoin" in told.getvalue() and "Broadcast" not in told.getvalue()

@@ -110,5 +110,6 @@ def containing(points: DataFrame, areas: DataFrame, lon: str = "longitude", lat:
     at = F.array(*[F.struct(F.lit(level).alias("_level"), F.floor((x + 180.0) / (360.0 / 2**level)).alias("_x"), F.floor((y + 90.0) / (360.0 / 2**level)).alias("_y")) for level in LEVELS])
     finite = x.between(-180, 180) & y.between(-90, 90) & ~F.isnan(x) & ~F.isnan(y)
     placed = points.where(finite).withColumn("_at", F.explode(at)).select("*", "_at.*").drop("_at")
-    met = placed.join(covers(areas), ["_level", "_x", "_y"])
+    # The size of points is guessed from their packed files, before they are dealt to levels: never broadcast by that.
+    met = placed.hint("merge").join(covers(areas), ["_level", "_x", "_y"])
     return met.where(F.col("edges").isNull() | contains(F.col("edges"), x, y)).drop("_level", "_x", "_y", "edges")
