@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quality import log_share, notability_score, places_score
 from ..functions.text import document_identity, name_match, norm_name, overlap_ratio, redact, token_jaccard, tokens
+from ..operators.blocks import told_pairs
 from ..sources import catalog as c
 from ..sources.catalog import with_
 from .registry import query
@@ -22,26 +23,32 @@ def norm(spark, sf):
 _NAME_PAIRS = f"""WITH t AS (SELECT p_partkey, p_brand, p_size, p_type, {_TOK.format(_NORM.format('p_name'))} AS a FROM part), p AS (SELECT x.p_partkey AS left_id, y.p_partkey AS right_id, x.a, y.a AS b, list_intersect(x.a, y.a) AS i FROM t x JOIN t y USING (p_brand, p_size, p_type) WHERE x.p_partkey < y.p_partkey)"""
 
 
-def _name_pairs(spark, sf):
-    """Names of the parts that agree in brand, size and type, each pair once, as tokens."""
-    t = c.read(spark, sf, "part").select(F.col("p_partkey").alias("left_id"), "p_brand", "p_size", "p_type", tokens(F.col("p_name")).alias("a"))
-    p = t.join(t.withColumnsRenamed({"left_id": "right_id", "a": "b"}), ["p_brand", "p_size", "p_type"]).where("left_id < right_id")
-    return p.withColumn("i", F.array_intersect("a", "b"))
+def _name_pairs(spark, sf, told):
+    """Names of the parts that agree in brand, size and type, each pair once, and what is told of their tokens."""
+    t = c.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size", "p_type", tokens(F.col("p_name")).alias("a"))
+    return told_pairs(t, ["p_brand", "p_size", "p_type"], ["a"], lambda x, y: told(x("a"), y("a")))
 
 
 @query("op_str_09_name_correspondence", f"""{_NAME_PAIRS}
 SELECT left_id, right_id, CASE WHEN len(i) = 0 THEN 'NONE' WHEN len(i) = len(a) AND len(a) = len(b) THEN 'EQUIVALENT' ELSE 'OVERLAP' END AS relation FROM p""")
 def name_correspondence(spark, sf):
-    n = F.size("i")
-    return _name_pairs(spark, sf).select("left_id", "right_id", F.when(n == 0, "NONE").when((n == F.size("a")) & (F.size("a") == F.size("b")), "EQUIVALENT").otherwise("OVERLAP").alias("relation"))
+    def relation(a, b):
+        n = F.size(F.array_intersect(a, b))
+        return F.when(n == 0, "NONE").when((n == F.size(a)) & (F.size(a) == F.size(b)), "EQUIVALENT").otherwise("OVERLAP")
+
+    return _name_pairs(spark, sf, relation).withColumnRenamed("told", "relation")
 
 
 @query("op_str_07_token_overlap", f"""{_NAME_PAIRS}, l AS (SELECT left_id, right_id, list_filter(a, lambda x: length(x) >= 4) AS a, list_filter(i, lambda x: length(x) >= 4) AS i FROM p)
 SELECT left_id, right_id, len(i) * 2 >= len(a) AND len(list_filter(i, lambda x: length(x) >= 5)) > 0 AS overlaps FROM l""")
 def token_overlap(spark, sf):
     long = lambda k: F.filter(k, lambda x: F.length(x) >= 4)
-    p = _name_pairs(spark, sf).select("left_id", "right_id", long("a").alias("a"), long("i").alias("i"))
-    return p.select("left_id", "right_id", ((F.size("i") * 2 >= F.size("a")) & F.exists("i", lambda x: F.length(x) >= 5)).alias("overlaps"))
+
+    def overlaps(a, b):
+        i = long(F.array_intersect(a, b))
+        return (F.size(i) * 2 >= F.size(long(a))) & F.exists(i, lambda x: F.length(x) >= 5)
+
+    return _name_pairs(spark, sf, overlaps).withColumnRenamed("told", "overlaps")
 
 
 @query("op_str_10_name_match", f"""WITH n AS (SELECT p_partkey, {_NORM.format('p_name')} AS a, {_NORM.format("split_part(p_name, ' ', 2)")} AS b FROM part) SELECT p_partkey, a <> '' AND b <> '' AND (a = b OR contains(a, b) OR contains(b, a)) AS matches FROM n""")
@@ -122,12 +129,13 @@ def travel_estimate(spark, sf):
 SELECT left_id, right_id, round(0.22::DOUBLE * i / (len(a) + len(b) - i) + 0.15::DOUBLE * i / greatest(len(a), len(b)) + CASE WHEN d <= 5 THEN 8e-2 WHEN d <= 15 THEN 4e-2 ELSE 0e0 END, 6) AS score FROM p""")
 def evidence_score(spark, sf):
     """Pairs of one brand and type whose sizes differ by one at most: an equi-join, as a size is dealt to its neighbours."""
-    t = c.read(spark, sf, "part").select(F.col("p_partkey").alias("left_id"), "p_brand", "p_type", tokens(F.col("p_name")).alias("a"), "p_size")
-    u = t.withColumnsRenamed({"left_id": "right_id", "a": "b"}).withColumn("q", F.col("p_size")).withColumn("p_size", F.explode(F.sequence(F.col("p_size") - 1, F.col("p_size") + 1)))
-    p = t.join(u, ["p_brand", "p_type", "p_size"]).where("left_id < right_id")
-    d = F.abs(F.col("p_size") - F.col("q"))
-    score = 0.22 * token_jaccard(F.col("a"), F.col("b")) + 0.15 * overlap_ratio(F.col("a"), F.col("b")) + F.when(d <= 5, 0.08).when(d <= 15, 0.04).otherwise(0.0)
-    return p.select("left_id", "right_id", F.round(score, 6).alias("score"))
+    t = c.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", tokens(F.col("p_name")).alias("a"), "p_size")
+
+    def score(x, y):
+        d = F.abs(x("p_size") - y("p_size"))
+        return F.round(0.22 * token_jaccard(x("a"), y("a")) + 0.15 * overlap_ratio(x("a"), y("a")) + F.when(d <= 5, 0.08).when(d <= 15, 0.04).otherwise(0.0), 6)
+
+    return told_pairs(t, ["p_brand", "p_type"], ["a", "p_size"], score, near="p_size").withColumnRenamed("told", "score")
 
 
 @query("op_math_12_lexical_relevance", """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), q(term) AS (VALUES ('the'), ('of'), ('die'), ('que')),
