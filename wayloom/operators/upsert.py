@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_match
+from ..functions.text import norm_name
 from ..sources.shared import Tables
 from .elimination import eliminated
 from .graph import components
@@ -17,11 +17,19 @@ SAME_PLACE_M = 150.0
 DATA = ("name", "kind", "latitude", "longitude")
 
 
+def _places(rows: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
+    """Places of rows that have a position, a kind and a name, one per folded name, told by the least id: (id_, name, kind,
+    latitude, longitude); and the rows with that of their place: (id_, place). Rows of a place are alike to the same others."""
+    told = located(rows).select(id_, norm_name(F.col("name")).alias("name"), *DATA[1:]).where("name <> '' and kind is not null")
+    places = told.groupBy(*DATA).agg(F.min(id_).alias("place"))
+    return places.withColumnRenamed("place", id_), told.join(places, list(DATA)).select(id_, "place")
+
+
 def _alike(left: DataFrame, right: DataFrame, id_left: str, id_right: str) -> DataFrame:
-    """(_a, _b, distance_m) of rows of one kind, near each other, whose names match."""
+    """(_a, _b, distance_m) of places of one kind, near each other, whose names match."""
     near = near_pairs(left, right, SAME_PLACE_M, id_left, id_right, ("kind",))
     named = near.join(left.select(F.col(id_left).alias("_a"), F.col("name").alias("_na")), "_a").join(right.select(F.col(id_right).alias("_b"), F.col("name").alias("_nb")), "_b")
-    return named.where(name_match(F.col("_na"), F.col("_nb"))).select("_a", "_b", "distance_m")
+    return named.where(F.contains("_na", F.col("_nb")) | F.contains("_nb", F.col("_na"))).select("_a", "_b", "distance_m")
 
 
 def _owned(rows: DataFrame, identities: DataFrame) -> DataFrame:
@@ -44,8 +52,9 @@ def decided(entities: DataFrame, identities: DataFrame, batch: DataFrame, tables
     first = tables.save(batch.select("seq", "ids", *DATA).join(_owned(batch, identities), "seq", "left"))
     known = first.where("owners > 0").select("seq", F.when(F.col("owners") > 1, "CONFLICT").otherwise("UPDATE").alias("outcome"), F.when(F.col("owners") == 1, F.col("owner")).alias("entity_id"))
     open_ = first.where("owners is null").drop("owners", "owner")
-    best = _alike(located(open_), located(entities), "seq", "entity_id").groupBy("_a").agg(F.min(F.struct("distance_m", F.col("_b").alias("e"))).alias("x"))
-    near = tables.save(best.select(F.col("_a").alias("seq"), F.col("x.e").alias("entity_id")))
+    asked, at = map(tables.save, _places(open_, "seq"))
+    best = _alike(asked, _places(entities, "entity_id")[0], "seq", "entity_id").groupBy("_a").agg(F.min(F.struct("distance_m", F.col("_b").alias("e"))).alias("x"))
+    near = tables.save(at.join(best, F.col("place") == F.col("_a")).select("seq", F.col("x.e").alias("entity_id")))
     taken = tables.save(near.join(open_.select("seq", F.explode("ids").alias("id")), "seq").groupBy("id").agg(F.min_by("entity_id", "seq").alias("entity_id")))
     by_id = _owned(open_, taken).select("seq", F.when(F.col("owners") > 1, "CONFLICT").otherwise("ATTACHED").alias("outcome"), F.when(F.col("owners") == 1, F.col("owner")).alias("entity_id"))
     nameless = near.join(open_.where(F.size("ids") == 0).select("seq"), "seq", "left_semi").select("seq", F.lit("ATTACHED").alias("outcome"), "entity_id")
@@ -57,8 +66,12 @@ def decided(entities: DataFrame, identities: DataFrame, batch: DataFrame, tables
     units = components(star, tables).select(F.col("node").alias("seq"), F.col("component").alias("lead"))
     led = tables.save(units.where("seq <> lead"))
     heads = tables.save(new.join(led.select("seq"), "seq", "left_anti"))
-    pairs = _alike(located(heads), located(heads), "seq", "seq").where("_a < _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    lost = tables.save(eliminated(heads.select(F.col("seq").alias("id")), pairs, [F.col("id").alias("at")], tables))
+    # Of the rows of a place only the first can stay; the others fall to it, or with it to what it falls to.
+    first, at = map(tables.save, _places(heads, "seq"))
+    pairs = _alike(first, first, "seq", "seq").where("_a < _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    fallen = tables.save(eliminated(first.select(F.col("seq").alias("id")), pairs, [F.col("id").alias("at")], tables))
+    lost = at.join(fallen.withColumnRenamed("id", "place"), "place", "left").select(F.col("seq").alias("id"), F.coalesce("by", "place").alias("by"))
+    lost = tables.save(lost.where("id <> by"))
     created = heads.select("seq").join(lost.select(F.col("id").alias("seq")), "seq", "left_anti")
     top = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0))).first()[0]
     made = tables.save(total_rank(created, F.col("seq")).select("seq", F.lit("CREATED").alias("outcome"), (F.col("rank") + F.lit(top)).cast("long").alias("entity_id")))

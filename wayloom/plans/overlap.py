@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_match
+from ..functions.text import norm_name
 from ..operators.elimination import eliminated
-from ..operators.spatial import near_pairs
+from ..operators.spatial import copies, near_pairs
 from ..sources import catalog as c
 from ..sources.shared import Tables
 from .more import order_conflict
@@ -33,17 +33,20 @@ def preference():
 
 
 def overlapping(spark, sf):
-    """Pairs (a, b) of one pool with members at most 150 m apart whose names match. Entities meet first, few to a cell."""
+    """Pairs (a, b) of one pool with members at most 150 m apart whose names match. Places meet first, few to a cell: entities
+    of one position and folded name are one, so a member meets other places, not all of their copies."""
     k = F.col("entity_id")
     name = F.element_at(F.array(*map(F.lit, NAMES)), (k % len(NAMES) + 1).cast("int"))
-    places = c.geo_entity(spark, sf).where("entity_id < 1000003").select("entity_id", "latitude", "longitude")
-    names = places.select("entity_id", name.alias("name"))
+    entities = c.geo_entity(spark, sf).where("entity_id < 1000003").select("entity_id", "latitude", "longitude", norm_name(name).alias("name")).where("name <> ''")
+    places, on = copies(entities, "entity_id", ("name",))
+    names = places.select("entity_id", "name")
     near = near_pairs(places, places, 150.0, "entity_id", "entity_id").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     same = near.join(names.select(F.col("entity_id").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("entity_id").alias("b"), F.col("name").alias("nb")), "b")
-    same = same.where(name_match(F.col("na"), F.col("nb"))).select("a", "b")
-    members = candidates(spark, sf)[1]
-    left = members.select("pool", F.col("id").alias("left"), F.col("entity_id").alias("a")).join(same, "a")
-    right = members.select("pool", F.col("id").alias("right"), F.col("entity_id").alias("b"))
+    same = same.where(F.contains("na", F.col("nb")) | F.contains("nb", F.col("na"))).select("a", "b")
+    at = entities.join(places.withColumnRenamed("entity_id", "place"), list(on)).select("entity_id", "place")
+    members = candidates(spark, sf)[1].join(at, "entity_id").select("pool", "id", "place").distinct()
+    left = members.select("pool", F.col("id").alias("left"), F.col("place").alias("a")).join(same, "a")
+    right = members.select("pool", F.col("id").alias("right"), F.col("place").alias("b"))
     return left.join(right, ["pool", "b"]).where("left < right").select(F.col("left").alias("a"), F.col("right").alias("b")).distinct()
 
 
