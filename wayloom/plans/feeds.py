@@ -90,22 +90,22 @@ SELECT doc, segment, min(atom) AS first_atom, max(atom) AS last_atom, count(*) F
 def segments(spark, sf):
     """Labelled atoms to segments: a transfer opens one where the last has members of its own, else it joins the others
     that opened it. Whether it does only hangs on the atoms since the transfer before, so windows tell it; all of them
-    share the partitioning by document."""
-    k = F.col("k")
-    t = c.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("atom")).agg(F.max("l_partkey").alias("k"))
+    share one sort by document and atom, dealt to as many tasks as the lines need."""
+    k, n = F.col("k"), c.tasks(spark, sf, "lineitem")
+    lines = c.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("atom"), F.col("l_partkey").alias("k"))
+    t = lines.repartition(n, "doc").groupBy("doc", "atom").agg(F.max("k").alias("k"))
     role = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, "PASS_BY").when(k % 5 == 2, "ALTERNATIVE").otherwise("COMPONENT")
     names = c.read(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.lower("p_name").alias("name"))
-    a = t.join(names, "k").select("doc", "atom", (k % 3 == 0).alias("transfer"), role.alias("role"), "name")
+    a = t.repartition(n, "k").join(names, "k").repartition(n, "doc").select("doc", "atom", (k % 3 == 0).alias("transfer"), role.alias("role"), "name")
     so_far = Window.partitionBy("doc").orderBy("atom")
     leg = so_far.rowsBetween(Window.unboundedPreceding, 0)
     own = F.coalesce(F.col("role").isin("ALTERNATIVE", "COMPONENT"), F.lit(False))
     a = a.withColumn("leg", F.count_if("transfer").over(leg))
-    since = Window.partitionBy("doc", "leg").orderBy("atom").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    a = a.withColumn("within", F.bool_or(own).over(since))
-    # The row before a transfer belongs to the leg before it, so it knows whether that one had members.
-    opens = F.col("transfer") & F.coalesce(F.lag("within").over(so_far), F.lit(False))
+    earlier = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    # The leg before a transfer had members of its own if the last such atom lies in it.
+    opens = F.col("transfer") & F.coalesce(F.last(F.when(own, F.col("leg")), ignorenulls=True).over(earlier) == F.col("leg") - 1, F.lit(False))
     event = F.col("role").isNotNull() | F.col("transfer")
-    before = F.last(F.when(event, F.coalesce(F.col("role") == "ALTERNATIVE", F.lit(False))), ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(F.when(event, F.coalesce(F.col("role") == "ALTERNATIVE", F.lit(False))), ignorenulls=True).over(earlier)
     starts = (F.col("role") == "ALTERNATIVE") & (F.col("transfer") | ~F.coalesce(before, F.lit(False)))
     a = a.withColumns({"opens": opens, "starts": starts}).withColumn("segment", F.count_if("opens").over(leg) + 1)
     return a.groupBy("doc", "segment").agg(

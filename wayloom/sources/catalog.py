@@ -27,6 +27,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, sf_dir: str, name: str, rows: int = 250_000) -> int:
+    """Partitions that hold so many rows of a table each, at least those that a shuffle has by default (with less, a join would
+    shuffle again): a task's memory doesn't grow with the table. Rows are counted by the footers of the files."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read(spark, sf_dir, name).count() // rows))
+
+
 def _coordinate(start: float, step: int, key: F.Column) -> F.Column:
     return F.lit(start) + ((key * step) % 2000 - 1000) / F.lit(1e4)
 
