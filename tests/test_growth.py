@@ -33,6 +33,11 @@ def test_segments_sort_a_document_once(spark, sf):
     assert dealt(text).count(["doc"]) == 2 and ["doc", "atom"] not in dealt(text)
 
 
+def test_metadata_is_shuffled_as_lines_only(spark, sf):
+    text = plan(catalog.QUERIES["op_agg_16_metadata_merge"](spark, sf))
+    assert all(keys in (["l_partkey"], ["p_partkey"]) for keys in dealt(text)), dealt(text)
+
+
 def test_compositions_rank_parts_of_narrow_rows(spark, sf):
     text = plan(catalog.QUERIES["op_rank_06_composition"](spark, sf))
     assert ["request_id", "_of", "_part"] in dealt(text)
