@@ -43,6 +43,12 @@ def test_destinations_are_shuffled_as_bits(spark, sf):
     assert ["experience_id"] in keys and not any("area_id" in k for k in keys)
 
 
+def test_source_pairs_are_not_shuffled(spark, sf):
+    keys = dealt(plan(catalog.QUERIES["op_er_07_source_relation"](spark, sf)))
+    assert not any("left_id" in k or "right_id" in k for k in keys)
+    assert any(k[-2:] == ["_i", "_j"] for k in keys)
+
+
 def test_compositions_rank_parts_of_narrow_rows(spark, sf):
     text = plan(catalog.QUERIES["op_rank_06_composition"](spark, sf))
     assert ["request_id", "_of", "_part"] in dealt(text)

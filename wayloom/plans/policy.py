@@ -12,10 +12,11 @@ from ..functions.policy import (
     source_document, source_relation, span_support, speed_kmh, statements, travel_mode, visible_heading, walking_reasons,
 )
 from ..functions.text import norm_name
+from ..operators.blocks import told_pairs
 from ..sources import catalog as c
 from ..sources.catalog import with_
 from .geometry import _ODD, _SHAPE, shape, with_areas
-from .knowledge import _PAIRS, _pairs
+from .knowledge import _PAIRS
 from .registry import query
 from .scalar import _NORM
 
@@ -43,15 +44,17 @@ def acquisition_plans(spark, sf):
 @query("op_er_07_source_relation", with_("component", _PAIRS + """, doc AS (SELECT p AS id, list(DISTINCT d) AS docs FROM (SELECT l_partkey AS p, 'https://example.org/Guide/' || l_suppkey % 4 AS d FROM lineitem WHERE l_quantity > 44) GROUP BY 1)
 SELECT left_id, right_id, CASE WHEN x.docs IS NULL OR y.docs IS NULL THEN 'SOURCE_UNKNOWN' WHEN list_has_any(x.docs, y.docs) THEN 'SAME_SOURCE' ELSE 'DIFFERENT_SOURCE' END AS relation FROM r LEFT JOIN doc x ON x.id = left_id LEFT JOIN doc y ON y.id = right_id"""))
 def source_relations(spark, sf):
-    """Do two experiences come from one document? URLs differ in the case of their host, in fragments and a last slash."""
+    """Do two experiences come from one document? URLs differ in the case of their host, in fragments and a last slash. The
+    documents stand beside each experience before pairs meet, and those of equal documents are told of at once."""
     k = F.col("l_suppkey")
     url = F.concat(F.when(k % 2 == 0, "HTTPS://Example.org/Guide/").otherwise(" https://example.ORG/Guide/"), (k % 4).cast("string"), F.when(k % 3 == 0, "/").when(k % 3 == 1, "#part").otherwise("/#top"))
     lines = c.read(spark, sf, "lineitem").where("l_quantity > 44")
     docs = lines.groupBy(F.col("l_partkey").alias("id")).agg(F.collect_set(source_document(url)).alias("docs"))
-    out, none = _pairs(spark, sf).select("left_id", "right_id"), F.array().cast("array<string>")
-    for side in ("left", "right"):
-        out = out.join(docs.select(F.col("id").alias(f"{side}_id"), F.col("docs").alias(side)), f"{side}_id", "left").withColumn(side, F.coalesce(side, none))
-    return out.select("left_id", "right_id", source_relation(F.col("left"), F.col("right")).alias("relation"))
+    keys = ["p_brand", "p_size", "p_type"]
+    held = c.resolved_member(spark, sf).select(F.col("experience_id").alias("id"))
+    parts = c.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), *keys).join(held, "id", "left_semi").join(docs, "id", "left")
+    parts = parts.withColumn("docs", F.sort_array(F.coalesce("docs", F.array().cast("array<string>"))))
+    return told_pairs(parts, keys, ["docs"], lambda x, y: source_relation(x("docs"), y("docs"))).withColumnRenamed("told", "relation")
 
 
 @query("op_er_15_contextual_pool", with_("geo_entity", _SHAPE + f""", pt AS (SELECT entity_id, entity_id // 4 AS pool, CASE WHEN basis <> 'NONE' THEN latitude END AS latitude, CASE WHEN basis <> 'NONE' THEN longitude END AS longitude, CASE WHEN entity_id % 7 = 0 THEN NULL WHEN entity_id % 7 < 5 THEN 'POINT_OF_INTEREST' ELSE 'SETTLEMENT' END AS structural FROM shape),
