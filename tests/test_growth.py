@@ -4,6 +4,9 @@ import contextlib
 import io
 import re
 
+import pyarrow as pa
+
+from wayloom.operators import templates
 from wayloom.plans import catalog
 from wayloom.sources import catalog as c
 
@@ -52,3 +55,12 @@ def test_source_pairs_are_not_shuffled(spark, sf):
 def test_compositions_rank_parts_of_narrow_rows(spark, sf):
     text = plan(catalog.QUERIES["op_rank_06_composition"](spark, sf))
     assert ["request_id", "_of", "_part"] in dealt(text)
+
+
+def test_listings_leave_a_task_a_set_number_at_a_time():
+    texts = ["{{see|name=a}} {{eat|name=b}} {{x|y}}"] * 3000 + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    out = list(templates.listed(iter([batch])))
+    assert max(b.num_rows for b in out) == templates.AT_ONCE
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["doc_id"], r["ordinal"]) for r in rows] == [(d, k) for d in range(3000) for k in (1, 2, 3)]
