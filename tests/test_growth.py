@@ -64,3 +64,10 @@ def test_listings_leave_a_task_a_set_number_at_a_time():
     assert max(b.num_rows for b in out) == templates.AT_ONCE
     rows = [r for b in out for r in b.to_pylist()]
     assert [(r["doc_id"], r["ordinal"]) for r in rows] == [(d, k) for d in range(3000) for k in (1, 2, 3)]
+
+
+def test_wishes_are_dealt_while_narrow(spark, sf):
+    for name in ("op_plan_04_hard_constraints", "op_plan_06_local_improvement", "op_plan_07_routed_order", "op_plan_08_repair"):
+        text = plan(catalog.QUERIES[name](spark, sf))
+        assert [k for k in dealt(text) if "request_id" in k] == [["request_id"]], name
+        assert "REPARTITION_BY_NUM" in text and not re.search(r"Exchange .*\n.*Project \[.*hours#", text), name

@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from wayloom.operators import planner
@@ -248,5 +250,23 @@ def test_queries_tell_the_plan(spark, sf, solved):
     assert got == {k: (sum(w[4] is not None for w in v), sum(w[1] is None for w in v), sum(w[5] is not None for w in v), v[0][6], sum(w[4] is not None and w[4][1] > 1 for w in v)) for k, v in solved.items()}
 
 
+def test_requests_of_a_batch_are_planned_together():
+    """Those of one table equal each planned alone; a request of many stops needs no distance of all pairs."""
+    rng = random.Random(12)
+    pools = [[r | {"request_id": k} for r in random_pool(rng, rng.choice([1, 3, 30]))] for k in range(60)]
+    pools.append([r | {"request_id": 60, "experience_id": i} for i, r in enumerate(random_pool(rng, 20) * 200)])
+    frames = [pd.DataFrame(p).astype({"weekday": object, "latitude": object}) for p in pools]
+    kinds = pa.schema([(c, planner._POOL.get(c, pa.float64())) for c in frames[0].columns])
+    table = pa.concat_tables([pa.Table.from_pandas(f, kinds, preserve_index=False) for f in frames])
+    at = [0]
+    for p in pools:
+        at.append(at[-1] + len(p))
+    tracemalloc.start()
+    got = planner._plans(table, at).to_pandas()
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert {k: told(g) for k, g in got.groupby("request_id")} == {k: told(planner.plan(f)) for k, f in enumerate(frames)}
+
+
 def test_empty_pool(spark, sf):
     assert planner.plan_days(wishes(spark, sf).limit(0)).count() == 0

@@ -42,11 +42,12 @@ def numbers(column: pa.ChunkedArray) -> np.ndarray:
     return column.cast(pa.float64()).to_numpy()
 
 
-def by_key(rows: DataFrame, key: str, f: Callable[[pa.Table, list[int]], pa.RecordBatch], schema: str) -> DataFrame:
-    """``f`` over whole groups of equal keys: a table of some and where each begins."""
+def by_key(rows: DataFrame, key: str, f: Callable[[pa.Table, list[int]], pa.RecordBatch], schema: str, dealt: bool = False) -> DataFrame:
+    """``f`` over whole groups of equal keys: a table of some and where each begins. dealt: rows of a key
+    stand together in one partition already, sorted by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, key):
             yield f(table, at)
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return (rows if dealt else rows.repartition(key).sortWithinPartitions(key)).mapInArrow(run, schema)
