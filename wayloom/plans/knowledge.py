@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_jaccard, tokens
-from ..operators.graph import components
+from ..operators.graph import clusters_by_name
 from ..operators.resolution import admission, pair_verdict, structural_relation
 from ..sources import catalog as c
 from ..sources.catalog import with_
@@ -61,12 +62,12 @@ c AS (SELECT node, min(low) AS low FROM r GROUP BY 1)
 SELECT cluster, count(*) AS segments, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM (SELECT id, least(id, coalesce(low, id)) AS cluster FROM (SELECT DISTINCT id FROM seg) LEFT JOIN c ON node = id) GROUP BY 1""")
 def route_components(spark, sf):
     """Segments (orders) of one name (customer) that share a point (supplier), transitively: clusters and their members."""
-    o = c.read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("name"))
-    seg = c.read(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("point")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("name", "point", F.col("o_orderkey").alias("id")).distinct()
-    owners = seg.groupBy("name", "point").agg(F.min("id").alias("b"))
-    found = components(seg.join(owners, ["name", "point"]).select(F.col("id").alias("a"), "b"), Tables(spark, "segments"))
-    ids = seg.select("id").distinct().join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))
-    return ids.groupBy("cluster").agg(F.count("*").alias("segments"), F.sort_array(F.collect_list("id")).alias("ids")).select("cluster", "segments", F.array_join("ids", ",").alias("members"))
+    tasks = c.tasks(spark, sf, "lineitem")
+    o = c.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("name")).repartition(tasks, "id").distinct()
+    o = o.withColumn("shared", F.count("*").over(Window.partitionBy("id")) > 1)
+    lines = c.read(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("point")).repartition(tasks, "l_orderkey")
+    found = clusters_by_name(lines.join(o, F.col("l_orderkey") == F.col("id")), Tables(spark, "segments"), tasks)
+    return found.select("cluster", F.size("ids").cast("long").alias("segments"), F.array_join("ids", ",").alias("members"))
 
 
 @query("op_er_20_remember_hint", """WITH old AS (SELECT o_custkey AS entity, o_orderpriority AS hint, bool_or(o_orderstatus = 'F') AS revoked FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2),
