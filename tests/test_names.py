@@ -1,12 +1,14 @@
 """Folds and whole-word searches against plain versions of the rules."""
 
+import contextlib
 import hashlib
+import io
 import random
 import unicodedata
 
 import pytest
 
-from wayloom.operators.names import fold, folded, names_in_texts, words
+from wayloom.operators.names import Fold, _firsts, _listed, fold, folded, names_in_texts, words
 from wayloom.plans import catalog
 from wayloom.plans.literals import names as asked
 
@@ -87,3 +89,28 @@ def test_queries_equal_brute_force(spark, sf):
     assert len(spans) == len(want) and all(r.quoted == by_id[r.doc_id][r.start : r.end] and folded(r.quoted) == r.name for r in spans)
     folds = {(r.doc_id, r.folded_sha256, r.n_chars) for r in catalog.QUERIES["op_str_02_literal_fold"](spark, sf).collect()}
     assert folds == {(i, hashlib.sha256(plain_fold(t).encode()).hexdigest(), len(plain_fold(t))) for i, t in texts}
+
+
+def test_fold_and_search_equal_character_by_character():
+    """Whole texts at once, with marks that join, letters that become several, scripts without spaces and names that overlap."""
+    rng = random.Random(6)
+    pool = [*ALPHABET, "́", "̈́", "½", "ﷺ", "´", "ᅡ", "ᆨ", "゙", "…", "a a", " a a a ", "는"] + [chr(c) for c in rng.sample(range(0x80, 0xD800), 3000)]
+    names = ["a", "a a", "a a a", "b", "東", "京", "1 a"]
+    for n in range(3000):
+        text = "".join(rng.choice(pool[: 42 if n % 2 else None]) for _ in range(rng.randrange(30)))
+        f, (said, starts, ends) = Fold(text), fold(text)
+        assert f.said == said == plain_fold(text), text
+        got = {(name, m, *f.span(a, b)) for name, (m, a, b) in _firsts(f.said, _listed(names)).items()}
+        assert got == {w[1:] for w in brute([(0, text)], names)}, text
+        assert all(f.span(k, k + 1) == (starts[k], ends[k]) for k, c in enumerate(said) if c != " ")
+
+
+def test_spans_are_read_where_they_are_found(spark, sf):
+    """Neither texts nor names are shuffled to quote what stands there, and a doc_id that repeats is quoted from its own text."""
+    told = io.StringIO()
+    with contextlib.redirect_stdout(told):
+        catalog.QUERIES["op_str_04_located_spans"](spark, sf).explain()
+    assert "Exchange" not in told.getvalue() and "Join" not in told.getvalue()
+    docs = spark.createDataFrame([(1, "x Café"), (1, "CAFÉ"), (2, None)], "uid long, text string")
+    got = names_in_texts(docs, spark.createDataFrame([("cafe",)], "name string"), quoted=True)
+    assert sorted((r.start, r.quoted) for r in got.collect()) == [(0, "CAFÉ"), (2, "Café")]

@@ -13,6 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 FEW_NAMES, FEW_CHARS = 50_000, 4 << 20
 # Scripts without spaces, one run each.
 DENSE = re.compile(r"[⺀-⿟々〇㐀-䶿一-鿿豈-﫿\U00020000-\U0003FFFF]+|[ぁ-ゟ]+|[゠-ヿㇰ-ㇿ]+|[฀-๿]+|[຀-໿]+|[ក-៿]+|[က-႟]+")
+DENSE_ANY = re.compile("[" + re.sub(r"[][+|]", "", DENSE.pattern) + "]")
 MARKS = re.compile("[̀-ͯ]+")
 
 
@@ -45,32 +47,105 @@ def _folded(cluster: str) -> str:
     return "".join(c if unicodedata.category(c)[0] in "LNM" else " " for c in said)
 
 
-def fold(text: str) -> tuple[str, list[int], list[int]]:
-    """The folded text and, for each of its characters, where the source characters that it comes from start and end."""
-    joining = _joining()
-    out: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    k, n = 0, len(text)
-    while k < n:
-        to = k + 1
-        while to < n and (text[to] in joining or not text[to].isascii() and unicodedata.combining(text[to])):
-            to += 1
-        for c in _folded(text[k:to]):
-            if c == " " and (not out or out[-1] == " "):
-                continue
-            out.append(c)
-            starts.append(k)
-            ends.append(to)
-        k = to
-    if out and out[-1] == " ":
-        for held in (out, starts, ends):
-            held.pop()
-    return "".join(out), starts, ends
+class _Singles(dict):
+    """What a character alone folds to, by code point."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = out = _folded(chr(c))
+        return out
+
+
+_SINGLES = _Singles()
+#: One for one: by code point, that of what it folds to, or a note that it isn't known yet or that it takes more than this.
+UNKNOWN, MORE = 0x110000, 0x110001
+
+
+@lru_cache(maxsize=1)
+def _table() -> np.ndarray:
+    return np.full(0x110000, UNKNOWN, np.uint32)
+
+
+@lru_cache(maxsize=1)
+def _clusters() -> tuple[frozenset[str], re.Pattern[str]]:
+    """Marks, and the pattern of a character with what may become one with it."""
+    marks = _joining() | {chr(c) for c in range(0x80, 0x110000) if unicodedata.combining(chr(c))}
+    return marks, re.compile("([\\s\\S][" + "".join(map(re.escape, sorted(marks))) + "]+)")
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _one_for_one(text: str) -> str | None:
+    """The text if each character folds to one, without marks that may join another."""
+    table, points = _table(), _points(text)
+    out = table[points]
+    if (new := out == UNKNOWN).any():
+        marks = _clusters()[0]
+        for c in np.unique(points[new]).tolist():
+            said = _SINGLES[c]
+            table[c] = ord(said) if len(said) == 1 and chr(c) not in marks else MORE
+        out = table[points]
+    return None if (out == MORE).any() else out.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+class Fold:
+    """A folded text that finds its way back: characters without marks are translated all at once, those with marks one by one,
+    and only who asks for places pays for them."""
+
+    def __init__(self, text: str):
+        self.parts, self.wide = [text], [text.translate(_SINGLES) if text.isascii() else _one_for_one(text)]
+        if self.wide[0] is None:
+            marks, clusters = _clusters()
+            self.parts = [text] if marks.isdisjoint(text) else clusters.split(text)  # every other one is a character with marks
+            self.wide = [_folded(p) if n % 2 else p.translate(_SINGLES) for n, p in enumerate(self.parts)]
+        self.whole = "".join(self.wide)
+        self.said = " ".join(self.whole.split())
+        self._at: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def _places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the characters before blanks are made one: which are none, and where each one's source starts and ends."""
+        starts, ends, k = [], [], 0
+        for n, (part, wide) in enumerate(zip(self.parts, self.wide, strict=True)):
+            to = k + len(part)
+            if n % 2:
+                starts.append(np.full(len(wide), k))
+                ends.append(np.full(len(wide), to))
+            else:
+                own = np.arange(k, to)
+                if len(wide) != len(part):
+                    own = np.repeat(own, [len(_SINGLES[ord(c)]) for c in part])
+                starts.append(own)
+                ends.append(own + 1)
+            k = to
+        black = np.flatnonzero(_points(self.whole) != 32)
+        return black, np.concatenate(starts), np.concatenate(ends)
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """Where the source of the folded characters a to b starts and ends; neither end is a blank."""
+        if self._at is None:
+            self._at = self._places()
+        black, starts, ends = self._at
+        first = black[a - self.said.count(" ", 0, a)]
+        last = black[b - 1 - self.said.count(" ", 0, b - 1)]
+        return int(starts[first]), int(ends[last])
 
 
 def folded(text: str | None) -> str:
-    return fold(text or "")[0]
+    return Fold(text or "").said
+
+
+def fold(text: str) -> tuple[str, list[int], list[int]]:
+    """The folded text and, for each of its characters, where the source characters that it comes from start and end; a blank
+    comes from the first that it stands for."""
+    f = Fold(text)
+    black, starts, ends = f._places()
+    at: list[int] = []
+    n = 0
+    for c in f.said:
+        at.append(int(black[n - 1]) + 1 if c == " " else int(black[n]))
+        n += c != " "
+    return f.said, starts[at].tolist() if at else [], ends[at].tolist() if at else []
 
 
 def words(text: str) -> list[tuple[int, int]]:
@@ -88,13 +163,27 @@ def words(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def occurrences(text: str, spans: list[tuple[int, int]], by_word: dict[str, list[str]]) -> Iterator[tuple[str, int, int]]:
-    """(name, start, end) of the whole-word occurrences of names, which are listed by their first word, in a folded text."""
-    ends = {b for _, b in spans}
-    for a, b in spans:
-        for name in by_word.get(text[a:b], ()):
-            if a + len(name) in ends and text.startswith(name, a):
-                yield name, a, a + len(name)
+def _firsts(said: str, by_word: dict[str, list[str]]) -> dict[str, list[int]]:
+    """Names, listed by their first word, that stand in a folded text as whole words: how often, and start and end of the first."""
+    found: dict[str, list[int]] = {}
+    if not said.isascii() and DENSE_ANY.search(said):
+        spans = words(said)
+        ends = {b for _, b in spans}
+        for a, b in spans:
+            for name in by_word.get(said[a:b], ()):
+                if a + len(name) in ends and said.startswith(name, a):
+                    found.setdefault(name, [0, a, a + len(name)])[0] += 1
+        return found
+    padded, every = f" {said} ", said.split(" ")  # every word stands between blanks
+    for word in by_word.keys() & set(every):
+        for name in by_word[word]:
+            asked = f" {name} "
+            if (first := padded.find(asked)) >= 0:
+                n, at = (every.count(name), -1) if name == word else (0, first)
+                while at >= 0:
+                    n, at = n + 1, padded.find(asked, at + 1)
+                found[name] = [n, first, first + len(name)]
+    return found
 
 
 def _listed(names: list[str]) -> dict[str, list[str]]:
@@ -120,25 +209,23 @@ def folded_names(names: DataFrame, column: str = "name") -> DataFrame:
     return names.select(F.col(f"`{column}`")).mapInArrow(run, "name string, word string").distinct()
 
 
-def _search(batches: Iterator[pa.RecordBatch], by_word: dict[str, list[str]] | None) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+def _search(batches: Iterator[pa.RecordBatch], by_word: dict[str, list[str]] | None, quoted: bool) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()][: 5 + quoted]
     for batch in batches:
         rows = []
         lists = batch.column("names").to_pylist() if by_word is None else [None] * batch.num_rows
         for uid, text, names in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), lists, strict=True):
-            said, starts, ends = fold(text or "")
-            found: dict[str, list[int]] = {}
-            for name, a, b in occurrences(said, words(said), by_word if by_word is not None else _listed(names)):
-                held = found.setdefault(name, [0, starts[a], ends[b - 1]])
-                held[0] += 1
-            rows += [(uid, name, *held) for name, held in found.items()]
-        columns = zip(*rows, strict=True) if rows else ((),) * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["uid", "name", "n", "start", "end"])
+            f = Fold(text or "")
+            for name, (n, a, b) in _firsts(f.said, by_word if by_word is not None else _listed(names)).items():
+                start, end = f.span(a, b)
+                rows.append((uid, name, n, start, end, text[start:end])[: 5 + quoted])
+        columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["uid", "name", "n", "start", "end", "quoted"][: 5 + quoted])
 
 
-def names_in_texts(docs: DataFrame, names: DataFrame, few: int = FEW_NAMES) -> DataFrame:
+def names_in_texts(docs: DataFrame, names: DataFrame, few: int = FEW_NAMES, quoted: bool = False) -> DataFrame:
     """(uid, name, n, start, end): how often each name stands as whole words in each text of docs (uid, text), and the span
-    of the first time in the source, in code points.
+    of the first time in the source, in code points; with quoted, also what stands there.
 
     names (name) are folded and made distinct; null and empty texts and names without a letter or digit meet nothing. As
     long as the names are few they go to all tasks and texts aren't shuffled. Beyond, every text meets the names by its
@@ -146,10 +233,10 @@ def names_in_texts(docs: DataFrame, names: DataFrame, few: int = FEW_NAMES) -> D
     """
     asked = folded_names(names)
     size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("chars")).first()
-    docs = docs.select("uid", "text")
+    docs, schema = docs.select("uid", "text"), FOUND + ", quoted string" * quoted
     if size.n <= few and size.chars <= FEW_CHARS:
         held = docs.sparkSession.sparkContext.broadcast([r.name for r in asked.select("name").collect()])
-        return docs.mapInArrow(lambda batches: _search(batches, _listed(held.value)), FOUND)
+        return docs.mapInArrow(lambda batches: _search(batches, _listed(held.value), quoted), schema)
 
     def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +249,7 @@ def names_in_texts(docs: DataFrame, names: DataFrame, few: int = FEW_NAMES) -> D
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(said, pa.string())], ["uid", "word"])
 
     met = docs.mapInArrow(spoken, "uid long, word string").join(asked, "word").groupBy("uid").agg(F.collect_set("name").alias("names"))
-    return docs.join(met, "uid").select("uid", "text", "names").mapInArrow(lambda batches: _search(batches, None), FOUND)
+    return docs.join(met, "uid").select("uid", "text", "names").mapInArrow(lambda batches: _search(batches, None, quoted), schema)
 
 
 def fold_column(rows: DataFrame, column: str, out: str) -> DataFrame:

@@ -34,10 +34,8 @@ def whole_words(spark, sf):
 @query("op_str_04_located_spans")
 def located_spans(spark, sf):
     """The source bytes of the first occurrence of each name in each document, whatever their case and marks."""
-    docs = c.read(spark, sf, "documents").select("doc_id", "text")
-    found = whole_words(spark, sf).select("doc_id", "name", "start", "end")
-    said = F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))")
-    return found.join(docs, "doc_id").select("doc_id", "name", "start", "end", said.alias("quoted"))
+    docs = c.read(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "text")
+    return names_in_texts(docs, names(spark, sf), quoted=True).select(F.col("uid").alias("doc_id"), "name", "start", "end", "quoted")
 
 
 def headed(spark, sf):
