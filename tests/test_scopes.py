@@ -294,3 +294,25 @@ def test_points_in_areas_are_not_broadcast(spark, sf):
     with contextlib.redirect_stdout(told):
         catalog.QUERIES["geo_enclosing_areas"](spark, sf).explain()
     assert "SortMergeJoin" in told.getvalue() and "Broadcast" not in told.getvalue()
+
+
+def test_copies_of_places_and_shapes_meet_once(spark, tmp_path, monkeypatch):
+    """Suppliers whose keys differ by 14,000 share position and boundary: three of each, more than a piece of one, all pairs told."""
+    import duckdb
+
+    from wayloom.operators import areas
+
+    met = []
+    covers = areas.covers
+    monkeypatch.setattr(areas, "COPIES", 2)
+    monkeypatch.setattr(areas, "covers", lambda rows: met.append(rows.count()) or covers(rows))
+    keys = [7 + 14_000 * k for k in range(3)] + [2007 + 14_000 * k for k in range(3)] + [k for k in range(18, 2000, 61)]
+    spark.createDataFrame([(k, f"s{k}") for k in keys], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(None, "n")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for t in ("supplier", "customer"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = catalog.QUERIES["geo_enclosing_areas"](spark, str(tmp_path)).collect()
+    want = con.sql(catalog.SQL["geo_enclosing_areas"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and {(7, 7), (28007, 14007), (2007, 14007)} <= set(want)
+    assert met == [len({k % 14_000 for k in keys if k % 10 in (7, 8)})]

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import contains
+from .blocks import COPIES
 
 #: Levels of cells: 360 / 2 ** level degrees wide and high.
 LEVELS = tuple(range(4, 21, 2))
@@ -113,3 +114,25 @@ def containing(points: DataFrame, areas: DataFrame, lon: str = "longitude", lat:
     # The size of points is guessed from their packed files, before they are dealt to levels: never broadcast by that.
     met = placed.hint("merge").join(covers(areas), ["_level", "_x", "_y"])
     return met.where(F.col("edges").isNull() | contains(F.col("edges"), x, y)).drop("_level", "_x", "_y", "edges")
+
+
+def _copies(rows: DataFrame, id_: str, same: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows alike in ``same`` one each, told by its least id as ``name``; and (name, _g, name_ids): the ids of those alike in
+    pieces, so that no row holds all copies. Ids are unique."""
+    own = Window.partitionBy(*same).orderBy(id_)
+    told = rows.select(id_, *same).withColumns({"_n": F.row_number().over(own), name: F.first(id_).over(own)})
+    pieces = told.groupBy(name, F.floor((F.col("_n") - 1) / COPIES).alias(f"{name}_g")).agg(F.collect_list(id_).alias(f"{name}_ids"))
+    return told.where("_n = 1").select(name, *same), pieces
+
+
+def enclosed(points: DataFrame, areas: DataFrame, id_: str, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
+    """(id_, area_id): the rows of ``containing`` by their ids. Their number is quadratic in the copies of a place and of a
+    shape by nature, so a place meets a shape once, whatever the copies of both, and is tested once; what is dealt evenly to a
+    set number of tasks then is pieces of ids that meet, and rows are only told from them."""
+    places, points_of = _copies(points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()), id_, [lon, lat], "_place")
+    shapes, areas_of = _copies(areas, "area_id", ["rings"], "_shape")
+    met = containing(places, shapes.withColumnRenamed("_shape", "area_id"), lon, lat).select("_place", F.col("area_id").alias("_shape"))
+    # Pieces are few and long: their size is guessed from ids alone, so never broadcast by that.
+    pairs = met.hint("merge").join(points_of.hint("merge"), "_place").hint("merge").join(areas_of.hint("merge"), "_shape")
+    dealt = pairs.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_place", "_place_g", "_shape", "_shape_g")
+    return dealt.select(F.explode("_place_ids").alias(id_), "_shape_ids").select(id_, F.explode("_shape_ids").alias("area_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..functions.geometry import area_relation, contains, edges, line_metres
-from ..operators.areas import containing
+from ..operators.areas import enclosed
 from ..sources import catalog as c
 from ..sources.catalog import with_
 from .geometry import _EDGES, shape
@@ -40,7 +40,7 @@ SELECT entity_id, area_id FROM odd GROUP BY ALL HAVING bool_or(odd AND ring = 0)
 def enclosing_areas(spark, sf):
     """All boundaries that contain each entity's position."""
     points = c.geo_entity(spark, sf).select("entity_id", "latitude", "longitude")
-    return containing(points, boundaries(spark, sf)).select("entity_id", "area_id")
+    return enclosed(points, boundaries(spark, sf), "entity_id")
 
 
 def member_facts(spark, sf):
