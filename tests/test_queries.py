@@ -83,6 +83,47 @@ def test_diversity_equals_the_rules_on_whole_pools(spark, sf):
         assert got[got["request_id"] == k]["experience_id"].tolist() == want
 
 
+def test_diversity_groups_hold_what_is_open(spark, tmp_path, monkeypatch):
+    """Long lists of a few kinds and subtypes, without some of them, in tiers of one request and another: every rank and score is
+    the rule's, and a group holds five candidates of a list at most, however long it is."""
+    import random
+
+    from wayloom.operators import planning
+    from wayloom.sources.shared import Tables
+
+    draw, whole = random.Random(7), planning.diversify
+
+    def few(pool):
+        assert len(pool) <= 5 * len(pool.groupby(["preference", "kind", "subtype"], dropna=False)) < 400
+        return whole(pool)
+
+    monkeypatch.setattr(planning, "diversify", few)
+    rows = [(draw.choice([1, 1, 1, 2]), i, draw.choice([0.0, 0.3, 1.0]), draw.randrange(80) / 1000, draw.choice([0.0, 0.1]), draw.randrange(3) / 2, draw.choice(["a", "b", None]), draw.choice(["u", "v", "w", "x", None])) for i in range(1500)]
+    rows += [(3, i, None if i % 2 else 0.0, 0.5, 0.0, 1.0, "a", f"s{i % 3}") for i in range(40)]
+    pool = spark.createDataFrame(rows, "request_id int, experience_id long, preference double, base double, bonus double, km double, kind string, subtype string")
+    got = planning.diversified(pool, Tables(spark, "diversity")).collect()
+    want = []
+    for q in (1, 2, 3):
+        rest, kinds, counts, rank = [r for r in rows if r[0] == q], set(), {}, 0
+        while rest:
+            def key(r):
+                n = counts.get(r[7], 0)
+                return (-(r[2] or 0.0), -(r[3] + (0.0 if r[6] in kinds else 0.04) + (0.03 if n == 0 else 0.0) - min(0.1, n * 0.02)), -r[4], r[5], r[1])
+
+            best, rank = min(rest, key=key), rank + 1
+            want.append((q, rank, best[1], round(-key(best)[1], 6)))
+            rest.remove(best)
+            kinds.add(best[6])
+            counts[best[7]] = counts.get(best[7], 0) + 1
+    assert sorted(map(tuple, got)) == want
+
+
+def test_scored_candidates_broadcast_constants_only(spark, sf):
+    """The lists of what is wanted, twice, and a row per request: no table that grows."""
+    plan = ranking.scored(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 3 and "Window" not in plan
+
+
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_placement_equals_the_rules_on_whole_pools(spark, sf_dir):
     got = catalog.QUERIES["op_plan_05_day_placement"](spark, sf_dir).toPandas()
