@@ -23,6 +23,22 @@ def test_told_pairs_are_all_pairs_with_the_direction_of_the_ids(spark):
     assert sorted(map(tuple, row_pairs(t.select("id", "k"), ["k"]).select("x_id", "y_id").collect())) == sorted((p[0], q[0]) for p, q in combinations(rows, 2) if p[1] == q[1])
 
 
+def test_evidence_has_every_distance_of_sizes(spark, tmp_path):
+    """All pairs of a brand and type, whatever their sizes: each bonus is given, none where a size is unknown."""
+    import duckdb
+
+    draw = random.Random(11)
+    rows = [(i, draw.choice(["red ring", "red bolt", "blue ring", "bolt"]), "B", draw.choice("tu"), draw.choice([1, 2, 6, 7, 16, 17, 40, None])) for i in range(120)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = catalog.QUERIES["op_math_10_evidence_score"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalog.SQL["op_math_10_evidence_score"]).fetchall())
+    assert {(r.left_id, r.right_id) for r in got} == {(p[0], q[0]) for p, q in combinations(rows, 2) if p[3] == q[3]}
+    names = {i: r[1] for i, r in enumerate(rows)}
+    assert {r.score for r in got if names[r.left_id] == names[r.right_id]} == {0.45, 0.41, 0.37}
+
+
 def test_one_key_is_dealt_to_many_tasks(spark):
     left, right = dealt(spark.range(4000).withColumn("k", F.expr("id div 100000")), ["k"], "id", 100)
     met = left.withColumnRenamed("id", "l").hint("merge").join(right, ["k", "_i", "_j"]).where("l < id")

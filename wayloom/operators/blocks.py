@@ -32,20 +32,22 @@ def row_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     return named(left, "x").hint("merge").join(named(right, "y"), on).where("x_id < y_id").drop("_i", "_j")
 
 
-def told_pairs(rows: DataFrame, keys: list[str], alike: list[str], told: Callable[[Callable, Callable], Column], near: str | None = None) -> DataFrame:
+def told_pairs(rows: DataFrame, keys: list[str], alike: list[str], told: Callable[[Callable, Callable], Column], near: str | None = None, own: str | None = None, then: Callable[[Column, Column, Column], Column] | None = None, size: int = PIECE // 16) -> DataFrame:
     """(left_id, right_id, told) of the pairs left_id < right_id of rows with equal keys. ``told`` is a function of the columns
     ``alike`` of both sides, so it is worked out once for all rows that are alike. ``near``: a whole number among alike, in
-    which rows of a pair differ by one at most."""
+    which rows of a pair differ by one at most. ``own``: a column that rows that are alike may differ in; ``then`` is the last
+    step, of what is told and both values of it, in any order. ``size``: groups of rows that are alike in a piece."""
+    item, id_ = (F.struct("id", own), lambda e: e["id"]) if own else (F.col("id"), lambda e: e)
     copies = Window.partitionBy(*keys, *alike).orderBy("id")
     numbered = rows.withColumn("_g", F.floor((F.row_number().over(copies) - 1) / COPIES))
-    groups = numbered.groupBy(*keys, *alike, "_g").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    groups = groups.withColumn("first", F.struct(F.get("ids", F.lit(0)).alias("id"), "_g", *alike)).drop("_g")
+    groups = numbered.groupBy(*keys, *alike, "_g").agg(F.sort_array(F.collect_list(item)).alias("ids"))
+    groups = groups.withColumn("first", F.struct(id_(F.get("ids", F.lit(0))).alias("id"), "_g", *alike)).drop("_g")
     on = list(keys)
     if near:  # a group meets those of its own number and of the next: told apart by the role that it has there
         roles = F.array(F.struct(F.col(near).alias("_at"), F.lit(True).alias("_own")), F.struct((F.col(near) + 1).alias("_at"), F.lit(False).alias("_own")))
         groups = groups.withColumn("_r", F.explode(roles)).select("*", "_r.*").drop("_r")
         on.append("_at")
-    left, right = dealt(groups, on, "first", PIECE // 16)
+    left, right = dealt(groups, on, "first", size)
     on += ["_i", "_j"]
     named = lambda side, p: side.select(*on, *[F.col(n).alias(f"{p}_{n}") for n in side.columns if n not in on])
     met = named(left, "x").hint("merge").join(named(right, "y"), on).where("x_first <= y_first")
@@ -54,5 +56,9 @@ def told_pairs(rows: DataFrame, keys: list[str], alike: list[str], told: Callabl
     x, y = (lambda n: F.col(f"x_{n}")), (lambda n: F.col(f"y_{n}"))
     each = met.select((F.col("x_first") < F.col("y_first")).alias("_apart"), told(x, y).alias("_xy"), told(y, x).alias("_yx"), "x_ids", "y_ids")
     each = each.select("_apart", "_xy", "_yx", F.explode("x_ids").alias("_x"), "y_ids").select("_apart", "_xy", "_yx", "_x", F.explode("y_ids").alias("_y"))
-    each = each.where("_x < _y or _apart and _x > _y")
-    return each.select(F.least("_x", "_y").alias("left_id"), F.greatest("_x", "_y").alias("right_id"), F.when(F.col("_x") < F.col("_y"), F.col("_xy")).otherwise(F.col("_yx")).alias("told"))
+    a, b = id_(F.col("_x")), id_(F.col("_y"))
+    each = each.where((a < b) | F.col("_apart") & (a > b))
+    out = F.when(a < b, F.col("_xy")).otherwise(F.col("_yx"))
+    if then:
+        out = then(out, F.col("_x")[own], F.col("_y")[own])
+    return each.select(F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id"), out.alias("told"))

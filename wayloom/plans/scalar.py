@@ -125,17 +125,22 @@ def travel_estimate(spark, sf):
     return c.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", mode.alias("mode"), F.greatest(F.lit(1), F.ceil(m * 1.3 / 1000 / speed * 60)).cast("long").alias("minutes"))
 
 
-@query("op_math_10_evidence_score", f"""WITH t AS (SELECT p_partkey, p_brand, p_type, {_TOK.format(_NORM.format('p_name'))} AS a, p_size FROM part), p AS (SELECT x.p_partkey AS left_id, y.p_partkey AS right_id, x.a, y.a AS b, abs(x.p_size - y.p_size) AS d, len(list_intersect(x.a, y.a)) AS i FROM t x JOIN t y USING (p_brand, p_type) WHERE x.p_partkey < y.p_partkey AND abs(x.p_size - y.p_size) <= 1)
+@query("op_math_10_evidence_score", f"""WITH t AS (SELECT p_partkey, p_brand, p_type, {_TOK.format(_NORM.format('p_name'))} AS a, p_size FROM part), p AS (SELECT x.p_partkey AS left_id, y.p_partkey AS right_id, x.a, y.a AS b, abs(x.p_size - y.p_size) AS d, len(list_intersect(x.a, y.a)) AS i FROM t x JOIN t y USING (p_brand, p_type) WHERE x.p_partkey < y.p_partkey)
 SELECT left_id, right_id, round(0.22::DOUBLE * i / (len(a) + len(b) - i) + 0.15::DOUBLE * i / greatest(len(a), len(b)) + CASE WHEN d <= 5 THEN 8e-2 WHEN d <= 15 THEN 4e-2 ELSE 0e0 END, 6) AS score FROM p""")
 def evidence_score(spark, sf):
-    """Pairs of one brand and type whose sizes differ by one at most: an equi-join, as a size is dealt to its neighbours."""
+    """All pairs of one brand and type: what names say is told once per pair of names, with each bonus for the distance of the
+    sizes; a pair of parts picks one of the three."""
     t = c.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", tokens(F.col("p_name")).alias("a"), "p_size")
 
-    def score(x, y):
-        d = F.abs(x("p_size") - y("p_size"))
-        return F.round(0.22 * token_jaccard(x("a"), y("a")) + 0.15 * overlap_ratio(x("a"), y("a")) + F.when(d <= 5, 0.08).when(d <= 15, 0.04).otherwise(0.0), 6)
+    def scores(x, y):
+        names = 0.22 * token_jaccard(x("a"), y("a")) + 0.15 * overlap_ratio(x("a"), y("a"))
+        return F.struct(*[F.round(names + bonus, 6).alias(n) for n, bonus in (("near", 0.08), ("around", 0.04), ("far", 0.0))])
 
-    return told_pairs(t, ["p_brand", "p_type"], ["a", "p_size"], score, near="p_size").withColumnRenamed("told", "score")
+    def picked(told, p, q):
+        d = F.abs(p - q)
+        return F.when(d <= 5, told["near"]).when(d <= 15, told["around"]).otherwise(told["far"])
+
+    return told_pairs(t, ["p_brand", "p_type"], ["a"], scores, own="p_size", then=picked, size=8).withColumnRenamed("told", "score")
 
 
 @query("op_math_12_lexical_relevance", """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), q(term) AS (VALUES ('the'), ('of'), ('die'), ('que')),
