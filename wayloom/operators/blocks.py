@@ -55,10 +55,10 @@ def told_pairs(rows: DataFrame, keys: list[str], alike: list[str], told: Callabl
         met = met.where("x__own or y__own")
     x, y = (lambda n: F.col(f"x_{n}")), (lambda n: F.col(f"y_{n}"))
     each = met.select((F.col("x_first") < F.col("y_first")).alias("_apart"), told(x, y).alias("_xy"), told(y, x).alias("_yx"), "x_ids", "y_ids")
-    each = each.select("_apart", "_xy", "_yx", F.explode("x_ids").alias("_x"), "y_ids").select("_apart", "_xy", "_yx", "_x", F.explode("y_ids").alias("_y"))
-    a, b = id_(F.col("_x")), id_(F.col("_y"))
-    each = each.where((a < b) | F.col("_apart") & (a > b))
-    out = F.when(a < b, F.col("_xy")).otherwise(F.col("_yx"))
+    # Ids and own values are columns of their own: no struct per pair.
+    out = lambda side: F.inline(f"{side}_ids").alias(f"_{side}", f"_{side}_own") if own else F.explode(f"{side}_ids").alias(f"_{side}")
+    each = each.select("_apart", "_xy", "_yx", out("x"), "y_ids").select("*", out("y")).where("_x < _y or _apart and _x > _y")
+    found = F.when(F.col("_x") < F.col("_y"), F.col("_xy")).otherwise(F.col("_yx"))
     if then:
-        out = then(out, F.col("_x")[own], F.col("_y")[own])
-    return each.select(F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id"), out.alias("told"))
+        found = then(found, F.col("_x_own"), F.col("_y_own"))
+    return each.select(F.least("_x", "_y").alias("left_id"), F.greatest("_x", "_y").alias("right_id"), found.alias("told"))
